@@ -13,7 +13,7 @@ from tidemark.session import build_session  # noqa: E402
 sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
 wanted = sys.argv[2:]
 spark = build_session(master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
-                      spark__driver__memory="8g")
+                      spark__driver__memory="8g", spark__ui__showConsoleProgress="false")
 spark.sparkContext.setLogLevel("ERROR")
 con, bad = connect(sf), 0
 sqls = entry.oracle_sql()

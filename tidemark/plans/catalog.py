@@ -2,5 +2,7 @@
 
 from tidemark.plans import (  # noqa: F401
     batch_queries,
+    lifecycle_queries,
+    reconcile_queries,
 )
 from tidemark.plans.registry import QUERIES, SQL  # noqa: F401
