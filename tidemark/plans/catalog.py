@@ -3,6 +3,7 @@
 from tidemark.plans import (  # noqa: F401
     batch_queries,
     lifecycle_queries,
+    metric_queries,
     reconcile_queries,
 )
 from tidemark.plans.registry import QUERIES, SQL  # noqa: F401
