@@ -26,6 +26,7 @@ def pack(df: DataFrame, name: str, keys: list[str] = KEYS) -> DataFrame:
 
 def pair(incoming: DataFrame, existing: DataFrame, how: str = "left") -> DataFrame:
     """Each incoming record beside the stored one; AQE splits an aggregate that is written most."""
+    existing = existing.select(*incoming.columns)
     return pack(incoming, "incoming").join(pack(existing, "existing"), KEYS, how)
 
 
@@ -35,68 +36,25 @@ def is_conflict() -> Column:
 
 # ---- strategies ----------------------------------------------------------------------------------
 
-def _merged(a: Column, b: Column) -> Column:
-    return C.merge(a["vectorClock"], b["vectorClock"])
-
-
-def _resolved(winner: Column, a: Column, b: Column) -> Column:
-    return (winner.withField("syncStatus", F.lit("CONFLICT_RESOLVED"))
-            .withField("vectorClock", _merged(a, b)))
-
-
 def later(a: Column, b: Column) -> Column:
     """True when ``a`` is the last write: newer wall clock, then the larger cloud id, then ``a``."""
     return F.when(a["wallClockTs"] != b["wallClockTs"], a["wallClockTs"] > b["wallClockTs"]).otherwise(
         a["sourceCloud"] >= b["sourceCloud"])
 
 
-def last_write_wins(a: Column, b: Column) -> Column:
-    return _resolved(F.when(later(a, b), a).otherwise(b), a, b)
-
-
-def highest_vector_clock(a: Column, b: Column) -> Column:
-    relation = C.compare(a["vectorClock"], b["vectorClock"])
-    keep_a = F.when(relation == "BEFORE", False).when(relation == "CONCURRENT", later(a, b)).otherwise(True)
-    return _resolved(F.when(keep_a, a).otherwise(b), a, b)
-
-
-def cloud_priority(a: Column, b: Column, primary: str) -> Column:
-    return _resolved(F.when(F.lower(a["sourceCloud"]) == primary.lower(), a).otherwise(b), a, b)
-
-
 def _fields(record: Column) -> Column:
     """Top-level fields of a JSON object payload with their types; null for anything else."""
     return F.try_variant_get(F.try_parse_json(record["payload"].cast("string")), "$", "map<string,variant>")
 
 
-def merges_fields(a: Column, b: Column) -> Column:
-    return _fields(a).isNotNull() & _fields(b).isNotNull()
-
-
-def field_merge(a: Column, b: Column) -> Column:
-    """Union of both objects' fields; a differing field comes from ``b`` unless ``a`` is newer.
-
-    The remaining columns come from ``a`` unless ``b`` is newer.  Payloads that are not both JSON
-    objects fall back to the last write.
-    """
-    fa, fb = _fields(a), _fields(b)
-    b_not_older = b["wallClockTs"] >= a["wallClockTs"]
-
+def _union_of_fields(fa: Column, fb: Column, b_not_older: Column) -> Column:
+    """JSON text with the fields of both objects; a differing field is ``b``'s unless ``a`` is newer."""
     def choose(k, x, y):
         differs = ~F.to_json(x).eqNullSafe(F.to_json(y))
         return (F.when(~F.map_contains_key(fa, k), y).when(~F.map_contains_key(fb, k), x)
                 .when(differs & b_not_older, y).otherwise(x))
 
-    payload = F.encode(F.to_json(F.map_zip_with(fa, fb, choose)), "UTF-8")
-    base = F.when(a["wallClockTs"] >= b["wallClockTs"], a).otherwise(b)
-    merged = (_resolved(base, a, b).withField("payload", payload)
-              .withField("wallClockTs", F.greatest(a["wallClockTs"], b["wallClockTs"])))
-    return F.when(merges_fields(a, b), merged).otherwise(last_write_wins(a, b))
-
-
-def manual_review(a: Column, _b: Column) -> Column:
-    """No winner: the stored record stays, flagged."""
-    return a.withField("syncStatus", F.lit("CONFLICT_DETECTED"))
+    return F.to_json(F.map_zip_with(fa, fb, choose))
 
 
 def strategy_for(aggregate_type: Column, config: dict[str, str]) -> Column:
@@ -111,25 +69,58 @@ def strategy_for(aggregate_type: Column, config: dict[str, str]) -> Column:
 
 
 def resolve(pairs: DataFrame, config: dict[str, str] | None = None, primary: str = "aws") -> DataFrame:
-    """Add ``strategy``, ``resolved`` and ``counters`` (which strategies counted the decision)."""
-    a, b = F.col("existing"), F.col("incoming")
+    """Add ``strategy``, ``resolved`` and ``counters`` (which strategies counted the decision).
+
+    LAST_WRITE_WINS: newer wall clock, then larger cloud id.  HIGHEST_VECTOR_CLOCK: causal winner,
+    the last write when concurrent, the stored record when equal.  CLOUD_PRIORITY: the primary
+    cloud's record.  FIELD_MERGE: union of two JSON objects, the last write for anything else.
+    MANUAL_REVIEW: the stored record, flagged.  All but the last merge the clocks.
+    """
     config = S.DEFAULT_STRATEGIES if config is None else config
-    by = F.col("strategy")
-    resolved = (F.when(by == "LAST_WRITE_WINS", last_write_wins(a, b))
-                .when(by == "CLOUD_PRIORITY", cloud_priority(a, b, primary))
-                .when(by == "FIELD_MERGE", field_merge(a, b))
-                .when(by == "MANUAL_REVIEW", manual_review(a, b))
-                .otherwise(highest_vector_clock(a, b)))
-    both = C.concurrent(a["vectorClock"], b["vectorClock"])
+    return _settle(pairs.withColumn("strategy", strategy_for(F.col("existing.aggregateType"), config)), primary)
+
+
+def resolve_with(pairs: DataFrame, strategy: str, primary: str = "aws") -> DataFrame:
+    """``resolve`` with one strategy for every pair."""
+    return _settle(pairs.withColumn("strategy", F.lit(strategy)), primary)
+
+
+def _settle(pairs: DataFrame, primary: str) -> DataFrame:
+    """Decide which side each pair keeps, then build the record once from that side."""
+    a, b, by = F.col("existing"), F.col("incoming"), F.col("strategy")
+    merging = by == "FIELD_MERGE"
+    facts = pairs.withColumns({
+        "_later": later(a, b),
+        "_relation": C.compare(a["vectorClock"], b["vectorClock"]),
+        "_fa": F.when(merging, _fields(a)),
+        "_fb": F.when(merging, _fields(b)),
+    }).withColumn("_objects", F.col("_fa").isNotNull() & F.col("_fb").isNotNull())
+    objects, relation = F.col("_objects"), F.col("_relation")
+    keep = (F.when(by == "LAST_WRITE_WINS", F.col("_later"))
+            .when(by == "CLOUD_PRIORITY", F.lower(a["sourceCloud"]) == primary.lower())
+            .when(by == "MANUAL_REVIEW", True)
+            .when(merging, F.when(objects, a["wallClockTs"] >= b["wallClockTs"]).otherwise(F.col("_later")))
+            .when(relation == "CONCURRENT", F.col("_later"))
+            .otherwise(relation != "BEFORE"))
+    review = by == "MANUAL_REVIEW"
+    union = F.encode(_union_of_fields(F.col("_fa"), F.col("_fb"), b["wallClockTs"] >= a["wallClockTs"]), "UTF-8")
+    changed = {
+        "syncStatus": F.when(review, "CONFLICT_DETECTED").otherwise("CONFLICT_RESOLVED"),
+        "vectorClock": F.when(review, a["vectorClock"]).otherwise(C.merge(a["vectorClock"], b["vectorClock"])),
+        "payload": F.when(objects, union).when(F.col("_keep"), a["payload"]).otherwise(b["payload"]),
+        "wallClockTs": F.when(objects, F.greatest(a["wallClockTs"], b["wallClockTs"]))
+                        .when(F.col("_keep"), a["wallClockTs"]).otherwise(b["wallClockTs"]),
+    }
+    columns = pairs.schema["existing"].dataType.names
+    record = F.struct(*[changed.get(c, F.when(F.col("_keep"), a[c]).otherwise(b[c])).alias(c) for c in columns])
     counters = (F.when(by == "LAST_WRITE_WINS", F.array(F.lit("lww")))
                 .when(by == "CLOUD_PRIORITY", F.array(F.lit("cloud_priority")))
-                .when(by == "FIELD_MERGE", F.when(merges_fields(a, b), F.array(F.lit("field_merge")))
-                      .otherwise(F.array(F.lit("lww"))))
-                .when(by == "MANUAL_REVIEW", F.array(F.lit("manual_review")))
-                .otherwise(F.when(both, F.array(F.lit("lww"), F.lit("vector_clock")))
-                           .otherwise(F.array(F.lit("vector_clock")))))
-    return (pairs.withColumn("strategy", strategy_for(a["aggregateType"], config))
-            .withColumns({"resolved": resolved, "counters": counters}))
+                .when(review, F.array(F.lit("manual_review")))
+                .when(merging, F.array(F.when(objects, "field_merge").otherwise("lww")))
+                .when(relation == "CONCURRENT", F.array(F.lit("lww"), F.lit("vector_clock")))
+                .otherwise(F.array(F.lit("vector_clock"))))
+    return (facts.withColumn("_keep", keep).withColumns({"resolved": record, "counters": counters})
+            .drop("_later", "_relation", "_fa", "_fb", "_objects", "_keep"))
 
 
 def conflict_counters(resolved: DataFrame) -> DataFrame:
@@ -146,13 +137,14 @@ def sync_apply(incoming: DataFrame, existing: DataFrame, config: dict[str, str]
     A record that is not concurrent with the stored one replaces it; REVIEW rows go to the dead
     letters (``lifecycle.conflict_entries``) and leave the store as it is.
     """
-    decided = resolve(pair(incoming, existing), config, primary)
-    clash = F.coalesce(is_conflict(), F.lit(False))
+    decided = resolve(pair(incoming, existing), config, primary).withColumn(
+        "_clash", F.coalesce(is_conflict(), F.lit(False)))
+    clash = F.col("_clash")
     parked = clash & (F.col("resolved.syncStatus") == "CONFLICT_DETECTED")
     synced = F.col("incoming").withField("syncStatus", F.lit("SYNCED"))
     return (decided.withColumn("action", F.when(parked, "REVIEW").when(clash, "RESOLVED").otherwise("UPSERT"))
             .withColumn("record", F.when(clash, F.col("resolved")).otherwise(synced))
-            .drop("resolved", "counters"))
+            .drop("resolved", "counters", "_clash"))
 
 
 def upsert_latest(existing: DataFrame, changes: DataFrame, keys: list[str] = KEYS) -> DataFrame:

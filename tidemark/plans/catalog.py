@@ -2,6 +2,7 @@
 
 from tidemark.plans import (  # noqa: F401
     batch_queries,
+    io_queries,
     lifecycle_queries,
     metric_queries,
     reconcile_queries,

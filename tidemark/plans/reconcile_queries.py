@@ -58,18 +58,16 @@ def vclock_compare(spark, sf):
     return pairs(spark, sf).select("aggregateId", C.compare(a, b).alias("relation"), C.compare(b, a).alias("reverse"))
 
 
-def _single(strategy):
-    def run(spark, sf):
-        return shown(pairs(spark, sf).withColumn("resolved", strategy(F.col("existing"), F.col("incoming"))))
-    return run
+def _single(strategy, primary="aws"):
+    return lambda spark, sf: shown(R.resolve_with(pairs(spark, sf), strategy, primary))
 
 
-query("resolve_lww", "aws azure", _strategy_sql(LWW))(_single(R.last_write_wins))
+query("resolve_lww", "aws azure", _strategy_sql(LWW))(_single("LAST_WRITE_WINS"))
 query("resolve_vclock", "aws azure", _strategy_sql(
-    f"CASE rel WHEN 'BEFORE' THEN iid WHEN 'CONCURRENT' THEN {LWW} ELSE eid END"))(_single(R.highest_vector_clock))
-query("resolve_cloud_priority", "aws azure", _strategy_sql("eid"))(_single(lambda a, b: R.cloud_priority(a, b, "AWS")))
+    f"CASE rel WHEN 'BEFORE' THEN iid WHEN 'CONCURRENT' THEN {LWW} ELSE eid END"))(_single("HIGHEST_VECTOR_CLOCK"))
+query("resolve_cloud_priority", "aws azure", _strategy_sql("eid"))(_single("CLOUD_PRIORITY", "AWS"))
 query("resolve_manual", "aws azure", _strategy_sql(
-    "eid", "'CONFLICT_DETECTED'", TEXT.format(a="ea", z="ez")))(_single(R.manual_review))
+    "eid", "'CONFLICT_DETECTED'", TEXT.format(a="ea", z="ez")))(_single("MANUAL_REVIEW"))
 
 
 FIELDS = """CASE WHEN {obj} THEN json_extract_string({p}, '$.{f}') END"""
@@ -86,7 +84,7 @@ SELECT "aggregateId", CASE WHEN {OBJ} THEN {_pick('status')} END AS f_status, CA
   CASE WHEN {OBJ} THEN CASE WHEN et>=it THEN eid ELSE iid END ELSE {LWW} END AS id, greatest(et, it) AS "wallClockTs", {MERGED} AS clock,
   CASE WHEN NOT ({OBJ}) THEN CASE WHEN et>it THEN ep ELSE ip END END AS raw FROM pr""")
 def resolve_field_merge(spark, sf):
-    merged = pairs(spark, sf).withColumn("r", R.field_merge(F.col("existing"), F.col("incoming")))
+    merged = R.resolve_with(pairs(spark, sf), "FIELD_MERGE").withColumnRenamed("resolved", "r")
     text = F.col("r.payload").cast("string")
     is_object = text.startswith("{")
     field = lambda n: F.when(is_object, F.get_json_object(text, f"$.{n}"))

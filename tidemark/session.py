@@ -42,6 +42,13 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def use_rocksdb(spark: SparkSession) -> SparkSession:
+    """Keep streaming state on local disk with incremental checkpoints, as large state needs."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, DEFAULTS[key])
+    return spark
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it.
 
