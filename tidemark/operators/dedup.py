@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import ordered as O
+from tidemark.operators.skew import spread_join
 from tidemark.session import cut_lineage
 
 # Keys with at most this many distinct arrival times are folded in one row's array; larger ones
@@ -18,12 +19,14 @@ def idempotent_ingest(df: DataFrame, key: str = "idempotencyKey", ts: str = "cre
     """Map every row to the first row with its idempotency key.
 
     Adds ``winnerId`` and ``duplicate``.  Winners come from a partial aggregate, not a window, so
-    a key repeated a billion times is one row per map task; AQE splits its side of the join.  Rows
-    without a key are never duplicates and skip both shuffles.
+    a key repeated a billion times is one row per map task, and ``spread_join`` keeps its rows
+    apart.  Rows without a key are never duplicates and skip both shuffles.
     """
     keyed = df.where(F.col(key).isNotNull())
-    winners = keyed.groupBy(key).agg(F.min_by("id", F.struct(ts, tie)).alias("winnerId"))
-    mapped = keyed.join(winners, key).withColumn("duplicate", F.col("winnerId") != F.col("id"))
+    winners = keyed.groupBy(key).agg(F.min_by("id", F.struct(ts, tie)).alias("winnerId"),
+                                     F.count(F.lit(1)).alias("_n"))
+    mapped = (spread_join(keyed, winners, [key], "_n", ["id"])
+              .withColumn("duplicate", F.col("winnerId") != F.col("id")))
     unkeyed = df.where(F.col(key).isNull()).withColumn("winnerId", F.col("id")).withColumn("duplicate", F.lit(False))
     return mapped.unionByName(unkeyed.select(mapped.columns))
 
@@ -53,13 +56,14 @@ def accept_with_ttl(df: DataFrame, keys: list[str], ts: str, tie: str, ttl_ms: i
     """
     points = df.groupBy(*keys, ts).agg(F.min(tie).alias(tie)).withColumnRenamed(ts, "_t")
     sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.where(F.col("_n") > fold_limit).select(*keys)
-    some_large = not large.isEmpty()
-    small_points = points.join(large, keys, "left_anti") if some_large else points
-    accepted = _fold(small_points, keys, tie, ttl_ms)
-    if some_large:
-        hot = points.join(large, keys, "left_semi")
-        accepted = accepted.unionByName(_follow(hot, keys, tie, ttl_ms, slice_ms or max(ttl_ms // 16, 1)))
+    if sizes.where(F.col("_n") > fold_limit).isEmpty():
+        accepted = _fold(points, keys, tie, ttl_ms)
+    else:
+        flagged = sizes.withColumn("_large", F.col("_n") > fold_limit)
+        sized = cut_lineage(spread_join(points, flagged, keys, "_n", ["_t"]), "ttl-points")
+        large = sized.where("_large").drop("_large")
+        accepted = (_fold(sized.where(~F.col("_large")).drop("_large"), keys, tie, ttl_ms)
+                    .unionByName(_follow(large, keys, tie, ttl_ms, slice_ms or max(ttl_ms // 16, 1))))
     return (accepted.withColumn("expiresAt", F.col("_t") + ttl_ms).withColumnRenamed("_t", ts))
 
 

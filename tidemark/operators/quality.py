@@ -45,7 +45,7 @@ def validate_events(df: DataFrame) -> DataFrame:
     return df.withColumn("violations", broken).withColumn("valid", F.size("violations") == 0)
 
 
-def status_transitions(history: DataFrame, slice_ms: int = O.HOUR_MS) -> DataFrame:
+def status_transitions(history: DataFrame, slice_ms: int = O.SLICE_MS) -> DataFrame:
     """Each status change with its predecessor and whether the lifecycle allows the step.
 
     A first row has no predecessor and is legal when it is the initial state.
@@ -57,7 +57,7 @@ def status_transitions(history: DataFrame, slice_ms: int = O.HOUR_MS) -> DataFra
     return steps.withColumn("legal", legal)
 
 
-def retry_counts(history: DataFrame, slice_ms: int = O.HOUR_MS) -> DataFrame:
+def retry_counts(history: DataFrame, slice_ms: int = O.SLICE_MS) -> DataFrame:
     """Retries per event (FAILED to PROCESSING) and whether it was dead-lettered."""
     steps = status_transitions(history, slice_ms)
     after_failure = F.col("previous") == "FAILED"

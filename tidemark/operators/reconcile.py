@@ -158,7 +158,7 @@ def upsert_latest(existing: DataFrame, changes: DataFrame, keys: list[str] = KEY
 
 # ---- many versions of one aggregate --------------------------------------------------------------
 
-def resolve_all(versions: DataFrame, slice_ms: int = 30 * 24 * O.HOUR_MS) -> DataFrame:
+def resolve_all(versions: DataFrame, slice_ms: int = O.SLICE_MS) -> DataFrame:
     """Fold all versions of each aggregate, in (wallClockTs, sourceCloud, id) order, into one winner.
 
     Folding pairwise is sequential: the causally later side wins with its own clock, and only

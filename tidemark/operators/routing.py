@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schema as S
 from tidemark.functions import events as E
+from tidemark.operators.skew import spread_semi_join
 
 DAY_MS = 86_400_000
 # Access-log rules.
@@ -38,7 +39,7 @@ def by_tenant_status(df: DataFrame, tenant: str, *statuses: str) -> DataFrame:
 
 def by_id_tenant_safe(df: DataFrame, requests: DataFrame) -> DataFrame:
     """Rows asked for by (id, tenantId); a row of another tenant is not found."""
-    return df.join(requests.select("id", "tenantId"), ["id", "tenantId"], "left_semi")
+    return df.join(requests.select("id", "tenantId").distinct(), ["id", "tenantId"], "left_semi")
 
 
 def stale_processing(df: DataFrame, now_ms: int, minutes: int = 30, limit: int | None = None) -> DataFrame:
@@ -58,14 +59,9 @@ def effective_grants(claims: DataFrame) -> DataFrame:
     return claims.where(F.col("classification").isin(S.CLASSIFICATIONS))
 
 
-def visible_to(df: DataFrame, grants: DataFrame) -> DataFrame:
-    """Rows whose (tenant, classification) some grant covers.
-
-    Grants are reduced to distinct pairs first, at most four per tenant, so AQE can measure and
-    broadcast them.
-    """
-    pairs = effective_grants(grants).select("tenantId", "classification").distinct()
-    return df.join(pairs, ["tenantId", "classification"], "left_semi")
+def visible_to(df: DataFrame, grants: DataFrame, id_col: str = "id") -> DataFrame:
+    """Rows whose (tenant, classification) some grant covers, however large one tenant is."""
+    return spread_semi_join(df, effective_grants(grants), ["tenantId", "classification"], [id_col])
 
 
 def access_log_clean(df: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.skew import spread_join
+
 # Sampling policy.
 QUIET_URLS = ["/actuator/health"]
 QUIET_ROUTES = ["/health", "/metrics"]
@@ -33,12 +35,12 @@ def tail_sample(spans: DataFrame, bucket: Column | None = None) -> DataFrame:
     """All spans of kept traces: any error, slow from first start to last end, or in the sampled share.
 
     ``bucket`` is the trace's number in 0..99; by default a hash of its id.  The decision is one
-    partial aggregate per trace; AQE splits the span side of the semi join for a giant trace.
+    partial aggregate per trace, and a giant trace's spans are spread over the join.
     """
     share = F.pmod(F.xxhash64("traceId"), F.lit(100)) if bucket is None else bucket
     heard = drop_noise(spans)
     kept = (heard.groupBy("traceId")
             .agg(F.bool_or(F.col("statusCode") == "ERROR").alias("_err"),
-                 (F.max("endMs") - F.min("startMs")).alias("_ms"))
+                 (F.max("endMs") - F.min("startMs")).alias("_ms"), F.count(F.lit(1)).alias("_n"))
             .where(F.col("_err") | (F.col("_ms") >= SLOW_TRACE_MS) | (share < SAMPLE_PERCENT)))
-    return heard.join(kept.select("traceId"), "traceId", "left_semi")
+    return spread_join(heard, kept.select("traceId", "_n"), ["traceId"], "_n", ["spanId"], "semi")

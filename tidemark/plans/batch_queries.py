@@ -234,13 +234,13 @@ def dlq_due(spark, sf):
     return R.dlq_due(T.dlq_rows(spark, sf), NOW).select("id", "tenantId", "nextRetryAt")
 
 
-@query("tenant_class_filter", "ev grants", f"""
+@query("tenant_class_filter", "ev users grants", f"""
 SELECT id, "tenantId", classification FROM ev
 WHERE ("tenantId", classification) IN (SELECT "tenantId", classification FROM grants WHERE classification IN {KNOWN}
-  AND username IN (SELECT c_name FROM customer WHERE c_mktsegment='BUILDING' AND c_custkey%8 < 6))""")
+  AND username IN (SELECT username FROM users WHERE "serviceAccount" AND enabled))""")
 def tenant_class_filter(spark, sf):
-    staff = T.table(spark, sf, "customer").where((F.col("c_mktsegment") == "BUILDING") & (F.col("c_custkey") % 8 < 6))
-    grants = T.user_grants(spark, sf).join(staff.select(F.col("c_name").alias("username")), "username", "left_semi")
+    services = T.users(spark, sf).where(F.col("serviceAccount") & F.col("enabled")).select("username")
+    grants = T.user_grants(spark, sf).join(services, "username", "left_semi")
     return R.visible_to(T.data_events(spark, sf), grants).select("id", "tenantId", "classification")
 
 

@@ -10,6 +10,7 @@ from tidemark.operators import dedup as D
 from tidemark.operators import lifecycle as L
 from tidemark.operators import quality as Q
 from tidemark.operators import routing as R
+from tidemark.operators import skew as K
 from tidemark.plans.registry import query
 from tidemark.plans.views import KNOWN
 from tidemark.sources import adapter as T
@@ -204,16 +205,18 @@ SELECT doc_id, (['CONFIDENTIAL','RESTRICTED'])[doc_id%2+1] AS classification, tr
 def encrypt_column(spark, sf):
     """Round trip, wrong tenant and tampered ciphertext over all documents.
 
-    The key table has one derived key per tenant and class and is joined on both.  The ciphertext
-    holds a random IV, so only the outcomes are compared.
+    The key table has one derived key per tenant and class and reaches the rows by a join that
+    stays even for one dominant tenant.  The ciphertext holds a random IV, so only the outcomes
+    are compared.
     """
     docs = T.table(spark, sf, "documents").select(
         "doc_id", T.tenant(F.col("doc_id")).alias("tenantId"),
         T.pick(["CONFIDENTIAL", "RESTRICTED"], F.col("doc_id") % 2).alias("classification"), F.encode("text", "UTF-8").alias("payload"))
-    keys = docs.select("tenantId", "classification").distinct().withColumn(
-        "dek", F.unhex(F.sha2(F.concat_ws("/", F.lit("dek"), "tenantId", "classification"), 256)))
-    sealed = docs.join(keys, ["tenantId", "classification"]).withColumn(
-        "sealed", X.encrypt("payload", "dek", "tenantId", "classification"))
+    owner = ["tenantId", "classification"]
+    keys = K.weights(docs, owner).withColumn(
+        "dek", F.unhex(F.sha2(F.concat_ws("/", F.lit("dek"), *owner), 256)))
+    sealed = K.spread_join(docs, keys, owner, "_weight", ["doc_id"]).withColumn(
+        "sealed", X.encrypt("payload", "dek", *owner))
     tampered = F.expr("concat(substring(sealed, 1, length(sealed) - 1), unhex(translate("
                       "hex(substring(sealed, -1)), '0123456789ABCDEF', 'FEDCBA9876543210')))")
     return sealed.select(
