@@ -81,7 +81,8 @@ def failed_login_streaks(logins: DataFrame) -> DataFrame:
     Every further failure of the run renews the lock.
     """
     keys = ["username"]
-    runs = O.with_running_sum(logins, keys, "at", "seq", F.col("failed").cast("bigint"), "_f")
+    known = logins.where(F.col("username").isNotNull() & F.col("at").isNotNull())
+    runs = O.with_running_sum(O.with_slice(known, "at"), keys, "at", "seq", F.col("failed").cast("bigint"), "_f")
     runs = O.with_running_max(runs, keys, "at", "seq", F.when(~F.col("failed"), F.col("_f")), "_base")
     base = F.coalesce("_base", F.lit(0))
     failures = runs.where("failed").withColumns({"_base": base, "streak": F.col("_f") - base})

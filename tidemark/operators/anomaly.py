@@ -65,18 +65,20 @@ def score_events(events: DataFrame, window_ms: int = WINDOW_MS, slices: int = 8,
     """Every CONFIDENTIAL or RESTRICTED event with its ordinal in the window, score and verdict.
 
     A window is cut into ``slices`` so that a burst of one tenant spreads over tasks.  Slice
-    offsets and the baseline come from one aggregate with a row per (tenant, window, slice) and
-    reach the events in a single join on the partitioning the ordinal needs anyway.
+    offsets and the baseline come from one aggregate with a row per window and its at most
+    ``slices + 1`` slice counts, and reach the events in a single join on the partitioning the
+    ordinal needs anyway.
     """
     slice_ms = max(window_ms // slices, 1)
     keys = ["tenantId", "windowStart"]
     ev = O.with_slice(events.where(E.is_enriched("classification"))
                       .withColumn("windowStart", E.window_start("createdAt", window_ms)), "createdAt", slice_ms)
-    per_slice = ev.groupBy(*keys, O.SLICE).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(O.SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_slice.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    base = baselines(per_slice.groupBy(*keys).agg(F.sum("_n").alias("n")), window_ms)
-    small = offsets.join(base.select(*keys, "baseline"), keys).drop("_n")
+    per_window = (ev.groupBy(*keys, O.SLICE).agg(F.count(F.lit(1)).alias("n")).groupBy(*keys)
+                  .agg(F.sum("n").alias("n"), F.collect_list(F.struct(F.col(O.SLICE).alias("s"), "n")).alias("_parts")))
+    earlier = lambda part: F.aggregate(F.filter("_parts", lambda p: p["s"] < part["s"]), F.lit(0).cast("bigint"),
+                                       lambda acc, p: acc + p["n"])
+    small = baselines(per_window, window_ms).select(*keys, "baseline", F.inline(F.transform(
+        "_parts", lambda p: F.struct(p["s"].alias(O.SLICE), earlier(p).alias("_offset")))))
     ordinal = F.col("_offset") + F.row_number().over(O.slice_window(keys, ["createdAt", id_col]))
     s = score(F.col("windowedEventCount"), F.col("baseline"))
     return (ev.join(small, [*keys, O.SLICE])

@@ -20,10 +20,19 @@ SLICE = "_slice"
 
 
 def with_slice(df: DataFrame, ts: str, slice_ms: int = SLICE_MS) -> DataFrame:
-    """Add the slice number of an epoch-millis column."""
+    """Add the slice number of an epoch-millis column.
+
+    A caller that chains several steps adds it once, so that all of them share one shuffle on
+    (key, slice), and drops it at the end; a single step adds and drops its own.
+    """
     return df.withColumn(SLICE, F.floor(F.col(ts) / F.lit(slice_ms)))
 
 
+def _sliced(df: DataFrame, ts: str, slice_ms: int) -> tuple[DataFrame, list[str]]:
+    """The sliced input and the helper column to drop afterwards."""
+    return (df, []) if SLICE in df.columns else (with_slice(df, ts, slice_ms), [SLICE])
+
+
 def slice_window(keys: list[str], order: list[str]) -> Window:
     return Window.partitionBy(*keys, SLICE).orderBy(*order)
 
@@ -51,35 +60,35 @@ def _last(c: Column) -> Column:
 def with_ordinal(df: DataFrame, keys: list[str], ts: str, tie: str, out: str,
                  slice_ms: int = SLICE_MS) -> DataFrame:
     """1-based position of each row in its key, ordered by (ts, tie)."""
-    sliced = with_slice(df, ts, slice_ms)
+    sliced, own = _sliced(df, ts, slice_ms)
     joined = carry(sliced, keys, {"_n": F.count(F.lit(1))}, {"_offset": (F.sum, "_n")})
     position = F.row_number().over(slice_window(keys, [ts, tie]))
     return (joined.withColumn(out, (F.coalesce("_offset", F.lit(0)) + position).cast("bigint"))
-            .drop("_offset", SLICE))
+            .drop("_offset", *own))
 
 
 def with_previous(df: DataFrame, keys: list[str], ts: str, tie: str, values: dict[str, str],
                   slice_ms: int = SLICE_MS) -> DataFrame:
     """``lag`` of several columns: ``values`` maps output name to column."""
-    sliced = with_slice(df, ts, slice_ms)
+    sliced, own = _sliced(df, ts, slice_ms)
     packed = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
     joined = carry(sliced, keys, {"_tail": F.max_by(packed, F.struct(ts, tie))},
                    {"_prev": (_last, "_tail")})
     w = slice_window(keys, [ts, tie])
     joined = joined.withColumn("_prev", F.coalesce(F.lag(packed).over(w), F.col("_prev")))
-    return joined.select("*", *[F.col("_prev")[n].alias(n) for n in values]).drop("_prev", SLICE)
+    return joined.select("*", *[F.col("_prev")[n].alias(n) for n in values]).drop("_prev", *own)
 
 
 def with_next(df: DataFrame, keys: list[str], ts: str, tie: str, values: dict[str, str],
               slice_ms: int = SLICE_MS) -> DataFrame:
     """``lead`` of several columns."""
-    sliced = with_slice(df, ts, slice_ms)
+    sliced, own = _sliced(df, ts, slice_ms)
     packed = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
     joined = carry(sliced, keys, {"_head": F.min_by(packed, F.struct(ts, tie))},
                    {"_next": (_last, "_head")}, forward=False)
     w = slice_window(keys, [ts, tie])
     joined = joined.withColumn("_next", F.coalesce(F.lead(packed).over(w), F.col("_next")))
-    return joined.select("*", *[F.col("_next")[n].alias(n) for n in values]).drop("_next", SLICE)
+    return joined.select("*", *[F.col("_next")[n].alias(n) for n in values]).drop("_next", *own)
 
 
 def with_last_break(df: DataFrame, keys: list[str], ts: str, tie: str, is_break: Column,
@@ -90,29 +99,32 @@ def with_last_break(df: DataFrame, keys: list[str], ts: str, tie: str, is_break:
     ``groupBy`` with partial aggregation measures it.
     """
     at = F.when(is_break, F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie")))
-    sliced = with_slice(df, ts, slice_ms).withColumn("_at", at)
+    sliced, own = _sliced(df, ts, slice_ms)
+    sliced = sliced.withColumn("_at", at)
     joined = carry(sliced, keys, {"_max": F.max("_at")}, {"_carried": (F.max, "_max")})
     w = slice_window(keys, [ts, tie]).rowsBetween(Window.unboundedPreceding, -1)
-    own = F.max("_at").over(w)
-    return (joined.withColumn(out, F.coalesce(own, F.col("_carried")))
-            .drop("_at", "_carried", SLICE))
+    within = F.max("_at").over(w)
+    return (joined.withColumn(out, F.coalesce(within, F.col("_carried")))
+            .drop("_at", "_carried", *own))
 
 
 def with_running_sum(df: DataFrame, keys: list[str], ts: str, tie: str, value: Column, out: str,
                      slice_ms: int = SLICE_MS) -> DataFrame:
     """Inclusive running sum of an integer expression."""
-    sliced = with_slice(df, ts, slice_ms).withColumn("_v", value)
+    sliced, own = _sliced(df, ts, slice_ms)
+    sliced = sliced.withColumn("_v", value)
     joined = carry(sliced, keys, {"_s": F.sum("_v")}, {"_before": (F.sum, "_s")})
     w = slice_window(keys, [ts, tie]).rowsBetween(Window.unboundedPreceding, 0)
     return (joined.withColumn(out, F.coalesce("_before", F.lit(0)) + F.sum("_v").over(w))
-            .drop("_v", "_before", SLICE))
+            .drop("_v", "_before", *own))
 
 
 def with_running_max(df: DataFrame, keys: list[str], ts: str, tie: str, value: Column, out: str,
                      slice_ms: int = SLICE_MS) -> DataFrame:
     """Running maximum of the earlier rows and the row itself."""
-    sliced = with_slice(df, ts, slice_ms).withColumn("_v", value)
+    sliced, own = _sliced(df, ts, slice_ms)
+    sliced = sliced.withColumn("_v", value)
     joined = carry(sliced, keys, {"_m": F.max("_v")}, {"_before": (F.max, "_m")})
     w = slice_window(keys, [ts, tie]).rowsBetween(Window.unboundedPreceding, 0)
     return (joined.withColumn(out, F.greatest("_before", F.max("_v").over(w)))
-            .drop("_v", "_before", SLICE))
+            .drop("_v", "_before", *own))

@@ -29,14 +29,16 @@ def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str
     """
     values = [c for c in lookup.columns if c not in (*keys, weight)]
     packed = F.struct(F.lit(True).alias("_hit"), *[F.col(c) for c in values])
-    total = lookup.agg(F.sum(weight).alias("t")).scalar()
+    total = rows.agg(F.count(F.lit(1)).alias("t")).scalar()
     heavy = F.col(weight) * share > total
+    # The slot follows from the key for a cold row and is a negative salt for a hot one.  It is no
+    # literal on either side, or the optimizer would take it out of the join key.
+    slot = F.pmod(F.xxhash64(*keys), F.lit(1 << 30))
     hot = lookup.where(heavy).select(*keys, packed.alias("_hot"))
-    cold = lookup.where(~heavy).select(*keys, F.lit(-1).cast("bigint").alias("_salt"), packed.alias("_cold"))
-    salt = F.when(F.col("_hot").isNull(), F.lit(-1).cast("bigint")).otherwise(
-        F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)))
-    joined = (rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt)
-              .join(cold, [*keys, "_salt"], "left").withColumn("_v", F.coalesce("_hot", "_cold")))
+    cold = lookup.where(~heavy).select(*keys, slot.alias("_slot"), packed.alias("_cold"))
+    salted = F.when(F.col("_hot").isNull(), slot).otherwise(-1 - F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)))
+    joined = (rows.join(F.broadcast(hot), keys, "left").withColumn("_slot", salted)
+              .join(cold, [*keys, "_slot"], "left").withColumn("_v", F.coalesce("_hot", "_cold")))
     if how != "left":
         joined = joined.where(F.col("_v").isNotNull())
     kept = [] if how == "semi" else [F.col("_v")[c].alias(c) for c in values]

@@ -71,7 +71,7 @@ def sync_job(incoming: DataFrame, store_path: str, dlq_path: str, now_ms: int, c
     A backfill is this job over the records of a date range.
     """
     spark = incoming.sparkSession
-    store = spark.read.parquet(store_path).drop("bucket")
+    store = K.read_store(spark, store_path)
     done = cut_lineage(R.sync_apply(incoming, store, config, primary), "sync")
     review = L.conflict_entries(done.where(F.col("action") == "REVIEW"), now_ms)
     review.write.mode("append").parquet(dlq_path)

@@ -79,21 +79,28 @@ def write_serving_json(df: DataFrame, path: str, date: str) -> None:
 BUCKETS = 64
 
 
-def with_bucket(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def with_bucket(df: DataFrame, buckets: int) -> DataFrame:
     return df.withColumn("bucket", F.pmod(F.xxhash64("aggregateId"), F.lit(buckets)).cast("int"))
 
 
 def write_store(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """A record store by tenant and hash bucket; its bucket count is kept with it."""
     write_partitioned(with_bucket(df, buckets), path, ["tenantId", "bucket"])
+    df.sparkSession.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").json(f"{path}/_layout")
 
 
-def upsert_store(changes: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket")
+
+
+def upsert_store(changes: DataFrame, path: str) -> None:
     """Merge changes into a record store, rewriting only the (tenant, bucket) partitions they touch.
 
     The changes are written to the shared folder once, because they are used twice, and so is the
     new content, because a partition cannot be replaced while it is being read.
     """
     spark = changes.sparkSession
+    buckets = spark.read.schema("buckets int").json(f"{path}/_layout").first()["buckets"]
     changes = cut_lineage(with_bucket(changes, buckets), "changes")
     touched = changes.select("tenantId", "bucket").distinct()
     store = spark.read.parquet(path).join(touched, ["tenantId", "bucket"], "left_semi")
