@@ -58,8 +58,8 @@ def test_chained_steps_share_one_shuffle(events, spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        base = O.with_slice(events.select("k", "ts", "seq", "v").where("k is not null and ts is not null"), "ts", 7)
-        df = O.with_running_max(O.with_running_sum(base, ["k"], "ts", "seq", F.col("v"), "s"), ["k"], "ts", "seq", F.col("s"), "m")
+        base = O.with_slice(events.select("k", "ts", "seq").where("k is not null and ts is not null"), "ts", 7)
+        df = O.with_running_max(O.with_running_sum(base, ["k"], "ts", "seq", F.col("seq"), "s"), ["k"], "ts", "seq", F.col("s"), "m")
         plan = df._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
