@@ -133,9 +133,9 @@ def fold(versions):
     return state
 
 
-@pytest.mark.parametrize("slice_ms", [1, 3, 1000])
-def test_resolve_all_equals_sequential_fold(spark, slice_ms):
-    rnd = random.Random(slice_ms)
+@pytest.mark.parametrize("fold_limit,slice_ms", [(1000, 1), (0, 1), (0, 3), (3, 1000)])
+def test_resolve_all_equals_sequential_fold(spark, fold_limit, slice_ms):
+    rnd = random.Random(slice_ms + fold_limit)
     data, want = [], {}
     for agg in range(120):
         versions = []
@@ -148,7 +148,7 @@ def test_resolve_all_equals_sequential_fold(spark, slice_ms):
         want[str(agg)] = (f["id"], f["cloud"], f["ts"], f["status"], {n: c for n, c in f["clock"].items() if c > 0}, len(versions))
     df = spark.createDataFrame(data, "tenantId string, aggregateId string, id string, sourceCloud string, vectorClock map<string,bigint>, wallClockTs bigint, syncStatus string")
     got = {r["aggregateId"]: (r["id"], r["sourceCloud"], r["wallClockTs"], r["syncStatus"], r["vectorClock"], r["versions"])
-           for r in R.resolve_all(df, slice_ms).collect()}
+           for r in R.resolve_all(df, fold_limit, slice_ms).collect()}
     assert got == want
 
 

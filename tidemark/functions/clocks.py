@@ -24,16 +24,12 @@ def increment(clock, node) -> Column:
         lambda _n, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
 
 
-def _not_after(a, b) -> Column:
-    paired = F.map_zip_with(
-        _clock(a), _clock(b),
-        lambda _n, x, y: F.coalesce(x, F.lit(0)) <= F.coalesce(y, F.lit(0)))
-    return F.forall(F.map_values(paired), lambda ok: ok)
-
-
 def compare(a, b) -> Column:
     """BEFORE, AFTER, EQUAL or CONCURRENT, seen from ``a``."""
-    le, ge = _not_after(a, b), _not_after(b, a)
+    zero = F.lit(0).cast("bigint")
+    signs = F.map_values(F.map_zip_with(
+        _clock(a), _clock(b), lambda _n, x, y: F.signum(F.coalesce(x, zero) - F.coalesce(y, zero)).cast("int")))
+    le, ge = ~F.array_contains(signs, 1), ~F.array_contains(signs, -1)
     return (F.when(le & ge, "EQUAL").when(le, "BEFORE").when(ge, "AFTER")
             .otherwise("CONCURRENT"))
 

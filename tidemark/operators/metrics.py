@@ -52,12 +52,14 @@ def _compare(op: Column, value: Column, threshold: Column) -> Column:
 def with_rules(samples: DataFrame, rules: list[tuple], names: list[str], match: str = "metric") -> DataFrame:
     """Each sample beside the rules of its metric.
 
-    The rule list is configuration written in code, so it is an array literal that is filtered per
-    row: no join, nothing broadcast.
+    The rule list is configuration written in code, so it is a literal map from metric to its rules
+    that is looked up per row: no join, nothing broadcast.
     """
-    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, rule)]) for rule in rules])
-    mine = F.filter(table, lambda r: r[match] == F.col(match))
-    return samples.withColumn("_rule", F.explode(mine)).select(
+    at = names.index(match)
+    entry = lambda rule: F.struct(*[F.lit(v).alias(n) for n, v in zip(names, rule)])
+    table = F.create_map(*[x for key in dict.fromkeys(r[at] for r in rules)
+                           for x in (F.lit(key), F.array(*[entry(r) for r in rules if r[at] == key]))])
+    return samples.withColumn("_rule", F.explode(F.try_element_at(table, F.col(match)))).select(
         *samples.columns, *[F.col(f"_rule.{n}").alias(n) for n in names if n != match])
 
 

@@ -175,17 +175,26 @@ FOLD = """list_reduce(vs, lambda a, b: CASE
     ELSE {'t': b.t, 'c': b.c, 'id': b.id, 'ca': greatest(a.ca, b.ca), 'cz': greatest(a.cz, b.cz), 'cg': greatest(a.cg, b.cg), 's': 'CONFLICT_RESOLVED'} END END)"""
 
 
-@query("resolve_all", "ver", f"""
+RESOLVE_ALL = f"""
 ls AS (SELECT "tenantId", "aggregateId", list({{'t': "wallClockTs", 'c': "sourceCloud", 'id': id, 'ca': c_aws, 'cz': c_azure, 'cg': c_gcp, 's': 'PENDING'}}
   ORDER BY "wallClockTs", "sourceCloud", id) AS vs FROM ver GROUP BY ALL),
 fd AS (SELECT "tenantId", "aggregateId", len(vs) AS versions, {FOLD} AS w FROM ls)
 SELECT "tenantId", "aggregateId", versions, w.id AS id, w.c AS "sourceCloud", w.t AS "wallClockTs", w.s AS "syncStatus",
   concat_ws(',', CASE WHEN w.ca>0 THEN 'aws=' || w.ca END, CASE WHEN w.cz>0 THEN 'azure=' || w.cz END, CASE WHEN w.cg>0 THEN 'gcp=' || w.cg END) AS "vectorClock"
-FROM fd""")
+FROM fd"""
+
+
+@query("resolve_all", "ver", RESOLVE_ALL)
 def resolve_all(spark, sf):
     return R.resolve_all(T.versions(spark, sf)).withColumn("vectorClock", E.map_text("vectorClock"))
 
 
+@query("resolve_all_scan", "ver", RESOLVE_ALL)
+def resolve_all_scan(spark, sf):
+    """The path for aggregates of any size, taken for all of them."""
+    return R.resolve_all(T.versions(spark, sf), fold_limit=0).withColumn("vectorClock", E.map_text("vectorClock"))
+
+
 # ---- consistency ---------------------------------------------------------------------------------
 
 VERDICT = """asked AS (SELECT 'tenant-' || (o_custkey%8) AS "tenantId", CAST(o_orderkey AS VARCHAR) AS "aggregateId", o_orderkey AS pos FROM orders

@@ -18,8 +18,18 @@ from tidemark.session import use_utc
 NOW_MS = 1_706_659_200_000
 
 
+_SCHEMAS: dict = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return use_utc(spark).read.parquet(f"{sf}/{name}.parquet")
+    """A benchmark table; its schema is read from the files once per process."""
+    path = f"{sf}/{name}.parquet"
+    reader = use_utc(spark).read
+    if path in _SCHEMAS:
+        return reader.schema(_SCHEMAS[path]).parquet(path)
+    df = reader.parquet(path)
+    _SCHEMAS[path] = df.schema
+    return df
 
 
 def _millis(col: str) -> Column:
@@ -38,30 +48,27 @@ def tenant(col: Column) -> Column:
     return F.concat(F.lit("tenant-"), _str(col % 8))
 
 
-def _class(e: Column) -> Column:
-    d = e % 10
-    return (F.when(e % 101 == 100, "UNKNOWN").when(d < 4, "PUBLIC").when(d < 7, "INTERNAL")
-            .when(d < 9, "CONFIDENTIAL").otherwise("RESTRICTED"))
+EVENT_COLUMNS = [
+    "cast(event_id AS string) AS id", "event_id AS seq", "user_id AS userId",
+    "concat('tenant-', cast(user_id % 8 AS string)) AS tenantId",
+    "concat('sys-', cast(event_id % 3 AS string)) AS sourceSystem", "event_type AS eventType",
+    "CASE WHEN event_id % 101 = 100 THEN 'UNKNOWN' WHEN event_id % 10 < 4 THEN 'PUBLIC' "
+    "WHEN event_id % 10 < 7 THEN 'INTERNAL' WHEN event_id % 10 < 9 THEN 'CONFIDENTIAL' "
+    "ELSE 'RESTRICTED' END AS classification",
+    "'RECEIVED' AS status", "if(event_id % 5 = 0, '1.1', '1.0') AS schemaVersion",
+    "concat('k-', cast(if(event_id % 10 = 9, event_id - 1, event_id) AS string)) AS idempotencyKey",
+    "from_json(props, 'map<string,string>') AS metadata",
+    "cast(64 + event_id % 997 AS int) AS payloadSizeBytes",
+    "unix_millis(cast(ts AS timestamp)) AS createdAt",
+    "unix_millis(cast(ts AS timestamp)) + event_id * 37 % 500 AS enrichedAt",
+    "event_id * 37 % 500 AS enrichmentLatencyMs", "event_id % 47 = 46 AS isPoison",
+    "value > 150 AS anomalyDetected", "value", "props",
+]
 
 
 def event_columns(events: DataFrame) -> DataFrame:
     """Events in the canonical record layout; works on batch and streaming input."""
-    e, created = F.col("event_id"), _millis("ts")
-    latency = e * 37 % 500
-    return events.select(
-        _str(e).alias("id"), e.alias("seq"), F.col("user_id").alias("userId"),
-        tenant(F.col("user_id")).alias("tenantId"),
-        F.concat(F.lit("sys-"), _str(e % 3)).alias("sourceSystem"),
-        F.col("event_type").alias("eventType"), _class(e).alias("classification"),
-        F.lit("RECEIVED").alias("status"),
-        F.when(e % 5 == 0, "1.1").otherwise("1.0").alias("schemaVersion"),
-        F.concat(F.lit("k-"), _str(F.when(e % 10 == 9, e - 1).otherwise(e))).alias("idempotencyKey"),
-        F.from_json("props", "map<string,string>").alias("metadata"),
-        (64 + e % 997).cast("int").alias("payloadSizeBytes"),
-        created.alias("createdAt"), (created + latency).alias("enrichedAt"),
-        latency.alias("enrichmentLatencyMs"), (e % 47 == 46).alias("isPoison"),
-        (F.col("value") > 150).alias("anomalyDetected"),
-        F.col("value"), F.col("props"))
+    return events.selectExpr(*EVENT_COLUMNS)
 
 
 def data_events(spark: SparkSession, sf: str) -> DataFrame:
