@@ -87,6 +87,11 @@ def score_events(events: DataFrame, window_ms: int = WINDOW_MS, slices: int = 8,
             .drop("_offset", O.SLICE))
 
 
+def anomalies(scored: DataFrame) -> DataFrame:
+    """The events worth forwarding to the other copy at once."""
+    return scored.where("anomalyDetected")
+
+
 def running_tenant_count(events: DataFrame, window_ms: int = WINDOW_MS, id_col: str = "id") -> DataFrame:
     """Position of each enrichment-path event within its tenant's window."""
     ev = (events.where(E.is_enriched("classification"))

@@ -150,12 +150,15 @@ def sync_apply(incoming: DataFrame, existing: DataFrame, config: dict[str, str]
 
 
 def upsert_latest(existing: DataFrame, changes: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """The store after an upsert: changed keys replaced, the rest kept, in a single shuffle."""
-    tagged = (existing.withColumn("_new", F.lit(0))
-              .unionByName(changes.select(*existing.columns).withColumn("_new", F.lit(1))))
+    """The store after an upsert: changed keys replaced, the rest kept.
+
+    Several changes of one key are reduced to the last first.  When what remains is small, AQE
+    broadcasts its keys and the store is not shuffled at all.
+    """
     row = F.struct(*[F.col(c) for c in existing.columns])
-    return (tagged.groupBy(*keys).agg(F.max_by(row, F.struct("_new", "wallClockTs", "id")).alias("_row"))
-            .select("_row.*"))
+    last = (changes.select(*existing.columns).groupBy(*keys)
+            .agg(F.max_by(row, F.struct("wallClockTs", "id")).alias("_row")).select("_row.*"))
+    return existing.join(last.select(*keys), keys, "left_anti").select(*existing.columns).unionByName(last)
 
 
 # ---- many versions of one aggregate --------------------------------------------------------------

@@ -417,12 +417,6 @@ def tenant_metrics(spark, sf):
         r6("totalPayloadMb", "anomalyRate", "dayOnDayGrowthPct", "weekOnWeekGrowthPct"))
 
 
-@query("running_tenant_count", "ev valid", ORDINAL + """
-SELECT id, "tenantId", n AS "windowedEventCount" FROM ord""")
-def running_tenant_count(spark, sf):
-    return N.running_tenant_count(T.valid_events(spark, sf), SIX_HOURS, "seq").select("id", "tenantId", "windowedEventCount")
-
-
 EWMA = f"""w AS (SELECT "tenantId", "createdAt"//{SIX_HOURS} AS i, count(*) AS n FROM valid
   WHERE classification IN ('CONFIDENTIAL','RESTRICTED') GROUP BY ALL),
 o AS (SELECT *, row_number() OVER (PARTITION BY "tenantId" ORDER BY i) AS rn FROM w),
@@ -432,6 +426,41 @@ e AS (SELECT "tenantId", i, n, rn, CAST(n AS DOUBLE) AS e, CAST(NULL AS DOUBLE)
 b AS (SELECT *, CASE WHEN baseline>=1 THEN least(n/(baseline*3.0), 1.0) ELSE 0.0 END AS s FROM e)"""
 
 
+JOINED = COUNTS + ", " + LATENCY + ", " + SUMMARY + ", " + DOMINANT + ", " + GROWTH
+
+
+@query("join_latency", "ev valid", JOINED + """
+SELECT s."tenantId", s.date, s."totalEvents", l."p50LatencyMs", l."p95LatencyMs", l."p99LatencyMs" FROM summ s LEFT JOIN lat l USING ("tenantId", date)""")
+def join_latency(spark, sf):
+    return tenant_metrics(spark, sf).select("tenantId", "date", "totalEvents", "p50LatencyMs", "p95LatencyMs", "p99LatencyMs")
+
+
+@query("join_dominant", "ev valid", JOINED + """
+SELECT s."tenantId", s.date, s."totalEvents", d."dominantClassification" FROM summ s LEFT JOIN dom d USING ("tenantId", date)""")
+def join_dominant(spark, sf):
+    return tenant_metrics(spark, sf).select("tenantId", "date", "totalEvents", "dominantClassification")
+
+
+@query("join_growth", "ev valid", JOINED + """
+SELECT s."tenantId", s.date, s."totalEvents", g."prevDayEvents", g."prevWeekEvents" FROM summ s LEFT JOIN gro g USING ("tenantId", date)""")
+def join_growth(spark, sf):
+    return tenant_metrics(spark, sf).select("tenantId", "date", "totalEvents", "prevDayEvents", "prevWeekEvents")
+
+
+@query("anomaly_forward", "ev valid", EWMA + ", " + ORDINAL + """
+SELECT o2.id, o2."tenantId", round(least(o2.n/(b.baseline*3.0), 1.0), 6) AS "anomalyScore"
+FROM ord o2 JOIN b ON o2."tenantId"=b."tenantId" AND o2."createdAt"//21600000=b.i WHERE b.baseline>=1 AND o2.n/(b.baseline*3.0)>=0.8""", recursive=True)
+def anomaly_forward(spark, sf):
+    scored = N.score_events(T.valid_events(spark, sf), SIX_HOURS, id_col="seq")
+    return N.anomalies(scored).select("id", "tenantId", F.round("anomalyScore", 6).alias("anomalyScore"))
+
+
+@query("running_tenant_count", "ev valid", ORDINAL + """
+SELECT id, "tenantId", n AS "windowedEventCount" FROM ord""")
+def running_tenant_count(spark, sf):
+    return N.running_tenant_count(T.valid_events(spark, sf), SIX_HOURS, "seq").select("id", "tenantId", "windowedEventCount")
+
+
 @query("ewma_baseline", "ev valid", EWMA + f"""
 SELECT "tenantId", i*{SIX_HOURS} AS "windowStart", n, round(baseline, 6) AS baseline, round(s, 6) AS "anomalyScore",
   s>=0.8 AS "anomalyDetected" FROM b""", recursive=True)

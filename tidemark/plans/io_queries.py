@@ -271,6 +271,38 @@ def sink_topic(spark, sf):
     return rows.select("key", F.get_json_object("value", "$.id").alias("id"), F.get_json_object("value", "$.route").alias("route"), "topic")
 
 
+@query("sink_topic_windows", "ev valid", f"""
+t AS (SELECT "tenantId", "createdAt"//{SIX_HOURS}*{SIX_HOURS} AS ws, count(*) AS n, CAST(sum("payloadSizeBytes") AS BIGINT) AS b,
+  count(*) FILTER (WHERE "anomalyDetected") AS a FROM valid GROUP BY ALL),
+cc AS (SELECT "tenantId", ws, string_agg(k || '=' || n, ',' ORDER BY k) AS m FROM (SELECT "tenantId", "createdAt"//{SIX_HOURS}*{SIX_HOURS} AS ws,
+  classification AS k, count(*) AS n FROM valid GROUP BY ALL) GROUP BY ALL),
+ct AS (SELECT "tenantId", ws, string_agg(k || '=' || n, ',' ORDER BY k) AS m FROM (SELECT "tenantId", "createdAt"//{SIX_HOURS}*{SIX_HOURS} AS ws,
+  "eventType" AS k, count(*) AS n FROM valid GROUP BY ALL) GROUP BY ALL)
+SELECT t."tenantId" AS key, '{TP.PROCESSED}' AS topic, t.ws AS "windowStart", t.n AS "totalEventCount", t.b AS "totalPayloadBytes", t.a AS "anomalyCount",
+  cc.m AS "countByClassification", ct.m AS "countByEventType" FROM t JOIN cc ON t."tenantId"=cc."tenantId" AND t.ws=cc.ws
+  JOIN ct ON t."tenantId"=ct."tenantId" AND t.ws=ct.ws WHERE t.ws + {SIX_HOURS} <= (SELECT max("createdAt") FROM valid) - 30000""")
+def sink_topic_windows(spark, sf):
+    """Tenant windows from two chained streaming aggregates, as topic records."""
+    out = drain(spark, "processed", lambda p, c: PL.processed_sink(valid_stream(spark, sf), p, c, "6 hours", None))
+    schema = ("windowStart BIGINT, totalEventCount BIGINT, totalPayloadBytes BIGINT, anomalyCount BIGINT, "
+              "countByClassification MAP<STRING, BIGINT>, countByEventType MAP<STRING, BIGINT>")
+    rows = spark.read.parquet(out).select("key", "topic", F.from_json("value", schema).alias("v")).select("key", "topic", "v.*")
+    return rows.withColumns({c: E.map_text(c) for c in ("countByClassification", "countByEventType")})
+
+
+@query("realtime_job", "ev valid", """
+w AS (SELECT "tenantId", "enrichedAt"//300000*300000+300000 AS e, count(*) AS n FROM valid GROUP BY ALL)
+SELECT 'raw' AS sink, "tenantId", count(*) AS events FROM valid GROUP BY ALL
+UNION ALL SELECT 'aggregations', "tenantId", CAST(sum(n) AS BIGINT) FROM w WHERE e <= (SELECT max("enrichedAt") FROM valid) - 120000 GROUP BY ALL""")
+def realtime_job(spark, sf):
+    """Two queries off one source, run together."""
+    path = shared_dir(spark, "realtime")
+    PL.run_all(jobs.realtime_job(valid_stream(spark, sf), path, f"{path}/checkpoint", None, spread=1))
+    raw = spark.read.parquet(f"{path}/raw").groupBy("tenantId").agg(F.count(F.lit(1)).alias("events"))
+    agg = spark.read.parquet(f"{path}/aggregations").groupBy("tenantId").agg(F.sum("eventCount").alias("events"))
+    return raw.select(F.lit("raw").alias("sink"), "*").unionByName(agg.select(F.lit("aggregations").alias("sink"), "*"))
+
+
 @query("sink_landing_json", "ev valid", f"SELECT {WIRE} FROM valid")
 def sink_landing_json(spark, sf):
     ev = B.dated(valid_stream(spark, sf)).drop("hour")

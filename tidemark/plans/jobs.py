@@ -78,9 +78,9 @@ def sync_job(incoming: DataFrame, store_path: str, dlq_path: str, now_ms: int, c
     K.upsert_store(done.where(F.col("action") != "REVIEW").select("record.*"), store_path)
 
 
-def realtime_job(events: DataFrame, output_path: str, checkpoint_path: str,
-                 interval: str | None = PL.TRIGGER) -> list[StreamingQuery]:
+def realtime_job(events: DataFrame, output_path: str, checkpoint_path: str, interval: str | None = PL.TRIGGER,
+                 spread: int = PL.FILES_PER_PARTITION) -> list[StreamingQuery]:
     """Landing and windowed counts off one source; wait for them with ``pipeline.run_all``."""
     ready = PL.prepared(events)
-    return [PL.raw_sink(ready, f"{output_path}/raw", f"{checkpoint_path}/raw", interval),
+    return [PL.raw_sink(ready, f"{output_path}/raw", f"{checkpoint_path}/raw", interval, spread),
             PL.window_sink(ready, f"{output_path}/aggregations", f"{checkpoint_path}/aggregations", interval)]

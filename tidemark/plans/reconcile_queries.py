@@ -10,6 +10,7 @@ from tidemark.functions import events as E
 from tidemark.operators import lifecycle as L
 from tidemark.operators import reconcile as R
 from tidemark.plans.registry import query
+from tidemark.session import cut_lineage
 from tidemark.sources import adapter as T
 
 NOW = T.NOW_MS
@@ -152,7 +153,7 @@ UNION ALL SELECT "aggregateId", id, 'PENDING', 'aws=' || c_aws || ',azure=' || c
 def upsert_latest(spark, sf):
     store = T.sync_copy(spark, sf, "aws")
     done = R.sync_apply(T.sync_copy(spark, sf, "azure"), store, CONFIG)
-    changes = done.where(F.col("action") != "REVIEW").select("record.*")
+    changes = cut_lineage(done.where(F.col("action") != "REVIEW").select("record.*"), "changes")
     return R.upsert_latest(store, changes).select(
         "aggregateId", "id", F.col("syncStatus").alias("status"), E.map_text("vectorClock").alias("clock"))
 

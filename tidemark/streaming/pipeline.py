@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions import events as E
@@ -31,7 +32,9 @@ def start(df: DataFrame, path: str, checkpoint: str, partition_by: list[str], fm
     partition; ``spread`` salts them so that a hot partition is written by that many tasks.
     """
     if partition_by:
-        salt = F.pmod(F.xxhash64(*[c for c in df.columns if c not in partition_by]), F.lit(spread))
+        plain = [f.name for f in df.schema if f.name not in partition_by
+                 and not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType, T.VariantType))]
+        salt = F.pmod(F.xxhash64(*plain), F.lit(spread))
         tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         df = df.repartition(tasks, *partition_by, salt)
     writer = df.writeStream.format(fmt).outputMode("append").option("checkpointLocation", checkpoint)
@@ -82,6 +85,40 @@ def latest_windows(versions: DataFrame) -> DataFrame:
             .select(*keys, "_r.*"))
 
 
+def tenant_windows(events: DataFrame, window: str = "5 minutes", grace: str = "30 seconds") -> DataFrame:
+    """Closed windows per tenant with counts by classification and by event type.
+
+    Two chained aggregates: the first counts (window, tenant, classification, type), the second
+    turns at most one row per combination into the maps.
+    """
+    first = (events.withColumn("eventTs", E.ts("createdAt")).withWatermark("eventTs", grace)
+             .groupBy(F.window("eventTs", window).alias("w"), "tenantId", "classification", "eventType")
+             .agg(F.count(F.lit(1)).alias("n"), F.sum("payloadSizeBytes").alias("bytes"),
+                  E.count_if(F.col("anomalyDetected")).alias("anomalies")))
+    parts = F.col("_parts")
+
+    def counted(field: str):
+        names = F.array_sort(F.array_distinct(F.transform(parts, lambda p: p[field])))
+        total = lambda name: F.aggregate(F.filter(parts, lambda p: p[field] == name), F.lit(0).cast("bigint"),
+                                         lambda acc, p: acc + p["n"])
+        return F.map_from_arrays(names, F.transform(names, total))
+
+    return (first.groupBy(F.window(F.window_time("w"), window).alias("w"), "tenantId")
+            .agg(F.sum("n").alias("totalEventCount"), F.sum("bytes").alias("totalPayloadBytes"),
+                 F.sum("anomalies").alias("anomalyCount"),
+                 F.collect_list(F.struct("classification", "eventType", "n")).alias("_parts"))
+            .select("tenantId", F.unix_millis("w.start").alias("windowStart"), F.unix_millis("w.end").alias("windowEnd"),
+                    "totalEventCount", counted("classification").alias("countByClassification"),
+                    counted("eventType").alias("countByEventType"), "totalPayloadBytes", "anomalyCount"))
+
+
+def processed_sink(events: DataFrame, path: str, checkpoint: str, window: str = "5 minutes",
+                   interval: str | None = TRIGGER) -> StreamingQuery:
+    """Tenant windows as records of the processed topic."""
+    records = TP.to_record(tenant_windows(events, window), "tenantId", TP.PROCESSED)
+    return start(records, path, checkpoint, [], interval=interval)
+
+
 def landing_sink(events: DataFrame, path: str, checkpoint: str, interval: str | None = TRIGGER,
                  spread: int = FILES_PER_PARTITION) -> StreamingQuery:
     """JSON Lines by date and tenant: what the batch jobs read.
