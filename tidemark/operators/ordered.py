@@ -6,6 +6,8 @@ built by ordinary partial aggregation, and what a slice inherits from the earlie
 the last value, the last break) is found by a window over that summary.  The summary has at most
 ``time span / slice length`` rows per key, whatever the number of events, and the join back uses
 the same (key, slice) partitioning as the row-level window, so the events are shuffled once.
+
+Keys and times must not be null, and (time, tie) must be unique within a key.
 """
 
 from __future__ import annotations

@@ -20,9 +20,10 @@ def _true(cond: Column) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
-def rules() -> dict[str, Column]:
-    """Condition under which each rule is broken."""
+def rules(columns: list[str]) -> dict[str, Column]:
+    """Condition under which each rule is broken; the status is checked where rows have one."""
     cls = F.col("classification")
+    status = {"status.unknown": ~F.col("status").isin(S.STREAM_STATUSES)} if "status" in columns else {}
     return {
         "tenantId.blank": E.blank("tenantId"),
         "tenantId.format": ~E.blank("tenantId") & ~F.col("tenantId").rlike(TENANT_FORMAT),
@@ -35,12 +36,13 @@ def rules() -> dict[str, Column]:
         "idempotencyKey.size": F.length("idempotencyKey") > MAX_IDEMPOTENCY_KEY,
         "sourceSystem.blank": E.blank("sourceSystem"),
         "restricted.rawPayload": (cls == "RESTRICTED") & F.col("rawPayload").isNotNull(),
+        **status,
     }
 
 
 def validate_events(df: DataFrame) -> DataFrame:
     """All broken rules of each row in one pass: ``violations`` array and ``valid`` flag."""
-    broken = F.filter(F.array(*[F.when(_true(cond), F.lit(name)) for name, cond in rules().items()]),
+    broken = F.filter(F.array(*[F.when(_true(cond), F.lit(name)) for name, cond in rules(df.columns).items()]),
                       lambda x: x.isNotNull())
     return df.withColumn("violations", broken).withColumn("valid", F.size("violations") == 0)
 

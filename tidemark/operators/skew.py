@@ -3,8 +3,9 @@
 AQE splits skewed join partitions only when both inputs come straight from a shuffle; a lookup that
 is itself an aggregate on the join key is not such an input.  Here the heavy keys are found
 exactly: at most ``HOT_SHARE`` keys can each hold more than one ``HOT_SHARE``-th of the rows, so
-their lookup rows are a broadcast of proven size.  The rows of heavy keys are salted and pass the
-shuffle join evenly spread without a match; all other keys are small and join as usual.
+their lookup rows are a broadcast of proven size.  The rows of heavy keys, and those without a key,
+are salted and pass the shuffle join evenly spread without a match; all other keys are small and
+join as usual.
 """
 
 from __future__ import annotations
@@ -36,7 +37,11 @@ def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str
     slot = F.pmod(F.xxhash64(*keys), F.lit(1 << 30))
     hot = lookup.where(heavy).select(*keys, packed.alias("_hot"))
     cold = lookup.where(~heavy).select(*keys, slot.alias("_slot"), packed.alias("_cold"))
-    salted = F.when(F.col("_hot").isNull(), slot).otherwise(-1 - F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)))
+    keyed = F.lit(True)
+    for key in keys:
+        keyed = keyed & F.col(key).isNotNull()
+    salted = F.when(F.col("_hot").isNull() & keyed, slot).otherwise(
+        -1 - F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)))
     joined = (rows.join(F.broadcast(hot), keys, "left").withColumn("_slot", salted)
               .join(cold, [*keys, "_slot"], "left").withColumn("_v", F.coalesce("_hot", "_cold")))
     if how != "left":

@@ -29,6 +29,7 @@ RULES = [
     ("idempotencyKey.size", """length("idempotencyKey")>255"""),
     ("sourceSystem.blank", """trim(coalesce("sourceSystem", ''))=''"""),
     ("restricted.rawPayload", """classification='RESTRICTED' AND "rawPayload" IS NOT NULL"""),
+    ("status.unknown", "status NOT IN ('RECEIVED','VALIDATING','ENCRYPTING','ENCRYPTED','PUBLISHED','FAILED','ARCHIVED')"),
 ]
 BROKEN = "concat_ws(',', " + ", ".join(f"CASE WHEN {cond} THEN '{name}' END" for name, cond in RULES) + ")"
 

@@ -61,7 +61,7 @@ VIEWS = {
       CASE WHEN seq%239=0 THEN repeat('k', 300) ELSE "idempotencyKey" END AS "idempotencyKey",
       CASE WHEN seq%241=0 THEN 65 ELSE 1 END AS "metadataSize",
       CASE WHEN classification='RESTRICTED' AND seq%3=0 THEN props END AS "rawPayload",
-      classification AS "trueClass" FROM ev""",
+      CASE WHEN seq%263=0 THEN 'PROCESSING' ELSE 'RECEIVED' END AS status FROM ev""",
     "rec": """SELECT "tenantId" AS key, CASE WHEN NOT "isPoison" THEN props END AS value,
       seq%12 AS partition, seq AS "offset", "createdAt" AS timestamp,
       CASE WHEN seq%6<>5 THEN (['org.apache.kafka.common.errors.SerializationException',

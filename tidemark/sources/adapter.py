@@ -132,7 +132,7 @@ def ingest_requests(spark: SparkSession, sf: str) -> DataFrame:
             F.transform(F.sequence(F.lit(1), F.lit(65)), _str),
             F.transform(F.sequence(F.lit(1), F.lit(65)), _str)))
         .otherwise(F.col("metadata")).alias("metadata"),
-        raw.alias("rawPayload"))
+        raw.alias("rawPayload"), F.when(e % 263 == 0, "PROCESSING").otherwise(F.col("status")).alias("status"))
 
 
 def topic_records(spark: SparkSession, sf: str) -> DataFrame:
