@@ -22,7 +22,7 @@ def lookup(skewed):
 @pytest.mark.parametrize("share", [1, 5, 1000, 10**9])
 @pytest.mark.parametrize("how", ["inner", "left", "semi"])
 def test_equals_plain_join(skewed, lookup, how, share):
-    got = K.spread_join(skewed, lookup, ["key"], "w", ["id"], how, share)
+    got = K.spread_join(skewed, lookup, ["key"], "w", ["id"], how, share, floor=0)
     plain = skewed.join(lookup.drop("w"), "key", {"semi": "left_semi"}.get(how, how))
     want = plain.select("id", "key", *([] if how == "semi" else ["label"]))
     assert rows(got) == rows(want)
@@ -39,7 +39,7 @@ def test_hot_key_leaves_its_hash_partition(skewed, lookup, spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        joined = K.spread_join(skewed, lookup, ["key"], "w", ["id"])
+        joined = K.spread_join(skewed, lookup, ["key"], "w", ["id"], share=100, floor=0)
         tasks = joined.where("key = 'hot'").select(F.spark_partition_id()).distinct().count()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")

@@ -75,14 +75,14 @@ def growth_on(counts: DataFrame, day: str) -> DataFrame:
                           "weekOnWeekGrowthPct": pct("prevWeekEvents")}))
 
 
-def failed_login_streaks(logins: DataFrame) -> DataFrame:
+def failed_login_streaks(logins: DataFrame, floor: int = O.skew.HOT_FLOOR) -> DataFrame:
     """Runs of failures without a success in between; the fifth failure locks the account.
 
     Every further failure of the run renews the lock.
     """
     keys = ["username"]
     known = logins.where(F.col("username").isNotNull() & F.col("at").isNotNull())
-    runs = O.with_running_sum(O.with_slice(known, "at"), keys, "at", "seq", F.col("failed").cast("bigint"), "_f")
+    runs = O.with_running_sum(O.with_slice(known, keys, "at", floor=floor), keys, "at", "seq", F.col("failed").cast("bigint"), "_f")
     runs = O.with_running_max(runs, keys, "at", "seq", F.when(~F.col("failed"), F.col("_f")), "_base")
     base = F.coalesce("_base", F.lit(0))
     failures = runs.where("failed").withColumns({"_base": base, "streak": F.col("_f") - base})
@@ -94,10 +94,10 @@ def failed_login_streaks(logins: DataFrame) -> DataFrame:
 
 
 def held_intervals(samples: DataFrame, keys: list[str], ts: str, tie: str, holds: Column,
-                   extra: dict | None = None) -> DataFrame:
+                   extra: dict | None = None, floor: int = O.skew.HOT_FLOOR) -> DataFrame:
     """Maximal runs of samples for which ``holds`` is true, per key: start, end and sample count."""
     marked = O.with_last_break(samples.withColumn("_h", F.coalesce(holds, F.lit(False))),
-                               keys, ts, tie, ~F.col("_h"), "_run")
+                               keys, ts, tie, ~F.col("_h"), "_run", floor=floor)
     aggs = [F.min(ts).alias("startAt"), F.max(ts).alias("endAt"), F.count(F.lit(1)).alias("samples")]
     aggs += [v.alias(k) for k, v in (extra or {}).items()]
     return marked.where("_h").groupBy(*keys, "_run").agg(*aggs).drop("_run")

@@ -18,9 +18,9 @@ ALPHA = 0.3
 SPIKE = 3.0
 THRESHOLD = 0.8
 WINDOW_MS = 300_000
-# Weight of anything older than this many windows is below 0.7**96 < 2e-15, so a frame of that
-# many non-empty windows is exact in double precision and never holds a tenant's whole history.
-HISTORY = 97
+# Windows are numbered in blocks, inside which 0.7**-r stays far from overflow.  Over a whole block
+# the weight falls to 0.7**256 < 1e-39, so the previous non-empty block is all the history needed.
+BLOCK = 256
 
 
 def score(ordinal: Column, baseline: Column) -> Column:
@@ -35,19 +35,28 @@ def _decay(windows: Column) -> Column:
 def baselines(counts: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
     """Add ``baseline`` to one row per (tenantId, windowStart, n) of non-empty windows.
 
-    Idle windows only multiply the average by 0.7, so a gap of g windows is one factor 0.7**g and
-    no empty windows are generated.
+    The average before window i is ``sum(w_j c_j 0.7**(i - 1 - j))`` over the earlier windows j,
+    with w = 1 for the tenant's first window and 0.3 for the others.  With r the position in the
+    block that is ``0.7**(r - 1)`` times a running sum of ``w_j c_j 0.7**-r_j``, plus what the
+    previous non-empty block has left.  Idle windows add nothing and are never generated.
     """
-    idx = (F.col("windowStart") / window_ms).cast("bigint")
-    w = Window.partitionBy("tenantId").orderBy("_i").rowsBetween(-HISTORY, -1)
-    step = lambda acc, x: F.when(
-        acc["i"].isNull(), F.struct(x["i"].alias("i"), x["n"].cast("double").alias("e"))).otherwise(
-        F.struct(x["i"].alias("i"), (ALPHA * x["n"] + _decay(x["i"] - acc["i"]) * acc["e"]).alias("e")))
-    start = F.struct(F.lit(None).cast("bigint").alias("i"), F.lit(None).cast("double").alias("e"))
-    past = F.aggregate(F.collect_list(F.struct(F.col("_i").alias("i"), "n")).over(w), start, step)
-    return (counts.withColumn("_i", idx).withColumn("_past", past)
-            .withColumn("baseline", F.col("_past")["e"] * _decay(F.col("_i") - 1 - F.col("_past")["i"]))
-            .drop("_i", "_past"))
+    tenant = Window.partitionBy("tenantId")
+    block = Window.partitionBy("tenantId", "_b").orderBy("_r")
+    weight = F.when(F.col("_i") == F.min("_i").over(tenant), 1.0).otherwise(ALPHA)
+    numbered = counts.withColumn("_i", (F.col("windowStart") / window_ms).cast("bigint")).withColumns(
+        {"_b": F.floor(F.col("_i") / BLOCK), "_r": F.pmod(F.col("_i"), F.lit(BLOCK))})
+    summed = (numbered.withColumn("_u", weight * F.col("n") * _decay(-F.col("_r")))
+              .withColumns({"_p": F.sum("_u").over(block.rowsBetween(Window.unboundedPreceding, 0)),
+                            "_q": F.sum("_u").over(block.rowsBetween(Window.unboundedPreceding, -1))}))
+    # The largest running sum of a block is its total.
+    earlier = Window.partitionBy("tenantId").orderBy("_b").rangeBetween(Window.unboundedPreceding, -1)
+    prev = F.col("_prev")
+    own = F.coalesce(F.col("_q") * _decay(F.col("_r") - 1), F.lit(0.0))
+    rest = prev["_p"] * _decay(F.lit(BLOCK - 1) + F.col("_r") + (F.col("_b") - prev["_b"] - 1) * BLOCK)
+    has_past = F.col("_i") > F.min("_i").over(tenant)
+    return (summed.withColumn("_prev", F.max(F.struct("_b", "_p")).over(earlier))
+            .withColumn("baseline", F.when(has_past, own + F.coalesce(rest, F.lit(0.0))))
+            .drop("_i", "_b", "_r", "_u", "_p", "_q", "_prev"))
 
 
 def window_scores(events: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
@@ -61,10 +70,10 @@ def window_scores(events: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
 
 
 def score_events(events: DataFrame, window_ms: int = WINDOW_MS, slices: int = 8,
-                 id_col: str = "id") -> DataFrame:
+                 id_col: str = "id", floor: int = O.skew.HOT_FLOOR) -> DataFrame:
     """Every CONFIDENTIAL or RESTRICTED event with its ordinal in the window, score and verdict.
 
-    A window is cut into ``slices`` so that a burst of one tenant spreads over tasks.  Slice
+    A heavy tenant's windows are cut into ``slices`` so that its bursts spread over tasks.  Slice
     offsets and the baseline come from one aggregate with a row per window and its at most
     ``slices + 1`` slice counts, and reach the events in a single join on the partitioning the
     ordinal needs anyway.
@@ -72,7 +81,8 @@ def score_events(events: DataFrame, window_ms: int = WINDOW_MS, slices: int = 8,
     slice_ms = max(window_ms // slices, 1)
     keys = ["tenantId", "windowStart"]
     ev = O.with_slice(events.where(E.is_enriched("classification"))
-                      .withColumn("windowStart", E.window_start("createdAt", window_ms)), "createdAt", slice_ms)
+                      .withColumn("windowStart", E.window_start("createdAt", window_ms)),
+                      ["tenantId"], "createdAt", slice_ms, floor)
     per_window = (ev.groupBy(*keys, O.SLICE).agg(F.count(F.lit(1)).alias("n")).groupBy(*keys)
                   .agg(F.sum("n").alias("n"), F.collect_list(F.struct(F.col(O.SLICE).alias("s"), "n")).alias("_parts")))
     earlier = lambda part: F.aggregate(F.filter("_parts", lambda p: p["s"] < part["s"]), F.lit(0).cast("bigint"),

@@ -84,7 +84,7 @@ def _next_pointers(points: DataFrame, keys: list[str], ttl_ms: int, slice_ms: in
                           F.col("_t").alias("_node"), F.lit(None).cast("bigint").alias("_from"))
     probes = points.select(*keys, (F.col("_t") + ttl_ms).alias("_pos"), F.lit(0).alias("_kind"),
                            F.lit(None).cast("bigint").alias("_node"), F.col("_t").alias("_from"))
-    both = O.with_slice(nodes.unionByName(probes), "_pos", slice_ms)
+    both = O.time_slice(nodes.unionByName(probes), "_pos", slice_ms)
     joined = O.carry(both, keys, {"_first": F.min("_node")},
                      {"_later": (lambda c: F.last(c, ignorenulls=True), "_first")}, forward=False)
     ahead = O.slice_window(keys, ["_pos", "_kind"]).rowsBetween(1, Window.unboundedFollowing)

@@ -105,7 +105,7 @@ def conflict_entries(pairs: DataFrame, now_ms: int, left: str = "incoming", righ
 def key_versions(rotations: DataFrame) -> DataFrame:
     """Validity of every key version: retired by the next rotation of its tenant and class."""
     keys = ["tenantId", "classification"]
-    sliced = O.with_slice(rotations, "createdAt")
+    sliced = O.with_slice(rotations, keys, "createdAt")
     nxt = O.with_next(sliced, keys, "createdAt", "seq", {"rotatedAt": "createdAt"})
     counted = O.with_ordinal(nxt, keys, "createdAt", "seq", "rotationCount").drop(O.SLICE)
     return counted.withColumn("active", F.col("rotatedAt").isNull())

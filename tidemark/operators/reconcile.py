@@ -220,7 +220,7 @@ def _scan_versions(versions: DataFrame, slice_ms: int) -> DataFrame:
     no list of versions is ever built.
     """
     order = VERSION_ORDER
-    rows = O.with_slice(versions, "wallClockTs", slice_ms)
+    rows = O.time_slice(versions, "wallClockTs", slice_ms)
     nodes = rows.select(*KEYS, O.SLICE, *order, "syncStatus", F.explode("vectorClock").alias("node", "n"))
 
     per_node = [*KEYS, "node"]

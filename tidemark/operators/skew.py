@@ -3,17 +3,19 @@
 AQE splits skewed join partitions only when both inputs come straight from a shuffle; a lookup that
 is itself an aggregate on the join key is not such an input.  Here the heavy keys are found
 exactly: at most ``HOT_SHARE`` keys can each hold more than one ``HOT_SHARE``-th of the rows, so
-their lookup rows are a broadcast of proven size.  The rows of heavy keys, and those without a key,
+their lookup rows are a broadcast of proven size, and no other key exceeds a thousandth of a
+percent of the table.  The rows of heavy keys, and those without a key,
 are salted and pass the shuffle join evenly spread without a match; all other keys are small and
 join as usual.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1000
+HOT_SHARE = 100_000
+HOT_FLOOR = 100_000  # rows; a key with fewer is no burden to a task
 SALTS = 4096
 
 
@@ -21,8 +23,18 @@ def weights(rows: DataFrame, keys: list[str], out: str = "_weight") -> DataFrame
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
 
 
+def is_heavy(weight: str, total: Column, share: int, floor: int) -> Column:
+    return (F.col(weight) > floor) & (F.col(weight) * share > total)
+
+
+def heavy_keys(rows: DataFrame, keys: list[str], share: int = HOT_SHARE, floor: int = HOT_FLOOR) -> DataFrame:
+    """The keys that hold too much of ``rows`` for one task; at most ``share`` of them."""
+    total = rows.agg(F.count(F.lit(1)).alias("t")).scalar()
+    return weights(rows, keys).where(is_heavy("_weight", total, share, floor)).select(*keys)
+
+
 def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str, spread_by: list[str],
-                how: str = "inner", share: int = HOT_SHARE) -> DataFrame:
+                how: str = "inner", share: int = HOT_SHARE, floor: int = HOT_FLOOR) -> DataFrame:
     """Add the lookup's columns to ``rows``.
 
     ``lookup`` has one row per key and in ``weight`` the number of ``rows`` with that key;
@@ -31,7 +43,7 @@ def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str
     values = [c for c in lookup.columns if c not in (*keys, weight)]
     packed = F.struct(F.lit(True).alias("_hit"), *[F.col(c) for c in values])
     total = rows.agg(F.count(F.lit(1)).alias("t")).scalar()
-    heavy = F.col(weight) * share > total
+    heavy = is_heavy(weight, total, share, floor)
     # The slot follows from the key for a cold row and is a negative salt for a hot one.  It is no
     # literal on either side, or the optimizer would take it out of the join key.
     slot = F.pmod(F.xxhash64(*keys), F.lit(1 << 30))
