@@ -87,8 +87,10 @@ def _next_pointers(points: DataFrame, keys: list[str], ttl_ms: int, slice_ms: in
     both = O.time_slice(nodes.unionByName(probes), "_pos", slice_ms)
     joined = O.carry(both, keys, {"_first": F.min("_node")},
                      {"_later": (lambda c: F.last(c, ignorenulls=True), "_first")}, forward=False)
-    ahead = O.slice_window(keys, ["_pos", "_kind"]).rowsBetween(1, Window.unboundedFollowing)
-    nxt = F.coalesce(F.first("_node", ignorenulls=True).over(ahead), F.col("_later"))
+    # Walked backwards, so that the nearest node ahead is a running value and not a search per row.
+    ahead = (Window.partitionBy(*keys, O.SLICE).orderBy(F.desc("_pos"), F.desc("_kind"))
+             .rowsBetween(Window.unboundedPreceding, -1))
+    nxt = F.coalesce(F.last("_node", ignorenulls=True).over(ahead), F.col("_later"))
     return (joined.withColumn("_next", nxt).where(F.col("_kind") == 0)
             .select(*keys, F.col("_from").alias("_t"), "_next"))
 
