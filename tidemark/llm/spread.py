@@ -1,0 +1,23 @@
+"""Group totals for every row, when one group may hold a third of all rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+SALTS = 256
+
+
+def with_group_totals(rows: DataFrame, keys: list[str], spread_by: Column, partial: dict[str, Column],
+                      final: dict[str, tuple]) -> DataFrame:
+    """Add totals per key to ``rows``; keys must not be null.
+
+    ``partial`` names aggregates per (key, salt); ``final`` maps an output column to ``(function, partial column)``.
+    A group is at most ``SALTS`` partial rows, its total a window over those, and the rows meet it by (key, salt), so
+    no task gets a whole hot group.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)))
+    whole = Window.partitionBy(*keys)
+    totals = (salted.groupBy(*keys, "_salt").agg(*[c.alias(n) for n, c in partial.items()])
+              .select(*keys, "_salt", *[f(F.col(c)).over(whole).alias(n) for n, (f, c) in final.items()]))
+    return salted.join(totals, [*keys, "_salt"]).drop("_salt")
