@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, mixing, near_dedup, packing, token_counts
+from tidemark.llm import chat, exact_dedup, language, merkle, mixing, near_dedup, packing, secret_scan, token_counts, toxicity
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -31,6 +31,18 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def held_out():
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out")
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf, "labels")))
+    return scored.select("doc_id", held_out(), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op2_exact_dedup", """
     SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM (
       SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, sha256(body) AS text_sha256
@@ -60,3 +72,30 @@ def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_bag_minhash")
 def op10_bag_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.groups(table(spark, sf, "documents")).drop("row")
+
+
+@query("op6_merkle_fingerprints")
+def op6_merkle_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.fingerprints(table(spark, sf, "documents"))
+
+
+@query("op7_language_codes")
+def op7_language_codes(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    found = language.predict(docs, language.train(docs))
+    return found.select("doc_id", held_out(), "lang_pred", "score", "ambiguous")
+
+
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+@query("op8_chat_format")
+def op8_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-7, i, r, CONTROL_TEXT) for i, r in enumerate(("user", "assistant"))], rows.schema)
+    return chat.digests(chat.segments(chat.text_parts(rows.unionByName(own))))
+
+
+@query("op9_secrets")
+def op9_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf, "documents"))
