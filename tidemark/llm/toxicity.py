@@ -5,11 +5,12 @@ they stretch over, up to ``SPAN`` letters: an insult with inserted characters or
 are lower case, digits and signs that stand for letters count as those, other punctuation only makes gaps, and single
 characters with spaces between them are read as one word.
 
-Labels are of whole documents, and a sentence or document is as toxic as its worst word.  Words that toxic training
+Labels are of whole documents; what makes a sentence or document toxic are its words.  Words that toxic training
 documents use in many different contexts, far beyond chance, are the toxic examples, with noisy variants; words of
 clean documents are the others, those that score highest among them first.  Landmarks span the kernel space (Nystroem),
 a squared-hinge machine is fitted there, and its decision function folds into one table over letter triples, so a word
-is scored by table lookups.  A document's score is a logistic function of its highest word decision.
+is scored by table lookups.  A document's score is a logistic function of its highest word decisions and of how many of
+its words are toxic or close to it.
 
 Training reads at most ``PER_CLASS`` labelled documents of each label, picked by a hash of the id among rows whose
 crc32(id) mod 5 is not 0.  Null and empty texts get the score of a text without words.  Repeated label rows count once,
@@ -31,8 +32,9 @@ from tidemark.llm.arrays import chunks, flat
 
 PER_CLASS = 3000
 DECAY, SPAN = 0.8, 7
+STEMS = (5, 7)  # lengths of word beginnings that are examples too
 WINDOW = 10  # start positions of a unit; longer words are read through sliding windows
-POSITIVES, NEGATIVES, LANDMARKS = 400, 5000, 160
+POSITIVES, NEGATIVES, HARD, LANDMARKS = 400, 5000, 500, 160
 CHANCE = 1e-6  # a word is toxic where so many contexts in toxic documents had less chance than this
 BLOCK_BYTES = 1 << 22
 CODES = 64
@@ -135,21 +137,25 @@ def noisy(word: str, rng: np.random.Generator) -> list[str]:
     return [word[:i] + letter + word[i:], ".".join(word), word[:i] + word[i - 1:], word[:i] + "-" + word[i:]]
 
 
-def fit_machine(toxic: list[str], clean: list[str], seed: int = 5) -> tuple[np.ndarray, float]:
-    """The decision table over letter triples and the bias."""
+def fit_machine(toxic: dict[str, int], clean: dict[str, int], seed: int = 5) -> tuple[np.ndarray, float]:
+    """The decision table over letter triples and the bias, from words with their numbers of contexts."""
     rng = np.random.default_rng(seed)
     half = LANDMARKS // 2
-    marks = toxic[:half] + [clean[i] for i in rng.permutation(len(clean))[:half]]
+    bad, good = list(toxic), list(clean)
+    marks = bad[:half] + [good[i] for i in rng.permutation(len(good))[:half]]
     word, triple, value = maps(marks)
     dense = np.zeros((CODES ** 3, len(marks)), np.float32)
     np.add.at(dense, (triple, word), value)
-    rows = toxic + [v for w in toxic for v in noisy(w, rng)] + clean
-    y = np.where(np.arange(len(rows)) < len(toxic) * 5, 1.0, -1.0)
+    variants = [(v, toxic[w]) for w in bad for v in (w, *noisy(w, rng))]
+    rows = [v for v, _ in variants] + good
+    y = np.where(np.arange(len(rows)) < len(variants), 1.0, -1.0)
+    weight = np.sqrt([n for _, n in variants] + list(clean.values()))
+    for side in (y > 0, y < 0):
+        weight[side] *= len(y) / (2.0 * weight[side].sum())
     between = kernel(marks, dense)
     values, vectors = np.linalg.eigh((between + between.T) / 2)
     root = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])
     x = np.column_stack([kernel(rows, dense) @ root, np.ones(len(rows))])
-    weight = np.where(y > 0, len(y) / (2.0 * (y > 0).sum()), len(y) / (2.0 * max(1, (y < 0).sum())))
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-2)
     penalty[-1] = 1e-6
     for _ in range(20):  # Newton steps on the squared hinge loss
@@ -163,24 +169,39 @@ def fit_machine(toxic: list[str], clean: list[str], seed: int = 5) -> tuple[np.n
     return dense.astype(np.float64) @ (root @ w[:-1]), float(w[-1])
 
 
+FEATURES = ("highest", "second", "hits", "near", "rate")
+
+
 class Model:
-    """Decision table, bias, and the logistic function from highest decision to score."""
+    """Decision table and bias of the word machine, and the logistic function from a document's words to its score."""
 
-    def __init__(self, table: np.ndarray | None = None, bias: float = 0.0, slope: float = 0.0, middle: float = 0.0):
-        self.table, self.bias, self.slope, self.middle = table, bias, slope, middle
+    def __init__(self, table: np.ndarray | None = None, bias: float = 0.0, weights: np.ndarray | None = None):
+        self.table, self.bias, self.weights = table, bias, weights
 
-    def highest(self, texts: pa.Array) -> np.ndarray:
-        """The highest word decision of each text; distinct words of the block are scored once."""
+    def features(self, texts: pa.Array) -> np.ndarray:
+        """Per text: its two highest word decisions, how many words are toxic or near it, and their rate.
+
+        Distinct words of the block are scored once.
+        """
+        if not len(texts):
+            return np.zeros((0, len(FEATURES)))
         lists = pc.split_pattern(texts, " ")
         coded = lists.flatten().dictionary_encode()
         f = decisions(*flat(coded.dictionary), self.table, self.bias)[coded.indices.to_numpy(zero_copy_only=False)]
-        starts = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
-        return np.maximum.reduceat(f, starts) if len(starts) else np.zeros(0)
+        at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        starts, n = at[:-1], np.diff(at)
+        first = np.maximum.reduceat(f, starts)
+        top = np.repeat(first, n)
+        again = np.add.reduceat((f == top).astype(np.int64), starts) > 1
+        second = np.where(again, first, np.maximum.reduceat(np.where(f == top, self.bias, f), starts))
+        hits, near = (np.add.reduceat((f > c).astype(np.float64), starts) for c in (0.0, -0.4))
+        return np.column_stack([first, second, np.log1p(hits), np.log1p(near), np.minimum(100 * hits / n, 20.0)])
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         if self.table is None:
             return np.zeros(len(texts))
-        return 1.0 / (1.0 + np.exp(np.clip(-self.slope * (self.highest(texts) - self.middle), -30, 30)))
+        x = self.features(texts)
+        return 1.0 / (1.0 + np.exp(np.clip(-(x @ self.weights[:-1] + self.weights[-1]), -30, 30)))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
@@ -194,11 +215,13 @@ def labelled(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
 
 
 def word_contexts(sample: DataFrame) -> DataFrame:
-    """Per word the number of different preceding words in toxic (``a``) and in clean (``b``) documents."""
+    """Per word, and per beginning of longer words, the number of different words before it in toxic (``a``) and in
+    clean (``b``) documents; copies and shared passages repeat their contexts and add nothing."""
     words = F.filter(F.split("text", " "), lambda w: F.length(w) > 0)
     pairs = sample.select("toxic", words.alias("w")).select(
         "toxic", F.explode(F.arrays_zip(F.col("w").alias("word"), F.concat(F.array(F.lit("")), F.col("w")).alias("before"))).alias("p"))
-    once = pairs.where("p.word IS NOT NULL").select("toxic", "p.word", "p.before").distinct()
+    units = F.array_distinct(F.array("p.word", *[F.substring("p.word", 1, n) for n in STEMS]))
+    once = (pairs.where("p.word IS NOT NULL").select("toxic", "p.before", F.explode(units).alias("word")).distinct())
     return once.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
 
 
@@ -220,51 +243,54 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     ranked = counts.where((F.length("word") >= 3) & (F.col("a") >= 2) & (p > 0.5 + share / 2)).withColumn("evidence", evidence)
     best = ranked.orderBy(F.desc("evidence"), "word").limit(POSITIVES).collect()
     sure = -np.log(CHANCE)
-    toxic = [r["word"] for i, r in enumerate(best) if r["evidence"] > sure or i < 10]
+    toxic = {r["word"]: r["a"] for i, r in enumerate(best) if r["evidence"] > sure or i < 10}
     if not toxic:
         return Model()
-    unlike = counts.where((F.col("b") > 0) & (F.length("word") >= 3) & (p <= share) & ~F.col("word").isin(toxic))
-    clean = [r["word"] for r in unlike.orderBy(F.xxhash64("word"), "word").limit(NEGATIVES).select("word").collect()]
+    unlike = counts.where((F.col("b") > 0) & (F.length("word") >= 3) & (p <= share) & ~F.col("word").isin(list(toxic)))
+    clean = {r["word"]: r["b"] for r in unlike.orderBy(F.xxhash64("word"), "word").limit(NEGATIVES).collect()}
     if not clean:
         return Model()
     model = Model(*fit_machine(toxic, clean))
     for _ in range(2):  # words of clean documents that score highest join the clean examples
-        hard = scored_words(unlike, model).orderBy(F.desc("f"), "word").limit(1000).collect()
-        clean = list(dict.fromkeys([r["word"] for r in hard] + clean))
+        hard = scored_words(unlike, model).orderBy(F.desc("f"), "word").limit(HARD).collect()
+        clean |= {r["word"]: r["b"] for r in hard}
         model = Model(*fit_machine(toxic, clean))
-    rows = sample.select("toxic", "text").mapInArrow(_highest(model, "toxic"), "toxic int, f double").collect()
-    model.middle, model.slope = calibrate(np.array([r["f"] for r in rows]), np.array([r["toxic"] for r in rows]))
+    rows = sample.select("toxic", "text").mapInArrow(_rated(model), "toxic int, x array<double>").collect()
+    model.weights = logistic(np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float))
     return model
 
 
 def scored_words(words: DataFrame, model: Model) -> DataFrame:
     def run(batches):
-        for b in batches:
-            f = decisions(*flat(b.column(0)), model.table, model.bias)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f, pa.float64())], names=["word", "f"])
+        for batch in batches:
+            f = decisions(*flat(batch.column(0)), model.table, model.bias)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(f, pa.float64())], names=["word", "b", "f"])
 
-    return words.select("word").mapInArrow(run, "word string, f double")
+    return words.select("word", "b").mapInArrow(run, "word string, b bigint, f double")
 
 
-def _highest(model: Model, keep: str):
+def _rated(model: Model):
     def run(batches):
         for part in chunks(batches, "text", BLOCK_BYTES):
-            f = model.highest(part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column(keep).cast(pa.int32()), pa.array(f, pa.float64())], names=[keep, "f"])
+            x = pa.array(list(model.features(part.column("text"))), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([part.column("toxic").cast(pa.int32()), x], names=["toxic", "x"])
 
     return run
 
 
-def calibrate(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Middle: the cut with fewest errors, half-way between neighbours; slope: the spread of the decisions."""
-    order = np.argsort(f)
-    f, y = f[order], y[order]
-    wrong = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum((1 - y)[::-1])[::-1], [0]])
-    ends = np.concatenate([[f[0] - 0.5], (f[1:] + f[:-1]) / 2, [f[-1] + 0.5]])
-    same = np.concatenate([[False], f[1:] == f[:-1], [False]])
-    best = np.flatnonzero(np.where(same, np.inf, wrong) == wrong[~same].min())
-    cuts = ends[best]
-    return float(cuts[len(cuts) // 2]), 4.0 / max(0.25, float(np.std(f)))
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05) -> np.ndarray:
+    """Weights and intercept of a logistic regression with a ridge penalty, by Newton steps."""
+    mean, spread = x.mean(0), np.maximum(x.std(0), 1e-6)
+    z = np.column_stack([(x - mean) / spread, np.ones(len(x))])
+    w, ridge = np.zeros(z.shape[1]), np.diag([penalty] * x.shape[1] + [1e-6])
+    for _ in range(50):
+        p = 1.0 / (1.0 + np.exp(np.clip(-(z @ w), -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + ridge, z.T @ (y - p) - ridge @ w)
+        w += step
+        if np.abs(step).max() < 1e-6:
+            break
+    scaled = w[:-1] / spread
+    return np.append(scaled, w[-1] - (scaled * mean).sum())
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
