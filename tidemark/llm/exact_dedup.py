@@ -146,7 +146,8 @@ def same_bytes(matches: DataFrame, docs: DataFrame, id_col: str, text: str) -> D
     wanted = matches.select("sha", F.explode(F.array("top.id", "held.id")).alias("id")).distinct()
     body = F.coalesce(F.col(text), F.lit(""))
     bodies = docs.select(F.col(id_col).alias("id"), F.sha2(body, 256).alias("sha"), body.alias("body"))
-    met = bodies.join(wanted, bodies["id"].eqNullSafe(wanted["id"]) & (bodies["sha"] == wanted["sha"]), "left_semi")
+    # The same join at every size: which texts are shuffled must not hang on whether the digests could be broadcast.
+    met = bodies.join(wanted.hint("merge"), bodies["id"].eqNullSafe(wanted["id"]) & (bodies["sha"] == wanted["sha"]), "left_semi")
     return (met.groupBy("sha").agg(F.min("body").alias("low"), F.max("body").alias("high"))
             .where(F.col("low") == F.col("high")).select("sha"))
 
