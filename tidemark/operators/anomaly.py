@@ -4,6 +4,9 @@ For a tenant, ``c_i`` is its number of CONFIDENTIAL and RESTRICTED events in win
 empty window), ``e_first = c_first`` and ``e_i = 0.3 c_i + 0.7 e_(i-1)``.  The baseline of window i
 is ``e_(i-1)``.  An event's score is its ordinal in the window over three times the baseline, at
 most 1, and 0 while the baseline is below 1; from 0.8 on it is an anomaly.
+
+Sums of powers of 0.7 differ in their last bits with the order of adding, so baseline and score are
+rounded to ``DIGITS`` places before they are compared, in the batch, the stream and the SQL alike.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from tidemark.operators import ordered as O
 ALPHA = 0.3
 SPIKE = 3.0
 THRESHOLD = 0.8
+DIGITS = 9
 WINDOW_MS = 300_000
 # Windows are numbered in blocks, inside which 0.7**-r stays far from overflow.  Over a whole block
 # the weight falls to 0.7**256 < 1e-39, so the previous non-empty block is all the history needed.
@@ -24,10 +28,17 @@ BLOCK = 256
 
 
 def score(ordinal: Column, baseline: Column) -> Column:
-    return (F.when(baseline >= 1.0, F.least(ordinal / (baseline * SPIKE), F.lit(1.0)))
+    base = F.round(baseline, DIGITS)
+    return (F.when(base >= 1.0, F.least(F.round(ordinal / (base * SPIKE), DIGITS), F.lit(1.0)))
             .otherwise(F.lit(0.0)))
 
 
+def score_of(ordinal: int, baseline: float | None) -> float:
+    """``score`` for one value, as the stream's processor needs it."""
+    base = None if baseline is None else round(baseline, DIGITS)
+    return min(round(ordinal / (base * SPIKE), DIGITS), 1.0) if base is not None and base >= 1.0 else 0.0
+
+
 def _decay(windows: Column) -> Column:
     return F.pow(F.lit(1.0 - ALPHA), windows)
 

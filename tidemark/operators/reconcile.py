@@ -6,8 +6,11 @@ A pair is a row with two structs of sync records, ``existing`` (the stored, loca
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark import schema as S
 from tidemark.functions import clocks as C
@@ -20,6 +23,8 @@ from tidemark.session import cut_lineage
 KEYS = ["tenantId", "aggregateId"]
 SAMPLE_SIZE = 100
 RPO_SECONDS = 300
+VERSION_ORDER = ["wallClockTs", "sourceCloud", "id"]
+STEP_CHANGES = 1024  # changes of one aggregate folded in one row
 
 
 def pack(df: DataFrame, name: str, keys: list[str] = KEYS) -> DataFrame:
@@ -87,6 +92,31 @@ def resolve_with(pairs: DataFrame, strategy: str, primary: str = "aws") -> DataF
     return _settle(pairs.withColumn("strategy", F.lit(strategy)), primary)
 
 
+def _decide(a: Column, b: Column, by: Column, primary: str, is_later: Column, relation: Column,
+            fa: Column, fb: Column) -> tuple[Column, Column, dict[str, Column]]:
+    """Whether ``a`` (stored) is kept over ``b`` (incoming), whether both are objects, and the changed fields."""
+    merging, review = by == "FIELD_MERGE", by == "MANUAL_REVIEW"
+    objects = fa.isNotNull() & fb.isNotNull()
+    keep = (F.when(by == "LAST_WRITE_WINS", is_later)
+            .when(by == "CLOUD_PRIORITY", F.lower(a["sourceCloud"]) == primary.lower())
+            .when(review, True)
+            .when(merging, F.when(objects, a["wallClockTs"] >= b["wallClockTs"]).otherwise(is_later))
+            .when(relation == "CONCURRENT", is_later)
+            .otherwise(relation != "BEFORE"))
+    union = F.encode(_union_of_fields(fa, fb, b["wallClockTs"] >= a["wallClockTs"]), "UTF-8")
+    return keep, objects, {
+        "syncStatus": F.when(review, "CONFLICT_DETECTED").otherwise("CONFLICT_RESOLVED"),
+        "vectorClock": F.when(review, a["vectorClock"]).otherwise(C.merge(a["vectorClock"], b["vectorClock"])),
+        "payload": F.when(objects, union).when(keep, a["payload"]).otherwise(b["payload"]),
+        "wallClockTs": F.when(objects, F.greatest(a["wallClockTs"], b["wallClockTs"]))
+                        .when(keep, a["wallClockTs"]).otherwise(b["wallClockTs"]),
+    }
+
+
+def _record(a: Column, b: Column, keep: Column, changed: dict[str, Column], columns: list[str]) -> Column:
+    return F.struct(*[changed.get(c, F.when(keep, a[c]).otherwise(b[c])).alias(c) for c in columns])
+
+
 def _settle(pairs: DataFrame, primary: str) -> DataFrame:
     """Decide which side each pair keeps, then build the record once from that side."""
     a, b, by = F.col("existing"), F.col("incoming"), F.col("strategy")
@@ -96,33 +126,18 @@ def _settle(pairs: DataFrame, primary: str) -> DataFrame:
         "_relation": C.compare(a["vectorClock"], b["vectorClock"]),
         "_fa": F.when(merging, _fields(a)),
         "_fb": F.when(merging, _fields(b)),
-    }).withColumn("_objects", F.col("_fa").isNotNull() & F.col("_fb").isNotNull())
-    objects, relation = F.col("_objects"), F.col("_relation")
-    keep = (F.when(by == "LAST_WRITE_WINS", F.col("_later"))
-            .when(by == "CLOUD_PRIORITY", F.lower(a["sourceCloud"]) == primary.lower())
-            .when(by == "MANUAL_REVIEW", True)
-            .when(merging, F.when(objects, a["wallClockTs"] >= b["wallClockTs"]).otherwise(F.col("_later")))
-            .when(relation == "CONCURRENT", F.col("_later"))
-            .otherwise(relation != "BEFORE"))
-    review = by == "MANUAL_REVIEW"
-    union = F.encode(_union_of_fields(F.col("_fa"), F.col("_fb"), b["wallClockTs"] >= a["wallClockTs"]), "UTF-8")
-    changed = {
-        "syncStatus": F.when(review, "CONFLICT_DETECTED").otherwise("CONFLICT_RESOLVED"),
-        "vectorClock": F.when(review, a["vectorClock"]).otherwise(C.merge(a["vectorClock"], b["vectorClock"])),
-        "payload": F.when(objects, union).when(F.col("_keep"), a["payload"]).otherwise(b["payload"]),
-        "wallClockTs": F.when(objects, F.greatest(a["wallClockTs"], b["wallClockTs"]))
-                        .when(F.col("_keep"), a["wallClockTs"]).otherwise(b["wallClockTs"]),
-    }
-    columns = pairs.schema["existing"].dataType.names
-    record = F.struct(*[changed.get(c, F.when(F.col("_keep"), a[c]).otherwise(b[c])).alias(c) for c in columns])
+    })
+    relation = F.col("_relation")
+    keep, objects, changed = _decide(a, b, by, primary, F.col("_later"), relation, F.col("_fa"), F.col("_fb"))
+    record = _record(a, b, F.col("_keep"), changed, pairs.schema["existing"].dataType.names)
     counters = (F.when(by == "LAST_WRITE_WINS", F.array(F.lit("lww")))
                 .when(by == "CLOUD_PRIORITY", F.array(F.lit("cloud_priority")))
-                .when(review, F.array(F.lit("manual_review")))
+                .when(by == "MANUAL_REVIEW", F.array(F.lit("manual_review")))
                 .when(merging, F.array(F.when(objects, "field_merge").otherwise("lww")))
                 .when(relation == "CONCURRENT", F.array(F.lit("lww"), F.lit("vector_clock")))
                 .otherwise(F.array(F.lit("vector_clock"))))
     return (facts.withColumn("_keep", keep).withColumns({"resolved": record, "counters": counters})
-            .drop("_later", "_relation", "_fa", "_fb", "_objects", "_keep"))
+            .drop("_later", "_relation", "_fa", "_fb", "_keep"))
 
 
 def conflict_counters(resolved: DataFrame) -> DataFrame:
@@ -149,6 +164,88 @@ def sync_apply(incoming: DataFrame, existing: DataFrame, config: dict[str, str]
             .drop("resolved", "counters", "_clash"))
 
 
+def _as_entries(record: Column, names: list[str]) -> Column:
+    """A record whose clock is a list of entries, because an array with maps cannot be sorted."""
+    return F.struct(*[(F.map_entries(record[c]) if c == "vectorClock" else record[c]).alias(c) for c in names])
+
+
+def _as_record(listed: Column, names: list[str]) -> Column:
+    return F.struct(*[(F.map_from_entries(listed[c]) if c == "vectorClock" else listed[c]).alias(c) for c in names])
+
+
+def sync_apply_many(incoming: DataFrame, existing: DataFrame, config: dict[str, str] | None = None,
+                    primary: str = "aws", order: list[str] | None = None, step: int = STEP_CHANGES) -> DataFrame:
+    """Apply every incoming record in ``order``, each against the result of the one before.
+
+    A record that is not concurrent with what is stored then replaces it, a concurrent one is
+    resolved by its strategy, and one for review is parked and changes nothing.  Returns a row per
+    changed aggregate: ``record`` (what is stored afterwards, null if nothing was), ``changes``,
+    ``resolvedCount`` and ``parked``, the (incoming, existing) pairs for review.
+
+    A change depends on the one before it, so the work per aggregate is a chain.  It is taken in
+    steps of at most ``step`` changes an aggregate, folded in one row against the stored record;
+    only an aggregate with more changes than that needs a further step, so no list outgrows it.
+    """
+    config = S.DEFAULT_STRATEGIES if config is None else config
+    order = order or VERSION_ORDER
+    names = existing.columns
+    rows = incoming.select(*names, *[c for c in order if c not in names])
+    position = F.row_number().over(Window.partitionBy(*KEYS).orderBy(*order))
+    numbered = cut_lineage(rows.withColumn("_at", position).withColumn("_step", F.floor((F.col("_at") - 1) / step)), "numbered")
+    last = numbered.agg(F.max("_step")).first()[0]
+    done = None
+    for number in range((-1 if last is None else last) + 1):
+        record = F.struct(*[F.col(c) for c in names])
+        listed = (numbered.where(F.col("_step") == number).groupBy(*KEYS)
+                  .agg(F.array_sort(F.collect_list(F.struct("_at", _as_entries(record, names).alias("r")))).alias("_changes")))
+        state = (pack(existing, "_stored") if done is None else
+                 done.select(*KEYS, F.col("record").alias("_stored"), F.col("changes").alias("_n"),
+                             F.col("resolvedCount").alias("_m"), F.col("parked").alias("_p")))
+        new = cut_lineage(_apply_list(listed.join(state, KEYS, "left"), names, config, primary, done is not None), "applied")
+        done = new if done is None else cut_lineage(
+            done.join(new.select(*KEYS), KEYS, "left_anti").unionByName(new), "applied")
+    if done is None:
+        done = _apply_list(pack(existing.limit(0), "_stored").withColumn("_changes", F.array(F.struct(
+            F.lit(0).alias("_at"), _as_entries(F.col("_stored"), names).alias("r")))), names, config, primary, False)
+    return done
+
+
+def _nullable(kind: T.StructType) -> T.StructType:
+    """The same type with nulls allowed everywhere, which a fold's result must have."""
+    text = kind.json()
+    for name in ("nullable", "containsNull", "valueContainsNull"):
+        text = text.replace(f'"{name}":false', f'"{name}":true')
+    return T.StructType.fromJson(json.loads(text))
+
+
+def _apply_list(rows: DataFrame, names: list[str], config: dict[str, str], primary: str, again: bool) -> DataFrame:
+    """Fold ``_changes`` onto ``_stored``; with ``again`` the counts and parked pairs of earlier steps go on."""
+    record = _nullable(rows.schema["_stored"].dataType)
+    kept = T.StructType([T.StructField("record", record), T.StructField("resolved", T.LongType()), T.StructField(
+        "parked", T.ArrayType(T.StructType([T.StructField("incoming", record), T.StructField("existing", record)])))])
+    start = F.struct(F.col("_stored").alias("record"), (F.coalesce("_m", F.lit(0)) if again else F.lit(0)).cast("bigint").alias("resolved"),
+                     (F.coalesce("_p", F.array()) if again else F.array()).alias("parked")).cast(kept)
+
+    def apply(acc: Column, change: Column) -> Column:
+        a, b = acc["record"], _as_record(change["r"], names)
+        clash = a.isNotNull() & C.concurrent(a["vectorClock"], b["vectorClock"])
+        by = strategy_for(a["aggregateType"], config)
+        review, merging = by == "MANUAL_REVIEW", by == "FIELD_MERGE"
+        keep, _, changed = _decide(a, b, by, primary, later(a, b), F.lit("CONCURRENT"),
+                                   F.when(merging, _fields(a)), F.when(merging, _fields(b)))
+        settled = _record(a, b, keep, changed, names)
+        synced = F.struct(*[(F.lit("SYNCED") if c == "syncStatus" else b[c]).alias(c) for c in names])
+        after = F.when(~clash, synced).when(review, a).otherwise(settled)
+        both = F.struct(b.alias("incoming"), a.alias("existing"))
+        return F.struct(after.alias("record"), (acc["resolved"] + F.when(clash & ~review, 1).otherwise(0)).alias("resolved"),
+                        F.when(clash & review, F.concat(acc["parked"], F.array(both))).otherwise(acc["parked"]).alias("parked")).cast(kept)
+
+    folded = rows.withColumn("_f", F.aggregate("_changes", start, apply))
+    n = F.size("_changes").cast("bigint")
+    return folded.select(*KEYS, F.col("_f.record").alias("record"), ((F.coalesce("_n", F.lit(0)) + n) if again else n).alias("changes"),
+                         F.col("_f.resolved").alias("resolvedCount"), F.col("_f.parked").alias("parked"))
+
+
 def upsert_latest(existing: DataFrame, changes: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """The store after an upsert: changed keys replaced, the rest kept.
 
@@ -165,7 +262,6 @@ def upsert_latest(existing: DataFrame, changes: DataFrame, keys: list[str] = KEY
 
 # Aggregates with at most this many versions are folded inside one row.
 FOLD_LIMIT = 1024
-VERSION_ORDER = ["wallClockTs", "sourceCloud", "id"]
 
 
 def resolve_all(versions: DataFrame, fold_limit: int = FOLD_LIMIT, slice_ms: int = O.SLICE_MS) -> DataFrame:

@@ -423,7 +423,7 @@ o AS (SELECT *, row_number() OVER (PARTITION BY "tenantId" ORDER BY i) AS rn FRO
 e AS (SELECT "tenantId", i, n, rn, CAST(n AS DOUBLE) AS e, CAST(NULL AS DOUBLE) AS baseline FROM o WHERE rn=1
   UNION ALL SELECT o."tenantId", o.i, o.n, o.rn, 0.3*o.n + pow(0.7, o.i-e.i)*e.e, pow(0.7, o.i-1-e.i)*e.e
   FROM e JOIN o ON o."tenantId"=e."tenantId" AND o.rn=e.rn+1),
-b AS (SELECT *, CASE WHEN baseline>=1 THEN least(n/(baseline*3.0), 1.0) ELSE 0.0 END AS s FROM e)"""
+b AS (SELECT *, round(baseline, 9) AS rb, CASE WHEN round(baseline, 9)>=1 THEN least(round(n/(round(baseline, 9)*3.0), 9), 1.0) ELSE 0.0 END AS s FROM e)"""
 
 
 JOINED = COUNTS + ", " + LATENCY + ", " + SUMMARY + ", " + DOMINANT + ", " + GROWTH
@@ -448,8 +448,8 @@ def join_growth(spark, sf):
 
 
 @query("anomaly_forward", "ev valid", EWMA + ", " + ORDINAL + """
-SELECT o2.id, o2."tenantId", round(least(o2.n/(b.baseline*3.0), 1.0), 6) AS "anomalyScore"
-FROM ord o2 JOIN b ON o2."tenantId"=b."tenantId" AND o2."createdAt"//21600000=b.i WHERE b.baseline>=1 AND o2.n/(b.baseline*3.0)>=0.8""", recursive=True)
+SELECT o2.id, o2."tenantId", round(least(o2.n/(b.rb*3.0), 1.0), 6) AS "anomalyScore"
+FROM ord o2 JOIN b ON o2."tenantId"=b."tenantId" AND o2."createdAt"//21600000=b.i WHERE b.rb>=1 AND round(o2.n/(b.rb*3.0), 9)>=0.8""", recursive=True)
 def anomaly_forward(spark, sf):
     scored = N.score_events(T.valid_events(spark, sf), SIX_HOURS, id_col="seq")
     return N.anomalies(scored).select("id", "tenantId", F.round("anomalyScore", 6).alias("anomalyScore"))
@@ -470,7 +470,7 @@ def ewma_baseline(spark, sf):
 
 @query("ewma_anomaly", "ev valid", EWMA + ", " + ORDINAL + f""", sc AS (
 SELECT o2.id, o2."tenantId", o2.n AS "windowedEventCount", b.baseline,
-  CASE WHEN b.baseline>=1 THEN least(o2.n/(b.baseline*3.0), 1.0) ELSE 0.0 END AS s
+  CASE WHEN b.rb>=1 THEN least(round(o2.n/(b.rb*3.0), 9), 1.0) ELSE 0.0 END AS s
 FROM ord o2 JOIN b ON o2."tenantId"=b."tenantId" AND o2."createdAt"//{SIX_HOURS}=b.i)
 SELECT id, "tenantId", "windowedEventCount", round(baseline, 6) AS baseline, round(s, 6) AS "anomalyScore", s>=0.8 AS "anomalyDetected" FROM sc""",
        recursive=True)

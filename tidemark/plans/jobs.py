@@ -65,17 +65,18 @@ def archive_job(events: DataFrame, archive_path: str, manifest_path: str, cutoff
 
 
 def sync_job(incoming: DataFrame, store_path: str, dlq_path: str, now_ms: int, config: dict | None = None,
-             primary: str = "aws") -> None:
-    """Apply incoming records to a store; conflicts for review go to the dead letters instead.
+             primary: str = "aws", order: list[str] | None = None) -> None:
+    """Apply incoming records to a store one after the other; conflicts for review go to the dead letters.
 
-    A backfill is this job over the records of a date range.
+    ``order`` are the columns that order the changes of an aggregate, the arrival order where there
+    is one.  A backfill is this job over the records of a date range.
     """
     spark = incoming.sparkSession
     store = K.read_store(spark, store_path)
-    done = cut_lineage(R.sync_apply(incoming, store, config, primary), "sync")
-    review = L.conflict_entries(done.where(F.col("action") == "REVIEW"), now_ms)
+    done = cut_lineage(R.sync_apply_many(incoming, store, config, primary, order), "sync")
+    review = L.conflict_entries(done.select(F.explode("parked").alias("p")).select("p.*"), now_ms)
     review.write.mode("append").parquet(dlq_path)
-    K.upsert_store(done.where(F.col("action") != "REVIEW").select("record.*"), store_path)
+    K.upsert_store(done.where("changes > size(parked)").select("record.*"), store_path)
 
 
 def realtime_job(events: DataFrame, output_path: str, checkpoint_path: str, interval: str | None = PL.TRIGGER,

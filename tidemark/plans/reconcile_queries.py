@@ -146,6 +146,39 @@ def sync_apply(spark, sf):
                        E.map_text("record.vectorClock").alias("clock"))
 
 
+# Versions of an aggregate applied one after the other onto its first version; MANUAL keeps what is stored.
+CHAIN = """list_reduce(vs, lambda a, b: CASE
+  WHEN (b.ca>=a.ca AND b.cz>=a.cz AND b.cg>=a.cg) OR (b.ca<=a.ca AND b.cz<=a.cz AND b.cg<=a.cg)
+    THEN {'t': b.t, 'c': b.c, 'id': b.id, 'ca': b.ca, 'cz': b.cz, 'cg': b.cg, 's': 'SYNCED', 'y': b.y, 'n': a.n, 'm': a.m}
+  WHEN a.y='RESTRICTED_DATA' THEN {'t': a.t, 'c': a.c, 'id': a.id, 'ca': a.ca, 'cz': a.cz, 'cg': a.cg, 's': a.s, 'y': a.y, 'n': a.n, 'm': a.m+1}
+  WHEN CASE WHEN a.y='TENANT_CONFIG' THEN a.c='aws' ELSE a.t>b.t OR (a.t=b.t AND a.c>=b.c) END
+    THEN {'t': a.t, 'c': a.c, 'id': a.id, 'ca': greatest(a.ca, b.ca), 'cz': greatest(a.cz, b.cz), 'cg': greatest(a.cg, b.cg), 's': 'CONFLICT_RESOLVED', 'y': a.y, 'n': a.n+1, 'm': a.m}
+  ELSE {'t': b.t, 'c': b.c, 'id': b.id, 'ca': greatest(a.ca, b.ca), 'cz': greatest(a.cz, b.cz), 'cg': greatest(a.cg, b.cg), 's': 'CONFLICT_RESOLVED', 'y': b.y, 'n': a.n+1, 'm': a.m} END)"""
+TYPED = """(['TENANT_CONFIG','AUDIT_RECORD','RESTRICTED_DATA','ORDER'])[CAST("aggregateId" AS BIGINT)%4+1]"""
+
+
+@query("sync_apply_many", "ver", f"""
+ls AS (SELECT "tenantId", "aggregateId", list({{'t': "wallClockTs", 'c': "sourceCloud", 'id': id, 'ca': c_aws, 'cz': c_azure, 'cg': c_gcp, 's': 'PENDING',
+  'y': {TYPED}, 'n': 0, 'm': 0}} ORDER BY seq) AS vs FROM ver GROUP BY ALL),
+fd AS (SELECT "aggregateId", len(vs)-1 AS changes, {CHAIN} AS w FROM ls WHERE len(vs)>1)
+SELECT "aggregateId", changes, w.id AS id, w.s AS status, CAST(w.n AS BIGINT) AS "resolvedCount", CAST(w.m AS BIGINT) AS parked,
+  concat_ws(',', CASE WHEN w.ca>0 THEN 'aws=' || w.ca END, CASE WHEN w.cz>0 THEN 'azure=' || w.cz END, CASE WHEN w.cg>0 THEN 'gcp=' || w.cg END) AS clock
+FROM fd""")
+def sync_apply_many(spark, sf):
+    """Several changes of every aggregate in one batch, in arrival order."""
+    types = F.array(*[F.lit(t) for t in ("TENANT_CONFIG", "AUDIT_RECORD", "RESTRICTED_DATA", "ORDER")])
+    typed = T.versions(spark, sf).withColumns({
+        "aggregateType": F.element_at(types, (F.col("aggregateId").cast("int") % 4) + 1),
+        "payload": F.encode("id", "UTF-8"), "seq": F.col("id").cast("bigint")})
+    first = typed.groupBy("tenantId", "aggregateId").agg(F.min("seq").alias("seq"))
+    stored = typed.join(first, ["tenantId", "aggregateId", "seq"], "left_semi").drop("seq")
+    later = typed.join(first, ["tenantId", "aggregateId", "seq"], "left_anti")
+    done = R.sync_apply_many(later, stored, CONFIG, order=["seq"], step=8)
+    clock = F.map_filter("record.vectorClock", lambda _n, c: c > 0)
+    return done.select("aggregateId", "changes", F.col("record.id").alias("id"), F.col("record.syncStatus").alias("status"),
+                       "resolvedCount", F.size("parked").cast("bigint").alias("parked"), E.map_text(clock).alias("clock"))
+
+
 @query("upsert_latest", "aws azure", APPLY + """
 SELECT "aggregateId", id, status, clock FROM ap WHERE action<>'REVIEW'
 UNION ALL SELECT "aggregateId", id, 'PENDING', 'aws=' || c_aws || ',azure=' || c_azure FROM aws

@@ -22,7 +22,7 @@ SCORED = ("tenantId STRING, windowStart BIGINT, n BIGINT, baseline DOUBLE, anoma
 
 
 def _processor(window_ms: int):
-    alpha, spike, threshold = N.ALPHA, N.SPIKE, N.THRESHOLD
+    alpha, threshold, score_of = N.ALPHA, N.THRESHOLD, N.score_of
 
     class Baseline(StatefulProcessor):
         """State per tenant: number of the last window and the average after it."""
@@ -42,7 +42,7 @@ def _processor(window_ms: int):
                     base = ewma * (1 - alpha) ** (i - 1 - idx)
                     ewma = alpha * n + (1 - alpha) ** (i - idx) * ewma
                 idx = i
-                score = min(n / (base * spike), 1.0) if base is not None and base >= 1.0 else 0.0
+                score = score_of(n, base)
                 out.append((key[0], int(start), n, base, score, score >= threshold))
             self.state.update((idx, ewma))
             yield pd.DataFrame(out, columns=["tenantId", "windowStart", "n", "baseline", "anomalyScore",
