@@ -5,9 +5,10 @@ words is the empty run.  For every element a Poisson process runs over its weigh
 point of an interval that the weight only partly covers is handed down to a half, and the other half starts its own
 process there.  Each point has a time and a signature component, a component keeps the earliest, and processes past the
 document's latest component stop.  Components of two texts agree with the probability of their weighted Jaccard
-similarity.  Bands of components give buckets; each member of a bucket is compared with the bucket's longest text, and
-those that are then still in different groups with each other, so no pair is left out and hot buckets cost one
-comparison a member.  Pairs are links when their exact overlap gives a similarity of at least ``THRESHOLD``.
+similarity.  Bands of components give buckets.  Each member of a bucket is compared with the bucket's most central
+text; where a bucket's members are then still in different groups, the pairs across groups that can be similar at all
+are found through their rare elements, so no pair is left out and a hot bucket does not cost the square of its size.
+Pairs are links when their exact overlap gives a similarity of at least ``THRESHOLD``.
 
 Texts equal in lower case are one vertex from the start.  Null is empty.  Every row has a group; of each group the
 row with the largest id stays, and among rows of that id one.  An empty table gives an empty result.
@@ -20,7 +21,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrays import GOLDEN, chunks, flat, mix, unit, word_bounds, word_hashes
@@ -29,6 +30,7 @@ from tidemark.session import cut_lineage
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 26, 5
+RARE = 4
 ROW_BITS = 14  # a chunk has at most 2**ROW_BITS rows; elements keep the other 50 bits of their hash
 FEATURES = "row bigint, doc_id bigint, same string, n bigint, elements binary, bands array<bigint>"
 
@@ -161,7 +163,8 @@ def similar(pairs: DataFrame, held: DataFrame, threshold: float = THRESHOLD) ->
                 both.sort()
                 common = _common(s, t, both)
                 keep.append(common >= threshold * (len(s) + len(t) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(
+                pa.array(keep, pa.bool_()))
 
     left = held.select(F.col("row").alias("a"), F.col("elements").alias("xs"))
     right = held.select(F.col("row").alias("b"), F.col("elements").alias("ys"))
@@ -201,29 +204,83 @@ def groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: flo
     held = cut_lineage(features(docs, bands, rows), "features")
     same = cut_lineage(held.groupBy("same").agg(F.max(F.struct("doc_id", "row")).alias("top"), F.count(F.lit(1)).alias("copies")), "same")
     vertex = held.join(same.select(F.col("top.row").alias("row")), "row", "left_semi")
-    member = cut_lineage(vertex.select("row", "n", F.explode("bands").alias("bucket")), "members")
-    several = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("n", "row")).alias("lead")).where("size > 1")
-    live = cut_lineage(member.join(cut_lineage(several, "buckets"), "bucket").drop("size"), "live")
-    reach = lambda n, m: F.least(n, m) >= threshold * F.greatest(n, m)
-    star = live.where((F.col("row") != F.col("lead.row")) & reach(F.col("n"), F.col("lead.n")))
-    links = cut_lineage(similar(star.select(F.col("row").alias("a"), F.col("lead.row").alias("b")).distinct(), held, threshold), "links")
+    live = cut_lineage(_buckets(cut_lineage(vertex.select("row", "n", "bands"), "vertices")), "live")
+    star = live.where((F.col("row") != F.col("lead")) & _reach(F.col("n"), F.col("lead_n"), threshold))
+    links = cut_lineage(similar(star.select(F.col("row").alias("a"), F.col("lead").alias("b")).distinct(), held, threshold), "links")
     labels = components(links)
-    # Buckets whose members are not yet one group: every pair across groups that sizes allow is compared.
     placed = cut_lineage(live.join(labels, "row", "left").select(
-        "bucket", "row", "n", "lead", F.coalesce("label", "row").alias("label")), "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    open_ = cut_lineage(placed.join(mixed, "bucket", "left_semi"), "open")
-    x = open_.select("bucket", F.col("row").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"), F.col("lead.row").alias("done"))
-    y = open_.select("bucket", F.col("row").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"))
-    cross = (x.join(y, "bucket").where((F.col("al") < F.col("bl")) & reach(F.col("an"), F.col("bn"))
-                                       & (F.col("a") != F.col("done")) & (F.col("b") != F.col("done")))
-             .select("a", "b").distinct())
-    more = cut_lineage(similar(cross, held, threshold), "more")
+        "bucket", "row", "n", "bands", F.coalesce("label", "row").alias("label")), "placed")
+    more = cut_lineage(similar(_across(placed, held, threshold), held, threshold), "more")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     return _choose(held.select("row", "doc_id", "same"), same, labels)
 
 
+def _reach(n: Column, m: Column, threshold: float) -> Column:
+    """Sizes that allow the similarity."""
+    return F.least(n, m) >= threshold * F.greatest(n, m)
+
+
+def _buckets(vertices: DataFrame) -> DataFrame:
+    """Members of the buckets with several: bucket, row, n, bands, and the bucket's lead with its size.
+
+    The lead is the member that meets most others over all its buckets, which is near the middle of its group.
+    """
+    member = vertices.select("row", F.explode("bands").alias("bucket"))
+    several = cut_lineage(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
+    live = cut_lineage(member.join(several, "bucket"), "members")
+    central = live.groupBy("row").agg(F.sum("size").alias("met")).join(vertices, "row")
+    met = cut_lineage(live.select("row", "bucket").join(central, "row"), "met")
+    lead = met.groupBy("bucket").agg(F.max(F.struct("met", "row", "n")).alias("top"))
+    lead = cut_lineage(lead.select("bucket", F.col("top.row").alias("lead"), F.col("top.n").alias("lead_n")), "leads")
+    return met.drop("met").join(lead, "bucket")
+
+
+def _across(placed: DataFrame, held: DataFrame, threshold: float, rare: int = RARE) -> DataFrame:
+    """Candidate pairs ``(a, b)`` of buckets whose members are not one group yet: every pair that can be similar.
+
+    Elements that at most ``rare`` of these texts have are rare.  Two texts without a common rare element have at most
+    the smaller of their counts of other elements in common, which must reach what the similarity asks of their sizes;
+    this leaves out most texts, and most pairs of the rest.  All others that can be similar share a rare element, and
+    an element gives at most ``rare`` squared pairs.
+    """
+    mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+    open_ = cut_lineage(placed.join(cut_lineage(mixed, "mixed"), "bucket", "left_semi"), "open")
+    texts = cut_lineage(open_.select("row", "n", "label").distinct(), "open-rows")
+    each = held.select("row", "elements").join(texts, "row").mapInArrow(_each_element, "row bigint, n bigint, label bigint, element int")
+    each = cut_lineage(each, "elements")
+    few = each.groupBy("element").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") <= rare)
+    rares = cut_lineage(each.join(cut_lineage(few, "rare"), "element"), "rares")
+    common = texts.join(rares.groupBy("row").agg(F.count(F.lit(1)).alias("own")), "row", "left").select(
+        "row", (F.col("n") - F.coalesce("own", F.lit(0))).alias("c")).where(F.col("c") >= threshold * F.col("n"))
+    core = cut_lineage(open_.join(cut_lineage(common.join(texts.select("row", "n"), "row").select("row", "c"), "core"), "row"), "core-rows")
+    side = lambda df, x, *more: df.select(F.col("row").alias(x), F.col("n").alias(f"{x}n"), F.col("label").alias(f"{x}l"), *more)
+    apart = (F.col("al") < F.col("bl")) & _reach(F.col("an"), F.col("bn"), threshold)
+    # A pair is taken in the least bucket that it shares, so that it comes once.
+    x = side(core, "a", "bucket", F.col("c").alias("ac"), F.col("bands").alias("ab"))
+    y = side(core, "b", "bucket", F.col("c").alias("bc"), F.col("bands").alias("bb"))
+    enough = F.least("ac", "bc") >= threshold / (1 + threshold) * (F.col("an") + F.col("bn"))
+    first = F.array_min(F.array_intersect("ab", "bb")) == F.col("bucket")
+    plain = x.join(y.withColumnRenamed("bucket", "to"), (F.col("bucket") == F.col("to")) & apart & enough & first).select("a", "b")
+    shared = rares.where("times > 1")
+    u, v = side(shared, "a", "element"), side(shared, "b", F.col("element").alias("to"))
+    odd = u.join(v, (F.col("element") == F.col("to")) & apart).select("a", "b")
+    return plain.unionByName(odd).distinct()
+
+
+def _each_element(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per text and element."""
+    names = ["row", "n", "label"]
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            sets = [np.unique(np.frombuffer(e, np.int32)) for e in part.column("elements").to_pylist()]
+            size = np.array([len(e) for e in sets])
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(np.repeat(part.column(c).to_numpy(), size)) for c in names], pa.array(np.concatenate(sets))],
+                names=[*names, "element"])
+
+
 def _choose(rows: DataFrame, same: DataFrame, labels: DataFrame) -> DataFrame:
     vertices = (same.select("same", "copies", F.col("top.row").alias("row"), F.col("top.doc_id").alias("doc_id"))
                 .join(labels, "row", "left").withColumn("label", F.coalesce("label", "row")))
