@@ -49,16 +49,17 @@ def root(sections: Column) -> Column:
 
 
 def with_tree(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Add ``name``: a struct of the leaf digests (64 bits, by paragraph) and the root."""
+    """Add ``name``: a struct of the leaves' short digests by paragraph, the paragraphs' digests and the root."""
     tree, paragraphs = f"_{name}_leaves", f"_{name}_paragraphs"
     out = df.withColumn(tree, leaves(F.col(text)))
     out = out.withColumn(paragraphs, paragraph_digests(F.col(tree)))
-    made = F.struct(F.col(tree).alias("leaves"), root(section_digests(F.col(paragraphs))).alias("root"))
+    short = F.transform(F.col(tree), lambda p: F.transform(p, lambda leaf: F.shiftright(F.shiftleft(leaf, 32), 32).cast("int")))
+    made = F.struct(short.alias("leaves"), F.col(paragraphs).alias("paragraphs"), root(section_digests(F.col(paragraphs))).alias("root"))
     return out.withColumn(name, made).drop(tree, paragraphs)
 
 
 def _short(leaf: Column) -> Column:
-    return F.lpad(F.lower(F.hex(leaf.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")
+    return F.lpad(F.lower(F.hex(leaf.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")
 
 
 def fingerprint(tree: Column) -> Column:
@@ -69,8 +70,7 @@ def fingerprint(tree: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """How much of two trees is the same, 0 to 1."""
-    short = lambda t: F.array_distinct(F.transform(F.flatten(t["leaves"]), lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))))
-    x, y = short(a), short(b)
+    x, y = F.array_distinct(F.flatten(a["leaves"])), F.array_distinct(F.flatten(b["leaves"]))
     total = F.size(x) + F.size(y)
     dice = F.when(total > 0, 2.0 * F.size(F.array_intersect(x, y)) / total).otherwise(0.0)
     # Different trees with the same set of leaves are near, not equal.
@@ -79,7 +79,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def changed_sections(a: Column, b: Column) -> Column:
     """Numbers from 0 of the sections of ``a`` whose digests ``b`` has not at that place."""
-    x, y = (section_digests(paragraph_digests(t["leaves"])) for t in (a, b))
+    x, y = section_digests(a["paragraphs"]), section_digests(b["paragraphs"])
     return F.filter(F.transform(x, lambda d, i: F.when(d.eqNullSafe(F.get(y, i)), F.lit(-1)).otherwise(i)), lambda i: i >= 0)
 
 
@@ -141,8 +141,10 @@ def edited(text: Column, following: Column) -> Column:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited form, and their likeness to each other and to the next text's."""
-    slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    paired = with_next(with_tree(slim, "text", "tree"), ["text", "tree"])
+    slim = with_tree(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "tree")
+    # What likeness and the fingerprint need, and no more, is shuffled with the texts.
+    slim = slim.withColumn("tree", F.struct("tree.leaves", "tree.root"))
+    paired = with_next(slim, ["text", "tree"])
     made = with_tree(paired.withColumn("edited", edited(F.col("text"), F.col("next.text"))), "edited", "edited_tree")
     tree, other = F.col("tree"), F.col("edited_tree")
     return made.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
