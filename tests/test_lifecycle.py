@@ -62,13 +62,13 @@ def test_keyset_equals_offset(spark):
     assert rows(L.page_after(df, "ts", "id", edge["ts"], edge["id"], 5)) == all_rows
 
 
-@pytest.mark.parametrize("floor", [0, 100_000])
-def test_transitions(spark, floor):
+@pytest.mark.parametrize("slice_ms", [None, 2])
+def test_transitions(spark, slice_ms):
     steps = ["PENDING", "PROCESSED", "PROCESSING", "FAILED", "PROCESSING", "FAILED", "DEAD_LETTERED", "PROCESSING"]
     df = spark.createDataFrame([("e", i, s, i) for i, s in enumerate(steps)], "id string, seq int, status string, changedAt bigint")
-    got = [r["legal"] for r in Q.status_transitions(df, 2, floor).orderBy("seq").collect()]
+    got = [r["legal"] for r in Q.status_transitions(df, slice_ms).orderBy("seq").collect()]
     assert got == [True, False, False, True, True, True, True, False]
-    counts = Q.retry_counts(df, 2, floor).first()
+    counts = Q.retry_counts(df, slice_ms).first()
     assert (counts["retryCount"], counts["deadLettered"], counts["illegalSteps"]) == (1, True, 3)
 
 
@@ -143,18 +143,40 @@ def test_baseline_decays_over_idle_windows_and_long_histories(spark):
     assert all(got[w] == pytest.approx(want[w], rel=1e-12) if want[w] is not None else got[w] is None for w in got)
 
 
+def plain_scores(counts):
+    """Verdicts of the plain recursion, window by window."""
+    out, ewma, last = {}, None, None
+    for i, n in sorted(counts.items()):
+        base = None if ewma is None else ewma * 0.7 ** (i - 1 - last)
+        ewma = float(n) if ewma is None else 0.3 * n + 0.7 ** (i - last) * ewma
+        last = i
+        out[i] = N.score_of(n, base) >= N.THRESHOLD
+    return out
+
+
+@pytest.mark.parametrize("pattern", [(1, 1, 1, 3), (5, 5, 12), (1, 1, 2), (2, 0, 0, 1, 3)])
+def test_verdicts_do_not_depend_on_the_clock(spark, pattern):
+    """A burst over a steady baseline, on the edge of both thresholds, from many start windows."""
+    counts = {f"t{k}": {k * 37 + i: n for i, n in enumerate(pattern) if n} for k in range(40)}
+    frame = spark.createDataFrame([(t, i * N.WINDOW_MS, n) for t, c in counts.items() for i, n in c.items()], "tenantId string, windowStart bigint, n bigint")
+    got = N.baselines(frame).withColumn("hit", N.score(F.col("n"), F.col("baseline")) >= N.THRESHOLD).collect()
+    want = {(t, i): v for t, c in counts.items() for i, v in plain_scores(c).items()}
+    assert {(r["tenantId"], r["windowStart"] // N.WINDOW_MS): r["hit"] for r in got} == want
+    assert len({tuple(v for (t, _), v in sorted(want.items()) if t == name) for name in counts}) == 1
+
+
 def test_scores_do_not_depend_on_slices(spark):
     ev = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 4)).alias("tenantId"),
                                   F.lit("RESTRICTED").alias("classification"), (F.col("id") * F.col("id") % 7919 * 400).alias("createdAt"))
     pick = lambda df: rows(df.select("id", "windowedEventCount", "baseline", "anomalyScore"))
-    assert pick(N.score_events(ev, 300_000, 16, floor=0)) == pick(N.score_events(ev, 300_000, 1)) == pick(N.score_events(ev, 300_000, 3, floor=500))
+    assert pick(N.score_events(ev, 300_000, 16)) == pick(N.score_events(ev, 300_000, 1)) == pick(N.score_events(ev, 300_000, 3))
 
 
-@pytest.mark.parametrize("floor", [0, 100_000])
-def test_login_lock(spark, floor):
+@pytest.mark.parametrize("slice_ms", [None, 3000])
+def test_login_lock(spark, slice_ms):
     marks = "FFFFFFSFFFFSFFFFF"
     df = spark.createDataFrame([("u", i, i * 1000, m == "F") for i, m in enumerate(marks)], "username string, seq int, at bigint, failed boolean")
-    got = rows(W.failed_login_streaks(df, floor).select("failures", "firstAt", "lockedAt", "lockedUntil"))
+    got = rows(W.failed_login_streaks(df, slice_ms).select("failures", "firstAt", "lockedAt", "lockedUntil"))
     assert got == [(5, 12000, 16000, 16000 + 900_000), (6, 0, 4000, 5000 + 900_000)]
 
 

@@ -23,31 +23,31 @@ def W(spark):
     return Window.partitionBy("k").orderBy("ts", "seq")
 
 
-@pytest.mark.parametrize("slice_ms", [1, 7, 1000])
+@pytest.mark.parametrize("slice_ms", [None, 1, 7, 1000])
 def test_ordinal(events, W, slice_ms):
-    got = O.with_ordinal(events, ["k"], "ts", "seq", "n", slice_ms, 0)
+    got = O.with_ordinal(events, ["k"], "ts", "seq", "n", slice_ms)
     assert rows(got) == rows(events.withColumn("n", F.row_number().over(W).cast("bigint")))
 
 
-@pytest.mark.parametrize("slice_ms", [1, 7, 1000])
+@pytest.mark.parametrize("slice_ms", [None, 1, 7, 1000])
 def test_previous_and_next(events, W, slice_ms):
-    got = O.with_next(O.with_previous(events, ["k"], "ts", "seq", {"p": "v", "pt": "ts"}, slice_ms, 0),
-                      ["k"], "ts", "seq", {"x": "v"}, slice_ms, 0)
+    got = O.with_next(O.with_previous(events, ["k"], "ts", "seq", {"p": "v", "pt": "ts"}, slice_ms),
+                      ["k"], "ts", "seq", {"x": "v"}, slice_ms)
     want = events.select("*", F.lag("v").over(W).alias("p"), F.lag("ts").over(W).alias("pt"), F.lead("v").over(W).alias("x"))
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("slice_ms", [1, 7, 1000])
+@pytest.mark.parametrize("slice_ms", [None, 1, 7, 1000])
 def test_running_sum_and_max(events, W, slice_ms):
-    got = O.with_running_max(O.with_running_sum(events, ["k"], "ts", "seq", F.col("v"), "s", slice_ms, 0),
-                             ["k"], "ts", "seq", F.when(F.col("brk"), F.col("v")), "m", slice_ms, 0)
+    got = O.with_running_max(O.with_running_sum(events, ["k"], "ts", "seq", F.col("v"), "s", slice_ms),
+                             ["k"], "ts", "seq", F.when(F.col("brk"), F.col("v")), "m", slice_ms)
     want = events.select("*", F.sum("v").over(W).alias("s"), F.max(F.when(F.col("brk"), F.col("v"))).over(W).alias("m"))
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("slice_ms", [1, 7, 1000])
+@pytest.mark.parametrize("slice_ms", [None, 1, 7, 1000])
 def test_last_break(events, W, slice_ms):
-    got = O.with_last_break(events, ["k"], "ts", "seq", F.col("brk"), "b", slice_ms, 0)
+    got = O.with_last_break(events, ["k"], "ts", "seq", F.col("brk"), "b", slice_ms)
     at = F.when(F.col("brk"), F.struct("ts", "seq"))
     want = events.withColumn("b", F.max(at).over(W.rowsBetween(Window.unboundedPreceding, -1)))
     flat = lambda df: rows(df.select("k", "seq", F.col("b.ts"), F.col("b").getField("tie" if "tie" in df.schema["b"].dataType.names else "seq")))

@@ -58,3 +58,26 @@ def test_small_upsert_does_not_shuffle_the_store(spark, sf):
     assert len(merged.collect()) == store.count()
     final = plan_of(merged).split("Initial Plan")[0]
     assert "BroadcastHashJoin" in final and "SortMergeJoin" not in final
+
+
+def scans(plan):
+    return len(re.findall(r"FileScan parquet", plan))
+
+
+@pytest.mark.parametrize("name,most_scans,exchanges", [("status_transition_audit", 1, 1), ("running_tenant_count", 2, None),
+                                                       ("idempotent_ingest", 3, None)])
+def test_ordered_queries_read_no_more_than_needed(spark, sf, name, most_scans, exchanges):
+    plan = plan_of(entry.queries()[name](spark, sf))
+    assert scans(plan) <= most_scans
+    if exchanges is not None:
+        assert len(re.findall(r"\bExchange hashpartitioning", plan)) == exchanges
+
+
+def test_retry_counts_shuffle_once_before_the_aggregate(spark, sf):
+    plan = plan_of(entry.queries()["retry_counts"](spark, sf))
+    assert scans(plan) == 1 and len(re.findall(r"\bExchange hashpartitioning", plan)) == 1
+
+
+def test_a_grant_filter_reads_the_events_once(spark, sf):
+    plan = plan_of(entry.queries()["tenant_class_filter"](spark, sf))
+    assert len(re.findall(r"FileScan parquet [^\n]*events\.parquet", plan)) == 1

@@ -22,25 +22,33 @@ def settle(spark, strategy, local, remote):
     return R.resolve_with(pairs, strategy).first()["resolved"]
 
 
-@pytest.mark.parametrize("strategy,local,remote,cloud,status", [
-    ("LAST_WRITE_WINS", (200, {}), (100, {}), "aws", "CONFLICT_RESOLVED"),
-    ("LAST_WRITE_WINS", (100, {}), (200, {}), "azure", "CONFLICT_RESOLVED"),
-    ("LAST_WRITE_WINS", (100, {}), (100, {}), "azure", "CONFLICT_RESOLVED"),
-    ("HIGHEST_VECTOR_CLOCK", (100, {"node-a": 1}), (200, {"node-a": 2}), "azure", "CONFLICT_RESOLVED"),
-    ("HIGHEST_VECTOR_CLOCK", (200, {"node-a": 2}), (100, {"node-a": 1}), "aws", "CONFLICT_RESOLVED"),
-    ("HIGHEST_VECTOR_CLOCK", (200, {"aws": 1}), (100, {"azure": 1}), "aws", "CONFLICT_RESOLVED"),
-    ("HIGHEST_VECTOR_CLOCK", (100, {"a": 1}), (900, {"a": 1}), "aws", "CONFLICT_RESOLVED"),
-    ("CLOUD_PRIORITY", (100, {}), (999, {}), "aws", "CONFLICT_RESOLVED"),
-    ("MANUAL_REVIEW", (100, {}), (200, {}), "aws", "CONFLICT_DETECTED"),
-])
-def test_strategies(spark, strategy, local, remote, cloud, status):
-    got = settle(spark, strategy, record("aws", *local), record("azure", *remote))
-    assert (got["sourceCloud"], got["syncStatus"]) == (cloud, status)
-
-
-def test_last_write_merges_clocks(spark):
-    got = settle(spark, "LAST_WRITE_WINS", record("aws", 200, {"aws": 1}), record("azure", 100, {"azure": 1}))
-    assert got["vectorClock"] == {"aws": 1, "azure": 1}
+CLOCKS = {"EQUAL": ({"n1": 4, "n2": 7}, {"n1": 4, "n2": 7}), "BEFORE": ({"n1": 4}, {"n1": 5, "n2": 1}),
+          "AFTER": ({"n1": 6, "n3": 2}, {"n3": 2}), "CONCURRENT": ({"n1": 9, "n2": 3}, {"n1": 8, "n2": 4})}
+TIMES = [(1_700_000_300, 1_700_000_120), (1_700_000_120, 1_700_000_300), (1_700_000_120, 1_700_000_120)]
+
+
+def expected(strategy, rel, ta, tb):
+    """Side that stays, status and clock by the plain rules."""
+    left, right = CLOCKS[rel]
+    newer = "aws" if ta > tb else "azure"  # of equal times the larger cloud name
+    side = {"LAST_WRITE_WINS": newer, "CLOUD_PRIORITY": "aws", "MANUAL_REVIEW": "aws", "FIELD_MERGE": newer,
+            "HIGHEST_VECTOR_CLOCK": {"BEFORE": "azure", "CONCURRENT": newer}.get(rel, "aws")}[strategy]
+    if strategy == "MANUAL_REVIEW":
+        return side, "CONFLICT_DETECTED", left
+    return side, "CONFLICT_RESOLVED", {n: max(left.get(n, 0), right.get(n, 0)) for n in {*left, *right}}
+
+
+@pytest.mark.parametrize("strategy", ["LAST_WRITE_WINS", "HIGHEST_VECTOR_CLOCK", "CLOUD_PRIORITY", "FIELD_MERGE", "MANUAL_REVIEW"])
+def test_strategies_under_every_clock_relation(spark, strategy):
+    cases = [(rel, ta, tb) for rel in CLOCKS for ta, tb in TIMES]
+    name = lambda i: f"invoice-{i:02d}"
+    local = [record("aws", ta, CLOCKS[rel][0], b"left", "INVOICE", name(i)) for i, (rel, ta, _) in enumerate(cases)]
+    remote = [record("azure", tb, CLOCKS[rel][1], b"right", "INVOICE", name(i)) for i, (rel, _, tb) in enumerate(cases)]
+    pairs = R.pair(spark.createDataFrame(remote, FIELDS), spark.createDataFrame(local, FIELDS), "inner")
+    got = {r["resolved"]["aggregateId"]: r["resolved"] for r in R.resolve_with(pairs, strategy).collect()}
+    for i, case in enumerate(cases):
+        r = got[name(i)]
+        assert (r["sourceCloud"], r["syncStatus"], r["vectorClock"]) == expected(strategy, *case), case
 
 
 def merged(spark, a, b, ta=200, tb=100):
@@ -49,8 +57,8 @@ def merged(spark, a, b, ta=200, tb=100):
 
 
 def test_field_merge(spark):
-    got = merged(spark, b'{"a":1,"b":2}', b'{"c":3}')
-    assert json.loads(bytes(got["payload"])) == {"a": 1, "b": 2, "c": 3}
+    got = merged(spark, b'{"street":"Elm","no":17}', b'{"zip":"04109"}')
+    assert json.loads(bytes(got["payload"])) == {"street": "Elm", "no": 17, "zip": "04109"}
     assert got["syncStatus"] == "CONFLICT_RESOLVED" and got["wallClockTs"] == 200
 
 
@@ -68,7 +76,7 @@ def test_field_merge_json_null_is_a_value(spark):
     assert json.loads(bytes(merged(spark, b'{"a":1}', b'{"a":null}', 100, 200)["payload"])) == {"a": None}
 
 
-@pytest.mark.parametrize("a,b", [(b"\x01\x02", b"\x03\x04"), (b"[1]", b'{"a":1}'), (b'{"a":1}', b"3"), (b"", b"{}"), (None, b"{}")])
+@pytest.mark.parametrize("a,b", [(b"\xff\xfe\xfd", b"plain text"), (b"[1]", b'{"a":1}'), (b'{"a":1}', b"3"), (b"", b"{}"), (None, b"{}")])
 def test_field_merge_falls_back_to_last_write(spark, a, b):
     got = merged(spark, a, b)
     assert got["sourceCloud"] == "aws"
@@ -133,9 +141,9 @@ def fold(versions):
     return state
 
 
-@pytest.mark.parametrize("fold_limit,slice_ms", [(1000, 1), (0, 1), (0, 3), (3, 1000)])
-def test_resolve_all_equals_sequential_fold(spark, fold_limit, slice_ms):
-    rnd = random.Random(slice_ms + fold_limit)
+@pytest.mark.parametrize("slice_ms", [1, 3, 1000])
+def test_resolve_all_equals_sequential_fold(spark, slice_ms):
+    rnd = random.Random(slice_ms)
     data, want = [], {}
     for agg in range(120):
         versions = []
@@ -148,7 +156,7 @@ def test_resolve_all_equals_sequential_fold(spark, fold_limit, slice_ms):
         want[str(agg)] = (f["id"], f["cloud"], f["ts"], f["status"], {n: c for n, c in f["clock"].items() if c > 0}, len(versions))
     df = spark.createDataFrame(data, "tenantId string, aggregateId string, id string, sourceCloud string, vectorClock map<string,bigint>, wallClockTs bigint, syncStatus string")
     got = {r["aggregateId"]: (r["id"], r["sourceCloud"], r["wallClockTs"], r["syncStatus"], r["vectorClock"], r["versions"])
-           for r in R.resolve_all(df, fold_limit, slice_ms).collect()}
+           for r in R.resolve_all(df, slice_ms).collect()}
     assert got == want
 
 
@@ -224,3 +232,54 @@ def test_hot_aggregate_join_is_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+# ---- several changes of one aggregate ------------------------------------------------------------
+
+def apply_one(state, change, kind):
+    """What one incoming record does to the stored one: (stored afterwards, resolved, parked)."""
+    if state is None or relation(state["clock"], change["clock"]) != "CONCURRENT":
+        return {**change, "status": "SYNCED"}, 0, 0
+    if kind == "RESTRICTED_DATA":
+        return state, 0, 1
+    stays = state["cloud"] == "aws" if kind == "TENANT_CONFIG" else (state["ts"], state["cloud"]) >= (change["ts"], change["cloud"])
+    both = {n: max(state["clock"].get(n, 0), change["clock"].get(n, 0)) for n in {*state["clock"], *change["clock"]}}
+    return {**(state if stays else change), "clock": both, "status": "CONFLICT_RESOLVED"}, 1, 0
+
+
+MANY = FIELDS + ", seq bigint"
+
+
+@pytest.mark.parametrize("step", [1, 3, 1000])
+def test_many_changes_equal_a_sequential_loop(spark, step):
+    rnd = random.Random(step)
+    kinds = ["TENANT_CONFIG", "RESTRICTED_DATA", "ORDER", "AUDIT_RECORD"]
+    clock = lambda: {n: rnd.randrange(1, 5) for n in ("aws", "azure", "gcp") if rnd.random() < 0.7}
+    make = lambda agg, i: (f"id-{i}", "tenant-1", kinds[agg % 4], f"agg-{agg}", rnd.choice(["aws", "azure"]), b"{}", clock(),
+                           rnd.randrange(50), 1, "PENDING", i)
+    stored = [make(agg, -agg - 1) for agg in range(0, 12, 2)]
+    changes = [make(rnd.randrange(12), i) for i in range(90)]
+    config = {"TENANT_CONFIG": "CLOUD_PRIORITY", "RESTRICTED_DATA": "MANUAL_REVIEW", "AUDIT_RECORD": "LAST_WRITE_WINS"}
+    plain = lambda r: {"id": r[0], "cloud": r[4], "clock": r[6], "ts": r[7], "status": r[9]}
+    state = {r[3]: (plain(r), 0, 0, 0) for r in stored}
+    for r in changes:
+        old, n, m, p = state.get(r[3], (None, 0, 0, 0))
+        new, resolved, parked = apply_one(old, plain(r), r[2])
+        state[r[3]] = (new, n + 1, m + resolved, p + parked)
+    got = R.sync_apply_many(spark.createDataFrame(changes, MANY), spark.createDataFrame([r[:-1] for r in stored], FIELDS),
+                            config, order=["seq"], step=step).collect()
+    assert {r["aggregateId"] for r in got} == {r[3] for r in changes}
+    for r in got:
+        want, n, m, p = state[r["aggregateId"]]
+        rec = r["record"]
+        assert (rec["id"], rec["syncStatus"], rec["vectorClock"], rec["wallClockTs"]) == (want["id"], want["status"], want["clock"], want["ts"])
+        assert (r["changes"], r["resolvedCount"], len(r["parked"])) == (n, m, p)
+
+
+def test_the_second_change_meets_the_result_of_the_first(spark):
+    stored = [record("aws", 1, {"aws": 1})]
+    changes = [record("azure", 10, {"azure": 1}) + (1,), record("azure", 5, {"azure": 2}) + (2,)]
+    got = R.sync_apply_many(spark.createDataFrame(changes, MANY), spark.createDataFrame(stored, FIELDS), order=["seq"]).first()
+    assert got["record"]["vectorClock"] == {"aws": 1, "azure": 2}
+    empty = spark.createDataFrame([], MANY)
+    assert R.sync_apply_many(empty, spark.createDataFrame(stored, FIELDS), order=["seq"]).count() == 0

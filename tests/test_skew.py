@@ -1,5 +1,6 @@
 import pytest
 from conftest import rows
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import dedup as D
@@ -13,38 +14,34 @@ def skewed(spark):
     return spark.range(9000).select("id", key.alias("key"))
 
 
-@pytest.fixture(scope="module")
-def lookup(skewed):
-    return (K.weights(skewed.where("key is not null"), ["key"], "w").where("key = 'hot' or substr(key, 2) % 2 = 0")
-            .withColumn("label", F.concat(F.lit("L-"), "key")))
-
-
-@pytest.mark.parametrize("share", [1, 5, 1000, 10**9])
-@pytest.mark.parametrize("how", ["inner", "left", "semi"])
-def test_equals_plain_join(skewed, lookup, how, share):
-    got = K.spread_join(skewed, lookup, ["key"], "w", ["id"], how, share, floor=0)
-    plain = skewed.join(lookup.drop("w"), "key", {"semi": "left_semi"}.get(how, how))
-    want = plain.select("id", "key", *([] if how == "semi" else ["label"]))
-    assert rows(got) == rows(want)
+@pytest.mark.parametrize("salts", [1, 4, 256])
+def test_group_totals_equal_a_window(skewed, salts):
+    keyed = skewed.where("key is not null")
+    got = K.with_group_totals(keyed, ["key"], ["id"], {"n": F.count(F.lit(1)), "m": F.min("id")},
+                              {"rows": (F.sum, "n"), "first": (F.min, "m")}, salts)
+    w = Window.partitionBy("key")
+    assert rows(got) == rows(keyed.select("*", F.count(F.lit(1)).over(w).alias("rows"), F.min("id").over(w).alias("first")).select(got.columns))
 
 
-def test_semi_join_helper(skewed, spark):
-    pairs = spark.createDataFrame([("hot",), ("k1",), ("k1",), ("zz",)], "key string")
-    got = K.spread_semi_join(skewed, pairs, ["key"], ["id"])
-    assert rows(got) == rows(skewed.join(pairs, "key", "left_semi").select("id", "key"))
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_lookup_join_equals_plain_join(skewed, spark, how):
+    lookup = spark.createDataFrame([("hot", "H"), ("k1", "one"), ("zz", "none")], "key string, label string")
+    got = K.lookup_join(skewed, lookup, ["key"], ["id"], how)
+    assert rows(got) == rows(skewed.join(lookup, "key", how).select(got.columns))
 
 
-def test_hot_key_leaves_its_hash_partition(skewed, lookup, spark):
-    """The rows of the hot key are on many tasks after the shuffle join."""
+def test_hot_key_leaves_its_hash_partition(skewed, spark):
+    """The rows of the hot key are on many tasks after either join."""
+    lookup = spark.createDataFrame([("hot", "H"), ("k1", "one")], "key string, label string")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        joined = K.spread_join(skewed, lookup, ["key"], "w", ["id"], share=100, floor=0)
-        tasks = joined.where("key = 'hot'").select(F.spark_partition_id()).distinct().count()
+        for joined in (K.lookup_join(skewed, lookup, ["key"], ["id"]),
+                       K.with_group_totals(skewed.where("key is not null"), ["key"], ["id"], {"n": F.count(F.lit(1))}, {"rows": (F.sum, "n")})):
+            assert joined.where("key = 'hot'").select(F.spark_partition_id()).distinct().count() >= 7
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert tasks == 8
 
 
 def brute_force(points, ttl):

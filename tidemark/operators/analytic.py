@@ -75,14 +75,16 @@ def growth_on(counts: DataFrame, day: str) -> DataFrame:
                           "weekOnWeekGrowthPct": pct("prevWeekEvents")}))
 
 
-def failed_login_streaks(logins: DataFrame, floor: int = O.skew.HOT_FLOOR) -> DataFrame:
+def failed_login_streaks(logins: DataFrame, slice_ms: int | None = None) -> DataFrame:
     """Runs of failures without a success in between; the fifth failure locks the account.
 
-    Every further failure of the run renews the lock.
+    Every further failure of the run renews the lock.  An account is a small key; give a slice length
+    where one may hold much of the table.
     """
     keys = ["username"]
     known = logins.where(F.col("username").isNotNull() & F.col("at").isNotNull())
-    runs = O.with_running_sum(O.with_slice(known, keys, "at", floor=floor), keys, "at", "seq", F.col("failed").cast("bigint"), "_f")
+    runs = known if slice_ms is None else O.time_slice(known, "at", slice_ms)
+    runs = O.with_running_sum(runs, keys, "at", "seq", F.col("failed").cast("bigint"), "_f")
     runs = O.with_running_max(runs, keys, "at", "seq", F.when(~F.col("failed"), F.col("_f")), "_base")
     base = F.coalesce("_base", F.lit(0))
     failures = runs.where("failed").withColumns({"_base": base, "streak": F.col("_f") - base})
@@ -94,10 +96,21 @@ def failed_login_streaks(logins: DataFrame, floor: int = O.skew.HOT_FLOOR) -> Da
 
 
 def held_intervals(samples: DataFrame, keys: list[str], ts: str, tie: str, holds: Column,
-                   extra: dict | None = None, floor: int = O.skew.HOT_FLOOR) -> DataFrame:
-    """Maximal runs of samples for which ``holds`` is true, per key: start, end and sample count."""
-    marked = O.with_last_break(samples.withColumn("_h", F.coalesce(holds, F.lit(False))),
-                               keys, ts, tie, ~F.col("_h"), "_run", floor=floor)
+                   extra: dict | None = None, slice_ms: int = O.SLICE_MS, max_gap: int | None = None) -> DataFrame:
+    """Maximal runs of samples for which ``holds`` is true, per key: start, end and sample count.
+
+    With ``max_gap`` a longer silence between two samples ends a run: nothing is known to hold then.
+    """
+    marked = O.time_slice(samples.withColumn("_h", F.coalesce(holds, F.lit(False))), ts, slice_ms)
+    is_break = ~F.col("_h")
+    if max_gap is None:
+        marked = O.with_last_break(marked, keys, ts, tie, is_break, "_run").withColumn("_run", F.struct("_run"))
+    else:
+        marked = O.with_previous(marked, keys, ts, tie, {"_sampled": ts})
+        marked = O.with_last_break(marked, keys, ts, tie, is_break, "_run")
+        silent = F.coalesce(F.col(ts) - F.col("_sampled") > max_gap, F.lit(False))
+        marked = O.with_running_sum(marked, keys, ts, tie, silent.cast("bigint"), "_silences")
+        marked = marked.withColumn("_run", F.struct("_run", "_silences"))
     aggs = [F.min(ts).alias("startAt"), F.max(ts).alias("endAt"), F.count(F.lit(1)).alias("samples")]
     aggs += [v.alias(k) for k, v in (extra or {}).items()]
     return marked.where("_h").groupBy(*keys, "_run").agg(*aggs).drop("_run")

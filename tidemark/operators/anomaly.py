@@ -81,19 +81,18 @@ def window_scores(events: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
 
 
 def score_events(events: DataFrame, window_ms: int = WINDOW_MS, slices: int = 8,
-                 id_col: str = "id", floor: int = O.skew.HOT_FLOOR) -> DataFrame:
+                 id_col: str = "id") -> DataFrame:
     """Every CONFIDENTIAL or RESTRICTED event with its ordinal in the window, score and verdict.
 
-    A heavy tenant's windows are cut into ``slices`` so that its bursts spread over tasks.  Slice
+    Windows are cut into ``slices`` so that a heavy tenant's bursts spread over tasks.  Slice
     offsets and the baseline come from one aggregate with a row per window and its at most
     ``slices + 1`` slice counts, and reach the events in a single join on the partitioning the
     ordinal needs anyway.
     """
     slice_ms = max(window_ms // slices, 1)
     keys = ["tenantId", "windowStart"]
-    ev = O.with_slice(events.where(E.is_enriched("classification"))
-                      .withColumn("windowStart", E.window_start("createdAt", window_ms)),
-                      ["tenantId"], "createdAt", slice_ms, floor)
+    ev = O.time_slice(events.where(E.is_enriched("classification"))
+                      .withColumn("windowStart", E.window_start("createdAt", window_ms)), "createdAt", slice_ms)
     per_window = (ev.groupBy(*keys, O.SLICE).agg(F.count(F.lit(1)).alias("n")).groupBy(*keys)
                   .agg(F.sum("n").alias("n"), F.collect_list(F.struct(F.col(O.SLICE).alias("s"), "n")).alias("_parts")))
     earlier = lambda part: F.aggregate(F.filter("_parts", lambda p: p["s"] < part["s"]), F.lit(0).cast("bigint"),

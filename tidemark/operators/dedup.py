@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import ordered as O
-from tidemark.operators.skew import spread_join
+from tidemark.operators.skew import with_group_totals
 from tidemark.session import cut_lineage
 
 # Keys with at most this many distinct arrival times are folded in one row's array; larger ones
@@ -18,14 +18,14 @@ def idempotent_ingest(df: DataFrame, key: str = "idempotencyKey", ts: str = "cre
                       tie: str = "seq") -> DataFrame:
     """Map every row to the first row with its idempotency key.
 
-    Adds ``winnerId`` and ``duplicate``.  Winners come from a partial aggregate, not a window, so
-    a key repeated a billion times is one row per map task, and ``spread_join`` keeps its rows
-    apart.  Rows without a key are never duplicates and skip both shuffles.
+    Adds ``winnerId`` and ``duplicate``.  Winners come from salted partial aggregates, so a key
+    repeated a billion times is no single task.  Rows without a key are never duplicates and skip
+    the shuffles.
     """
     keyed = df.where(F.col(key).isNotNull())
-    winners = keyed.groupBy(key).agg(F.min_by("id", F.struct(ts, tie)).alias("winnerId"),
-                                     F.count(F.lit(1)).alias("_n"))
-    mapped = (spread_join(keyed, winners, [key], "_n", ["id"])
+    first = F.min(F.struct(F.col(ts).alias("t"), F.col(tie).alias("s"), F.col("id").alias("id")))
+    mapped = (with_group_totals(keyed, [key], ["id"], {"_p": first}, {"_first": (F.min, "_p")})
+              .withColumn("winnerId", F.col("_first.id")).drop("_first")
               .withColumn("duplicate", F.col("winnerId") != F.col("id")))
     unkeyed = df.where(F.col(key).isNull()).withColumn("winnerId", F.col("id")).withColumn("duplicate", F.lit(False))
     return mapped.unionByName(unkeyed.select(mapped.columns))
@@ -59,8 +59,8 @@ def accept_with_ttl(df: DataFrame, keys: list[str], ts: str, tie: str, ttl_ms: i
     if sizes.where(F.col("_n") > fold_limit).isEmpty():
         accepted = _fold(points, keys, tie, ttl_ms)
     else:
-        flagged = sizes.withColumn("_large", F.col("_n") > fold_limit)
-        sized = cut_lineage(spread_join(points, flagged, keys, "_n", ["_t"]), "ttl-points")
+        sized = with_group_totals(points, keys, ["_t"], {"_p": F.count(F.lit(1))}, {"_n": (F.sum, "_p")})
+        sized = cut_lineage(sized.withColumn("_large", F.col("_n") > fold_limit).drop("_n"), "ttl-points")
         large = sized.where("_large").drop("_large")
         accepted = (_fold(sized.where(~F.col("_large")).drop("_large"), keys, tie, ttl_ms)
                     .unionByName(_follow(large, keys, tie, ttl_ms, slice_ms or max(ttl_ms // 16, 1))))

@@ -21,6 +21,7 @@ MAX_BACKOFF_SECONDS = 3600
 ERROR_CHARS = 1024
 KEY_AGE_DAYS = 90
 DAY_MS = 86_400_000
+KEY_SLICE_MS = 30 * DAY_MS  # a tenant rotates a class's key a few times a month
 
 
 def header(name: str, default: str = "unknown") -> Column:
@@ -97,7 +98,7 @@ def conflict_entries(pairs: DataFrame, now_ms: int, left: str = "incoming", righ
         _b64("payload").alias("payloadB64"), _b64("_other").alias("competingPayloadB64"),
         clock_text().alias("vectorClockJson"), "wallClockTs", "schemaVersion",
         F.lit("CONFLICT_REVIEW").alias("status"), F.lit("MANUAL_REVIEW").alias("conflictStrategy"),
-        F.lit("Manual review required for conflict").alias("errorMessage"), F.lit(0).alias("retryCount"),
+        F.lit("held until someone decides between the two versions").alias("errorMessage"), F.lit(0).alias("retryCount"),
         F.lit(now_ms).cast("bigint").alias("nextRetryAt"))
     return rows
 
@@ -105,7 +106,7 @@ def conflict_entries(pairs: DataFrame, now_ms: int, left: str = "incoming", righ
 def key_versions(rotations: DataFrame) -> DataFrame:
     """Validity of every key version: retired by the next rotation of its tenant and class."""
     keys = ["tenantId", "classification"]
-    sliced = O.with_slice(rotations, keys, "createdAt")
+    sliced = O.time_slice(rotations, "createdAt", KEY_SLICE_MS)
     nxt = O.with_next(sliced, keys, "createdAt", "seq", {"rotatedAt": "createdAt"})
     counted = O.with_ordinal(nxt, keys, "createdAt", "seq", "rotationCount").drop(O.SLICE)
     return counted.withColumn("active", F.col("rotatedAt").isNull())
@@ -168,6 +169,13 @@ def page(df: DataFrame, order: list, page_no: int, size: int) -> DataFrame:
             .withColumns({"totalPages": pages, "hasNext": F.lit(page_no) < pages - 1}))
 
 
+def page_info(df: DataFrame, page_no: int, size: int) -> DataFrame:
+    """Totals of a paged listing as one row, which is there for a page past the end as well."""
+    pages = F.ceil(F.col("totalElements") / F.lit(size))
+    return (df.agg(F.count(F.lit(1)).alias("totalElements"))
+            .withColumns({"totalPages": pages, "hasNext": F.lit(page_no) < pages - 1}))
+
+
 def page_after(df: DataFrame, ts: str, tie: str, last_ts: int, last_tie, size: int) -> DataFrame:
     """Next page, newest first, after a known last row: depth costs nothing."""
     older = (F.col(ts) < last_ts) | ((F.col(ts) == last_ts) & (F.col(tie) < last_tie))

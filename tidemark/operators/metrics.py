@@ -63,16 +63,16 @@ def with_rules(samples: DataFrame, rules: list[tuple], names: list[str], match:
         *samples.columns, *[F.col(f"_rule.{n}").alias(n) for n in names if n != match])
 
 
-def threshold_alerts(samples: DataFrame, rules: list[tuple] = ALERTS) -> DataFrame:
+def threshold_alerts(samples: DataFrame, rules: list[tuple] = ALERTS, max_gap: int | None = None) -> DataFrame:
     """Alerts whose condition held without a break for the rule's time.
 
     ``samples`` is (metric, series, ts, seq, value).  An alert is pending from its first sample
-    and fires once it has held long enough.
+    and fires once it has held long enough.  A silence beyond ``max_gap`` milliseconds is a break.
     """
     ruled = with_rules(samples, rules, ["alert", "metric", "op", "threshold", "heldSeconds", "severity"])
     breach = _compare(F.col("op"), F.col("value"), F.col("threshold"))
     held = W.held_intervals(ruled, ["alert", "severity", "heldSeconds", "series"], "ts", "seq", breach,
-                            {"peak": F.max("value")})
+                            {"peak": F.max("value")}, max_gap=max_gap)
     wait = F.col("heldSeconds") * 1000
     return (held.where(F.col("endAt") - F.col("startAt") >= wait)
             .withColumn("firedAt", F.col("startAt") + wait).drop("heldSeconds"))
@@ -81,7 +81,7 @@ def threshold_alerts(samples: DataFrame, rules: list[tuple] = ALERTS) -> DataFra
 def counter_rate(samples: DataFrame, keys: list[str], window_ms: int, value: str = "value",
                  ts: str = "ts", tie: str = "seq") -> DataFrame:
     """Increase per second in each window; a counter that fell was reset and counts from zero."""
-    prev = O.with_previous(samples, keys, ts, tie, {"_p": value})
+    prev = O.with_previous(samples, keys, ts, tie, {"_p": value}, max(window_ms, O.SLICE_MS))
     v, p = F.col(value), F.col("_p")
     delta = F.when(p.isNull(), 0.0).when(v >= p, v - p).otherwise(v)
     return (prev.withColumn("windowStart", E.window_start(ts, window_ms)).groupBy(*keys, "windowStart")
@@ -96,10 +96,13 @@ def ratio(numerator: DataFrame, denominator: DataFrame, keys: list[str], value:
             .withColumn("ratio", F.try_divide("_n", "_d")).drop("_n", "_d"))
 
 
-def ratio_alerts(ratios: DataFrame, series: list[str], rule: tuple, ts: str = "windowStart") -> DataFrame:
+def ratio_alerts(ratios: DataFrame, series: list[str], rule: tuple, window_ms: int, ts: str = "windowStart") -> DataFrame:
+    """Alerts on a ratio per window of ``window_ms``: a window holds until its end, a missing one is a break."""
     name, op, threshold, held_seconds, severity = rule
     breach = _compare(F.lit(op), F.col("ratio"), F.lit(threshold))
-    held = W.held_intervals(ratios, series, ts, ts, breach, {"peak": F.max("ratio")})
+    worst = F.min("ratio") if op == "<" else F.max("ratio")
+    held = W.held_intervals(ratios, series, ts, ts, breach, {"peak": worst}, max_gap=window_ms).withColumn(
+        "endAt", F.col("endAt") + window_ms)
     wait = held_seconds * 1000
     return (held.where(F.col("endAt") - F.col("startAt") >= wait)
             .withColumns({"alert": F.lit(name), "severity": F.lit(severity), "firedAt": F.col("startAt") + wait}))
@@ -133,11 +136,12 @@ def histogram_quantile(buckets: DataFrame, keys: list[str], q: float) -> DataFra
 
 
 def alarm_states(samples: DataFrame, alarms: list[tuple] = ALARMS) -> DataFrame:
-    """State of each alarm in every period that has data.
+    """State of each alarm in every period that has data, and in the first one without after an alarm.
 
     A period breaches when its statistic does; the alarm is on when the period and the ones right
     before it breach, as many as the alarm asks for.  A period without data does not breach, which
-    a RANGE frame over period numbers expresses without generating empty periods.
+    a RANGE frame over period numbers expresses without generating empty periods.  Where an alarm
+    is on and no data follows, a row without a value shows that it goes off.
     """
     names = ["alarm", "metric", "statistic", "periodSeconds", "op", "threshold", "periods"]
     ruled = with_rules(samples, alarms, names)
@@ -156,5 +160,12 @@ def alarm_states(samples: DataFrame, alarms: list[tuple] = ALARMS) -> DataFrame:
     for n in sorted({a[6] for a in alarms}):
         held = F.sum(F.col("breaching").cast("int")).over(w.rangeBetween(-(n - 1), 0)) == n
         in_alarm = F.when(F.col("periods") == n, held).otherwise(in_alarm)
-    return per.select("alarm", "series", (F.col("_period") * F.col("periodSeconds") * 1000).alias("periodStart"),
-                      "value", "breaching", in_alarm.alias("inAlarm"))
+    state = per.withColumns({"_on": in_alarm, "_next": F.lead("_period").over(w)})
+    ends = F.col("_on") & (F.col("_next").isNull() | (F.col("_next") > F.col("_period") + 1))
+    row = lambda period, value, breaching, on: F.struct(
+        period.alias("p"), value.alias("value"), breaching.alias("breaching"), on.alias("inAlarm"))
+    rows = F.array(row(F.col("_period"), F.col("value"), F.col("breaching"), F.col("_on")),
+                   F.when(ends, row(F.col("_period") + 1, F.lit(None).cast("double"), F.lit(False), F.lit(False))))
+    shown = state.select("alarm", "series", "periodSeconds", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r"))
+    return shown.select("alarm", "series", (F.col("r.p") * F.col("periodSeconds") * 1000).alias("periodStart"),
+                        "r.value", "r.breaching", "r.inAlarm")

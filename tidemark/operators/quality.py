@@ -47,21 +47,21 @@ def validate_events(df: DataFrame) -> DataFrame:
     return df.withColumn("violations", broken).withColumn("valid", F.size("violations") == 0)
 
 
-def status_transitions(history: DataFrame, slice_ms: int = O.SLICE_MS, floor: int = O.skew.HOT_FLOOR) -> DataFrame:
+def status_transitions(history: DataFrame, slice_ms: int | None = None) -> DataFrame:
     """Each status change with its predecessor and whether the lifecycle allows the step.
 
     A first row has no predecessor and is legal when it is the initial state.
     """
-    steps = O.with_previous(history, ["id"], "changedAt", "seq", {"previous": "status"}, slice_ms, floor)
+    steps = O.with_previous(history, ["id"], "changedAt", "seq", {"previous": "status"}, slice_ms)
     step = F.concat_ws(">", "previous", "status")
     legal = F.when(F.col("previous").isNull(), F.col("status") == "PENDING").otherwise(
         step.isin(S.ALLOWED_TRANSITIONS))
     return steps.withColumn("legal", legal)
 
 
-def retry_counts(history: DataFrame, slice_ms: int = O.SLICE_MS, floor: int = O.skew.HOT_FLOOR) -> DataFrame:
+def retry_counts(history: DataFrame, slice_ms: int | None = None) -> DataFrame:
     """Retries per event (FAILED to PROCESSING) and whether it was dead-lettered."""
-    steps = status_transitions(history, slice_ms, floor)
+    steps = status_transitions(history, slice_ms)
     after_failure = F.col("previous") == "FAILED"
     return steps.groupBy("id").agg(
         E.count_if(after_failure & (F.col("status") == "PROCESSING")).alias("retryCount"),

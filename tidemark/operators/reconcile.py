@@ -17,11 +17,9 @@ from tidemark.functions import clocks as C
 from tidemark.functions import events as E
 from tidemark.functions import text as X
 from tidemark.operators import ordered as O
-from tidemark.operators.skew import spread_join
 from tidemark.session import cut_lineage
 
 KEYS = ["tenantId", "aggregateId"]
-SAMPLE_SIZE = 100
 RPO_SECONDS = 300
 VERSION_ORDER = ["wallClockTs", "sourceCloud", "id"]
 STEP_CHANGES = 1024  # changes of one aggregate folded in one row
@@ -260,62 +258,21 @@ def upsert_latest(existing: DataFrame, changes: DataFrame, keys: list[str] = KEY
 
 # ---- many versions of one aggregate --------------------------------------------------------------
 
-# Aggregates with at most this many versions are folded inside one row.
-FOLD_LIMIT = 1024
-
-
-def resolve_all(versions: DataFrame, fold_limit: int = FOLD_LIMIT, slice_ms: int = O.SLICE_MS) -> DataFrame:
+def resolve_all(versions: DataFrame, slice_ms: int = O.SLICE_MS) -> DataFrame:
     """Fold all versions of each aggregate, in (wallClockTs, sourceCloud, id) order, into one winner.
 
     Pair by pair, the causally later side wins with its own clock, and concurrent sides merge
-    clocks and keep the last write.  Aggregates of ordinary size are folded in one array
-    expression; larger ones take the distributed path, which gives the same rows.
+    clocks and keep the last write.  Returns the winner's id, cloud and time, the final status and
+    the final clock (zeros omitted).
 
-    Returns the winner's id, cloud and time, the final status and the final clock (zeros omitted).
-    """
-    versions = versions.select(*KEYS, *VERSION_ORDER, "vectorClock", "syncStatus")
-    sizes = versions.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"))
-    if sizes.where(F.col("_n") > fold_limit).isEmpty():
-        return _fold_versions(versions)
-    flagged = sizes.withColumn("_large", F.col("_n") > fold_limit)
-    sized = cut_lineage(spread_join(versions, flagged, KEYS, "_n", ["id"]), "versions")
-    return (_fold_versions(sized.where(~F.col("_large")).drop("_large"))
-            .unionByName(_scan_versions(sized.where("_large").drop("_large"), slice_ms)))
-
-
-def _fold_versions(versions: DataFrame) -> DataFrame:
-    """The fold as one expression over a sorted array of at most the fold limit."""
-    # A map cannot be sorted, so the clock travels as entries until the array is in order.
-    packed = F.struct(*VERSION_ORDER, "syncStatus", F.map_entries("vectorClock").alias("clock"))
-    listed = versions.groupBy(*KEYS).agg(F.sort_array(F.collect_list(packed)).alias("_vs")).withColumn(
-        "_vs", F.transform("_vs", lambda v: F.struct(*[v[c].alias(c) for c in (*VERSION_ORDER, "syncStatus")],
-                                                     F.map_from_entries(v["clock"]).alias("vectorClock"))))
-
-    def step(a, b):
-        relation = C.compare(a["vectorClock"], b["vectorClock"])
-        winner = F.when(later(a, b), a).otherwise(b)
-        joint = F.struct(*[winner[c].alias(c) for c in VERSION_ORDER], F.lit("CONFLICT_RESOLVED").alias("syncStatus"),
-                         C.merge(a["vectorClock"], b["vectorClock"]).alias("vectorClock"))
-        return F.when(relation == "BEFORE", b).when(relation == "CONCURRENT", joint).otherwise(a)
-
-    rest = F.slice("_vs", 2, F.greatest(F.size("_vs") - 1, F.lit(0)))
-    folded = listed.select(*KEYS, F.size("_vs").cast("bigint").alias("versions"),
-                           F.aggregate(rest, F.element_at("_vs", 1), step).alias("w"))
-    return folded.select(*KEYS, "versions", "w.id", "w.sourceCloud", "w.wallClockTs", "w.syncStatus",
-                         F.map_filter(F.coalesce("w.vectorClock", F.create_map().cast("map<string,bigint>")),
-                                      lambda _n, c: c > 0).alias("vectorClock"))
-
-
-def _scan_versions(versions: DataFrame, slice_ms: int) -> DataFrame:
-    """The fold as prefix maxima and sums over time slices.
-
-    In this order the running clock always equals the per-node maximum so far, because a
+    The fold is computed as prefix maxima and sums over time slices.  In this order the running clock always equals the per-node maximum so far, because a
     dominating clock is the maximum.  So a version matters only if it raises some node above the
     earlier maximum; it then wins if it dominates that maximum or is the first such version of its
     (wallClockTs, sourceCloud).  An aggregate with any number of versions spreads over tasks and
     no list of versions is ever built.
     """
     order = VERSION_ORDER
+    versions = versions.select(*KEYS, *order, "vectorClock", "syncStatus")
     rows = O.time_slice(versions, "wallClockTs", slice_ms)
     nodes = rows.select(*KEYS, O.SLICE, *order, "syncStatus", F.explode("vectorClock").alias("node", "n"))
 
@@ -400,20 +357,24 @@ def tenant_percent(report: DataFrame, tenants: DataFrame) -> DataFrame:
         F.coalesce("consistencyPercent", F.lit(100.0)).alias("consistencyPercent"))
 
 
-def sample_requests(requested: DataFrame, position: str, size: int = SAMPLE_SIZE) -> DataFrame:
+def sample_requests(requested: DataFrame, position: str, size: int) -> DataFrame:
     """The first ``size`` ids per tenant, in list order; a window group limit prunes before the shuffle."""
     w = Window.partitionBy("tenantId").orderBy(position)
     return requested.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= size).drop("_rn")
 
 
 def sampled_report(requested: DataFrame, left: DataFrame, right: DataFrame, position: str,
-                   size: int = SAMPLE_SIZE) -> DataFrame:
-    """Report on a bounded sample per tenant, with the diverged ids as a list of at most ``size``."""
+                   size: int) -> DataFrame:
+    """Report on the first ``size`` ids of each tenant, with the diverged ids as a list of at most that many.
+
+    ``requestedRecords`` tells how many ids were asked for, beside the ``sampledRecords`` looked at.
+    """
     sample = sample_requests(requested, position, size)
     ids = sample.select(*KEYS)
     checked = verdicts(sample, left.join(ids, KEYS, "left_semi"), right.join(ids, KEYS, "left_semi"))
     diverged = F.array_sort(F.collect_list(F.when(F.col("verdict") != "CONSISTENT", F.col("aggregateId"))))
-    return _report(checked, diverged.alias("divergedAggregateIds"))
+    asked = requested.groupBy("tenantId").agg(F.count(F.lit(1)).alias("requestedRecords"))
+    return _report(checked, diverged.alias("divergedAggregateIds")).join(asked, "tenantId")
 
 
 def divergence_counts(checked: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schema as S
 from tidemark.functions import events as E
-from tidemark.operators.skew import spread_semi_join
+from tidemark.operators.skew import lookup_join
 
 DAY_MS = 86_400_000
 # Access-log rules.
@@ -61,7 +61,8 @@ def effective_grants(claims: DataFrame) -> DataFrame:
 
 def visible_to(df: DataFrame, grants: DataFrame, id_col: str = "id") -> DataFrame:
     """Rows whose (tenant, classification) some grant covers, however large one tenant is."""
-    return spread_semi_join(df, effective_grants(grants), ["tenantId", "classification"], [id_col])
+    keys = ["tenantId", "classification"]
+    return lookup_join(df, effective_grants(grants).select(*keys).distinct(), keys, [id_col], "left_semi").select(*df.columns)
 
 
 def access_log_clean(df: DataFrame) -> DataFrame:

@@ -1,68 +1,44 @@
-"""Joins from a large table to one row per key when some keys hold much of the table.
+"""Joins of a large table with one row per key, when one key may hold much of the table.
 
-AQE splits skewed join partitions only when both inputs come straight from a shuffle; a lookup that
-is itself an aggregate on the join key is not such an input.  Here the heavy keys are found
-exactly: at most ``HOT_SHARE`` keys can each hold more than one ``HOT_SHARE``-th of the rows, so
-their lookup rows are a broadcast of proven size, and no other key exceeds a thousandth of a
-percent of the table.  The rows of heavy keys, and those without a key,
-are salted and pass the shuffle join evenly spread without a match; all other keys are small and
-join as usual.
+AQE splits a skewed join partition only when both inputs come straight from a shuffle; a lookup that
+is an aggregate on the join key is not such an input.  Both forms here salt the rows of every key the
+same way, whatever the keys' sizes, so nothing has to be counted first and the plan does not depend
+on the data.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_SHARE = 100_000
-HOT_FLOOR = 100_000  # rows; a key with fewer is no burden to a task
-SALTS = 4096
+SALTS = 256
+COPIES = 16
 
 
-def weights(rows: DataFrame, keys: list[str], out: str = "_weight") -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
+def _salted(rows: DataFrame, spread_by: list[str], salts: int) -> DataFrame:
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)))
 
 
-def is_heavy(weight: str, total: Column, share: int, floor: int) -> Column:
-    return (F.col(weight) > floor) & (F.col(weight) * share > total)
+def with_group_totals(rows: DataFrame, keys: list[str], spread_by: list[str], partial: dict[str, Column],
+                      final: dict[str, tuple], salts: int = SALTS) -> DataFrame:
+    """Add totals per key to ``rows``, whose keys must not be null.
 
-
-def heavy_keys(rows: DataFrame, keys: list[str], share: int = HOT_SHARE, floor: int = HOT_FLOOR) -> DataFrame:
-    """The keys that hold too much of ``rows`` for one task; at most ``share`` of them."""
-    total = rows.agg(F.count(F.lit(1)).alias("t")).scalar()
-    return weights(rows, keys).where(is_heavy("_weight", total, share, floor)).select(*keys)
-
-
-def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str, spread_by: list[str],
-                how: str = "inner", share: int = HOT_SHARE, floor: int = HOT_FLOOR) -> DataFrame:
-    """Add the lookup's columns to ``rows``.
-
-    ``lookup`` has one row per key and in ``weight`` the number of ``rows`` with that key;
-    ``spread_by`` are columns of ``rows`` that differ within a key.  ``how`` is inner, left or semi.
+    ``spread_by`` are columns that differ within a key.  ``partial`` names aggregates per (key, salt)
+    and ``final`` maps an output column to ``(function, partial column)``.  A key has at most
+    ``salts`` partial rows, its total is a window over those, and the rows meet it by (key, salt):
+    no task gets a whole key, and a key with few rows costs as many partial rows.
     """
-    values = [c for c in lookup.columns if c not in (*keys, weight)]
-    packed = F.struct(F.lit(True).alias("_hit"), *[F.col(c) for c in values])
-    total = rows.agg(F.count(F.lit(1)).alias("t")).scalar()
-    heavy = is_heavy(weight, total, share, floor)
-    # The slot follows from the key for a cold row and is a negative salt for a hot one.  It is no
-    # literal on either side, or the optimizer would take it out of the join key.
-    slot = F.pmod(F.xxhash64(*keys), F.lit(1 << 30))
-    hot = lookup.where(heavy).select(*keys, packed.alias("_hot"))
-    cold = lookup.where(~heavy).select(*keys, slot.alias("_slot"), packed.alias("_cold"))
-    keyed = F.lit(True)
-    for key in keys:
-        keyed = keyed & F.col(key).isNotNull()
-    salted = F.when(F.col("_hot").isNull() & keyed, slot).otherwise(
-        -1 - F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)))
-    joined = (rows.join(F.broadcast(hot), keys, "left").withColumn("_slot", salted)
-              .join(cold, [*keys, "_slot"], "left").withColumn("_v", F.coalesce("_hot", "_cold")))
-    if how != "left":
-        joined = joined.where(F.col("_v").isNotNull())
-    kept = [] if how == "semi" else [F.col("_v")[c].alias(c) for c in values]
-    return joined.select(*rows.columns, *kept)
+    salted = _salted(rows, spread_by, salts)
+    whole = Window.partitionBy(*keys)
+    totals = (salted.groupBy(*keys, "_salt").agg(*[c.alias(n) for n, c in partial.items()])
+              .select(*keys, "_salt", *[f(F.col(c)).over(whole).alias(n) for n, (f, c) in final.items()]))
+    return salted.join(totals, [*keys, "_salt"]).drop("_salt")
 
 
-def spread_semi_join(rows: DataFrame, pairs: DataFrame, keys: list[str], spread_by: list[str]) -> DataFrame:
-    """Rows whose key is in ``pairs``, whatever the distribution of keys in ``rows``."""
-    lookup = weights(rows, keys).join(pairs.select(*keys).distinct(), keys, "left_semi")
-    return spread_join(rows, lookup, keys, "_weight", spread_by, "semi")
+def lookup_join(rows: DataFrame, lookup: DataFrame, keys: list[str], spread_by: list[str], how: str = "inner",
+                copies: int = COPIES) -> DataFrame:
+    """Join to a lookup that is small beside ``rows``: it is repeated ``copies`` times, so that many
+    tasks share the rows of one key.  Spark still broadcasts it when its measured size allows.
+    """
+    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)).cast("array<bigint>")))
+    return _salted(rows, spread_by, copies).join(repeated, [*keys, "_salt"], how).drop("_salt")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.skew import spread_join
+from tidemark.operators.skew import with_group_totals
 
 # Sampling policy.
 QUIET_URLS = ["/actuator/health"]
@@ -35,12 +35,13 @@ def tail_sample(spans: DataFrame, bucket: Column | None = None) -> DataFrame:
     """All spans of kept traces: any error, slow from first start to last end, or in the sampled share.
 
     ``bucket`` is the trace's number in 0..99; by default a hash of its id.  The decision is one
-    partial aggregate per trace, and a giant trace's spans are spread over the join.
+    partial aggregate per (trace, salt), so a giant trace is no single task.
     """
     share = F.pmod(F.xxhash64("traceId"), F.lit(100)) if bucket is None else bucket
     heard = drop_noise(spans)
-    kept = (heard.groupBy("traceId")
-            .agg(F.bool_or(F.col("statusCode") == "ERROR").alias("_err"),
-                 (F.max("endMs") - F.min("startMs")).alias("_ms"), F.count(F.lit(1)).alias("_n"))
-            .where(F.col("_err") | (F.col("_ms") >= SLOW_TRACE_MS) | (share < SAMPLE_PERCENT)))
-    return spread_join(heard, kept.select("traceId", "_n"), ["traceId"], "_n", ["spanId"], "semi")
+    whole = with_group_totals(
+        heard.where(F.col("traceId").isNotNull()), ["traceId"], ["spanId"],
+        {"_e": F.bool_or(F.col("statusCode") == "ERROR"), "_s": F.min("startMs"), "_t": F.max("endMs")},
+        {"_err": (F.bool_or, "_e"), "_from": (F.min, "_s"), "_to": (F.max, "_t")})
+    slow = F.col("_to") - F.col("_from") >= SLOW_TRACE_MS
+    return whole.where(F.col("_err") | slow | (share < SAMPLE_PERCENT)).select(*heard.columns)

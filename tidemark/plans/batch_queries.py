@@ -10,6 +10,7 @@ from tidemark.functions import text as X
 from tidemark.operators import aggregates as A
 from tidemark.operators import analytic as W
 from tidemark.operators import anomaly as N
+from tidemark.operators import lifecycle as L
 from tidemark.operators import projections as P
 from tidemark.operators import routing as R
 from tidemark.plans.registry import query
@@ -228,6 +229,13 @@ def stale_processing(spark, sf):
     return R.stale_processing(T.lifecycle_rows(spark, sf), NOW).select("id", "updatedAt")
 
 
+@query("stale_processing_page", "life", f"""
+SELECT id, "updatedAt" FROM life WHERE status='PROCESSING' AND "updatedAt" < {NOW} - 1800000 ORDER BY "updatedAt", id LIMIT 15""")
+def stale_processing_page(spark, sf):
+    """The oldest first, one page."""
+    return R.stale_processing(T.lifecycle_rows(spark, sf), NOW, limit=15).select("id", "updatedAt")
+
+
 @query("dlq_due", "dlq", f"""
 SELECT id, "tenantId", "nextRetryAt" FROM dlq WHERE status='PENDING_RETRY' AND "nextRetryAt" < {NOW}""")
 def dlq_due(spark, sf):
@@ -267,6 +275,24 @@ def retention_candidates(spark, sf):
     return R.retention_candidates(rows, NOW).drop("createdAt")
 
 
+LIMITS = """CASE classification WHEN 'PUBLIC' THEN 365 WHEN 'INTERNAL' THEN 365 WHEN 'CONFIDENTIAL' THEN 730 ELSE 1825 END"""
+
+
+@query("retention_edges", "ev", f"""
+aged AS (SELECT seq, classification, {LIMITS} + seq%7 - 3 AS age FROM ev WHERE classification IN ('PUBLIC','INTERNAL','CONFIDENTIAL','RESTRICTED')),
+pol AS (SELECT *, CASE classification WHEN 'PUBLIC' THEN -1 WHEN 'INTERNAL' THEN 365 WHEN 'CONFIDENTIAL' THEN 730 ELSE 1825 END AS db,
+  CASE classification WHEN 'PUBLIC' THEN 365 WHEN 'INTERNAL' THEN 730 WHEN 'CONFIDENTIAL' THEN 1825 ELSE 2555 END AS obj FROM aged)
+SELECT seq, classification, age AS "ageDays", db>=0 AND age>db AS "purgeDb", obj>=0 AND age>obj AS "expireObject",
+  classification IN ('CONFIDENTIAL','RESTRICTED') AS "auditDeletion" FROM pol WHERE (db>=0 AND age>db) OR (obj>=0 AND age>obj)""")
+def retention_edges(spark, sf):
+    """Ages of up to three days around each class's limit: most rows stay."""
+    ev = T.data_events(spark, sf).where(F.col("classification").isin(S.CLASSIFICATIONS))
+    c = F.col("classification")
+    limit = F.when(c.isin("PUBLIC", "INTERNAL"), 365).when(c == "CONFIDENTIAL", 730).otherwise(1825)
+    rows = ev.select("seq", "classification", (F.lit(NOW) - (limit + F.col("seq") % 7 - 3) * 86_400_000).alias("createdAt"))
+    return R.retention_candidates(rows, NOW).drop("createdAt")
+
+
 @query("active_users", "users", f"""
 SELECT username, "tenantId" FROM users WHERE enabled AND ("lockedUntil" IS NULL OR "lockedUntil" < {NOW})""")
 def active_users(spark, sf):
@@ -285,6 +311,19 @@ def service_accounts_by_role(spark, sf):
     return R.service_accounts_by_role(T.users(spark, sf), T.user_roles(spark, sf)).select("username", "tenantId", "role")
 
 
+@query("service_accounts_of_role", "users user_roles", """
+f AS (SELECT u.username, u."tenantId", r.role FROM users u JOIN user_roles r ON u.username=r.username
+  WHERE u."serviceAccount" AND r.role=(SELECT min(role) FROM user_roles))
+SELECT *, (SELECT count(*) FROM f) AS "totalElements", CAST(ceil((SELECT count(*) FROM f)/10.0) AS BIGINT) AS "totalPages",
+  1 < ceil((SELECT count(*) FROM f)/10.0)-1 AS "hasNext" FROM f ORDER BY username LIMIT 10 OFFSET 10""")
+def service_accounts_of_role(spark, sf):
+    """One role, second page."""
+    roles = T.user_roles(spark, sf)
+    first = roles.agg(F.min("role").alias("r")).first()["r"]
+    found = R.service_accounts_by_role(T.users(spark, sf), roles, first).select("username", "tenantId", "role")
+    return L.page(found, ["username"], 1, 10)
+
+
 @query("tenant_offboard", "users", """
 SELECT username, "tenantId", enabled AND "tenantId"<>'tenant-2' AS enabled FROM users""")
 def tenant_offboard(spark, sf):

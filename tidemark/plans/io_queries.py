@@ -310,10 +310,13 @@ def sink_landing_json(spark, sf):
     return wire_out(SRC.read_json_events(spark, out))
 
 
-@query("stream_dedup", "ev", """SELECT DISTINCT "idempotencyKey" FROM ev""")
+@query("stream_dedup", "ev", """SELECT DISTINCT CASE WHEN seq%13<>0 THEN "idempotencyKey" END AS "idempotencyKey", CASE WHEN seq%13=0 THEN id END AS "unkeyedId" FROM ev""")
 def stream_dedup(spark, sf):
-    ev = PL.deduplicated(stream(spark, sf)).select("id", "idempotencyKey")
-    return spark.read.parquet(drain(spark, "dedup", lambda p, c: PL.start(ev, p, c, [], interval=None))).select("idempotencyKey")
+    """One event per key, and every event without one; which of a key's events comes first depends on arrival."""
+    keyed = stream(spark, sf).withColumn("idempotencyKey", F.when(F.col("seq") % 13 != 0, F.col("idempotencyKey")))
+    ev = PL.deduplicated(keyed).select("id", "idempotencyKey")
+    out = spark.read.parquet(drain(spark, "dedup", lambda p, c: PL.start(ev, p, c, [], interval=None)))
+    return out.select("idempotencyKey", F.when(F.col("idempotencyKey").isNull(), F.col("id")).alias("unkeyedId"))
 
 
 @query("stream_ewma", "ev valid", B.EWMA + f"""

@@ -167,7 +167,7 @@ SELECT "tenantId", "aggregateType", "aggregateId", "sourceCloud", 'azure' AS "ta
   'timeout' AS "errorMessage", 0 AS "retryCount", CAST({NOW}+30000 AS BIGINT) AS "nextRetryAt",
   CAST(NULL AS VARCHAR) AS "competingPayloadB64", CAST(NULL AS VARCHAR) AS "conflictStrategy" FROM aws
 UNION ALL SELECT z."tenantId", z."aggregateType", z."aggregateId", z."sourceCloud", 'aws', to_base64(encode(z.payload)),
-  '{{aws=' || z.c_aws || ', azure=' || z.c_azure || '}}', z."wallClockTs", 1, 'CONFLICT_REVIEW', 'Manual review required for conflict', 0,
+  '{{aws=' || z.c_aws || ', azure=' || z.c_azure || '}}', z."wallClockTs", 1, 'CONFLICT_REVIEW', 'held until someone decides between the two versions', 0,
   CAST({NOW} AS BIGINT), to_base64(encode(a.payload)), 'MANUAL_REVIEW' FROM azure z JOIN aws a ON a.k=z.k""")
 def dlq_entries(spark, sf):
     aws, azure = T.sync_copy(spark, sf, "aws"), T.sync_copy(spark, sf, "azure")
@@ -214,9 +214,9 @@ def encrypt_column(spark, sf):
         "doc_id", T.tenant(F.col("doc_id")).alias("tenantId"),
         T.pick(["CONFIDENTIAL", "RESTRICTED"], F.col("doc_id") % 2).alias("classification"), F.encode("text", "UTF-8").alias("payload"))
     owner = ["tenantId", "classification"]
-    keys = K.weights(docs, owner).withColumn(
+    keys = docs.select(*owner).distinct().withColumn(
         "dek", F.unhex(F.sha2(F.concat_ws("/", F.lit("dek"), *owner), 256)))
-    sealed = K.spread_join(docs, keys, owner, "_weight", ["doc_id"]).withColumn(
+    sealed = K.lookup_join(docs, keys, owner, ["doc_id"]).withColumn(
         "sealed", X.encrypt("payload", "dek", *owner))
     tampered = F.expr("concat(substring(sealed, 1, length(sealed) - 1), unhex(translate("
                       "hex(substring(sealed, -1)), '0123456789ABCDEF', 'FEDCBA9876543210')))")
@@ -308,6 +308,15 @@ def page_keyset(spark, sf):
     return L.page_after(rows, "createdAt", "id", END, "", 20)
 
 
+@query("page_past_end", "life", """
+f AS (SELECT * FROM life WHERE "tenantId"='tenant-4' AND status='FAILED')
+SELECT count(*) AS "totalElements", CAST(ceil(count(*)/50.0) AS BIGINT) AS "totalPages", false AS "hasNext" FROM f""")
+def page_past_end(spark, sf):
+    """Totals of a page that lies past the end."""
+    rows = R.by_tenant_status(T.lifecycle_rows(spark, sf), "tenant-4", "FAILED")
+    return L.page_info(rows, 1_000_000, 50)
+
+
 @query("dlq_page", "dlq", _page_sql(
     """SELECT * FROM dlq WHERE "tenantId"='tenant-6'""", 'id, status, "createdAt"', '"createdAt" DESC, id DESC', 3, 20))
 def dlq_page(spark, sf):

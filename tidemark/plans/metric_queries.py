@@ -41,6 +41,18 @@ def alert_threshold_for(spark, sf):
     return M.threshold_alerts(T.gauge_samples(spark, sf))
 
 
+@query("alert_threshold_gaps", "gauges", f"""
+rules(alert, metric, op, threshold, held, severity) AS ({values(M.ALERTS)}),
+s AS (SELECT g.*, r.alert, r.severity, r.held, {BREACH} AS bad FROM gauges g JOIN rules r ON g.metric=r.metric),
+q AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY alert, series ORDER BY ts, seq) > {HOUR}, false) AS gap FROM s),
+i AS (SELECT *, count(*) FILTER (WHERE gap OR NOT bad) OVER (PARTITION BY alert, series ORDER BY ts, seq) AS island FROM q)
+SELECT alert, severity, series, min(ts) AS "startAt", max(ts) AS "endAt", count(*) AS samples, max(value) AS peak, min(ts)+held*1000 AS "firedAt"
+FROM i WHERE bad GROUP BY alert, severity, series, held, island HAVING max(ts)-min(ts)>=held*1000""")
+def alert_threshold_gaps(spark, sf):
+    """An hour without a sample ends what was held."""
+    return M.threshold_alerts(T.gauge_samples(spark, sf), max_gap=HOUR)
+
+
 RATE = f"""d AS (SELECT series, ts//{HOUR}*{HOUR} AS ws, value, coalesce(lag(value) OVER (PARTITION BY series ORDER BY ts, seq), value) AS p FROM counters),
 rt AS (SELECT series, ws AS "windowStart", sum(CASE WHEN value>=p THEN value-p ELSE value END) AS increase FROM d GROUP BY ALL)"""
 
@@ -55,14 +67,37 @@ def counter_rate(spark, sf):
 @query("ratio_alert", "http", f"""
 w AS (SELECT "tenantId", ts//{HOUR}*{HOUR} AS ws, count(*) FILTER (WHERE status>=500) AS e, count(*) AS n FROM http
   WHERE uri LIKE '/api/%' GROUP BY ALL),
-i AS (SELECT *, e*1.0/n AS ratio, count(*) FILTER (WHERE NOT e*1.0/n>0.01) OVER (PARTITION BY "tenantId" ORDER BY ws) AS island FROM w)
-SELECT "tenantId", min(ws) AS "startAt", max(ws) AS "endAt", count(*) AS samples, round(max(ratio), 6) AS peak, 'ingestion_error_rate_high' AS alert,
-  'warning' AS severity, min(ws)+300000 AS "firedAt" FROM i WHERE ratio>0.01 GROUP BY "tenantId", island HAVING max(ws)-min(ws)>=300000""")
+g AS (SELECT *, e*1.0/n AS ratio, coalesce(ws - lag(ws) OVER (PARTITION BY "tenantId" ORDER BY ws) > {HOUR}, false) AS gap FROM w),
+i AS (SELECT *, count(*) FILTER (WHERE gap OR NOT ratio>0.01) OVER (PARTITION BY "tenantId" ORDER BY ws) AS island FROM g)
+SELECT "tenantId", min(ws) AS "startAt", max(ws)+{HOUR} AS "endAt", count(*) AS samples, round(max(ratio), 6) AS peak, 'ingestion_error_rate_high' AS alert,
+  'warning' AS severity, min(ws)+300000 AS "firedAt" FROM i WHERE ratio>0.01 GROUP BY "tenantId", island HAVING max(ws)+{HOUR}-min(ws)>=300000""")
 def ratio_alert(spark, sf):
     requests = T.http_requests(spark, sf).where(F.col("uri").like("/api/%")).withColumn("windowStart", E.window_start("ts", HOUR))
     per = lambda cond: requests.groupBy("tenantId", "windowStart").agg((E.count_if(cond) / F.lit(HOUR / 1000.0)).alias("rate"))
     ratios = M.ratio(per(F.col("status") >= 500), per(F.lit(True)), ["tenantId", "windowStart"])
-    return M.ratio_alerts(ratios, ["tenantId"], M.RATIO_ALERTS[0]).withColumn("peak", F.round("peak", 6))
+    return M.ratio_alerts(ratios, ["tenantId"], M.RATIO_ALERTS[0], HOUR).withColumn("peak", F.round("peak", 6))
+
+
+def _gauge_alert(short: str, rule: tuple, sql_ratio: str, ratio):
+    """A ratio rule over gauges of the source systems in windows of ten minutes."""
+    name, op, threshold, held, severity = rule
+    span, worst = 600_000, "min" if op == "<" else "max"
+
+    @query(f"ratio_alert_{short}", "ev", f"""
+w AS (SELECT "sourceSystem", "createdAt"//{span}*{span} AS ws, {sql_ratio} AS ratio FROM ev GROUP BY ALL),
+g AS (SELECT *, coalesce(ws - lag(ws) OVER (PARTITION BY "sourceSystem" ORDER BY ws) > {span}, false) AS gap FROM w),
+i AS (SELECT *, count(*) FILTER (WHERE gap OR NOT ratio{op}{threshold}) OVER (PARTITION BY "sourceSystem" ORDER BY ws) AS island FROM g)
+SELECT "sourceSystem", min(ws) AS "startAt", max(ws)+{span} AS "endAt", count(*) AS samples, round({worst}(ratio), 6) AS peak, '{name}' AS alert,
+  '{severity}' AS severity, min(ws)+{held * 1000} AS "firedAt" FROM i WHERE ratio{op}{threshold} GROUP BY "sourceSystem", island
+  HAVING max(ws)+{span}-min(ws)>={held * 1000}""")
+    def run(spark, sf):
+        per = T.data_events(spark, sf).groupBy("sourceSystem", E.window_start("createdAt", span).alias("windowStart")).agg(ratio().alias("ratio"))
+        return M.ratio_alerts(per, ["sourceSystem"], rule, span).withColumn("peak", F.round("peak", 6))
+
+
+_gauge_alert("bulkhead", M.RATIO_ALERTS[1], "min(value)/250.0", lambda: F.min("value") / 250.0)
+_gauge_alert("heap", M.RATIO_ALERTS[2], "max(value)/150.0", lambda: F.max("value") / 150.0)
+_gauge_alert("gc_pause", M.RATIO_ALERTS[3], 'sum("enrichmentLatencyMs")/2000.0', lambda: F.sum("enrichmentLatencyMs") / 2000.0)
 
 
 CASES = " UNION ALL ".join(
@@ -96,7 +131,9 @@ b AS (SELECT *, {BREACH} AS breaching FROM g),
 c AS (SELECT b.*, CAST(b.breaching AS INT) + CASE WHEN b.periods>=2 AND coalesce(x.breaching, false) THEN 1 ELSE 0 END
   + CASE WHEN b.periods>=3 AND coalesce(y.breaching, false) THEN 1 ELSE 0 END AS hits
   FROM b LEFT JOIN b x ON x.alarm=b.alarm AND x.pd=b.pd-1 LEFT JOIN b y ON y.alarm=b.alarm AND y.pd=b.pd-2)
-SELECT alarm, series, pd*period*1000 AS "periodStart", round(value, 6) AS value, breaching, hits=periods AS "inAlarm" FROM c""")
+SELECT alarm, series, pd*period*1000 AS "periodStart", round(value, 6) AS value, breaching, hits=periods AS "inAlarm" FROM c
+UNION ALL SELECT alarm, series, (pd+1)*period*1000, NULL, false, false FROM c WHERE hits=periods
+  AND NOT EXISTS (SELECT 1 FROM b WHERE b.alarm=c.alarm AND b.pd=c.pd+1)""")
 def alarm_eval_periods(spark, sf):
     factors = F.array(*[F.struct(F.lit(n).alias("metric"), F.lit(f).alias("f")) for n, f in ALARM_METRICS])
     samples = (T.data_events(spark, sf).select(F.col("createdAt").alias("ts"), "value", F.explode(factors).alias("m"))

@@ -225,8 +225,8 @@ def resolve_all(spark, sf):
 
 @query("resolve_all_scan", "ver", RESOLVE_ALL)
 def resolve_all_scan(spark, sf):
-    """The path for aggregates of any size, taken for all of them."""
-    return R.resolve_all(T.versions(spark, sf), fold_limit=0).withColumn("vectorClock", E.map_text("vectorClock"))
+    """With slices of an hour."""
+    return R.resolve_all(T.versions(spark, sf), 3_600_000).withColumn("vectorClock", E.map_text("vectorClock"))
 
 
 # ---- consistency ---------------------------------------------------------------------------------
@@ -273,11 +273,11 @@ def consistency_report(spark, sf):
     return R.tenant_percent(report, tenants).withColumn("consistencyPercent", F.round("consistencyPercent", 6))
 
 
-@query("consistency_sample", "aws azure", VERDICT + f""", sm AS (SELECT * FROM vd QUALIFY row_number() OVER (PARTITION BY "tenantId" ORDER BY pos)<=100)
-SELECT {REPORT}, coalesce(string_agg("aggregateId", ',' ORDER BY "aggregateId") FILTER (WHERE verdict<>'CONSISTENT'), '') AS "divergedAggregateIds"
+@query("consistency_sample", "aws azure", VERDICT + f""", sm AS (SELECT *, count(*) OVER (PARTITION BY "tenantId") AS asked_n FROM vd QUALIFY row_number() OVER (PARTITION BY "tenantId" ORDER BY pos)<=100)
+SELECT {REPORT}, max(asked_n) AS "requestedRecords", coalesce(string_agg("aggregateId", ',' ORDER BY "aggregateId") FILTER (WHERE verdict<>'CONSISTENT'), '') AS "divergedAggregateIds"
 FROM sm GROUP BY "tenantId\"""")
 def consistency_sample(spark, sf):
-    report = R.sampled_report(_requests(spark, sf), T.sync_copy(spark, sf, "aws"), T.sync_copy(spark, sf, "azure"), "pos")
+    report = R.sampled_report(_requests(spark, sf), T.sync_copy(spark, sf, "aws"), T.sync_copy(spark, sf, "azure"), "pos", 100)
     return report.withColumns({"consistencyPercent": F.round("consistencyPercent", 6),
                                "divergedAggregateIds": F.array_join("divergedAggregateIds", ",")})
 

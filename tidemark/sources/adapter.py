@@ -18,18 +18,9 @@ from tidemark.session import use_utc
 NOW_MS = 1_706_659_200_000
 
 
-_SCHEMAS: dict = {}
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A benchmark table; its schema is read from the files once per process."""
-    path = f"{sf}/{name}.parquet"
-    reader = use_utc(spark).read
-    if path in _SCHEMAS:
-        return reader.schema(_SCHEMAS[path]).parquet(path)
-    df = reader.parquet(path)
-    _SCHEMAS[path] = df.schema
-    return df
+    """A benchmark table with the schema its files have now."""
+    return use_utc(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
 def _millis(col: str) -> Column:

@@ -130,9 +130,13 @@ def landing_sink(events: DataFrame, path: str, checkpoint: str, interval: str |
 
 
 def deduplicated(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """First event per idempotency key within the watermark, with bounded state."""
-    return (events.withColumn("eventTs", E.ts("createdAt")).withWatermark("eventTs", watermark)
-            .dropDuplicatesWithinWatermark(["idempotencyKey"]))
+    """First event per idempotency key within the watermark, with bounded state.
+
+    An event without a key is never a duplicate: it is told apart by its id.
+    """
+    own = F.when(F.col("idempotencyKey").isNull(), F.col("id"))
+    return (events.withColumns({"eventTs": E.ts("createdAt"), "_own": own}).withWatermark("eventTs", watermark)
+            .dropDuplicatesWithinWatermark(["idempotencyKey", "_own"]).drop("_own"))
 
 
 def route_sink(records: DataFrame, path: str, checkpoint: str, interval: str | None = TRIGGER,
