@@ -130,6 +130,47 @@ def test_archive_run_twice_appends_once(spark):
     assert K.read_manifest(spark, f"{path}/m").count() == 2
 
 
+def test_a_run_that_stopped_before_its_manifest_is_not_repeated(spark, monkeypatch):
+    path = shared_dir(spark, "arch-stop")
+    df = spark.createDataFrame([(str(i), "t", "PUBLIC", i * 10**9) for i in range(40)], "id string, tenantId string, classification string, createdAt bigint")
+    write = K._write_manifest
+    monkeypatch.setattr(K, "_write_manifest", lambda *a: (_ for _ in ()).throw(OSError("stopped")))
+    with pytest.raises(OSError):
+        jobs.archive_job(df, f"{path}/a", f"{path}/m", "2020-01-01", "2020-01-01")
+    monkeypatch.setattr(K, "_write_manifest", write)
+    jobs.archive_job(df, f"{path}/a", f"{path}/m", "2020-01-01", "2020-01-02")
+    assert spark.read.parquet(f"{path}/a").count() == 40
+    listed = K.read_manifest(spark, f"{path}/m")
+    assert listed.count() == 40 and [r["date"] for r in listed.select("date").distinct().collect()] == ["2020-01-01"]
+
+
+def test_store_versions_switch_as_a_whole(spark, sf):
+    path = shared_dir(spark, "store-switch")
+    store = T.sync_copy(spark, sf, "aws")
+    K.write_store(store, path, buckets=3)
+    assert rows(K.read_store(spark, path).select("id", "aggregateId")) == rows(store.select("id", "aggregateId"))
+    changes = store.limit(5).withColumn("syncStatus", F.lit("CHANGED"))
+    K.upsert_store(changes, path)
+    after = K.read_store(spark, path)
+    assert after.count() == store.count() and after.where("syncStatus = 'CHANGED'").count() == 5
+    # Data of a version that no pointer names is not seen.
+    K.write_partitioned(K.with_bucket(store, 3).withColumn("version", F.lit(9)), f"{path}/data", ["version", "tenantId", "bucket"])
+    assert K.read_store(spark, path).count() == store.count()
+
+
+def test_a_batch_reads_one_mark(spark):
+    path = shared_dir(spark, "marks")
+    schema = "id bigint, createdAt bigint"
+    for i in range(3):
+        spark.createDataFrame([(i, 100 * (3 - i))], schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        src = ST.file_stream(spark, f"{path}/in", spark.createDataFrame([], schema).schema, max_files=1)
+        PL.run_all([PL.late_split_sink(src, f"{path}/out", f"{path}/c", 50, None)])
+    marks = spark.read.schema("top BIGINT, batchId INT").parquet(f"{path}/out/_marks").collect()
+    assert {r["batchId"]: r["top"] for r in marks} == {0: 300, 1: 300, 2: 300}
+    got = {r["id"]: r["late"] for r in spark.read.parquet(f"{path}/out/events").collect()}
+    assert got == {0: False, 1: True, 2: True}
+
+
 def test_nothing_due_writes_nothing(spark):
     path = shared_dir(spark, "arch0")
     df = spark.createDataFrame([("1", "t", "PUBLIC", 10**13)], "id string, tenantId string, classification string, createdAt bigint")
@@ -140,10 +181,10 @@ def test_nothing_due_writes_nothing(spark):
 def test_sync_job_applies_and_parks(spark, sf):
     path = shared_dir(spark, "syncjob")
     K.write_store(T.sync_copy(spark, sf, "aws"), f"{path}/store", buckets=2)
-    before = spark.read.parquet(f"{path}/store").count()
+    before = K.read_store(spark, f"{path}/store").count()
     jobs.sync_job(T.sync_copy(spark, sf, "azure"), f"{path}/store", f"{path}/dlq", 0)
     jobs.sync_job(T.sync_copy(spark, sf, "azure").limit(1), f"{path}/store", f"{path}/dlq", 0)
-    store, parked = spark.read.parquet(f"{path}/store"), spark.read.parquet(f"{path}/dlq")
+    store, parked = K.read_store(spark, f"{path}/store"), spark.read.parquet(f"{path}/dlq")
     assert store.count() > before and parked.count() > 0
     assert store.groupBy("tenantId", "aggregateId").count().where("count > 1").count() == 0
 

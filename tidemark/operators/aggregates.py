@@ -16,14 +16,41 @@ PERCENTILE_ACCURACY = 1000
 FIVE_MINUTES_MS = 300_000
 
 
+COUNT_KEYS = ["tenantId", "classification", "eventType", "schemaVersion", "date"]
+
+
+def _counted(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("eventCount"), F.sum("payloadSizeBytes").alias("totalPayloadBytes"),
+        E.count_if(F.col("anomalyDetected")).alias("anomalyCount"),
+        F.min("createdAt").alias("firstEventAt"), F.max("createdAt").alias("lastEventAt"))
+
+
+def _with_average(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("avgPayloadBytes", F.col("totalPayloadBytes") / F.col("eventCount"))
+
+
 def event_counts(df: DataFrame) -> DataFrame:
     """Counts, bytes, anomalies and the time span per tenant, class, type, version and day."""
-    return (df.groupBy("tenantId", "classification", "eventType", "schemaVersion", "date")
-            .agg(F.count(F.lit(1)).alias("eventCount"),
-                 F.sum("payloadSizeBytes").alias("totalPayloadBytes"),
-                 E.count_if(F.col("anomalyDetected")).alias("anomalyCount"),
-                 F.min("createdAt").alias("firstEventAt"), F.max("createdAt").alias("lastEventAt"))
-            .withColumn("avgPayloadBytes", F.col("totalPayloadBytes") / F.col("eventCount")))
+    return _with_average(_counted(df, COUNT_KEYS))
+
+
+def base_counts(df: DataFrame) -> DataFrame:
+    """The finest grouping that the daily counts, the hourly rate and the type ranks are all sums of."""
+    return _counted(df, [*COUNT_KEYS, "hour"])
+
+
+def event_counts_of(base: DataFrame) -> DataFrame:
+    """``event_counts`` from ``base_counts``."""
+    return _with_average(base.groupBy(*COUNT_KEYS).agg(
+        F.sum("eventCount").alias("eventCount"), F.sum("totalPayloadBytes").alias("totalPayloadBytes"),
+        F.sum("anomalyCount").alias("anomalyCount"), F.min("firstEventAt").alias("firstEventAt"),
+        F.max("lastEventAt").alias("lastEventAt")))
+
+
+def hourly_rate_of(base: DataFrame) -> DataFrame:
+    """``hourly_rate`` from ``base_counts``."""
+    return base.groupBy("tenantId", "date", "hour").agg(F.sum("eventCount").alias("eventCount"))
 
 
 def percentile(col: str, *fractions: float) -> Column:

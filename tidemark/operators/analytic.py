@@ -20,7 +20,15 @@ def top_event_types(df: DataFrame, k: int = 10) -> DataFrame:
     The rank runs on already counted types, and ``rank <= k`` becomes a window group limit that
     drops losers before the shuffle.
     """
-    counts = df.groupBy("tenantId", "date", "eventType").agg(F.count(F.lit(1)).alias("typeCount"))
+    return _ranked(df.groupBy("tenantId", "date", "eventType").agg(F.count(F.lit(1)).alias("typeCount")), k)
+
+
+def top_event_types_of(base: DataFrame, k: int = 10) -> DataFrame:
+    """``top_event_types`` from ``aggregates.base_counts``."""
+    return _ranked(base.groupBy("tenantId", "date", "eventType").agg(F.sum("eventCount").alias("typeCount")), k)
+
+
+def _ranked(counts: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("tenantId", "date").orderBy(F.col("typeCount").desc())
     return counts.withColumn("rank", F.rank().over(w)).where(F.col("rank") <= k)
 

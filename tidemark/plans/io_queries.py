@@ -183,7 +183,7 @@ UNION ALL SELECT "tenantId", "aggregateId", id, 'PENDING', 'aws=' || c_aws || ',
 def sink_upsert_latest(spark, sf):
     """The replication job against a stored copy, then the store as a reader finds it."""
     path = shared_dir(spark, "store")
-    K.write_store(T.sync_copy(spark, sf, "aws"), f"{path}/store", buckets=4)
+    K.write_store(T.sync_copy(spark, sf, "aws"), f"{path}/store")
     done = R.sync_apply(T.sync_copy(spark, sf, "azure"), K.read_store(spark, f"{path}/store"), RQ.CONFIG)
     K.upsert_store(done.where(F.col("action") != "REVIEW").select("record.*"), f"{path}/store")
     return K.read_store(spark, f"{path}/store").select(

@@ -6,9 +6,12 @@ that holds most of the rows over several files, so no task writes a hot partitio
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import events as E
 from tidemark.operators import projections as P
 from tidemark.operators import reconcile as R
 from tidemark.session import cut_lineage
@@ -37,38 +40,71 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 MANIFEST = ("eventId STRING, tenantId STRING, classification STRING, eventDate DATE, createdAt BIGINT, "
-            "archivedAt TIMESTAMP, archiveLocation STRING, date STRING")
+            "archivedAt TIMESTAMP, archiveLocation STRING, date STRING, runId STRING, month STRING")
+ARCHIVE_BY = ["year", "month", "classification", "runId"]
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MANIFEST).json(path)
+    return spark.read.schema(MANIFEST).parquet(path)
+
+
+def _month(day: str) -> Column:
+    return F.date_format(day, "yyyy-MM")
 
 
 def not_yet_archived(events: DataFrame, manifest_path: str) -> DataFrame:
-    """Events no manifest lists, so that a repeated run appends nothing twice."""
+    """Events no manifest lists, so that a repeated run appends nothing twice.
+
+    The manifest is partitioned by the events' month; only the months of these events are read.
+    """
     spark = events.sparkSession
     if not _exists(spark, manifest_path):
         return events
-    done = read_manifest(spark, manifest_path).select(F.col("eventId").alias("id"))
-    return events.join(done, "id", "left_anti")
+    first, last = events.agg(*[f(_month(E.utc_date("createdAt"))) for f in (F.min, F.max)]).first()
+    if first is None:
+        return events
+    done = read_manifest(spark, manifest_path).where(F.col("month").between(first, last))
+    return events.join(done.select(F.col("eventId").alias("id")), "id", "left_anti")
 
 
 def write_archive(events: DataFrame, archive_path: str, manifest_path: str, run_date: str,
                   archived_at: Column | None = None) -> None:
-    """Append to the gzip archive, then list what was archived in the run's manifest.
+    """Add a run to the gzip archive, then list what was archived in its manifest.
 
-    The rows are written once and the manifest is derived from the same rows in the shared
-    folder, so both outputs agree even when the source changes or a task is retried.
+    A run has a number of its own, which both outputs carry.  A run that stopped between the two is
+    listed first, from the archive itself, so its events are not archived again.
     """
+    spark = events.sparkSession
+    list_unlisted(spark, archive_path, manifest_path)
     at = archived_at if archived_at is not None else F.current_timestamp()
-    batch = cut_lineage(P.archive_columns(not_yet_archived(events, manifest_path), archive_path, at), "archive-batch")
+    run = f"{run_date}_{uuid.uuid4().hex[:12]}"
+    batch = P.archive_columns(not_yet_archived(events, manifest_path), archive_path, at).withColumn("runId", F.lit(run))
+    batch = cut_lineage(batch, "archive-batch")
     if batch.isEmpty():
         return
-    kept = batch.drop("archivedAt", "archiveLocation")
-    write_partitioned(kept, archive_path, ["year", "month", "classification"], compression="gzip", mode="append")
-    manifest = batch.select(F.col("id").alias("eventId"), "tenantId", "classification", "eventDate", "createdAt",
-                            "archivedAt", "archiveLocation", F.lit(run_date).alias("date"))
-    manifest.write.mode("append").partitionBy("date").json(manifest_path)
+    write_partitioned(batch.drop("archiveLocation"), archive_path, ARCHIVE_BY, compression="gzip", mode="append")
+    _write_manifest(batch, archive_path, manifest_path)
+
+
+def _write_manifest(rows: DataFrame, archive_path: str, manifest_path: str) -> None:
+    listed = rows.select(F.col("id").alias("eventId"), "tenantId", "classification", "eventDate", "createdAt", "archivedAt",
+                         F.lit(archive_path).alias("archiveLocation"), F.split_part("runId", F.lit("_"), F.lit(1)).alias("date"),
+                         "runId", _month("eventDate").alias("month"))
+    write_partitioned(listed, manifest_path, ["month", "runId"], mode="append")
+
+
+def list_unlisted(spark: SparkSession, archive_path: str, manifest_path: str) -> None:
+    """Write the manifest of runs that are in the archive and have none."""
+    if not _exists(spark, archive_path):
+        return
+    archive = spark.read.parquet(archive_path)
+    runs = archive.select("runId").distinct()
+    if _exists(spark, manifest_path):
+        runs = runs.join(read_manifest(spark, manifest_path).select("runId").distinct(), "runId", "left_anti")
+    names = [r["runId"] for r in runs.collect()]  # runs that stopped half-way
+    if names:
+        rows = archive.where(F.col("runId").isin(names)).withColumn("eventDate", F.col("eventDate").cast("date"))
+        _write_manifest(rows, archive_path, manifest_path)
 
 
 def write_serving_json(df: DataFrame, path: str, date: str) -> None:
@@ -76,33 +112,58 @@ def write_serving_json(df: DataFrame, path: str, date: str) -> None:
     df.write.mode("overwrite").json(f"{path.rstrip('/')}/date={date}")
 
 
-BUCKETS = 64
+PER_BUCKET = 100_000  # records of a bucket when a store is written without a bucket count
+POINTER = "tenantId STRING, bucket INT, version INT, n INT"
 
 
 def with_bucket(df: DataFrame, buckets: int) -> DataFrame:
     return df.withColumn("bucket", F.pmod(F.xxhash64("aggregateId"), F.lit(buckets)).cast("int"))
 
 
-def write_store(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """A record store by tenant and hash bucket; its bucket count is kept with it."""
-    write_partitioned(with_bucket(df, buckets), path, ["tenantId", "bucket"])
-    df.sparkSession.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").json(f"{path}/_layout")
+def write_store(df: DataFrame, path: str, buckets: int | None = None) -> None:
+    """A record store by tenant and hash bucket; its bucket count follows its size and is kept with it.
+
+    Records lie in versioned folders.  A pointer names the version of every (tenant, bucket), and a
+    reader follows the newest pointer, so an upsert becomes visible as a whole or not at all.
+    """
+    spark = df.sparkSession
+    buckets = buckets or max(1, -(-df.count() // PER_BUCKET))
+    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").json(f"{path}/layout")
+    data = with_bucket(df, buckets).withColumn("version", F.lit(0))
+    write_partitioned(data, f"{path}/data", ["version", "tenantId", "bucket"])
+    _point(spark, path, _records(spark, path).select("tenantId", "bucket", "version").distinct(), 0)
+
+
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/data").withColumn("tenantId", F.col("tenantId").cast("string"))
+
+
+def _point(spark: SparkSession, path: str, rows: DataFrame, n: int) -> None:
+    """One small file, which is there or not."""
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/pointer/n={n}")
+
+
+def _current(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    pointers = spark.read.schema(POINTER).parquet(f"{path}/pointer")
+    n = pointers.agg(F.max("n")).first()[0]
+    return pointers.where(F.col("n") == n).drop("n"), n
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("bucket")
+    current, _ = _current(spark, path)
+    return _records(spark, path).join(current, ["tenantId", "bucket", "version"], "left_semi").drop("bucket", "version")
 
 
 def upsert_store(changes: DataFrame, path: str) -> None:
-    """Merge changes into a record store, rewriting only the (tenant, bucket) partitions they touch.
-
-    The changes are written to the shared folder once, because they are used twice, and so is the
-    new content, because a partition cannot be replaced while it is being read.
-    """
+    """Merge changes into a record store: the touched (tenant, bucket) parts are written once, as a new version."""
     spark = changes.sparkSession
-    buckets = spark.read.schema("buckets int").json(f"{path}/_layout").first()["buckets"]
+    buckets = spark.read.schema("buckets int").json(f"{path}/layout").first()["buckets"]
+    current, n = _current(spark, path)
     changes = cut_lineage(with_bucket(changes, buckets), "changes")
     touched = changes.select("tenantId", "bucket").distinct()
-    store = spark.read.parquet(path).join(touched, ["tenantId", "bucket"], "left_semi")
-    merged = cut_lineage(R.upsert_latest(store, changes, ["tenantId", "bucket", "aggregateId"]), "upsert")
-    write_partitioned(merged, path, ["tenantId", "bucket"])
+    store = (_records(spark, path).join(current.join(touched, ["tenantId", "bucket"], "left_semi"),
+                                        ["tenantId", "bucket", "version"], "left_semi").drop("version"))
+    merged = R.upsert_latest(store, changes, ["tenantId", "bucket", "aggregateId"]).withColumn("version", F.lit(n + 1))
+    write_partitioned(merged, f"{path}/data", ["version", "tenantId", "bucket"])
+    kept = current.join(touched, ["tenantId", "bucket"], "left_anti").select("tenantId", "bucket", "version")
+    _point(spark, path, cut_lineage(kept.unionByName(touched.withColumn("version", F.lit(n + 1))), "pointer"), n + 1)

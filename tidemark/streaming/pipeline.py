@@ -162,7 +162,8 @@ def late_split_sink(events: DataFrame, path: str, checkpoint: str, delay_ms: int
     """Keep events that arrive after the watermark instead of dropping them.
 
     The watermark of a batch is the highest event time of the earlier batches less ``delay_ms``.
-    It is stored per batch beside the output, so a replay decides as the first run did.
+    Each batch stores the running maximum beside the output, so the next one reads only its
+    predecessor's mark and a replay decides as the first run did.
     """
     spark = events.sparkSession
     marks = f"{path}/_marks"
@@ -170,13 +171,12 @@ def late_split_sink(events: DataFrame, path: str, checkpoint: str, delay_ms: int
     def write(batch: DataFrame, batch_id: int) -> None:
         earlier = None
         if batch_id > 0:
-            earlier = (spark.read.schema("top BIGINT, batchId INT").parquet(marks)
-                       .where(F.col("batchId") < batch_id).agg(F.max("top")).first()[0])
+            earlier = spark.read.schema("top BIGINT").parquet(f"{marks}/batchId={batch_id - 1}").first()[0]
         late = F.lit(False) if earlier is None else F.col(ts) < earlier - delay_ms
         (batch.withColumns({"late": late, "batchId": F.lit(batch_id)}).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("late", "batchId").parquet(f"{path}/events"))
-        (batch.agg(F.max(ts).alias("top")).withColumn("batchId", F.lit(batch_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batchId").parquet(marks))
+        top = F.greatest(F.max(ts), F.lit(earlier).cast("bigint")).alias("top")
+        batch.agg(top).write.mode("overwrite").parquet(f"{marks}/batchId={batch_id}")
 
     writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return _trigger(writer, interval).start()
