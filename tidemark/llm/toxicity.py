@@ -119,14 +119,14 @@ def maps(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def kernel(words: list[str], landmarks: np.ndarray) -> np.ndarray:
     """Kernel of words with dense landmark maps (triple, landmark)."""
     out = np.zeros((len(words), landmarks.shape[1]))
-    for at in range(0, len(words), 1000):
-        some = words[at:at + 1000]
+    for at in range(0, len(words), 250):
+        some = words[at:at + 250]
         word, triple, value = maps(some)
         order = np.argsort(word, kind="stable")
         word, triple, value = word[order], triple[order], value[order]
         bounds = np.flatnonzero(np.diff(word, prepend=-1))
         if len(bounds):
-            out[at + word[bounds]] = np.add.reduceat(landmarks[triple] * value[:, None], bounds)
+            out[at + word[bounds]] = np.add.reduceat(landmarks[triple] * value[:, None].astype(np.float32), bounds)
     return out
 
 
@@ -166,7 +166,7 @@ def fit_machine(toxic: dict[str, int], clean: dict[str, int], seed: int = 5) ->
         w = new
         if done:
             break
-    return dense.astype(np.float64) @ (root @ w[:-1]), float(w[-1])
+    return (dense @ (root @ w[:-1]).astype(np.float32)).astype(np.float64), float(w[-1])
 
 
 FEATURES = ("highest", "second", "hits", "near", "rate")
