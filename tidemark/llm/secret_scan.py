@@ -2,8 +2,8 @@
 
 Fixed patterns give the kinds ``assign``, ``access`` and ``hex``.  Further candidates are runs of at least ``LEAST``
 characters of the usual encodings that have the character classes of one: hexadecimal, base 32 or base 64.  Each is
-tested for uniform use of its encoding's alphabet (chi-squared, as the number of equal pairs), for its runs of high and
-low symbols, and for serial correlation; Fisher's method combines the three into one p value, which is uniform for
+tested for uniform use of its encoding's alphabet (chi-squared, as the number of equal pairs), for its runs of one class
+of characters and the others, and for serial correlation; Fisher's method combines the three into one p value, which is uniform for
 random tokens and near 0 for words, paths and numbers.  Over all documents, per encoding and length class, the p values
 above one half tell how many tokens are random, and a token is a finding (``random``) where p is above the least cut at
 which at most ``FALSE_SHARE`` of the findings would not be.
@@ -28,11 +28,12 @@ LEAST = 20
 CANDIDATE = rf"[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}"
 FALSE_SHARE = 0.05
 CUTS = [i / 100 for i in range(1, 51)]
-# Encodings by number of symbols: what a token must be made of and must have, and the alphabet in order of value.
+# Encodings by number of symbols: what a token must be made of and must have, the alphabet in order of value, and the
+# values from and to (exclusive) of the class whose runs are tested.
 ENCODINGS = {
-    16: (r"^[0-9a-f]+$", r"[a-f]", "0123456789abcdef"),
-    32: (r"^[A-Z2-7]+=*$", r"[A-Z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    64: (r"^(?=.*[a-z])(?=.*[A-Z])", r"[A-Z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+    16: (r"^[0-9a-f]+$", r"[a-f]", "0123456789abcdef", 0, 10),
+    32: (r"^[A-Z2-7]+=*$", r"[A-Z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0, 26),
+    64: (r"^(?=.*[a-z])(?=.*[A-Z])", r"[A-Z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 26, 52),
 }
 
 
@@ -66,16 +67,17 @@ def _tail(z: Column) -> Column:
 def encoding(token: Column) -> Column:
     """Number of symbols of the first encoding the token fits, null for none; digits are asked of all."""
     out = F.lit(None).cast("int")
-    for k, (made_of, has, _) in reversed(ENCODINGS.items()):
+    for k, (made_of, has, *_) in reversed(ENCODINGS.items()):
         out = F.when(token.rlike(made_of) & token.rlike(has) & token.rlike("[0-9]"), F.lit(k)).otherwise(out)
     return out
 
 
 def randomness(token: Column, k: Column) -> Column:
     """Fisher's combined p value of the battery for a token read in its encoding."""
-    alphabet = F.lit(None).cast("string")
-    for size, (_, _, symbols) in ENCODINGS.items():
+    alphabet, low, high = F.lit(None).cast("string"), F.lit(0), F.lit(0)
+    for size, (_, _, symbols, first, last) in ENCODINGS.items():
         alphabet = F.when(k == size, F.lit(symbols)).otherwise(alphabet)
+        low, high = F.when(k == size, first).otherwise(low), F.when(k == size, last).otherwise(high)
     plain = F.translate(F.rtrim(token, F.lit("=")), "-_", "+/")
     values = F.transform(F.split(plain, ""), lambda c: F.instr(alphabet, c) - 1)
 
@@ -87,9 +89,14 @@ def randomness(token: Column, k: Column) -> Column:
         uniform = _tail((equal - pairs / k) / spread)
         # Neighbours as one array of (value, next value).
         steps = F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        half, mean, var = k / 2, (k - 1) / 2, (k * k - 1) / 12
-        turns = F.size(F.filter(steps, lambda s: (s["a"] >= half) != (s["b"] >= half)))
-        runs = 2 * _tail(F.abs((turns - (n - 1) / 2) / F.sqrt((n - 1) / 4)))
+        mean, var = (k - 1) / 2, (k * k - 1) / 12
+        within = lambda x: (x >= low) & (x < high)
+        turns = F.size(F.filter(steps, lambda s: within(s["a"]) != within(s["b"])))
+        # Changes of class in n independent symbols: their mean, and their variance with that of neighbours.
+        both = (high - low) / k * (1 - (high - low) / k)
+        turn = 2 * both
+        turn_var = (n - 1) * turn * (1 - turn) + 2 * (n - 2) * (both - turn * turn)
+        runs = 2 * _tail(F.abs((turns - (n - 1) * turn) / F.sqrt(turn_var)))
         product = F.aggregate(steps, F.lit(0.0), lambda acc, s: acc + (s["a"] - mean) * (s["b"] - mean))
         serial = 2 * _tail(F.abs(product / (var * F.sqrt(n - 1))))
         x = -(F.log(uniform) + F.log(F.least(runs, F.lit(1.0))) + F.log(F.least(serial, F.lit(1.0))))
