@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, same string"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, same string, _row string, _name string, _runs int, epoch int"
 
 
 def made_documents():
@@ -20,10 +20,10 @@ def made_documents():
     spam = ["again " * 300, "again " * 299]
     rows, sources = [], ["web", "books", None, "hot", "hot", "hot"]
     for i, text in enumerate([*texts, *copies, *near, *odd, *spam]):
-        rows.append((i * 3, text, rng.choice(["en", "de", None]), rng.choice(sources), len(text or ""), "clash", "clash"))
+        rows.append((i * 3, text, rng.choice(["en", "de", None]), rng.choice(sources), len(text or ""), "clash", "clash", "r", "n", 1, 2))
     rows.append(rows[5])
     rows.append(rows[-2])
-    rows.append((None, texts[7], "en", "web", 0, "clash", None))
+    rows.append((None, texts[7], "en", "web", 0, "clash", None, None, "n", None, 3))
     return rows
 
 

@@ -2,14 +2,18 @@
 
 import os
 import re
+from collections import Counter
 
 import duckdb
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidemark.llm import queries
+from tidemark.llm import mixing, queries, toxicity
 from tidemark.session import cut_lineage
 
+from .test_dedup import brute_classes
+
 FOLDER = os.path.dirname(queries.__file__)
 
 
@@ -26,18 +30,51 @@ def test_query_covers_its_whole_table(spark, sf, name):
     assert got.select(key).distinct().count() == want
 
 
-def test_stages_keep_columns_and_act(spark, sf):
+def test_stages_equal_brute_force(spark, sf):
+    """Every stage on what the one before kept, each against a plain version of its decision."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    counts = []
+    out = {}
     for name, stage in corpus_pipeline.STAGES:
-        out = cut_lineage(stage(spark, docs, sf), f"test-{name}")
-        counts.append(out.count())
+        got = cut_lineage(stage(spark, docs, sf), f"test-{name}")
+        rows = got.collect()
+        before = [(r["doc_id"], r["text"]) for r in docs.collect()]
         if name != "packing":
-            assert out.columns == docs.columns
-            docs = out
-    before = spark.read.parquet(f"{sf}/documents.parquet").count()
-    assert before > counts[0] > counts[1] >= counts[2] > 0
-    assert counts[4] >= counts[3]
+            assert got.columns == docs.columns
+        if name == "toxicity":
+            model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+            scores = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+            want = {d for d, _ in before if scores[d] < 0.5}
+            assert {r["doc_id"] for r in rows} == want and len(want) < len(before)
+        elif name == "exact_dedup":
+            assert {r["doc_id"] for r in rows} == set({t: d for d, t in sorted(before)}.values())
+        elif name == "near_dedup":
+            classes = brute_classes([(d, t) for d, t in before])
+            assert {r["doc_id"] for r in rows} == {max(d for d, _ in c) for c in classes}
+        elif name == "mixing":
+            taken = {r["doc_id"]: r["taken"] for r in mixing.taken_words(docs).collect()}
+            words = Counter()
+            for r in rows:
+                words[r["doc_id"]] += len(re.findall(mixing.WORD, r["text"]))
+            assert +words == +Counter(taken)
+        else:
+            assert sum(r["length"] for r in rows) == sum(
+                len(e.ids) + 1 for e in Tokenizer.from_file(queries.tokenizer("byte_bpe_50k.json")).encode_batch(
+                    [t for _, t in before], add_special_tokens=False))
+        out[name], docs = len(rows), got
+    assert list(out) == ["toxicity", "exact_dedup", "near_dedup", "mixing", "packing"]
+
+
+def test_the_whole_pipeline_runs(spark, sf):
+    rows = corpus_pipeline.run(spark, sf).collect()
+    spans = {}
+    for r in rows:
+        spans.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in spans.values():
+        at = 0
+        for offset, n in sorted(own):
+            assert offset == at
+            at += n
+        assert at == 2048 or at & (at - 1) == 0
 
 
 def test_native_operators_hold_no_python():

@@ -63,7 +63,7 @@ def test_toxicity_edge_cases(spark, docs, no_docs):
 
 
 def test_toxic_documents_go_and_clean_ones_stay_unchanged(spark, docs, toxic_model):
-    insult = spark.createDataFrame([(9001, "you stupid idiot, what a pathetic moron", "en", "web", 1, "x", None)], docs.schema)
+    insult = spark.createDataFrame([(9001, "you stupid idiot, what a pathetic moron", "en", "web", 1, "x", None, None, None, None, None)], docs.schema)
     left = toxicity.keep_clean(docs.unionByName(insult), toxic_model)
     assert left.columns == docs.columns
     assert left.exceptAll(docs).count() == 0  # what stays is unchanged

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrays import GOLDEN, mix
+from tidemark.llm.names import free_name
 from tidemark.session import cut_lineage
 
 PER_BUCKET = 1 << 16  # distinct digests of a filter
@@ -179,14 +180,15 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     decided = cut_lineage(decide(docs, id_col, text).select("id", "sha", "kept"), "decided")
+    key = free_name(docs, "_name")
     name = lambda id_, sha: F.concat_ws("/", F.coalesce(id_.cast("string"), F.lit("null")), sha)
-    per_name = decided.groupBy(name(F.col("id"), F.col("sha")).alias("_name")).agg(
+    per_name = decided.groupBy(name(F.col("id"), F.col("sha")).alias(key)).agg(
         F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     per_name = cut_lineage(per_name.where(~F.col("kept") | (F.col("n") > 1)), "names")
-    named = docs.withColumn("_name", name(F.col(id_col), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
-    left = named.join(per_name.where(~F.col("kept")), "_name", "left_anti")
-    repeats = per_name.where(F.col("kept"))
+    named = docs.withColumn(key, name(F.col(id_col), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
+    left = named.join(per_name.where(~F.col("kept")).select(key), key, "left_anti")
+    repeats = per_name.where(F.col("kept")).select(key)
     if not repeats.isEmpty():  # rows that repeat both id and text
-        left = (left.join(repeats, "_name", "left_anti")
-                .unionByName(left.join(repeats, "_name", "left_semi").dropDuplicates(["_name"])))
+        left = (left.join(repeats, key, "left_anti")
+                .unionByName(left.join(repeats, key, "left_semi").dropDuplicates([key])))
     return left.select(*docs.columns)

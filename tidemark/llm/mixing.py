@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrays import GOLDEN, mix, unit
+from tidemark.llm.names import free_name
 from tidemark.session import cut_lineage
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -209,10 +210,11 @@ def mixed(docs: DataFrame) -> DataFrame:
     Columns are those of ``docs``; ``n_chars``, where there is one, follows the new text.
     """
     _, taken, _ = mix_sources(docs)
-    runs = taken.groupBy("row", "epoch").agg(F.array_sort(F.collect_list(F.struct("block", "from_word", "to_word"))).alias("_runs"))
-    runs = runs.withColumnRenamed("row", "_row").drop("epoch")
-    out = (docs.withColumn("_row", F.monotonically_increasing_id()).join(runs, "_row")
-           .withColumn("text", _words_of(F.col("text"), F.col("_runs"))))
+    row, spans_ = free_name(docs, "_row"), free_name(docs, "_runs")
+    runs = taken.groupBy(F.col("row").alias(row), "epoch").agg(
+        F.array_sort(F.collect_list(F.struct("block", "from_word", "to_word"))).alias(spans_)).drop("epoch")
+    out = (docs.withColumn(row, F.monotonically_increasing_id()).join(runs, row)
+           .withColumn("text", _words_of(F.col("text"), F.col(spans_))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

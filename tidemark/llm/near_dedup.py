@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrays import GOLDEN, chunks, flat, mix, unit, word_bounds, word_hashes
+from tidemark.llm.names import free_name
 from tidemark.session import cut_lineage
 
 SHINGLE = 5
@@ -294,5 +295,6 @@ def _choose(rows: DataFrame, same: DataFrame, labels: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group."""
-    kept = cut_lineage(groups(docs).where("kept").select(F.col("row").alias("_row")), "kept")
-    return (docs.withColumn("_row", F.monotonically_increasing_id()).join(kept, "_row", "left_semi").select(*docs.columns))
+    row = free_name(docs, "_row")
+    kept = cut_lineage(groups(docs).where("kept").select(F.col("row").alias(row)), "kept")
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(kept, row, "left_semi").select(*docs.columns)

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrays import chunks, flat
+from tidemark.llm.names import free_name
 
 PER_CLASS = 3000
 DECAY, SPAN = 0.8, 7
@@ -309,9 +310,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The documents whose score is below one half, unchanged, in one pass."""
-    name = "_normal"
-    while name in docs.columns:
-        name += "_"
+    name = free_name(docs, "_normal")
     slim = docs.withColumn(name, normal(F.col("text")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
