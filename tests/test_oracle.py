@@ -4,8 +4,9 @@ import pytest
 from oracle_check import compare, connect
 
 import __spark_entry__ as entry
+from tidemark.plans import catalog
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalog.QUERIES, catalog.SQL
 
 
 @pytest.fixture(scope="module")
@@ -24,5 +25,9 @@ def test_every_query_has_a_sql_twin():
     assert set(QUERIES) == set(SQL)
 
 
+def test_the_entry_offers_the_catalogue():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).limit(1).count() == 1
