@@ -88,28 +88,27 @@ def latest_windows(versions: DataFrame) -> DataFrame:
 def tenant_windows(events: DataFrame, window: str = "5 minutes", grace: str = "30 seconds") -> DataFrame:
     """Closed windows per tenant with counts by classification and by event type.
 
-    Two chained aggregates: the first counts (window, tenant, classification, type), the second
-    turns at most one row per combination into the maps.
+    Three chained aggregates: the first counts (window, tenant, classification, type), the second sums
+    by name of either kind, and the third lists one entry per name, so the maps cost no more than
+    their size.
     """
     first = (events.withColumn("eventTs", E.ts("createdAt")).withWatermark("eventTs", grace)
              .groupBy(F.window("eventTs", window).alias("w"), "tenantId", "classification", "eventType")
              .agg(F.count(F.lit(1)).alias("n"), F.sum("payloadSizeBytes").alias("bytes"),
                   E.count_if(F.col("anomalyDetected")).alias("anomalies")))
-    parts = F.col("_parts")
-
-    def counted(field: str):
-        names = F.array_sort(F.array_distinct(F.transform(parts, lambda p: p[field])))
-        total = lambda name: F.aggregate(F.filter(parts, lambda p: p[field] == name), F.lit(0).cast("bigint"),
-                                         lambda acc, p: acc + p["n"])
-        return F.map_from_arrays(names, F.transform(names, total))
-
-    return (first.groupBy(F.window(F.window_time("w"), window).alias("w"), "tenantId")
-            .agg(F.sum("n").alias("totalEventCount"), F.sum("bytes").alias("totalPayloadBytes"),
-                 F.sum("anomalies").alias("anomalyCount"),
-                 F.collect_list(F.struct("classification", "eventType", "n")).alias("_parts"))
+    entry = lambda kind, name: F.struct(F.lit(kind).alias("kind"), F.col(name).alias("name"))
+    named = first.select("w", "tenantId", "n", "bytes", "anomalies",
+                         F.explode(F.array(entry("class", "classification"), entry("type", "eventType"))).alias("e"))
+    second = (named.groupBy(F.window(F.window_time("w"), window).alias("w"), "tenantId", "e.kind", "e.name")
+              .agg(*[F.sum(c).alias(c) for c in ("n", "bytes", "anomalies")]))
+    of = lambda kind, c: F.when(F.col("kind") == kind, F.col(c))
+    counted = lambda kind: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("name", "n")))))
+    return (second.groupBy(F.window(F.window_time("w"), window).alias("w"), "tenantId")
+            .agg(F.sum(of("class", "n")).alias("totalEventCount"), F.sum(of("class", "bytes")).alias("totalPayloadBytes"),
+                 F.sum(of("class", "anomalies")).alias("anomalyCount"),
+                 counted("class").alias("countByClassification"), counted("type").alias("countByEventType"))
             .select("tenantId", F.unix_millis("w.start").alias("windowStart"), F.unix_millis("w.end").alias("windowEnd"),
-                    "totalEventCount", counted("classification").alias("countByClassification"),
-                    counted("eventType").alias("countByEventType"), "totalPayloadBytes", "anomalyCount"))
+                    "totalEventCount", "countByClassification", "countByEventType", "totalPayloadBytes", "anomalyCount"))
 
 
 def processed_sink(events: DataFrame, path: str, checkpoint: str, window: str = "5 minutes",
