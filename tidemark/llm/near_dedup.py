@@ -206,12 +206,14 @@ def groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: flo
     same = cut_lineage(held.groupBy("same").agg(F.max(F.struct("doc_id", "row")).alias("top"), F.count(F.lit(1)).alias("copies")), "same")
     vertex = held.join(same.select(F.col("top.row").alias("row")), "row", "left_semi")
     live = cut_lineage(_buckets(cut_lineage(vertex.select("row", "n", "bands"), "vertices")), "live")
+    # Only texts that meet another in some bucket are compared; their multisets are set aside once.
+    sets = cut_lineage(held.select("row", "elements").join(live.select("row").distinct(), "row", "left_semi"), "sets")
     star = live.where((F.col("row") != F.col("lead")) & _reach(F.col("n"), F.col("lead_n"), threshold))
-    links = cut_lineage(similar(star.select(F.col("row").alias("a"), F.col("lead").alias("b")).distinct(), held, threshold), "links")
+    links = cut_lineage(similar(star.select(F.col("row").alias("a"), F.col("lead").alias("b")).distinct(), sets, threshold), "links")
     labels = components(links)
     placed = cut_lineage(live.join(labels, "row", "left").select(
         "bucket", "row", "n", "bands", F.coalesce("label", "row").alias("label")), "placed")
-    more = cut_lineage(similar(_across(placed, held, threshold), held, threshold), "more")
+    more = cut_lineage(similar(_across(placed, sets, threshold), sets, threshold), "more")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     return _choose(held.select("row", "doc_id", "same"), same, labels)
@@ -237,7 +239,7 @@ def _buckets(vertices: DataFrame) -> DataFrame:
     return met.drop("met").join(lead, "bucket")
 
 
-def _across(placed: DataFrame, held: DataFrame, threshold: float, rare: int = RARE) -> DataFrame:
+def _across(placed: DataFrame, sets: DataFrame, threshold: float, rare: int = RARE) -> DataFrame:
     """Candidate pairs ``(a, b)`` of buckets whose members are not one group yet: every pair that can be similar.
 
     Elements that at most ``rare`` of these texts have are rare.  Two texts without a common rare element have at most
@@ -248,13 +250,13 @@ def _across(placed: DataFrame, held: DataFrame, threshold: float, rare: int = RA
     mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
     open_ = cut_lineage(placed.join(cut_lineage(mixed, "mixed"), "bucket", "left_semi"), "open")
     texts = cut_lineage(open_.select("row", "n", "label").distinct(), "open-rows")
-    each = held.select("row", "elements").join(texts, "row").mapInArrow(_each_element, "row bigint, n bigint, label bigint, element int")
+    each = sets.join(texts.select("row"), "row", "left_semi").mapInArrow(_each_element, "row bigint, element int")
     each = cut_lineage(each, "elements")
-    few = each.groupBy("element").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") <= rare)
-    rares = cut_lineage(each.join(cut_lineage(few, "rare"), "element"), "rares")
-    common = texts.join(rares.groupBy("row").agg(F.count(F.lit(1)).alias("own")), "row", "left").select(
-        "row", (F.col("n") - F.coalesce("own", F.lit(0))).alias("c")).where(F.col("c") >= threshold * F.col("n"))
-    core = cut_lineage(open_.join(cut_lineage(common.join(texts.select("row", "n"), "row").select("row", "c"), "core"), "row"), "core-rows")
+    several = each.groupBy("element").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    shared = cut_lineage(each.join(cut_lineage(several, "several"), "element"), "shared")
+    common = (shared.where(F.col("times") > rare).groupBy("row").agg(F.count(F.lit(1)).alias("c"))
+              .join(texts, "row").where(F.col("c") >= threshold * F.col("n")))
+    core = cut_lineage(open_.join(cut_lineage(common.select("row", "c"), "core"), "row"), "core-rows")
     side = lambda df, x, *more: df.select(F.col("row").alias(x), F.col("n").alias(f"{x}n"), F.col("label").alias(f"{x}l"), *more)
     apart = (F.col("al") < F.col("bl")) & _reach(F.col("an"), F.col("bn"), threshold)
     # A pair is taken in the least bucket that it shares, so that it comes once.
@@ -263,23 +265,20 @@ def _across(placed: DataFrame, held: DataFrame, threshold: float, rare: int = RA
     enough = F.least("ac", "bc") >= threshold / (1 + threshold) * (F.col("an") + F.col("bn"))
     first = F.array_min(F.array_intersect("ab", "bb")) == F.col("bucket")
     plain = x.join(y.withColumnRenamed("bucket", "to"), (F.col("bucket") == F.col("to")) & apart & enough & first).select("a", "b")
-    shared = rares.where("times > 1")
-    u, v = side(shared, "a", "element"), side(shared, "b", F.col("element").alias("to"))
+    rares = cut_lineage(shared.where(F.col("times") <= rare).drop("times").join(texts, "row"), "rares")
+    u, v = side(rares, "a", "element"), side(rares, "b", F.col("element").alias("to"))
     odd = u.join(v, (F.col("element") == F.col("to")) & apart).select("a", "b")
     return plain.unionByName(odd).distinct()
 
 
 def _each_element(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per text and element."""
-    names = ["row", "n", "label"]
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
             sets = [np.unique(np.frombuffer(e, np.int32)) for e in part.column("elements").to_pylist()]
-            size = np.array([len(e) for e in sets])
-            yield pa.RecordBatch.from_arrays(
-                [*[pa.array(np.repeat(part.column(c).to_numpy(), size)) for c in names], pa.array(np.concatenate(sets))],
-                names=[*names, "element"])
+            rows = np.repeat(part.column("row").to_numpy(), [len(e) for e in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.concatenate(sets))], names=["row", "element"])
 
 
 def _choose(rows: DataFrame, same: DataFrame, labels: DataFrame) -> DataFrame:
