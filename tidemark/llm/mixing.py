@@ -182,7 +182,8 @@ def mix_sources(docs: DataFrame) -> tuple[DataFrame, DataFrame, Plan]:
     sized = cut_lineage(sizes(docs), "sizes")
     plan = make_plan(sized)
     placed = cut_lineage(located(sized, plan), "placed")
-    taken = spans(placed).join(uses(docs.sparkSession, plan), ["source_no", "block"])
+    # Spark takes the slots for as small as the shard counts they are unrolled from; they must not be broadcast.
+    taken = spans(placed).hint("merge").join(uses(docs.sparkSession, plan), ["source_no", "block"])
     return placed, taken, plan
 
 
