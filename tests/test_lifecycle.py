@@ -201,7 +201,7 @@ def test_quantile_in_unbounded_bucket(spark):
 def test_alarm_needs_consecutive_periods(spark):
     df = spark.createDataFrame([("events.rejected", "s", p * 300_000, 60.0) for p in (0, 2, 3, 4)], "metric string, series string, ts bigint, value double")
     got = rows(M.alarm_states(df).select("periodStart", "inAlarm"))
-    assert got == sorted([(0, False), (600_000, False), (900_000, True), (1_200_000, True)], key=repr)
+    assert got == sorted([(0, False), (600_000, False), (900_000, True), (1_200_000, True), (1_500_000, False)], key=repr)
 
 
 def test_tail_sampling_and_attributes(spark):

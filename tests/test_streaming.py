@@ -168,7 +168,7 @@ def test_a_batch_reads_one_mark(spark):
     marks = spark.read.schema("top BIGINT, batchId INT").parquet(f"{path}/out/_marks").collect()
     assert {r["batchId"]: r["top"] for r in marks} == {0: 300, 1: 300, 2: 300}
     got = {r["id"]: r["late"] for r in spark.read.parquet(f"{path}/out/events").collect()}
-    assert got == {0: False, 1: True, 2: True}
+    assert got == {0: "false", 1: "true", 2: "true"}  # a partition column
 
 
 def test_nothing_due_writes_nothing(spark):
