@@ -201,8 +201,13 @@ def taken_words(docs: DataFrame) -> DataFrame:
 def _words_of(text: Column, runs: Column) -> Column:
     """The words of sorted runs ``(block, from_word, to_word)``, each with the white space that follows it."""
     tokens = F.regexp_extract_all(text, F.lit(rf"({WORD}[\x20\x09-\x0D]*)"), F.lit(1))
-    words = lambda r: F.array_join(F.slice(tokens, r["from_word"] + 1, r["to_word"] - r["from_word"]), "")
-    return F.array_join(F.transform(runs, words), "")
+
+    def joined(words: Column) -> Column:
+        part = lambda r: F.array_join(F.slice(words, r["from_word"] + 1, r["to_word"] - r["from_word"]), "")
+        return F.array_join(F.transform(runs, part), "")
+
+    # A text is cut into words once, as the only element of an array, and not once for each run.
+    return F.element_at(F.transform(F.array(tokens), joined), 1)
 
 
 def mixed(docs: DataFrame) -> DataFrame:
