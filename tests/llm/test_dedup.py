@@ -115,8 +115,8 @@ def test_near_dedup_keeps_one_of_each_group(docs, doc_rows):
 def test_a_chain_through_different_buckets_is_one_group(spark):
     words = [f"w{i}" for i in range(200)]
     chain = []
-    for step in range(12):  # each text replaces five more words; neighbours are alike, ends are not
-        chain.append((step, " ".join(["new"] * 0 + [f"n{i}" if i < 8 * step else w for i, w in enumerate(words)])))
+    for step in range(12):  # each text replaces eight more words; neighbours are alike, ends are not
+        chain.append((step, " ".join(f"n{i}" if i < 8 * step else w for i, w in enumerate(words))))
     got = near_dedup.groups(spark.createDataFrame(chain, "doc_id bigint, text string")).collect()
     assert {r["class_id"] for r in got} == {11}
 
