@@ -136,3 +136,16 @@ def test_random_tokens_are_found_and_ordered_ones_not(spark, no_docs):
     assert hits >= 50
     assert not any(got[i] for i in range(60, len(rows)))
     assert secret_scan.scan(no_docs).count() == 0
+
+
+def test_a_lone_token_is_found_whatever_other_documents_hold(spark):
+    rng = random.Random(11)
+    symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [(i, "see " + "".join(rng.choices(symbols, k=24 + 8 * i))) for i in range(40)]
+    words = [(100 + i, "getElementsByTagNameAndClass2 src/main/java/version1/build2 MAXIMUM_BUFFER_SIZE_V2") for i in range(200)]
+    frame = spark.createDataFrame(rows + words, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.scan(frame).collect()}
+    assert sum(got[i] == f"random:4:{len(text)}" for i, text in rows) >= 37
+    assert not any(got[i] for i, _ in words)
+    alone = {r["doc_id"]: r["spans"] for r in secret_scan.scan(frame.where("doc_id in (3, 30)")).collect()}
+    assert alone == {i: got[i] for i in (3, 30)}
