@@ -149,3 +149,24 @@ def test_a_lone_token_is_found_whatever_other_documents_hold(spark):
     assert not any(got[i] for i, _ in words)
     alone = {r["doc_id"]: r["spans"] for r in secret_scan.scan(frame.where("doc_id in (3, 30)")).collect()}
     assert alone == {i: got[i] for i in (3, 30)}
+
+
+LOWER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+ALPHABETS = [DIGITS + "ABCDEF", LOWER + "234567", DIGITS + LOWER, DIGITS + LOWER.upper(), LOWER + LOWER.upper(), DIGITS + LOWER + LOWER.upper()]
+
+
+def test_every_alphabet_reaches_the_battery_alone_and_inside_a_run(spark):
+    rng = random.Random(10)
+    rows = []
+    for symbols in ALPHABETS:
+        for _ in range(40):
+            token = "".join(rng.choices(symbols, k=40))
+            rows += [(len(rows), f"see {token} here"), (len(rows) + 1, f"see https://host/path/to/file/{token}/more here")]
+    uuids = ["".join(rng.choices(DIGITS + "abcdef", k=32)) for _ in range(40)]
+    rows += [(len(rows) + i, f"see {u[:8]}-{u[8:12]}-{u[12:16]}-{u[16:20]}-{u[20:]}") for i, u in enumerate(uuids)]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for no in range(len(ALPHABETS)):
+        first = 80 * no
+        assert sum(got[i] == "random:4:44" for i in range(first, first + 80, 2)) >= 34
+        assert sum("random:30:70" in got[i].split(",") for i in range(first + 1, first + 80, 2)) >= 34
+    assert sum(got[i] == "random:4:40" for i in range(len(rows) - 40, len(rows))) >= 34

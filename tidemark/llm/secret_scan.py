@@ -1,8 +1,9 @@
 """Secrets in texts: fixed patterns, and tokens that a battery of randomness tests cannot tell from random ones.
 
 Fixed patterns give the kinds ``assign``, ``access`` and ``hex``.  Further candidates are runs of at least ``LEAST``
-characters of the usual encodings that have the character classes of one: hexadecimal, base 32 or base 64.  Each is
-tested for uniform use of its encoding's alphabet (chi-squared, as the number of equal pairs), for its runs of one class
+characters of the usual encodings, and the parts of a run between its separators.  Each is read in the smallest alphabet
+that has its classes of characters: hexadecimal, base 32 and base 36 of either case (dashes left out, as in a UUID), base
+52, 62 or 64.  Only digits and separators are no candidate.  Each is tested for uniform use of its encoding's alphabet (chi-squared, as the number of equal pairs), for its runs of one class
 of characters and the others, and for serial correlation; Fisher's method combines the three into one p value, which is uniform for
 random tokens and near 0 for most words, paths and numbers.  Words and identifiers that pass are told apart by a fixed
 model of them: a token's gain is how many more bits the model needs for it than its alphabet does.  A token is a finding
@@ -29,7 +30,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 LEAST = 20
-CANDIDATES = [rf"[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}"]
+# Whole runs, their parts between slashes, and their parts between any separators.
+CANDIDATES = [rf"[{symbols}]{{{LEAST},}}={{0,2}}" for symbols in ("A-Za-z0-9+/_-", "A-Za-z0-9+_-", "A-Za-z0-9")]
 FALSE_SHARE = 0.05
 LEAST_P = 0.01
 ONE_IN = 32
@@ -41,7 +43,13 @@ LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ
 # runs are tested.
 ENCODINGS = [
     (r"[0-9a-f]+", DIGITS + "abcdef", 0, 10),
+    (r"[0-9A-F]+", DIGITS + "ABCDEF", 0, 10),
+    (r"[a-z2-7]+", LOWER + "234567", 0, 26),
     (r"[A-Z2-7]+", UPPER + "234567", 0, 26),
+    (r"[0-9a-z]+", DIGITS + LOWER, 0, 10),
+    (r"[0-9A-Z]+", DIGITS + UPPER, 0, 10),
+    (r"[A-Za-z]+", UPPER + LOWER, 26, 52),
+    (r"[0-9A-Za-z]+", UPPER + LOWER + DIGITS, 26, 52),
     (r"(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z+/_-]+", UPPER + LOWER + DIGITS + "+/", 26, 52),
 ]
 
@@ -101,7 +109,7 @@ def encoding(symbols: Column) -> Column:
     out = F.lit(None).cast("int")
     for code, (made_of, *_) in reversed(list(enumerate(ENCODINGS))):
         out = F.when(symbols.rlike(f"^{made_of}$"), F.lit(code)).otherwise(out)
-    return F.when(symbols.rlike("[A-Za-z]") & symbols.rlike("[0-9]") & (F.length(symbols) >= LEAST), out)
+    return F.when(symbols.rlike("[A-Za-z]") & (F.length(symbols) >= LEAST), out)
 
 
 def _of(field: int, code: Column, seen=lambda x: x) -> Column:
