@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm import mixing, packing
+from tidemark.llm import mixing, near_dedup, packing
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -140,3 +140,24 @@ def test_packed_pieces_hold_every_id_once(docs, doc_rows):
 
 def test_packing_an_empty_table(no_docs):
     assert packing.pack(no_docs, BPE).count() == 0
+
+
+@pytest.mark.parametrize("module, run", [(near_dedup, near_dedup.dedup), (mixing, mixing.mixed)])
+def test_another_split_of_the_files_between_scans_changes_nothing(spark, doc_rows, docs, tmp_path, monkeypatch, module, run):
+    path, split = str(tmp_path / "docs"), "spark.sql.files.minPartitionNum"
+    spark.createDataFrame(list(dict.fromkeys(doc_rows)), docs.schema).repartition(8, "doc_id").write.parquet(path)
+    own = module.cut_lineage
+
+    def cut_and_split(frame, name):
+        out = own(frame, name)
+        if name in ("features", "sizes"):
+            spark.conf.set(split, "1")
+        return out
+
+    spark.conf.set(split, "64")
+    try:
+        want = sorted(map(repr, run(spark.read.parquet(path)).collect()))
+        monkeypatch.setattr(module, "cut_lineage", cut_and_split)
+        assert sorted(map(repr, run(spark.read.parquet(path)).collect())) == want
+    finally:
+        spark.conf.unset(split)

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrays import GOLDEN, mix
@@ -179,16 +179,28 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    decided = cut_lineage(decide(docs, id_col, text).select("id", "sha", "kept"), "decided")
-    key = free_name(docs, "_name")
+    decided = decide(docs, id_col, text)
     name = lambda id_, sha: F.concat_ws("/", F.coalesce(id_.cast("string"), F.lit("null")), sha)
-    per_name = decided.groupBy(name(F.col("id"), F.col("sha")).alias(key)).agg(
-        F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    decided = cut_lineage(decided.select(name(F.col("id"), F.col("sha")).alias("name"), "kept"), "decided")
+    return stay(docs, name(F.col(id_col), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)), decided)
+
+
+def stay(docs: DataFrame, name: Column, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose name is kept, one of each name; ``decided`` has ``name`` and ``kept`` of every row.
+
+    Rows are known by a name made of their values, because a row number may differ in every scan.
+    """
+    key = free_name(docs, "_name")
+    per_name = decided.groupBy(F.col("name").alias(key)).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     per_name = cut_lineage(per_name.where(~F.col("kept") | (F.col("n") > 1)), "names")
-    named = docs.withColumn(key, name(F.col(id_col), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
+    named = docs.withColumn(key, name)
     left = named.join(per_name.where(~F.col("kept")).select(key), key, "left_anti")
-    repeats = per_name.where(F.col("kept")).select(key)
-    if not repeats.isEmpty():  # rows that repeat both id and text
-        left = (left.join(repeats, key, "left_anti")
-                .unionByName(left.join(repeats, key, "left_semi").dropDuplicates([key])))
-    return left.select(*docs.columns)
+    return once(left, key, per_name.where(F.col("kept")).select(key)).select(*docs.columns)
+
+
+def once(named: DataFrame, key: str, repeats: DataFrame) -> DataFrame:
+    """One row of each name, given the names that several rows have."""
+    if repeats.isEmpty():
+        return named
+    return (named.join(repeats, key, "left_anti")
+            .unionByName(named.join(repeats, key, "left_semi").dropDuplicates([key])))

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrays import GOLDEN, mix, unit
+from tidemark.llm.exact_dedup import once
 from tidemark.llm.names import free_name
 from tidemark.session import cut_lineage
 
@@ -36,10 +37,13 @@ MAX_SOURCES = 100_000  # the table of weights is kept whole; more sources are re
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """Row number, id, source and size in words of every document."""
+def sizes(docs: DataFrame, *more: Column) -> DataFrame:
+    """Row number, id, source and size in words of every document.
+
+    The number holds for the table that this is written to; another scan of ``docs`` may number its rows otherwise.
+    """
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint")
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", words.alias("size"))
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", words.alias("size"), *more)
 
 
 def targets(sums: list[tuple], weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> list[float]:
@@ -177,9 +181,9 @@ def spans(placed: DataFrame, block: int = BLOCK) -> DataFrame:
                     F.least(F.col("size"), (F.col("block") + 1) * block - F.col("start")).alias("to_word")))
 
 
-def mix_sources(docs: DataFrame) -> tuple[DataFrame, DataFrame, Plan]:
+def mix_sources(docs: DataFrame, *more: Column) -> tuple[DataFrame, DataFrame, Plan]:
     """Placed documents, their taken spans (a row per document, block and epoch) and the plan."""
-    sized = cut_lineage(sizes(docs), "sizes")
+    sized = cut_lineage(sizes(docs, *more), "sizes")
     plan = make_plan(sized)
     placed = cut_lineage(located(sized, plan), "placed")
     # Spark takes the slots for as small as the shard counts they are unrolled from; they must not be broadcast.
@@ -210,16 +214,27 @@ def _words_of(text: Column, runs: Column) -> Column:
     return F.element_at(F.transform(F.array(tokens), joined), 1)
 
 
+def _name(docs: DataFrame) -> Column:
+    """A digest of all columns: rows are met by their values, because a row number may differ in every scan."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    text = F.coalesce(F.sha2("text", 256), F.lit("null"))
+    return F.sha2(F.concat_ws("/", text, F.to_json(rest, {"ignoreNullFields": "false"})), 256)
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix as documents: a row for every document and epoch that has taken blocks, its text the words taken.
 
     Columns are those of ``docs``; ``n_chars``, where there is one, follows the new text.
     """
-    _, taken, _ = mix_sources(docs)
-    row, spans_ = free_name(docs, "_row"), free_name(docs, "_runs")
-    runs = taken.groupBy(F.col("row").alias(row), "epoch").agg(
+    key, spans_ = free_name(docs, "_row"), free_name(docs, "_runs")
+    placed, taken, _ = mix_sources(docs, _name(docs).alias("name"))
+    runs = taken.groupBy("row", "epoch").agg(
         F.array_sort(F.collect_list(F.struct("block", "from_word", "to_word"))).alias(spans_)).drop("epoch")
-    out = (docs.withColumn(row, F.monotonically_increasing_id()).join(runs, row)
+    runs = runs.join(placed.select("row", F.col("name").alias(key)), "row").drop("row")
+    # Rows of one name are alike in every column: one of them stands for all.
+    repeats = placed.groupBy(F.col("name").alias(key)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
+    repeats = cut_lineage(repeats, "repeats")
+    out = (once(docs.withColumn(key, _name(docs)), key, repeats).join(runs, key)
            .withColumn("text", _words_of(F.col("text"), F.col(spans_))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

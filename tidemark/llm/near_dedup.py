@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrays import GOLDEN, chunks, flat, mix, unit, word_bounds, word_hashes
-from tidemark.llm.names import free_name
+from tidemark.llm.exact_dedup import stay
 from tidemark.session import cut_lineage
 
 SHINGLE = 5
@@ -130,11 +130,19 @@ def occurrences(row: np.ndarray, element: np.ndarray, weight: np.ndarray) -> tup
     return (keys >> np.uint64(32)).astype(np.int64), keys.astype(np.uint32)
 
 
+def _lower() -> Column:
+    return F.lower(F.coalesce("text", F.lit("")))
+
+
+def _same(lower: Column) -> Column:
+    return F.sha2(lower, 256)
+
+
 def features(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Row number, id, digest of the lower-case text, shingle multiset and band keys of every document."""
-    lower = F.lower(F.coalesce("text", F.lit("")))
+    lower = _lower()
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"),
-                       F.sha2(lower, 256).alias("same"), lower.alias("text"))
+                       _same(lower).alias("same"), lower.alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
@@ -202,6 +210,11 @@ def components(links: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """For every row: row, doc_id, class_id (id of the row that stays), group_size and kept."""
+    return _grouped(docs, bands, rows, threshold).drop("same")
+
+
+def _grouped(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """Groups with the digest of each row's lower-case text."""
     held = cut_lineage(features(docs, bands, rows), "features")
     same = cut_lineage(held.groupBy("same").agg(F.max(F.struct("doc_id", "row")).alias("top"), F.count(F.lit(1)).alias("copies")), "same")
     vertex = held.join(same.select(F.col("top.row").alias("row")), "row", "left_semi")
@@ -288,12 +301,12 @@ def _choose(rows: DataFrame, same: DataFrame, labels: DataFrame) -> DataFrame:
     classes = cut_lineage(vertices.groupBy("label").agg(
         F.max(F.struct("doc_id", "row")).alias("keep"), F.sum("copies").alias("group_size")), "classes")
     known = cut_lineage(vertices.select("same", "label").join(classes, "label").select("same", "keep", "group_size"), "known")
-    return (rows.join(known, "same").select("row", "doc_id", F.col("keep.doc_id").alias("class_id"), "group_size",
+    return (rows.join(known, "same").select("row", "doc_id", "same", F.col("keep.doc_id").alias("class_id"), "group_size",
                                             (F.col("keep.row") == F.col("row")).alias("kept")))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group."""
-    row = free_name(docs, "_row")
-    kept = cut_lineage(groups(docs).where("kept").select(F.col("row").alias(row)), "kept")
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(kept, row, "left_semi").select(*docs.columns)
+    name = lambda id_, same: F.concat_ws("/", F.coalesce(id_.cast("bigint").cast("string"), F.lit("null")), same)
+    decided = cut_lineage(_grouped(docs).select(name(F.col("doc_id"), F.col("same")).alias("name"), "kept"), "decided")
+    return stay(docs, name(F.col("doc_id"), _same(_lower())), decided)
