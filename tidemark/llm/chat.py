@@ -10,8 +10,10 @@ The characters ``\\``, ``<`` and ``[`` of roles and texts are each followed by a
 another template's, stands in a text, and dropping that character restores the text.  Everything between ``<text>`` and
 ``</turn>`` of an assistant's message is under the loss mask, except placeholders.
 
-Null text or content is empty, a null role is the empty role.  Messages are ordered by turn, then role, then content;
-repeated rows are messages of their own.  Rows without a conversation id form one conversation.
+Null text or content is empty, a null part is none, a null role is the empty role.  A part of another kind becomes a
+placeholder ``other`` of no tokens, and its attachment keeps the kind.  Messages are ordered by turn, then by their
+formatted text; repeated rows are messages of their own.  Rows without a conversation id form one conversation.  A
+conversation's digest is that of its messages in order, so its messages pass through one task, one at a time.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ TRAINED = "assistant"
 PATCH, AUDIO_RATE, PAGE_TOKENS = 28, 12.5, 256  # pixels a token's side, tokens a second, tokens a page
 _SPECIAL = re.compile(r"[\\<\[]")
 _ESCAPED = re.compile(r"([\\<\[])\\")
-_MARK = re.compile(r"<(turn|text|/turn|(?:image|audio|document) \d+)>")
+_MARK = re.compile(r"<(turn|text|/turn|(?:image|audio|document|other) \d+)>")
 
 
 def escape(text: str) -> str:
@@ -51,10 +53,7 @@ class Flattener:
         self.at, self.trained = len(self.content[0]), role == TRAINED
 
     def visit(self, part: dict) -> None:
-        visit = getattr(self, f"visit_{part.get('kind')}", None)
-        if visit is None:
-            raise ValueError(f"unknown content part: {part.get('kind')!r}")
-        visit(part)
+        getattr(self, f"visit_{part.get('kind')}", self.visit_other)(part)
 
     def visit_text(self, part: dict) -> None:
         text = escape(part.get("text") or "")
@@ -72,9 +71,12 @@ class Flattener:
     def visit_document(self, part: dict) -> None:
         self._attach(part, (part.get("pages") or 1) * PAGE_TOKENS)
 
-    def _attach(self, part: dict, tokens: int) -> None:
-        self.attachments.append({"kind": part["kind"], "ref": part.get("ref"), "position": self.at, "tokens": tokens})
-        self._put(f"<{part['kind']} {len(self.attachments) - 1}>")
+    def visit_other(self, part: dict) -> None:
+        self._attach(part, 0, "other")
+
+    def _attach(self, part: dict, tokens: int, shown: str | None = None) -> None:
+        self.attachments.append({"kind": part.get("kind"), "ref": part.get("ref"), "position": self.at, "tokens": tokens})
+        self._put(f"<{shown or part['kind']} {len(self.attachments) - 1}>")
 
     def _put(self, piece: str) -> None:
         self.content.append(piece)
@@ -87,7 +89,8 @@ class Flattener:
 def flatten(role: str | None, parts: list[dict] | None) -> Flattener:
     visitor = Flattener(role or "")
     for part in parts or []:
-        visitor.visit(part)
+        if part is not None:
+            visitor.visit(part)
     return visitor
 
 
