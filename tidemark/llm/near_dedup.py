@@ -260,8 +260,11 @@ def _across(placed: DataFrame, sets: DataFrame, threshold: float, rare: int = RA
     this leaves out most texts, and most pairs of the rest.  All others that can be similar share a rare element, and
     an element gives at most ``rare`` squared pairs.
     """
-    mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    open_ = cut_lineage(placed.join(cut_lineage(mixed, "mixed"), "bucket", "left_semi"), "open")
+    size = placed.select("row", "label").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    ranked = placed.join(cut_lineage(size, "label-sizes"), "label").withColumn("rank", F.struct("size", "label"))
+    ranked = cut_lineage(ranked.drop("size"), "ranked")
+    mixed = ranked.groupBy("bucket").agg(F.min("rank").alias("low"), F.max("rank").alias("high")).where("low < high")
+    open_ = cut_lineage(ranked.join(cut_lineage(mixed, "mixed"), "bucket"), "open")
     texts = cut_lineage(open_.select("row", "n", "label").distinct(), "open-rows")
     each = sets.join(texts.select("row"), "row", "left_semi").mapInArrow(_each_element, "row bigint, element int")
     each = cut_lineage(each, "elements")
@@ -270,16 +273,17 @@ def _across(placed: DataFrame, sets: DataFrame, threshold: float, rare: int = RA
     common = (shared.where(F.col("times") > rare).groupBy("row").agg(F.count(F.lit(1)).alias("c"))
               .join(texts, "row").where(F.col("c") >= threshold * F.col("n")))
     core = cut_lineage(open_.join(cut_lineage(common.select("row", "c"), "core"), "row"), "core-rows")
-    side = lambda df, x, *more: df.select(F.col("row").alias(x), F.col("n").alias(f"{x}n"), F.col("label").alias(f"{x}l"), *more)
+    side = lambda df, x, own, *more: df.select(F.col("row").alias(x), F.col("n").alias(f"{x}n"), F.col(own).alias(f"{x}l"), *more)
     apart = (F.col("al") < F.col("bl")) & _reach(F.col("an"), F.col("bn"), threshold)
-    # A pair is taken in the least bucket that it shares, so that it comes once.
-    x = side(core, "a", "bucket", F.col("c").alias("ac"), F.col("bands").alias("ab"))
-    y = side(core, "b", "bucket", F.col("c").alias("bc"), F.col("bands").alias("bb"))
+    # The texts of smaller groups look for those of larger ones, so those of a bucket's largest group are on one side
+    # only and are not paired with each other.  A pair is taken in the least bucket that it shares, so that it comes once.
+    x = side(core.where("rank < high"), "a", "rank", "bucket", F.col("c").alias("ac"), F.col("bands").alias("ab"))
+    y = side(core.where("rank > low"), "b", "rank", "bucket", F.col("c").alias("bc"), F.col("bands").alias("bb"))
     enough = F.least("ac", "bc") >= threshold / (1 + threshold) * (F.col("an") + F.col("bn"))
     first = F.array_min(F.array_intersect("ab", "bb")) == F.col("bucket")
     plain = x.join(y.withColumnRenamed("bucket", "to"), (F.col("bucket") == F.col("to")) & apart & enough & first).select("a", "b")
     rares = cut_lineage(shared.where(F.col("times") <= rare).drop("times").join(texts, "row"), "rares")
-    u, v = side(rares, "a", "element"), side(rares, "b", F.col("element").alias("to"))
+    u, v = side(rares, "a", "label", "element"), side(rares, "b", "label", F.col("element").alias("to"))
     odd = u.join(v, (F.col("element") == F.col("to")) & apart).select("a", "b")
     return plain.unionByName(odd).distinct()
 
