@@ -30,8 +30,9 @@ def test_parts_become_ordered_placeholders():
     assert [segment[a["position"]] for a in made.attachments] == ["<"] * 3
     assert "".join(segment[s["start"]:s["end"]] for s in made.loss) == "see  and "
     assert chat.flatten("user", parts).loss == []
-    with pytest.raises(ValueError):
-        chat.flatten("user", [{"kind": "video"}])
+    odd = chat.flatten("user", [None, {"kind": "video", "ref": "v.mp4"}, {"kind": None}])
+    assert odd.segment() == "<turn>user<text><other 0><other 1></turn>" and [a["kind"] for a in odd.attachments] == ["video", None]
+    assert chat.read_back(odd.segment()) == ("user", "<other 0><other 1>")
 
 
 def test_digests_are_read_back(spark):
@@ -93,13 +94,77 @@ def test_equal_texts_and_lost_spaces(spark, no_docs):
     assert merkle.fingerprints(no_docs).count() == 0
 
 
-def test_changed_sections_locate_an_edit(spark):
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def plain_tree(text):
+    """Sections of (digest, paragraphs of leaf digests), and the root, by loops."""
+    lines = [(line, [sha(leaf) for leaf in re.findall(r"(?:[^ ]* ){1,4}|[^ ]+", line)]) for line in text.split("\n")]
+    sections, was_blank = [], True
+    for i, (line, hashes) in enumerate(lines):
+        blank, digest = line.strip(" ") == "", sha("".join(hashes))
+        if i == 0 or re.match(r"\s{0,3}#", line) or (was_blank and not blank) or (not blank and int(digest[:4], 16) % merkle.SECTION == 0):
+            sections.append([])
+        sections[-1].append((digest, hashes))
+        was_blank = blank
+    digests = [sha("".join(d for d, _ in s)) for s in sections]
+    return [(d, [h for _, h in s]) for d, s in zip(digests, sections)], sha("".join(digests))
+
+
+def plain_likeness(x, y):
+    if x[1] == y[1]:
+        return 1.0
+    same = {d for d, _ in x[0]} & {d for d, _ in y[0]}
+    leaves = lambda t, inside: [h[:8] for d, s in t[0] if (d in same) == inside for p in s for h in p]
+    known = len(leaves(x, True)) + len(leaves(y, True))
+    a, b = set(leaves(x, False)), set(leaves(y, False))
+    total = known + len(a) + len(b)
+    return min(0.999, (known + 2 * len(a & b)) / total) if total else 0.0
+
+
+def test_trees_equal_plain_ones(docs, doc_rows, spark):
+    extra = [(90_000 + i, t, *[None] * 9) for i, t in enumerate(
+        ["# head\ntext here\n\nmore text\n## sub\nx", "\n".join(f"line {i} of some words in a row" for i in range(200)), "a\n\n\nb", "  \n # x"])]
+    unique = list({r[0]: r for r in [*doc_rows, *extra] if r[0] is not None}.values())
+    ranked = order(unique)
+    got = {r["doc_id"]: r for r in merkle.fingerprints(spark.createDataFrame(unique, docs.schema)).collect()}
+    for r, n in zip(ranked, ranked[1:] + ranked[:1]):
+        text, following = r[1] or "", n[1] or ""
+        k = len(text) // 3
+        trees = [plain_tree(t) for t in (text, text[:len(text) - k] + following[:k], following)]
+        shown = [f"{root}:" + ";".join(",".join(".".join(h[:8] for h in p) for p in s) for _, s in sections) for sections, root in trees]
+        g = got[r[0]]
+        assert (g["fingerprint"], g["edited_fingerprint"]) == tuple(shown[:2])
+        assert g["near_edited"] == pytest.approx(plain_likeness(trees[0], trees[1]))
+        assert g["near_next"] == pytest.approx(plain_likeness(trees[0], trees[2]))
+        assert (g["changed"] == "|") == (text == text[:len(text) - k] + following[:k]) or text.split("\n") != sorted(set(text.split("\n")))
+
+
+def changes(spark, a, b):
+    trees = merkle.with_tree(merkle.with_tree(spark.createDataFrame([(a, b)], "a string, b string"), "a", "x"), "b", "y")
+    return trees.select(merkle.changed(F.col("x"), F.col("y"))).first()[0]
+
+
+def place(text, line):
+    """section.paragraph of the line with that number."""
+    seen = 0
+    for i, (_, section) in enumerate(plain_tree(text)[0]):
+        if line < seen + len(section):
+            return f"{i}.{line - seen}"
+        seen += len(section)
+
+
+def test_differing_branches_locate_edits(spark):
     lines = [f"line {i} of the text" for i in range(40)]
-    other = [*lines[:20], "changed", *lines[21:]]
-    frame = spark.createDataFrame([("\n".join(lines), "\n".join(other))], "a string, b string")
-    trees = merkle.with_tree(merkle.with_tree(frame, "a", "x"), "b", "y")
-    assert trees.select(merkle.changed_sections(F.col("x"), F.col("y"))).first()[0] == [20 // merkle.SECTION]
-    assert trees.select(merkle.changed_sections(F.col("x"), F.col("x"))).first()[0] == []
+    text = "\n".join(lines)
+    put_in = "\n".join(["put in front", *lines])
+    assert changes(spark, text, put_in) == f"|{place(put_in, 0)}"
+    other = "\n".join([*lines[:20], "changed", *lines[21:]])
+    assert changes(spark, text, other) == f"{place(text, 20)}|{place(other, 20)}"
+    out = "\n".join(lines[:7] + lines[8:])
+    assert changes(spark, text, out) == f"{place(text, 7)}|"
+    assert changes(spark, text, text) == "|"
 
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
