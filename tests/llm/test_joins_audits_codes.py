@@ -96,6 +96,14 @@ def test_measures_of_numbers_and_columns_agree(spark):
         assert m.overlap(r["n"], r["m"]) == least
 
 
+def test_sets_of_pairs_are_found_by_their_marks(spark):
+    held = spark.range(5000).selectExpr("id * 7919 AS row", "unhex(lpad(hex(id), 16, '0')) AS runs")
+    pairs = spark.range(300).selectExpr("id * 7919 AS a", "(id + 1) * 7919 AS b")
+    got = {r["row"] // 7919 for r in jaccard_join._sets_of(pairs, held).collect()}
+    assert set(range(301)) <= got and len(got) < 400
+    assert jaccard_join._sets_of(pairs.limit(0), held).count() == 0
+
+
 def test_join_of_no_documents(no_docs):
     assert jaccard_join.join(no_docs).count() == 0
 

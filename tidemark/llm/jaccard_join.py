@@ -38,6 +38,8 @@ from tidemark.session import cut_lineage
 SHINGLE, PERCENT, EXTRA = 3, 90, 2
 CELL_BITS = 18  # the table of run counts has 2**18 cells, whatever the corpus
 SEGMENT = 256   # texts of a list segment, about
+SET_BYTES = 1 << 19  # bytes of text that a worker turns into sets at once
+MARK_BITS = 23  # bits of the bitmap that marks texts of candidate pairs
 ROW_BITS = 14
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -68,7 +70,7 @@ def sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
+        for part in chunks(batches, max_bytes=SET_BYTES):
             hashes, at = shingle_sets(part.column("text"), k)
             blobs = [hashes[a:b].tobytes() for a, b in zip(at, at[1:])]
             same = [hashlib.blake2b(b, digest_size=16).digest() for b in blobs]
@@ -188,6 +190,30 @@ def probe(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[np.minimum(at, len(b) - 1)] == a)) if len(b) else 0
 
 
+def _sets_of(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The sets of the texts in ``pairs``, and few others.
+
+    The texts are marked in a bitmap of a fixed size, so that the sets of all others are left out where they
+    are read and are not shuffled.  A bitmap that is too full lets more through, which changes nothing.
+    """
+    place = lambda row: F.pmod(F.xxhash64(row), F.lit(1 << MARK_BITS))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("row")).select(place("row").alias("at"))
+    bits = ids.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    marked = np.zeros((1 << MARK_BITS) + (1 << 16), bool)
+    for r in bits.collect():  # at most 2**MARK_BITS bits
+        first = (r["bucket"] - 1) * (1 << 15) + 1  # numbers begin at 1 in a bucket; zero has a bucket of its own
+        marked[max(first, 0):first + (1 << 15)] |= np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little").astype(bool)[max(-first, 0):]
+    packed = np.packbits(marked)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("at").to_numpy()
+            keep = packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
+            yield batch.select(["row", "runs"]).filter(pa.array(keep.astype(bool)))
+
+    return held.select("row", place("row").alias("at"), "runs").mapInArrow(run, "row bigint, runs binary")
+
+
 def linked(pairs: DataFrame, held: DataFrame, measure: Measure) -> DataFrame:
     """The pairs ``(a, b)`` that reach the overlap."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +224,8 @@ def linked(pairs: DataFrame, held: DataFrame, measure: Measure) -> DataFrame:
                 keep.append(measure.linked(len(s), len(t), probe(s, t)))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda x, runs: held.select(F.col("row").alias(x), F.col("runs").alias(runs))
+    own = cut_lineage(_sets_of(pairs, held), "pair-sets")
+    side = lambda x, runs: own.select(F.col("row").alias(x), F.col("runs").alias(runs))
     return pairs.select("a", "b").join(side("a", "xs"), "a").join(side("b", "ys"), "b").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -219,7 +246,12 @@ def _star(shared: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame]:
     near = live.join(lead, ["run", "class"]).where(
         (F.col("row") != F.col("lead")) & measure.sizes(F.col("n"), F.col("lead_n"))
         & (F.least("q", "lead_q") >= measure.needed_column(F.col("n"), F.col("lead_n"))))
-    return live, near.select(F.col("row").alias("a"), F.col("lead").alias("b")).distinct()
+    pairs = cut_lineage(near.select(F.col("row").alias("a"), F.col("lead").alias("b")).distinct(), "star-pairs")
+    # Of these pairs the short lists that both are in are counted, as the search does for its candidates.
+    mine = live.select("run", F.col("row").alias("a"), F.col("n").alias("an"))
+    theirs = live.select("run", F.col("row").alias("b"), F.col("n").alias("bn"))
+    met = pairs.join(mine, "a").join(theirs, ["b", "run"]).groupBy("a", "b", "an", "bn").agg(F.count(F.lit(1)).alias("hits"))
+    return live, met.where(F.col("hits") >= measure.needed_column(F.col("an"), F.col("bn"))).select("a", "b")
 
 
 def _search(live: DataFrame, labels: DataFrame, measure: Measure, segment: int) -> DataFrame:
@@ -270,10 +302,9 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, extra: int =
     same = cut_lineage(some.groupBy("same").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id")), "same-sets")
     postings = short_lists(some, run_classes(some), measure).join(same.select("row"), "row", "left_semi")
     live, star = _star(cut_lineage(_shared(cut_lineage(postings, "postings")), "shared-lists"), measure)
-    own = cut_lineage(some.select("row", "runs").join(live.select("row").distinct(), "row", "left_semi"), "live-sets")
-    links = cut_lineage(linked(star, own, measure), "star-links")
+    links = cut_lineage(linked(cut_lineage(star, "star-candidates"), some, measure), "star-links")
     labels = components(links)
-    more = cut_lineage(linked(cut_lineage(_search(live, labels, measure, segment), "candidates"), own, measure), "search-links")
+    more = cut_lineage(linked(cut_lineage(_search(live, labels, measure, segment), "candidates"), some, measure), "search-links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     placed = cut_lineage(same.join(labels, "row", "left").select("same", "doc_id", F.coalesce("label", "row").alias("label")), "placed-sets")
