@@ -55,14 +55,44 @@ def brute_force(points, ttl):
     return sorted(out)
 
 
-@pytest.mark.parametrize("fold_limit", [0, 20, 10_000])
-def test_ttl_acceptance_is_exact_on_both_paths(spark, fold_limit):
+@pytest.mark.parametrize("slice_ms", [1, 4, 100, 1 << 15])
+def test_ttl_acceptance_equals_a_loop(spark, slice_ms):
     import random
     rnd = random.Random(3)
-    points = [("hot" if rnd.random() < 0.5 else rnd.choice(["a", "b", "c"]), rnd.randrange(0, 900), i) for i in range(400)]
+    points = [("hot" if rnd.random() < 0.5 else rnd.choice(["a", "b", "c"]), rnd.randrange(-200, 900), i) for i in range(400)]
     df = spark.createDataFrame(points, "k string, t bigint, s bigint")
-    got = D.accept_with_ttl(df, ["k"], "t", "s", 13, fold_limit=fold_limit, slice_ms=4)
-    assert sorted(tuple(r) for r in got.select("k", "t", "s", "expiresAt").collect()) == brute_force(points, 13)
+    got = D.accept_with_ttl(df, ["k"], "t", "s", 13, slice_ms=slice_ms)
+    want = {}
+    for k, t, s in points:
+        want[k, t] = min(s, want.get((k, t), s))
+    assert sorted(tuple(r) for r in got.select("k", "t", "s", "expiresAt").collect()) == brute_force([(k, t, s) for (k, t), s in want.items()], 13)
+
+
+@pytest.mark.parametrize("slice_ms", [1, 64, 1 << 15])
+def test_ttl_accepts_every_row_without_a_key(spark, slice_ms):
+    """The rows of the null key stay whatever the other keys hold; a row without a time is none."""
+    points = [(None, 0), (None, 50), (None, 200), ("k", 0), ("k", 50), ("k", 200), ("k", None)]
+    df = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(points)], "k string, t bigint, s bigint")
+    got = sorted((r["k"] or "", r["t"]) for r in D.accept_with_ttl(df, ["k"], "t", "s", 100, slice_ms).collect())
+    assert got == [("", 0), ("", 50), ("", 200), ("k", 0), ("k", 200)]
+
+
+def test_ttl_of_nothing_and_of_two_keys(spark):
+    df = spark.createDataFrame([("a", "x", 0, 1), ("a", "y", 1, 2), ("a", "x", 5, 3)], "k string, v string, t bigint, s bigint")
+    assert len(D.accept_with_ttl(df, ["k", "v"], "t", "s", 10).collect()) == 2
+    assert D.accept_with_ttl(df.limit(0), ["k"], "t", "s", 10).count() == 0
+
+
+def test_ttl_builds_its_plan_without_a_job(spark):
+    df = spark.range(100).selectExpr("id % 3 AS k", "id AS t", "id AS s")
+    tracker, group = spark.sparkContext.statusTracker(), "ttl-plan"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        plan = D.accept_with_ttl(df, ["k"], "t", "s", 10)
+        assert not tracker.getJobIdsForGroup(group)
+        assert plan.count() and tracker.getJobIdsForGroup(group)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_rows_without_a_key_are_never_duplicates(spark):

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.operators import ordered as O
 from tidemark.operators.skew import with_group_totals
-from tidemark.session import cut_lineage
 
-# Keys with at most this many distinct arrival times are folded in one row's array; larger ones
-# take the distributed path, which gives the same rows.
-FOLD_LIMIT = 4096
+SLICE_MS = 1 << 15  # arrival times of a key in one row: at most as many as a slice has milliseconds
 
 
 def idempotent_ingest(df: DataFrame, key: str = "idempotencyKey", ts: str = "createdAt",
@@ -36,7 +37,7 @@ def first_per_key(df: DataFrame, key: str = "idempotencyKey", ts: str = "created
     """Only the accepted rows of ``idempotent_ingest``: one aggregate, no join."""
     row = F.struct(*[F.col(c) for c in df.columns])
     kept = (df.where(F.col(key).isNotNull()).groupBy(key)
-            .agg(F.min_by(row, F.struct(ts, tie)).alias("_row")).select("_row.*"))
+            .agg(F.min_by(row, F.struct(ts, tie, "id")).alias("_row")).select("_row.*"))
     return kept.unionByName(df.where(F.col(key).isNull()))
 
 
@@ -45,64 +46,57 @@ def purge_expired(store: DataFrame, now_ms: int) -> DataFrame:
 
 
 def accept_with_ttl(df: DataFrame, keys: list[str], ts: str, tie: str, ttl_ms: int,
-                    fold_limit: int = FOLD_LIMIT, slice_ms: int | None = None) -> DataFrame:
+                    slice_ms: int = SLICE_MS) -> DataFrame:
     """Rows accepted by a store that forgets a key ``ttl_ms`` after it was accepted.
 
-    Acceptance depends on the previously accepted row, so a key is a chain: after a row accepted
-    at t comes the first row at or after t + ttl.  Only distinct arrival times matter.  Small keys
-    are folded inside one array expression; keys beyond ``fold_limit`` follow the chain with
-    pointer doubling, whose rounds grow with the logarithm of the chain.
+    Acceptance depends on the previously accepted row, so a key is a chain: after a row accepted at
+    t comes the first row at or after t + ttl.  Only distinct arrival times matter, so rows are first
+    reduced to one per (key, time) and then to one sorted list per (key, slice of time), which no
+    number of rows can make longer than the slice has milliseconds.  The slices of a key are then
+    walked in order, a batch at a time, with the key's expiry as the only state: a hot key costs its
+    distinct times, not its rows.  One plan for all keys; nothing runs while it is built.
+
+    A row without one of its keys is never a duplicate (as in ``idempotent_ingest``) and is accepted;
+    of rows of one key and time the least ``tie`` is.  Rows without a time are left out.
     Returns keys, ``ts``, ``tie`` and ``expiresAt``.
     """
-    points = df.groupBy(*keys, ts).agg(F.min(tie).alias(tie)).withColumnRenamed(ts, "_t")
-    sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    if sizes.where(F.col("_n") > fold_limit).isEmpty():
-        accepted = _fold(points, keys, tie, ttl_ms)
-    else:
-        sized = with_group_totals(points, keys, ["_t"], {"_p": F.count(F.lit(1))}, {"_n": (F.sum, "_p")})
-        sized = cut_lineage(sized.withColumn("_large", F.col("_n") > fold_limit).drop("_n"), "ttl-points")
-        large = sized.where("_large").drop("_large")
-        accepted = (_fold(sized.where(~F.col("_large")).drop("_large"), keys, tie, ttl_ms)
-                    .unionByName(_follow(large, keys, tie, ttl_ms, slice_ms or max(ttl_ms // 16, 1))))
-    return (accepted.withColumn("expiresAt", F.col("_t") + ttl_ms).withColumnRenamed("_t", ts))
-
-
-def _fold(points: DataFrame, keys: list[str], tie: str, ttl_ms: int) -> DataFrame:
-    row = F.struct(F.col("_t").alias("t"), F.col(tie).alias("s"))
-    step = lambda acc, x: F.when(
-        (F.size(acc) == 0) | (x["t"] >= F.element_at(acc, F.greatest(F.size(acc), F.lit(1)))["t"] + ttl_ms),
-        F.concat(acc, F.array(x))).otherwise(acc)
-    rows = points.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_r"))
-    empty = F.filter("_r", lambda _x: F.lit(False))
-    kept = rows.select(*keys, F.explode(F.aggregate("_r", empty, step)).alias("_k"))
-    return kept.select(*keys, F.col("_k.t").alias("_t"), F.col("_k.s").alias(tie))
-
-
-def _next_pointers(points: DataFrame, keys: list[str], ttl_ms: int, slice_ms: int) -> DataFrame:
-    """For every point the first point at or after its expiry, found inside time slices."""
-    nodes = points.select(*keys, F.col("_t").alias("_pos"), F.lit(1).alias("_kind"),
-                          F.col("_t").alias("_node"), F.lit(None).cast("bigint").alias("_from"))
-    probes = points.select(*keys, (F.col("_t") + ttl_ms).alias("_pos"), F.lit(0).alias("_kind"),
-                           F.lit(None).cast("bigint").alias("_node"), F.col("_t").alias("_from"))
-    both = O.time_slice(nodes.unionByName(probes), "_pos", slice_ms)
-    joined = O.carry(both, keys, {"_first": F.min("_node")},
-                     {"_later": (lambda c: F.last(c, ignorenulls=True), "_first")}, forward=False)
-    # Walked backwards, so that the nearest node ahead is a running value and not a search per row.
-    ahead = (Window.partitionBy(*keys, O.SLICE).orderBy(F.desc("_pos"), F.desc("_kind"))
-             .rowsBetween(Window.unboundedPreceding, -1))
-    nxt = F.coalesce(F.last("_node", ignorenulls=True).over(ahead), F.col("_later"))
-    return (joined.withColumn("_next", nxt).where(F.col("_kind") == 0)
-            .select(*keys, F.col("_from").alias("_t"), "_next"))
-
-
-def _follow(points: DataFrame, keys: list[str], tie: str, ttl_ms: int, slice_ms: int) -> DataFrame:
-    jump = cut_lineage(_next_pointers(points, keys, ttl_ms, slice_ms), "ttl-jump")
-    reached = cut_lineage(points.groupBy(*keys).agg(F.min("_t").alias("_t")), "ttl-reached")
-    while not jump.where(F.col("_next").isNotNull()).isEmpty():
-        hop = reached.join(jump, [*keys, "_t"]).where(F.col("_next").isNotNull())
-        reached = cut_lineage(
-            reached.unionByName(hop.select(*keys, F.col("_next").alias("_t"))).distinct(), "ttl-reached")
-        second = jump.select(*keys, F.col("_t").alias("_next"), F.col("_next").alias("_after"))
-        jump = cut_lineage(jump.where(F.col("_next").isNotNull()).join(second, [*keys, "_next"])
-                           .select(*keys, "_t", F.col("_after").alias("_next")), "ttl-jump")
-    return points.join(reached, [*keys, "_t"], "left_semi").select(*keys, "_t", tie)
+    timed = df.where(F.col(ts).isNotNull()).select(*keys, F.col(ts).cast("bigint").alias("_t"), tie)
+    keyed = F.lit(True)
+    for k in keys:
+        keyed = keyed & F.col(k).isNotNull()
+    points = timed.where(keyed).groupBy(*keys, "_t").agg(F.min(tie).alias(tie))
+    lists = (points.withColumn("_slice", F.floor(F.col("_t") / F.lit(slice_ms))).groupBy(*keys, "_slice")
+             .agg(F.array_sort(F.collect_list(F.struct("_t", F.col(tie).alias("s")))).alias("_p")))
+    fields = [*[lists.schema[k] for k in keys], T.StructField("_t", T.LongType()), T.StructField(tie, df.schema[tie].dataType)]
+    walked = lists.repartition(*keys).sortWithinPartitions(*keys, "_slice").mapInArrow(_walk(keys, tie, ttl_ms), T.StructType(fields))
+    accepted = walked.unionByName(timed.where(~keyed))
+    return accepted.withColumn("expiresAt", F.col("_t") + ttl_ms).withColumnRenamed("_t", ts)
+
+
+def _walk(keys: list[str], tie: str, ttl_ms: int) -> Callable:
+    """Accept along the sorted slices of each key."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, expires = None, None
+        for batch in batches:
+            points = batch.column("_p").flatten()
+            times = points.field("_t").to_numpy()
+            ends = np.cumsum(batch.column("_p").value_lengths().to_numpy())
+            owners = zip(*[batch.column(k).to_pylist() for k in keys])
+            taken, of, at = [], [], 0
+            for i, (owner, end) in enumerate(zip(owners, ends.tolist())):
+                if owner != last:
+                    last, expires = owner, None
+                if expires is not None and times[at] < expires:
+                    at += int(np.searchsorted(times[at:end], expires))
+                while at < end:
+                    taken.append(at)
+                    of.append(i)
+                    expires = int(times[at]) + ttl_ms
+                    at += max(1, int(np.searchsorted(times[at:end], expires)))
+                at = end
+            rows, hits = pa.array(of, pa.int64()), pa.array(taken, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(k).take(rows) for k in keys], points.field("_t").take(hits), points.field("s").take(hits)],
+                names=[*keys, "_t", tie])
+
+    return run
