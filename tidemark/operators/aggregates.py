@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schema as S
 from tidemark.functions import events as E
+from tidemark.operators import rollups as RU
 
 PERCENTILE_ACCURACY = 1000
 FIVE_MINUTES_MS = 300_000
@@ -19,11 +20,11 @@ FIVE_MINUTES_MS = 300_000
 COUNT_KEYS = ["tenantId", "classification", "eventType", "schemaVersion", "date"]
 
 
-def _counted(df: DataFrame, keys: list[str]) -> DataFrame:
+def _counted(df: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("eventCount"), F.sum("payloadSizeBytes").alias("totalPayloadBytes"),
         E.count_if(F.col("anomalyDetected")).alias("anomalyCount"),
-        F.min("createdAt").alias("firstEventAt"), F.max("createdAt").alias("lastEventAt"))
+        F.min("createdAt").alias("firstEventAt"), F.max("createdAt").alias("lastEventAt"), *more)
 
 
 def _with_average(counts: DataFrame) -> DataFrame:
@@ -36,8 +37,13 @@ def event_counts(df: DataFrame) -> DataFrame:
 
 
 def base_counts(df: DataFrame) -> DataFrame:
-    """The finest grouping that the daily counts, the hourly rate and the type ranks are all sums of."""
-    return _counted(df, [*COUNT_KEYS, "hour"])
+    """The finest grouping that the daily counts, the hourly rate and the type ranks are all sums of.
+
+    With a sketch of the latencies, whose merges give the percentiles of any wider group.
+    """
+    latency = "enrichmentLatencyMs"
+    return _counted(df, [*COUNT_KEYS, "hour"], F.count(F.lit(1)).alias("sampleCount"), F.max(latency).alias("maxLatencyMs"),
+                    RU.sketch(latency).alias("sketch"))
 
 
 def event_counts_of(base: DataFrame) -> DataFrame:

@@ -78,6 +78,36 @@ def threshold_alerts(samples: DataFrame, rules: list[tuple] = ALERTS, max_gap: i
             .withColumn("firedAt", F.col("startAt") + wait).drop("heldSeconds"))
 
 
+def breaching(samples: DataFrame, rules: list[tuple] = ALERTS) -> DataFrame:
+    """Each sample beside the rules of its metric, with ``breach``; samples without a series or a time are none."""
+    ruled = with_rules(samples.where(F.col("series").isNotNull() & F.col("ts").isNotNull()), rules, ["alert", "metric", "op", "threshold", "heldSeconds", "severity"])
+    return ruled.withColumn("breach", F.coalesce(_compare(F.col("op"), F.col("value"), F.col("threshold")), F.lit(False)))
+
+
+def alert_changes(samples: DataFrame, rules: list[tuple] = ALERTS, lookback_ms: int = 300_000) -> DataFrame:
+    """When alerts become PENDING, FIRING and RESOLVED: alert, severity, series, state, at, value.
+
+    A sample stands for the time until the next one, and for ``lookback_ms`` at most: what breaches with
+    the latest sample is on after that much silence no more.  An alert fires at the moment it has held for
+    the rule's time and still holds, also between two samples; one that never fired has nothing to resolve.
+    ``value`` is that of the sample that makes the change, null where time does.
+    """
+    keys = ["alert", "severity", "heldSeconds", "series"]
+    marked = O.with_next(breaching(samples, rules), keys, "ts", "seq", {"_after": "ts", "_afterValue": "value"}, max(lookback_ms, O.SLICE_MS))
+    silent = F.col("_after").isNull() | (F.col("_after") > F.col("ts") + lookback_ms)
+    marked = marked.withColumns({"_until": F.when(silent, F.col("ts") + lookback_ms).otherwise(F.col("_after")),
+                                 "_endValue": F.when(~silent, F.col("_afterValue"))})
+    at = F.struct("ts", "seq")
+    runs = W.held_intervals(marked, keys, "ts", "seq", F.col("breach"),
+                            {"first": F.min_by("value", at), "end": F.max_by(F.struct("_until", "_endValue"), at)}, max_gap=lookback_ms)
+    wait, none = F.col("heldSeconds").cast("bigint") * 1000, F.lit(None).cast("double")
+    fired = (wait == 0) | (F.col("end._until") > F.col("startAt") + wait)
+    change = lambda state, when, value: F.struct(F.lit(state).alias("state"), when.alias("at"), value.alias("value"))
+    rows = F.array(change("PENDING", F.col("startAt"), F.col("first")), F.when(fired, change("FIRING", F.col("startAt") + wait, none)),
+                   F.when(fired, change("RESOLVED", F.col("end._until"), F.col("end._endValue"))))
+    return runs.select("alert", "severity", "series", F.inline(F.filter(rows, lambda r: r.isNotNull())))
+
+
 def counter_rate(samples: DataFrame, keys: list[str], window_ms: int, value: str = "value",
                  ts: str = "ts", tie: str = "seq") -> DataFrame:
     """Increase per second in each window; a counter that fell was reset and counts from zero."""
@@ -89,6 +119,39 @@ def counter_rate(samples: DataFrame, keys: list[str], window_ms: int, value: str
             .withColumn("rate", F.col("increase") / F.lit(window_ms / 1000.0)))
 
 
+def counter_rate_sliding(samples: DataFrame, keys: list[str], range_ms: int, step_ms: int, value: str = "value",
+                         ts: str = "ts", tie: str = "seq") -> DataFrame:
+    """Increase per second over the ``range_ms`` before each evaluation time, for times that are multiples of ``step_ms``.
+
+    A time t sees the samples after t - range and up to t.  A fall inside that span is a reset and adds what
+    was lost.  The increase between the first and the last sample is stretched towards the edges of the span:
+    to an edge that is within 1.1 times the mean distance of the samples, else by half that distance, and never
+    to before the counter would have been zero.  Times with less than two distinct sample times have no rate.
+
+    Every sample goes to the ``range / step`` times that see it, and all of it is one partial aggregate per
+    (key, time), so a series with most of the samples is many groups.
+    """
+    prev = O.with_previous(samples, keys, ts, tie, {"_p": value, "_pt": ts}, max(range_ms, O.SLICE_MS))
+    first = F.ceil(F.col(ts) / F.lit(step_ms)) * step_ms
+    seen = prev.withColumn("evalTs", F.explode(F.sequence(first, F.col(ts) + range_ms, F.lit(step_ms).cast("bigint")))).where(
+        F.col("evalTs") < F.col(ts) + range_ms)
+    fell = (F.col(value) < F.col("_p")) & (F.col("_pt") > F.col("evalTs") - range_ms)
+    at = F.struct(ts, tie)
+    spans = seen.groupBy(*keys, "evalTs").agg(
+        F.count(F.lit(1)).alias("samples"), F.min(ts).alias("_from"), F.max(ts).alias("_to"), F.min_by(value, at).alias("_first"),
+        F.max_by(value, at).alias("_last"), F.sum(F.when(fell, F.col("_p")).otherwise(0.0)).alias("_lost")).where("_to > _from")
+    seconds = lambda a, b: (b - a) / F.lit(1000.0)
+    spans = spans.withColumns({
+        "increase": F.col("_last") - F.col("_first") + F.col("_lost"), "_sampled": seconds(F.col("_from"), F.col("_to"))}).withColumn(
+        "_mean", F.col("_sampled") / (F.col("samples") - 1))
+    edge = lambda gap: F.when(gap < F.col("_mean") * 1.1, gap).otherwise(F.col("_mean") / 2)
+    before = edge(seconds(F.col("evalTs") - range_ms, F.col("_from")))
+    to_zero = F.when((F.col("increase") > 0) & (F.col("_first") >= 0), F.col("_sampled") * F.try_divide("_first", "increase"))
+    covered = F.col("_sampled") + F.least(before, F.coalesce(to_zero, before)) + edge(seconds(F.col("_to"), F.col("evalTs")))
+    rate = F.col("increase") * (covered / F.col("_sampled")) / F.lit(range_ms / 1000.0)
+    return spans.select(*keys, "evalTs", "samples", "increase", rate.alias("rate"))
+
+
 def ratio(numerator: DataFrame, denominator: DataFrame, keys: list[str], value: str = "rate") -> DataFrame:
     """Quotient of two rates or gauges on equal labels; null where the denominator is zero."""
     den = denominator.select(*keys, F.col(value).alias("_d"))

@@ -7,6 +7,8 @@ A pair is a row with two structs of sync records, ``existing`` (the stored, loca
 from __future__ import annotations
 
 import json
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,12 +19,13 @@ from tidemark.functions import clocks as C
 from tidemark.functions import events as E
 from tidemark.functions import text as X
 from tidemark.operators import ordered as O
+from tidemark.operators.skew import lookup_join
 from tidemark.session import cut_lineage
 
 KEYS = ["tenantId", "aggregateId"]
 RPO_SECONDS = 300
 VERSION_ORDER = ["wallClockTs", "sourceCloud", "id"]
-STEP_CHANGES = 1024  # changes of one aggregate folded in one row
+STEP_CHANGES = 4096  # changes of one aggregate folded in one row
 
 
 def pack(df: DataFrame, name: str, keys: list[str] = KEYS) -> DataFrame:
@@ -171,41 +174,51 @@ def _as_record(listed: Column, names: list[str]) -> Column:
     return F.struct(*[(F.map_from_entries(listed[c]) if c == "vectorClock" else listed[c]).alias(c) for c in names])
 
 
-def sync_apply_many(incoming: DataFrame, existing: DataFrame, config: dict[str, str] | None = None,
-                    primary: str = "aws", order: list[str] | None = None, step: int = STEP_CHANGES) -> DataFrame:
+class Applied(NamedTuple):
+    """What ``sync_apply_many`` gives: a row per changed aggregate, and a row per pair for review."""
+
+    done: DataFrame    # tenantId, aggregateId, record, changes, resolvedCount, parkedCount
+    parked: DataFrame  # tenantId, aggregateId, step, incoming, existing
+
+
+def sync_apply_many(incoming: DataFrame, existing: DataFrame, config: dict[str, str] | None = None, primary: str = "aws",
+                    order: list[str] | None = None, step: int = STEP_CHANGES, slice_len: int = O.SLICE_MS) -> Applied:
     """Apply every incoming record in ``order``, each against the result of the one before.
 
     A record that is not concurrent with what is stored then replaces it, a concurrent one is
-    resolved by its strategy, and one for review is parked and changes nothing.  Returns a row per
-    changed aggregate: ``record`` (what is stored afterwards, null if nothing was), ``changes``,
-    ``resolvedCount`` and ``parked``, the (incoming, existing) pairs for review.
-
-    A change depends on the one before it, so the work per aggregate is a chain.  It is taken in
-    steps of at most ``step`` changes an aggregate, folded in one row against the stored record;
-    only an aggregate with more changes than that needs a further step, so no list outgrows it.
+    resolved by its strategy, and one for review is parked and changes nothing.
+
+    A change depends on the one before it, so an aggregate is a chain, which is taken in steps of at most
+    ``step`` changes folded in one row against the stored record.  Changes are numbered by slices of
+    ``slice_len`` of the first order column, which must be a number, so no task sorts a hot aggregate.  A
+    step holds only the aggregates that have so many changes: what is finished is not written again, and
+    the pairs that a step parks are rows of a table, so neither lists nor rounds carry what came before.
+    An aggregate of n changes is done after n / ``step`` rounds.
     """
     config = S.DEFAULT_STRATEGIES if config is None else config
     order = order or VERSION_ORDER
     names = existing.columns
-    rows = incoming.select(*names, *[c for c in order if c not in names])
-    position = F.row_number().over(Window.partitionBy(*KEYS).orderBy(*order))
-    numbered = cut_lineage(rows.withColumn("_at", position).withColumn("_step", F.floor((F.col("_at") - 1) / step)), "numbered")
+    rows = incoming.select(*names, *[c for c in order if c not in names]).withColumn("_tie", F.struct(*(order[1:] or order)))
+    placed = O.with_ordinal(rows, KEYS, order[0], "_tie", "_at", slice_len).drop("_tie")
+    numbered = cut_lineage(placed.withColumn("_step", F.floor((F.col("_at") - 1) / step)), "numbered")
     last = numbered.agg(F.max("_step")).first()[0]
-    done = None
-    for number in range((-1 if last is None else last) + 1):
-        record = F.struct(*[F.col(c) for c in names])
-        listed = (numbered.where(F.col("_step") == number).groupBy(*KEYS)
-                  .agg(F.array_sort(F.collect_list(F.struct("_at", _as_entries(record, names).alias("r")))).alias("_changes")))
-        state = (pack(existing, "_stored") if done is None else
-                 done.select(*KEYS, F.col("record").alias("_stored"), F.col("changes").alias("_n"),
-                             F.col("resolvedCount").alias("_m"), F.col("parked").alias("_p")))
-        new = cut_lineage(_apply_list(listed.join(state, KEYS, "left"), names, config, primary, done is not None), "applied")
-        done = new if done is None else cut_lineage(
-            done.join(new.select(*KEYS), KEYS, "left_anti").unionByName(new), "applied")
-    if done is None:
-        done = _apply_list(pack(existing.limit(0), "_stored").withColumn("_changes", F.array(F.struct(
-            F.lit(0).alias("_at"), _as_entries(F.col("_stored"), names).alias("r")))), names, config, primary, False)
-    return done
+    record = F.struct(*[F.col(c) for c in names])
+    state, finished, parked = pack(existing, "_stored"), [], []
+    for number in range((0 if last is None else last) + 1):
+        now = numbered.where(F.col("_step") == number)
+        listed = now.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("_at", _as_entries(record, names).alias("r")))).alias("_changes"))
+        new = cut_lineage(_apply_list(listed.join(state, KEYS, "left"), names, config, primary, number > 0), "applied")
+        parked.append(new.select(*KEYS, F.lit(number).alias("step"), F.inline("parked")))
+        new = new.drop("parked")
+        if last is not None and number < last:
+            more = numbered.where(F.col("_step") == number + 1).select(*KEYS).distinct()
+            finished.append(new.join(more, KEYS, "left_anti"))
+            state = new.join(more, KEYS, "left_semi").select(
+                *KEYS, F.col("record").alias("_stored"), F.col("changes").alias("_n"), F.col("resolvedCount").alias("_m"), F.col("parkedCount").alias("_p"))
+        else:
+            finished.append(new)
+    together = lambda parts: reduce(DataFrame.unionByName, parts)
+    return Applied(together(finished), together(parked))
 
 
 def _nullable(kind: T.StructType) -> T.StructType:
@@ -217,12 +230,11 @@ def _nullable(kind: T.StructType) -> T.StructType:
 
 
 def _apply_list(rows: DataFrame, names: list[str], config: dict[str, str], primary: str, again: bool) -> DataFrame:
-    """Fold ``_changes`` onto ``_stored``; with ``again`` the counts and parked pairs of earlier steps go on."""
+    """Fold ``_changes`` onto ``_stored``; with ``again`` the counts of earlier steps go on."""
     record = _nullable(rows.schema["_stored"].dataType)
     kept = T.StructType([T.StructField("record", record), T.StructField("resolved", T.LongType()), T.StructField(
         "parked", T.ArrayType(T.StructType([T.StructField("incoming", record), T.StructField("existing", record)])))])
-    start = F.struct(F.col("_stored").alias("record"), (F.coalesce("_m", F.lit(0)) if again else F.lit(0)).cast("bigint").alias("resolved"),
-                     (F.coalesce("_p", F.array()) if again else F.array()).alias("parked")).cast(kept)
+    start = F.struct(F.col("_stored").alias("record"), F.lit(0).cast("bigint").alias("resolved"), F.array().alias("parked")).cast(kept)
 
     def apply(acc: Column, change: Column) -> Column:
         a, b = acc["record"], _as_record(change["r"], names)
@@ -239,9 +251,10 @@ def _apply_list(rows: DataFrame, names: list[str], config: dict[str, str], prima
                         F.when(clash & review, F.concat(acc["parked"], F.array(both))).otherwise(acc["parked"]).alias("parked")).cast(kept)
 
     folded = rows.withColumn("_f", F.aggregate("_changes", start, apply))
-    n = F.size("_changes").cast("bigint")
-    return folded.select(*KEYS, F.col("_f.record").alias("record"), ((F.coalesce("_n", F.lit(0)) + n) if again else n).alias("changes"),
-                         F.col("_f.resolved").alias("resolvedCount"), F.col("_f.parked").alias("parked"))
+    total = lambda own, earlier: (F.coalesce(earlier, F.lit(0)) + own if again else own).cast("bigint")
+    return folded.select(*KEYS, F.col("_f.record").alias("record"), total(F.size("_changes"), "_n").alias("changes"),
+                         total(F.col("_f.resolved"), "_m").alias("resolvedCount"), total(F.size("_f.parked"), "_p").alias("parkedCount"),
+                         F.col("_f.parked").alias("parked"))
 
 
 def upsert_latest(existing: DataFrame, changes: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -258,56 +271,53 @@ def upsert_latest(existing: DataFrame, changes: DataFrame, keys: list[str] = KEY
 
 # ---- many versions of one aggregate --------------------------------------------------------------
 
-def resolve_all(versions: DataFrame, slice_ms: int = O.SLICE_MS) -> DataFrame:
+def resolve_all(versions: DataFrame, copies: int = 4) -> DataFrame:
     """Fold all versions of each aggregate, in (wallClockTs, sourceCloud, id) order, into one winner.
 
     Pair by pair, the causally later side wins with its own clock, and concurrent sides merge
     clocks and keep the last write.  Returns the winner's id, cloud and time, the final status and
     the final clock (zeros omitted).
 
-    The fold is computed as prefix maxima and sums over time slices.  In this order the running clock always equals the per-node maximum so far, because a
-    dominating clock is the maximum.  So a version matters only if it raises some node above the
-    earlier maximum; it then wins if it dominates that maximum or is the first such version of its
-    (wallClockTs, sourceCloud).  An aggregate with any number of versions spreads over tasks and
-    no list of versions is ever built.
+    In this order the running clock is the per-node maximum so far, because a dominating clock is the
+    maximum.  Only a version that raises some node can win, and it does so if it dominates the earlier
+    maximum or is the first raising version of its (wallClockTs, sourceCloud).  The last version to raise
+    a node is the latest first holder of a node's final value: one grouped aggregate.  The winner is one
+    of the raising versions of that version's time and cloud, and all that is needed of the versions
+    before them is their maximum per node.  So the versions are read twice and grouped with partial
+    aggregation; no aggregate is sorted, sliced or listed whole.
     """
     order = VERSION_ORDER
-    versions = versions.select(*KEYS, *order, "vectorClock", "syncStatus")
-    rows = O.time_slice(versions, "wallClockTs", slice_ms)
-    nodes = rows.select(*KEYS, O.SLICE, *order, "syncStatus", F.explode("vectorClock").alias("node", "n"))
-
-    per_node = [*KEYS, "node"]
-    joined = O.carry(nodes, per_node, {"_m": F.max("n")}, {"_before": (F.max, "_m")})
-    ahead = O.slice_window(per_node, order).rowsBetween(Window.unboundedPreceding, -1)
-    top = F.coalesce(F.greatest("_before", F.max("n").over(ahead)), F.lit(0))
-    rising = (joined.withColumn("_top", top).groupBy(*KEYS, O.SLICE, *order, "syncStatus").agg(
-        F.bool_or(F.col("n") > F.col("_top")).alias("_rises"),
-        E.count_if((F.col("_top") == 0) & (F.col("n") > 0)).alias("_introduced"),
-        E.count_if((F.col("_top") > 0) & (F.col("n") >= F.col("_top"))).alias("_covered"))
-        .where("_rises"))
-
-    here = F.struct("wallClockTs", "sourceCloud")
-    joined = O.carry(rising, KEYS,
-                     {"_i": F.sum("_introduced"), "_tail": F.max(here)},
-                     {"_seen": (F.sum, "_i"), "_prev": (F.max, "_tail")})
-    w = O.slice_window(KEYS, order)
-    seen = F.coalesce("_seen", F.lit(0)) + F.coalesce(F.sum("_introduced").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    previous = F.coalesce(F.lag(here).over(w), F.col("_prev"))
-    at = F.struct(*order)
-    steps = joined.withColumns({"_causal": F.col("_covered") == seen, "_fresh": ~previous.eqNullSafe(here)})
-    winners = steps.groupBy(*KEYS).agg(
-        F.max_by(F.struct(at.alias("at"), "syncStatus", "_causal"),
-                 F.when(F.col("_causal") | F.col("_fresh"), at)).alias("w"),
-        F.max(at).alias("last"))
-
-    first = versions.groupBy(*KEYS).agg(
-        F.min_by(F.struct(F.struct(*order).alias("at"), "syncStatus"), F.struct(*order)).alias("f"),
-        F.count(F.lit(1)).alias("versions"))
-    clocks = (nodes.where(F.col("n") > 0).groupBy(*per_node).agg(F.max("n").alias("n"))
-              .groupBy(*KEYS).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("node", "n")))).alias("vectorClock")))
-    win = F.coalesce("w.at", "f.at")
+    nodes = versions.select(
+        *KEYS, F.struct("wallClockTs", "sourceCloud").alias("_here"), F.struct(*order).alias("_at"), "syncStatus",
+        F.posexplode_outer("vectorClock").alias("_pos", "node", "n"))
+    per_node = nodes.groupBy(*KEYS, "node").agg(
+        F.max("n").alias("n"), F.min(F.when(F.col("n") > 0, F.struct((-F.col("n")).alias("m"), "_at"))).alias("_top"),
+        E.count_if(F.coalesce("_pos", F.lit(0)) == 0).alias("_versions"), F.min(F.struct("_at", "syncStatus")).alias("_first"))
+    entry = F.when(F.col("n") > 0, F.struct("node", "n"))
+    whole = per_node.groupBy(*KEYS).agg(
+        F.sum("_versions").alias("versions"), F.min("_first").alias("f"), F.max("_top._at").alias("last"),
+        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("vectorClock"))
+
+    marks = whole.where(F.col("last").isNotNull()).select(
+        *KEYS, F.struct(F.col("last.wallClockTs").alias("wallClockTs"), F.col("last.sourceCloud").alias("sourceCloud")).alias("_final"))
+    near = lookup_join(nodes.where(F.col("n") > 0), marks, KEYS, ["_at"], copies=copies).where(F.col("_here") <= F.col("_final"))
+    # One row per node with the maximum before the final time and cloud, whose place is null, and one per version at it.
+    place = F.when(F.col("_here") == F.col("_final"), F.col("_at")).alias("at")
+    held = near.groupBy(*KEYS, "node", place).agg(F.max("n").alias("n"), F.max("syncStatus").alias("syncStatus"))
+    before = lambda *by: Window.partitionBy(*by).orderBy(F.col("at").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    held = held.withColumn("_top", F.coalesce(F.max("n").over(before(*KEYS, "node")), F.lit(0)))
+    rising = held.groupBy(*KEYS, "at", F.when(F.col("at").isNotNull(), F.col("syncStatus")).alias("syncStatus")).agg(
+        F.bool_or(F.col("n") > F.col("_top")).alias("_rises"), E.count_if(F.col("_top") == 0).alias("_introduced"),
+        E.count_if((F.col("_top") > 0) & (F.col("n") >= F.col("_top"))).alias("_covered")).where("_rises")
+    steps = rising.withColumns({
+        "_causal": F.col("_covered") == F.coalesce(F.sum("_introduced").over(before(*KEYS)), F.lit(0)),
+        "_fresh": F.max("at").over(before(*KEYS)).isNull()}).where(F.col("at").isNotNull())
+    winners = steps.where(F.col("_causal") | F.col("_fresh")).groupBy(*KEYS).agg(
+        F.max_by(F.struct("at", "syncStatus", "_causal"), "at").alias("w"))
+
+    win = F.coalesce("w.at", "f._at")
     settled = F.coalesce((F.col("last") > F.col("w.at")) | ~F.col("w._causal"), F.lit(False))
-    return (first.join(winners, KEYS, "left").join(clocks, KEYS, "left")
+    return (whole.join(winners, KEYS, "left")
             .select(*KEYS, "versions", win["id"].alias("id"), win["sourceCloud"].alias("sourceCloud"),
                     win["wallClockTs"].alias("wallClockTs"),
                     F.when(settled, "CONFLICT_RESOLVED").otherwise(F.coalesce("w.syncStatus", "f.syncStatus")).alias("syncStatus"),

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from tidemark import schema as S
 from tidemark.functions import clocks as C
 from tidemark.functions import events as E
+from tidemark.operators import digests as DG
 from tidemark.operators import lifecycle as L
 from tidemark.operators import reconcile as R
 from tidemark.plans.registry import query
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, shared_dir
 from tidemark.sources import adapter as T
 
 NOW = T.NOW_MS
@@ -173,10 +174,10 @@ def sync_apply_many(spark, sf):
     first = typed.groupBy("tenantId", "aggregateId").agg(F.min("seq").alias("seq"))
     stored = typed.join(first, ["tenantId", "aggregateId", "seq"], "left_semi").drop("seq")
     later = typed.join(first, ["tenantId", "aggregateId", "seq"], "left_anti")
-    done = R.sync_apply_many(later, stored, CONFIG, order=["seq"], step=8)
+    done = R.sync_apply_many(later, stored, CONFIG, order=["seq"], step=8).done
     clock = F.map_filter("record.vectorClock", lambda _n, c: c > 0)
     return done.select("aggregateId", "changes", F.col("record.id").alias("id"), F.col("record.syncStatus").alias("status"),
-                       "resolvedCount", F.size("parked").cast("bigint").alias("parked"), E.map_text(clock).alias("clock"))
+                       "resolvedCount", F.col("parkedCount").alias("parked"), E.map_text(clock).alias("clock"))
 
 
 @query("upsert_latest", "aws azure", APPLY + """
@@ -223,12 +224,6 @@ def resolve_all(spark, sf):
     return R.resolve_all(T.versions(spark, sf)).withColumn("vectorClock", E.map_text("vectorClock"))
 
 
-@query("resolve_all_scan", "ver", RESOLVE_ALL)
-def resolve_all_scan(spark, sf):
-    """With slices of an hour."""
-    return R.resolve_all(T.versions(spark, sf), 3_600_000).withColumn("vectorClock", E.map_text("vectorClock"))
-
-
 # ---- consistency ---------------------------------------------------------------------------------
 
 VERDICT = """asked AS (SELECT 'tenant-' || (o_custkey%8) AS "tenantId", CAST(o_orderkey AS VARCHAR) AS "aggregateId", o_orderkey AS pos FROM orders
@@ -273,6 +268,15 @@ def consistency_report(spark, sf):
     return R.tenant_percent(report, tenants).withColumn("consistencyPercent", F.round("consistencyPercent", 6))
 
 
+@query("consistency_tree", "aws azure", VERDICT + """SELECT "tenantId", "aggregateId", verdict FROM vd""")
+def consistency_tree(spark, sf):
+    """The same verdicts from two stored copies, reading only the key ranges whose digests differ."""
+    path = shared_dir(spark, "copies")
+    for cloud in ("aws", "azure"):
+        DG.write_copy(T.sync_copy(spark, sf, cloud), f"{path}/{cloud}")
+    return DG.compare_copies(_requests(spark, sf), f"{path}/aws", f"{path}/azure")
+
+
 @query("consistency_sample", "aws azure", VERDICT + f""", sm AS (SELECT *, count(*) OVER (PARTITION BY "tenantId") AS asked_n FROM vd QUALIFY row_number() OVER (PARTITION BY "tenantId" ORDER BY pos)<=100)
 SELECT {REPORT}, max(asked_n) AS "requestedRecords", coalesce(string_agg("aggregateId", ',' ORDER BY "aggregateId") FILTER (WHERE verdict<>'CONSISTENT'), '') AS "divergedAggregateIds"
 FROM sm GROUP BY "tenantId\"""")
