@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from tidemark.operators import anomaly as N
 from tidemark.plans import io_queries as IO
 from tidemark.plans import jobs
-from tidemark.session import shared_dir, use_rocksdb
+from tidemark.session import exists, names_in, shared_dir, shared_root, use_rocksdb
 from tidemark.sinks import files as K
 from tidemark.sources import adapter as T
 from tidemark.sources import cdc, jdbc
 from tidemark.sources import files as SRC
 from tidemark.sources import streams as ST
+from tidemark.streaming import keyed as KS
 from tidemark.streaming import pipeline as PL
 from tidemark.streaming import stateful as SF
 
@@ -63,7 +64,10 @@ def test_update_mode_versions_collapse_to_the_batch_result(spark, parts):
     for i, chunk in enumerate(chunks):
         chunk.coalesce(1).write.mode("append").parquet(f"{path}/in")
         PL.run_all([PL.window_upserts(PL.prepared(source(spark, ev, f"{path}/in"), "2 days"), f"{path}/out", f"{path}/c", None)])
-    got = PL.latest_windows(spark.read.parquet(f"{path}/out"))
+        if i in (1, 2):
+            PL.compact_windows(spark, f"{path}/out")
+            assert [n for n, _ in names_in(spark, f"{path}/out") if n.startswith("batchId=")] == []
+    got = PL.read_windows(spark, f"{path}/out")
     from tidemark.operators import aggregates as A
     from tidemark.operators import projections as P
     assert rows(got) == rows(A.stream_window_counts(P.event_time_columns(ev)).select(got.columns))
@@ -124,8 +128,8 @@ def test_read_partition_prunes_folders(spark):
 def test_archive_run_twice_appends_once(spark):
     path = shared_dir(spark, "arch")
     df = spark.createDataFrame([("1", "t", "PUBLIC", 0), ("2", "t", "RESTRICTED", 0)], "id string, tenantId string, classification string, createdAt bigint")
-    for day in ("2024-01-01", "2024-01-02"):
-        jobs.archive_job(df, f"{path}/a", f"{path}/m", "2020-01-01", day)
+    counts = [jobs.archive_job(df, f"{path}/a", f"{path}/m", "2020-01-01", day) for day in ("2024-01-01", "2024-01-02")]
+    assert counts == [2, 0]
     assert spark.read.parquet(f"{path}/a").count() == 2
     assert K.read_manifest(spark, f"{path}/m").count() == 2
 
@@ -154,28 +158,95 @@ def test_store_versions_switch_as_a_whole(spark, sf):
     after = K.read_store(spark, path)
     assert after.count() == store.count() and after.where("syncStatus = 'CHANGED'").count() == 5
     # Data of a version that no pointer names is not seen.
-    K.write_partitioned(K.with_bucket(store, 3).withColumn("version", F.lit(9)), f"{path}/data", ["version", "tenantId", "bucket"])
+    K.write_partitioned(K.with_bucket(store, 3), f"{path}/data/version=9", ["tenantId", "bucket"])
     assert K.read_store(spark, path).count() == store.count()
 
 
-def test_a_batch_reads_one_mark(spark):
+def test_expiry_keeps_what_a_recent_reader_may_need(spark, sf):
+    import time
+    path = shared_dir(spark, "store-expiry")
+    store = T.sync_copy(spark, sf, "aws")
+    K.write_store(store, path, buckets=1)
+    for i in range(3):  # every upsert touches every part
+        K.upsert_store(store.withColumn("syncStatus", F.lit(f"S{i}")), path)
+    now = int(time.time() * 1000)
+    assert K.expire_store(spark, path, now, 3_600_000) == []
+    assert K.expire_store(spark, path, now + 3_700_000, 3_600_000) == [0, 1, 2]
+    assert K.read_store(spark, path).where("syncStatus = 'S2'").count() == store.count()
+    assert [n for n, _ in names_in(spark, f"{path}/pointer") if n.startswith("n=")] == ["n=3"]
+    K.upsert_store(store.limit(1).withColumn("syncStatus", F.lit("S3")), path)
+    assert K.read_store(spark, path).where("syncStatus = 'S2'").count() == store.count() - 1
+
+
+def test_dead_letters_are_written_once_whatever_stops(spark, sf, monkeypatch):
+    """A run that stops between dead letters and store, its repetition, and the repetition of a finished run."""
+    path = shared_dir(spark, "sync-stop")
+    K.write_store(T.sync_copy(spark, sf, "aws"), f"{path}/store", buckets=2)
+    changes = T.sync_copy(spark, sf, "azure")
+    run = lambda name: jobs.sync_job(changes, f"{path}/store", f"{path}/dlq", 0, run=name)
+    upsert = K.upsert_store
+    monkeypatch.setattr(K, "upsert_store", lambda *a: (_ for _ in ()).throw(OSError("stopped")))
+    with pytest.raises(OSError):
+        run("r1")
+    first = spark.read.parquet(f"{path}/dlq").count()
+    monkeypatch.setattr(K, "upsert_store", upsert)
+    run("r1")
+    store = rows(K.read_store(spark, f"{path}/store").select("id", "aggregateId", "syncStatus"))
+    run("r1")
+    assert first > 0 and spark.read.parquet(f"{path}/dlq").count() == first
+    assert rows(K.read_store(spark, f"{path}/store").select("id", "aggregateId", "syncStatus")) == store
+
+
+def test_sync_stream_equals_the_job_over_all_changes(spark, sf):
+    """Batches of a stream with a restart between them, against the changes applied one after the other."""
+    path = shared_dir(spark, "sync-stream")
+    base = T.sync_copy(spark, sf, "aws").where("tenantId IN ('tenant-1', 'tenant-2')")
+    changes = T.sync_copy(spark, sf, "azure").where("tenantId IN ('tenant-1', 'tenant-2')")
+    later = changes.withColumns({"wallClockTs": F.col("wallClockTs") + 1_000, "vectorClock": F.expr("map('aws', 1L, 'azure', 9L)")})
+    for name in ("a", "b"):
+        K.write_store(base, f"{path}/{name}", buckets=1)
+    order = ["wallClockTs", "sourceCloud", "id"]
+    for part in (changes, later):
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+        stream = ST.file_stream(spark, f"{path}/in", changes.schema, max_files=1)
+        PL.run_all([jobs.sync_stream(stream, f"{path}/a", f"{path}/dlq-a", f"{path}/c", 0, order=order, interval=None)])
+    jobs.sync_job(changes, f"{path}/b", f"{path}/dlq-b", 0, order=order)
+    jobs.sync_job(later, f"{path}/b", f"{path}/dlq-b", 0, order=order)
+    shown = lambda p: rows(K.read_store(spark, p).select("aggregateId", "id", "syncStatus", "wallClockTs", F.map_entries("vectorClock")))
+    assert shown(f"{path}/a") == shown(f"{path}/b")
+    letters = lambda p: rows(spark.read.parquet(p).select("aggregateId", "vectorClockJson"))
+    assert letters(f"{path}/dlq-a") == letters(f"{path}/dlq-b") != []
+
+
+def test_jobs_leave_no_intermediates(spark, sf):
+    before = {n for n, _ in names_in(spark, shared_root(spark))}
+    path = shared_dir(spark, "clean")
+    K.write_store(T.sync_copy(spark, sf, "aws"), f"{path}/store", buckets=1)
+    jobs.sync_job(T.sync_copy(spark, sf, "azure").limit(20), f"{path}/store", f"{path}/dlq", 0)
+    landing = IO.landed(spark, sf)
+    jobs.aggregation_job(spark, landing, f"{path}/agg")
+    jobs.tenant_metrics_job(spark, f"{path}/agg", f"{path}/metrics", IO.DAY)
+    left = {n for n, _ in names_in(spark, shared_root(spark))} - before
+    assert left == {path.rsplit("/", 1)[1], landing.rsplit("/", 1)[1]}
+
+
+def test_late_rows_are_marked_by_the_watermark_of_their_batch(spark):
     path = shared_dir(spark, "marks")
     schema = "id bigint, createdAt bigint"
-    for i in range(3):
-        spark.createDataFrame([(i, 100 * (3 - i))], schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
-        src = ST.file_stream(spark, f"{path}/in", spark.createDataFrame([], schema).schema, max_files=1)
-        PL.run_all([PL.late_split_sink(src, f"{path}/out", f"{path}/c", 50, None)])
-    marks = spark.read.schema("top BIGINT, batchId INT").parquet(f"{path}/out/_marks").collect()
-    assert {r["batchId"]: r["top"] for r in marks} == {0: 300, 1: 300, 2: 300}
-    got = {r["id"]: r["late"] for r in spark.read.parquet(f"{path}/out/events").collect()}
-    assert got == {0: "false", 1: "true", 2: "true"}  # a partition column
+    for batch in ([(0, 300)], [(1, 240), (2, 250), (3, 251), (4, 900)], [(5, 850), (6, 851), (7, None)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        src = ST.file_stream(use_rocksdb(spark), f"{path}/in", spark.createDataFrame([], schema).schema, max_files=1)
+        PL.run_all([PL.start(KS.marked_late(src, "50 milliseconds"), f"{path}/out", f"{path}/c", [], interval=None)])
+    assert {r["id"]: r["late"] for r in spark.read.parquet(f"{path}/out").collect()} == {
+        0: False, 1: True, 2: True, 3: False, 4: False, 5: True, 6: False}
 
 
 def test_nothing_due_writes_nothing(spark):
     path = shared_dir(spark, "arch0")
     df = spark.createDataFrame([("1", "t", "PUBLIC", 10**13)], "id string, tenantId string, classification string, createdAt bigint")
-    jobs.archive_job(df, f"{path}/a", f"{path}/m", "2020-01-01", "2020-01-02")
-    assert not K._exists(spark, f"{path}/a")
+    assert jobs.archive_job(df, f"{path}/a", f"{path}/m", "2020-01-01", "2020-01-02") == 0
+    assert [n for n, _ in names_in(spark, f"{path}/a") if not n.startswith("_")] == [] == names_in(spark, f"{path}/a/_open")
+    assert not exists(spark, f"{path}/m")
 
 
 def test_sync_job_applies_and_parks(spark, sf):

@@ -12,6 +12,7 @@ from tidemark.operators import analytic as W
 from tidemark.operators import anomaly as N
 from tidemark.operators import lifecycle as L
 from tidemark.operators import projections as P
+from tidemark.operators import rollups as RU
 from tidemark.operators import routing as R
 from tidemark.plans.registry import query
 from tidemark.plans.views import KNOWN
@@ -535,3 +536,49 @@ SELECT "cloudProvider", min("checkedAt") AS "startAt", max("checkedAt") AS "endA
 GROUP BY "cloudProvider", island HAVING max("checkedAt")-min("checkedAt")>=60000""")
 def degraded_intervals(spark, sf):
     return W.degraded_intervals(T.probes(spark, sf))
+
+
+# ---- figures that merge ------------------------------------------------------------------------
+
+WITHIN = 0.015
+
+
+@query("latency_sketches", "ev valid", """
+SELECT 'day' AS span, "tenantId", date AS start, count(*) AS "sampleCount", max("enrichmentLatencyMs") AS "maxLatencyMs", true AS within FROM valid GROUP BY ALL
+UNION ALL SELECT 'week', "tenantId", strftime(date_trunc('week', CAST(date AS DATE)), '%Y-%m-%d') AS start, count(*), max("enrichmentLatencyMs"), true FROM valid GROUP BY ALL
+UNION ALL SELECT 'all', "tenantId", '', count(*), max("enrichmentLatencyMs"), true FROM valid GROUP BY ALL""")
+def latency_sketches(spark, sf):
+    """Percentiles of days, weeks and the whole time from hourly sketches; ``within`` says that their true ranks are near."""
+    week = F.date_format(F.date_trunc("week", F.col("date").cast("date")), "yyyy-MM-dd")
+    events = dated(T.valid_events(spark, sf))
+    hourly = RU.latency_sketches(events)
+    out = None
+    for name, start in (("day", F.col("date")), ("week", week), ("all", F.lit(""))):
+        keys = ["tenantId", "start"]
+        stats = RU.latency_stats_of(hourly.withColumn("start", start), tuple(keys))
+        ranked = events.withColumn("start", start).join(stats, keys).groupBy(*keys, "sampleCount", "maxLatencyMs")
+        near = F.lit(True)
+        aggs = []
+        for q, c in ((0.50, "p50LatencyMs"), (0.95, "p95LatencyMs"), (0.99, "p99LatencyMs")):
+            share = lambda cond: E.count_if(cond) / F.first("sampleCount")
+            aggs.append((share(F.col("enrichmentLatencyMs") < F.col(c)) <= q + WITHIN) & (share(F.col("enrichmentLatencyMs") <= F.col(c)) >= q - WITHIN))
+        for a in aggs:
+            near = near & a
+        part = ranked.agg(near.alias("within")).select(F.lit(name).alias("span"), *keys, "sampleCount", "maxLatencyMs", "within")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("distinct_types_ranges", "ev valid", """
+SELECT "tenantId", date AS start, 'day' AS span, count(DISTINCT "eventType") AS "distinctNames" FROM valid GROUP BY ALL
+UNION ALL SELECT "tenantId", strftime(date_trunc('month', CAST(date AS DATE)), '%Y-%m-%d'), 'month', count(DISTINCT "eventType") FROM valid GROUP BY ALL
+UNION ALL SELECT "tenantId", '', 'all', count(DISTINCT "eventType") FROM valid GROUP BY ALL""")
+def distinct_types_ranges(spark, sf):
+    """Exact distinct event types of days, months and the whole time, from daily bitmaps over a dictionary."""
+    counts = daily_counts(spark, sf).withColumn("date", F.col("date").cast("string"))
+    empty = spark.createDataFrame([], "name string, number bigint")
+    bitmaps = RU.name_bitmaps(counts, RU.extended_dictionary(empty, counts, "eventType"), "eventType")
+    month = F.date_format(F.date_trunc("month", F.col("date").cast("date")), "yyyy-MM-dd")
+    parts = [RU.distinct_names(bitmaps.withColumn("start", start), ("tenantId", "start")).select(
+        "tenantId", "start", F.lit(name).alias("span"), "distinctNames") for name, start in (("day", F.col("date")), ("month", month), ("all", F.lit("")))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

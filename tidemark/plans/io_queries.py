@@ -15,6 +15,8 @@ from tidemark.operators import reconcile as R
 from tidemark.operators import routing
 from tidemark.plans import batch_queries as B
 from tidemark.plans import jobs
+from tidemark.plans import lifecycle_queries as LQ
+from tidemark.plans import metric_queries as MQ
 from tidemark.plans import reconcile_queries as RQ
 from tidemark.plans.registry import query
 from tidemark.session import shared_dir, use_rocksdb
@@ -24,6 +26,7 @@ from tidemark.sources import adapter as T
 from tidemark.sources import cdc
 from tidemark.sources import files as SRC
 from tidemark.sources import streams as ST
+from tidemark.streaming import keyed as KS
 from tidemark.streaming import pipeline as PL
 from tidemark.streaming import stateful as SF
 
@@ -203,23 +206,32 @@ def src_avro_decode(spark, sf):
     return ST.decode_json(records, S.DATA_EVENT).select("id", "tenantId", "classification", "createdAt", "offset")
 
 
-@query("src_cdc_topic", "ev", """
+CDC = """
 c AS (SELECT 'u-' || "userId" AS key, seq, "createdAt" AS ts, "eventType", value, CASE WHEN seq%47=46 THEN 'd' WHEN seq<200 THEN 'c' ELSE 'u' END AS op FROM ev)
-SELECT key, "eventType", value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, seq DESC) AS rn FROM c) WHERE rn=1 AND op<>'d'""")
-def src_cdc_topic(spark, sf):
+SELECT key, "eventType", value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, seq DESC) AS rn FROM c) WHERE rn=1 AND op<>'d'"""
+
+
+def cdc_records(spark, sf):
     ev = T.data_events(spark, sf)
     image = F.to_json(F.struct(F.concat(F.lit("u-"), F.col("userId").cast("string")).alias("id"), "eventType", "value"))
     op = F.when(F.col("seq") % 47 == 46, "d").when(F.col("seq") < 200, "c").otherwise("u")
     envelope = F.to_json(F.struct(
         F.when(op != "c", image).alias("before"), F.when(op != "d", image).alias("after"), op.alias("op"),
         F.col("createdAt").alias("ts_ms"), F.struct(F.lit("data_events").alias("table"), F.col("seq").alias("lsn")).alias("source")))
-    records = ev.select(F.concat(F.lit("u-"), F.col("userId").cast("string")).alias("key"), envelope.alias("value"),
-                        F.col("seq").alias("offset"), F.col("createdAt").alias("timestamp"))
-    state = cdc.current_state(cdc.parse_changes(records))
+    return ev.select(F.concat(F.lit("u-"), F.col("userId").cast("string")).alias("key"), envelope.alias("value"),
+                     F.col("seq").alias("offset"), F.col("createdAt").alias("timestamp"))
+
+
+def cdc_shown(state):
     return state.select("key", F.get_json_object("row", "$.eventType").alias("eventType"),
                         F.get_json_object("row", "$.value").cast("double").alias("value"))
 
 
+@query("src_cdc_topic", "ev", CDC)
+def src_cdc_topic(spark, sf):
+    return cdc_shown(cdc.current_state(cdc.parse_changes(cdc_records(spark, sf))))
+
+
 # ---- streams -------------------------------------------------------------------------------------
 
 @query("src_stream_events", "ev", """SELECT id, "tenantId", classification, "createdAt" FROM ev""")
@@ -330,18 +342,82 @@ def stream_ewma(spark, sf):
 
 
 @query("late_data", "ev", """
-SELECT id, "createdAt", value>100 AND "createdAt" < (SELECT max("createdAt") FROM ev WHERE NOT value>100) - 7200000 AS late FROM ev""")
+SELECT id, "createdAt", value>100 AND "createdAt" <= (SELECT max("createdAt") FROM ev WHERE NOT value>100) - 7200000 AS late FROM ev""")
 def late_data(spark, sf):
     """Two runs from one checkpoint: the second finds delayed events and tells which are too late."""
     path = shared_dir(spark, "late")
     ev = T.data_events(spark, sf).select("id", "createdAt", "value")
 
     def run():
-        source = ST.file_stream(spark, f"{path}/in", ev.schema, max_files=100_000)
-        PL.run_all([PL.late_split_sink(source, f"{path}/out", f"{path}/checkpoint", 7_200_000, None)])
+        source = ST.file_stream(use_rocksdb(spark), f"{path}/in", ev.schema, max_files=100_000)
+        PL.run_all([PL.start(KS.marked_late(source, "2 hours"), f"{path}/out", f"{path}/checkpoint", ["late"], interval=None)])
 
     ev.where(~(F.col("value") > 100)).write.parquet(f"{path}/in")
     run()
     ev.where(F.col("value") > 100).write.mode("append").parquet(f"{path}/in")
     run()
-    return spark.read.parquet(f"{path}/out/events").select("id", "createdAt", F.col("late").cast("boolean").alias("late"))
+    return spark.read.parquet(f"{path}/out").select("id", "createdAt", F.col("late").cast("boolean").alias("late"))
+
+
+# ---- streams with timers -------------------------------------------------------------------------
+
+FAR_MS = 4_000_000_000_000  # a row of this time closes everything before it
+
+
+def closed(spark, name, rows, closing, build):
+    """Run a stream over ``rows``, then again from its checkpoint over ``closing``, which moves the watermark past them."""
+    path = shared_dir(spark, name)
+    use_rocksdb(spark)
+    for part in (rows, closing):
+        part.write.mode("append").parquet(f"{path}/in")
+        out = build(ST.file_stream(spark, f"{path}/in", rows.schema))
+        PL.run_all([PL.start(out, f"{path}/out", f"{path}/checkpoint", [], interval=None)])
+    return spark.read.parquet(f"{path}/out")
+
+
+@query("tail_sample_stream", "spans", MQ.TAIL)
+def tail_sample_stream(spark, sf):
+    """Traces decided by timers half a minute after their first span."""
+    spans = T.spans(spark, sf)
+    last = spans.limit(1).select(F.lit(-1).cast("bigint").alias("traceId"), F.lit("last").alias("spanId"), F.lit("OK").alias("statusCode"),
+                                 F.lit(FAR_MS).alias("startMs"), F.lit(FAR_MS).alias("endMs"), "attributes")
+    kept = closed(spark, "tail-sample", spans, last, lambda s: KS.tail_sample(s, F.col("traceId") % 100))
+    return kept.where("traceId >= 0").select("traceId", "spanId", "statusCode")
+
+
+@query("idempotency_ttl_stream", "ev", LQ.TTL, recursive=True)
+def idempotency_ttl_stream(spark, sf):
+    """Keys that timers forget when they expire."""
+    ev = T.data_events(spark, sf).select(F.col("userId").alias("key"), F.col("eventType").alias("service"), "seq", "createdAt")
+    last = ev.limit(1).select(F.lit(None).cast("bigint").alias("key"), "service", "seq", F.lit(FAR_MS).alias("createdAt"))
+    out = closed(spark, "ttl", ev, last, lambda s: KS.accept_with_ttl(s, ["key", "service"], "createdAt", "seq", 2 * LQ.DAY))
+    return out.where("key IS NOT NULL")
+
+
+@query("alert_changes_stream", "gauges", MQ.CHANGES)
+def alert_changes_stream(spark, sf):
+    """Alerts that fire and resolve by timers."""
+    samples = T.gauge_samples(spark, sf)
+    last = samples.limit(1).select(F.lit("consumer_group_lag").alias("metric"), F.lit("none").alias("series"), "seq",
+                                   F.lit(FAR_MS).alias("ts"), F.lit(0.0).alias("value"))
+    return closed(spark, "alerts", samples, last, lambda s: KS.alert_changes(s, lookback_ms=MQ.ALERT_LOOKBACK))
+
+
+@query("windows_and_late", "ev", """
+SELECT 'tenant-' || ("userId"%8) AS "tenantId", "createdAt"//3600000*3600000 AS "windowStart", count(*) AS n FROM ev GROUP BY ALL""")
+def windows_and_late(spark, sf):
+    """Hourly counts by the query's own watermark, then late rows of closed hours as rows of their own; here both are counted."""
+    ev = T.data_events(spark, sf).select(F.concat(F.lit("tenant-"), (F.col("userId") % 8).cast("string")).alias("tenantId"), "id", "createdAt")
+    last = ev.limit(1).select("tenantId", F.lit("last").alias("id"), F.lit(FAR_MS).alias("createdAt"))
+    out = closed(spark, "late", ev, last, lambda s: KS.windows_and_late(s, ["tenantId"], 3_600_000, "0 seconds"))
+    return out.groupBy("tenantId", "windowStart").agg(F.sum("n").alias("n"))
+
+
+@query("cdc_stream", "ev", CDC)
+def cdc_stream(spark, sf):
+    """The change feed as a stream: the latest change of each key as it comes, and the table they add up to."""
+    records = cdc_records(spark, sf)
+    last = records.limit(1).select(F.lit("last").alias("key"), F.lit(None).cast("string").alias("value"), F.lit(-1).cast("bigint").alias("offset"),
+                                   F.lit(FAR_MS).alias("timestamp"))
+    out = closed(spark, "cdc", records, last, lambda s: KS.latest_changes(cdc.parse_changes(s)))
+    return cdc_shown(cdc.current_state(out))

@@ -94,12 +94,15 @@ def first_per_key(spark, sf):
     return D.first_per_key(_keyed(spark, sf)).select("id", "idempotencyKey")
 
 
-@query("idempotency_ttl", "ev", f"""
+TTL = f"""
 p AS (SELECT "userId" AS key, "eventType" AS service, "createdAt" AS t, "createdAt"*1000000+seq AS pos FROM ev),
 acc AS (SELECT key, service, min(pos) AS pos FROM p GROUP BY ALL
   UNION ALL SELECT a.key, a.service, min(p.pos) FROM acc a JOIN p ON p.key=a.key AND p.service=a.service
     AND p.t >= a.pos//1000000 + {2 * DAY} GROUP BY a.key, a.service)
-SELECT key, service, pos%1000000 AS seq, pos//1000000 AS "createdAt", pos//1000000 + {2 * DAY} AS "expiresAt" FROM acc""", recursive=True)
+SELECT key, service, pos%1000000 AS seq, pos//1000000 AS "createdAt", pos//1000000 + {2 * DAY} AS "expiresAt" FROM acc"""
+
+
+@query("idempotency_ttl", "ev", TTL, recursive=True)
 def idempotency_ttl(spark, sf):
     ev = T.data_events(spark, sf).select(F.col("userId").alias("key"), F.col("eventType").alias("service"), "seq", "createdAt")
     return D.accept_with_ttl(ev, ["key", "service"], "createdAt", "seq", 2 * DAY)

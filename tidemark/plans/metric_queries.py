@@ -64,6 +64,44 @@ def counter_rate(spark, sf):
     return rates.withColumn("failing", F.col("rate") > M.SAGA_FAILURES_PER_SECOND).withColumn("rate", F.round("rate", 6))
 
 
+STEP, RANGE = HOUR, 6 * HOUR
+
+
+@query("counter_rate_sliding", "counters", f"""
+s AS (SELECT *, lag(value) OVER w AS p, lag(ts) OVER w AS pt FROM counters WINDOW w AS (PARTITION BY series ORDER BY ts, seq)),
+e AS (SELECT *, unnest(range((ts+{STEP - 1})//{STEP}*{STEP}, ts+{RANGE}, {STEP})) AS t FROM s),
+g AS (SELECT series, t AS "evalTs", count(*) AS samples, min(ts) AS a, max(ts) AS z, arg_min(value, (ts, seq)) AS f, arg_max(value, (ts, seq)) AS l,
+  sum(CASE WHEN value<p AND pt>t-{RANGE} THEN p ELSE 0 END) AS lost FROM e GROUP BY series, t HAVING max(ts)>min(ts)),
+i AS (SELECT *, l-f+lost AS increase, (z-a)/1000.0 AS s, (z-a)/1000.0/(samples-1) AS m, (a-("evalTs"-{RANGE}))/1000.0 AS lo, ("evalTs"-z)/1000.0 AS hi FROM g),
+x AS (SELECT *, CASE WHEN lo<m*1.1 THEN lo ELSE m/2 END AS lo2, CASE WHEN hi<m*1.1 THEN hi ELSE m/2 END AS hi2 FROM i)
+SELECT series, "evalTs", samples, increase, round(increase*((s+hi2+CASE WHEN increase>0 AND f>=0 THEN least(lo2, s*f/increase) ELSE lo2 END)/s)/{RANGE / 1000}, 6) AS rate FROM x""")
+def counter_rate_sliding(spark, sf):
+    """The rate of the last six hours at every full hour."""
+    return M.counter_rate_sliding(T.counter_samples(spark, sf), ["series"], RANGE, STEP).withColumn("rate", F.round("rate", 6))
+
+
+ALERT_LOOKBACK = 300_000
+
+
+CHANGES = f"""
+rules(alert, metric, op, threshold, held, severity) AS ({values(M.ALERTS)}),
+s AS (SELECT g.*, r.alert, r.severity, r.held, coalesce({BREACH}, false) AS bad FROM gauges g JOIN rules r ON g.metric=r.metric),
+q AS (SELECT *, coalesce(ts - lag(ts) OVER w > {ALERT_LOOKBACK}, false) AS gap, lead(ts) OVER w AS nt, lead(value) OVER w AS nv
+  FROM s WINDOW w AS (PARTITION BY alert, series ORDER BY ts, seq)),
+i AS (SELECT *, count(*) FILTER (WHERE gap OR NOT bad) OVER (PARTITION BY alert, series ORDER BY ts, seq) AS island FROM q),
+r AS (SELECT alert, severity, series, held*1000 AS wait, min(ts) AS a, arg_min(value, (ts, seq)) AS f, arg_max(
+  CASE WHEN nt IS NULL OR nt>ts+{ALERT_LOOKBACK} THEN {{'u': ts+{ALERT_LOOKBACK}, 'v': NULL}} ELSE {{'u': nt, 'v': nv}} END, (ts, seq)) AS z
+  FROM i WHERE bad GROUP BY alert, severity, series, held, island)
+SELECT alert, severity, series, 'PENDING' AS state, a AS at, f AS value FROM r
+UNION ALL SELECT alert, severity, series, 'FIRING', a+wait, NULL FROM r WHERE wait=0 OR z.u>a+wait
+UNION ALL SELECT alert, severity, series, 'RESOLVED', z.u, z.v FROM r WHERE wait=0 OR z.u>a+wait"""
+
+
+@query("alert_changes", "gauges", CHANGES)
+def alert_changes(spark, sf):
+    return M.alert_changes(T.gauge_samples(spark, sf), lookback_ms=ALERT_LOOKBACK)
+
+
 @query("ratio_alert", "http", f"""
 w AS (SELECT "tenantId", ts//{HOUR}*{HOUR} AS ws, count(*) FILTER (WHERE status>=500) AS e, count(*) AS n FROM http
   WHERE uri LIKE '/api/%' GROUP BY ALL),
@@ -141,10 +179,13 @@ def alarm_eval_periods(spark, sf):
     return M.alarm_states(samples).withColumn("value", F.round("value", 6))
 
 
-@query("tail_sample", "spans", """
+TAIL = """
 h AS (SELECT * FROM spans WHERE route NOT IN ('/health','/metrics')),
 t AS (SELECT "traceId" FROM h GROUP BY "traceId" HAVING bool_or("statusCode"='ERROR') OR max("endMs")-min("startMs")>=2000 OR "traceId"%100<10)
-SELECT "traceId", "spanId", "statusCode" FROM h WHERE "traceId" IN (SELECT "traceId" FROM t)""")
+SELECT "traceId", "spanId", "statusCode" FROM h WHERE "traceId" IN (SELECT "traceId" FROM t)"""
+
+
+@query("tail_sample", "spans", TAIL)
 def tail_sample(spark, sf):
     return TR.tail_sample(T.spans(spark, sf), F.col("traceId") % 100).select("traceId", "spanId", "statusCode")
 

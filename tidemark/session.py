@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -65,9 +68,51 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+_JOB: ContextVar[str | None] = ContextVar("job folder", default=None)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below the shared folder, or below the running job's part of it."""
+    return f"{_JOB.get() or shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@contextmanager
+def job_folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """Intermediates written inside belong to one job and go when it ends, also when it fails."""
+    path = shared_dir(spark, name)
+    token = _JOB.set(path)
+    try:
+        yield path
+    finally:
+        _JOB.reset(token)
+        remove(spark, path)
+
+
+def _at(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, place = _at(spark, path)
+    return fs.exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, place = _at(spark, path)
+    fs.delete(place, True)
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file, which is there or not."""
+    fs, place = _at(spark, path)
+    fs.create(place, True).close()
+
+
+def names_in(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Name and modification time in epoch millis of what lies directly in a folder; nothing if it is not there."""
+    fs, place = _at(spark, path)
+    return [(f.getPath().getName(), f.getModificationTime()) for f in fs.listStatus(place)] if fs.exists(place) else []
 
 
 def cut_lineage(df, name: str):

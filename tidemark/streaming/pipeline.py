@@ -1,4 +1,4 @@
-"""Streaming queries: landing, windowed aggregates, routing, deduplication and late data.
+"""Streaming queries: landing, windowed aggregates, routing and deduplication.
 
 Every query recovers from its checkpoint.  File sinks commit through their log, and ``foreachBatch``
 sinks replace the output of their batch id, so a replayed batch leaves the same rows.
@@ -6,7 +6,9 @@ sinks replace the output of their batch id, so a replayed batch leaves the same
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -15,6 +17,7 @@ from tidemark.functions import events as E
 from tidemark.operators import aggregates as A
 from tidemark.operators import projections as P
 from tidemark.operators import routing as R
+from tidemark.session import exists, names_in, remove
 from tidemark.sinks import topics as TP
 
 TRIGGER = "30 seconds"
@@ -40,10 +43,10 @@ def start(df: DataFrame, path: str, checkpoint: str, partition_by: list[str], fm
     writer = df.writeStream.format(fmt).outputMode("append").option("checkpointLocation", checkpoint)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    return _trigger(writer, interval).start(path)
+    return triggered(writer, interval).start(path)
 
 
-def _trigger(writer, interval: str | None):
+def triggered(writer, interval: str | None):
     return writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
 
 
@@ -67,7 +70,8 @@ def window_sink(events: DataFrame, path: str, checkpoint: str, interval: str | N
 def window_upserts(events: DataFrame, path: str, checkpoint: str, interval: str | None = TRIGGER) -> StreamingQuery:
     """Five-minute counts before they close: every batch writes the windows it changed.
 
-    Rows carry the batch number; ``latest_windows`` reads the newest version of each window.
+    Rows carry the batch number; ``read_windows`` gives the newest version of each window, and
+    ``compact_windows`` keeps what it reads from growing with the number of batches.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         (batch.withColumn("batchId", F.lit(batch_id)).write.mode("overwrite")
@@ -75,14 +79,54 @@ def window_upserts(events: DataFrame, path: str, checkpoint: str, interval: str
 
     writer = (A.stream_window_counts(events).writeStream.outputMode("update").foreachBatch(write)
               .option("checkpointLocation", checkpoint))
-    return _trigger(writer, interval).start()
+    return triggered(writer, interval).start()
+
+
+WINDOW_KEYS = ["tenantId", "classification", "processingPath", "windowStart"]
+
+
+def _newest_rows(versions: DataFrame) -> DataFrame:
+    rest = [c for c in versions.columns if c not in WINDOW_KEYS]
+    return versions.groupBy(*WINDOW_KEYS).agg(F.max_by(F.struct(*rest), "batchId").alias("_r")).select(*WINDOW_KEYS, "_r.*")
 
 
 def latest_windows(versions: DataFrame) -> DataFrame:
-    keys = ["tenantId", "classification", "processingPath", "windowStart"]
-    rest = [c for c in versions.columns if c not in (*keys, "batchId")]
-    return (versions.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batchId").alias("_r"))
-            .select(*keys, "_r.*"))
+    return _newest_rows(versions).drop("batchId")
+
+
+def read_windows(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of every window: the last compaction and the batches after it, nothing older."""
+    return latest_windows(_live_versions(spark, path)[0])
+
+
+def _live_versions(spark: SparkSession, path: str) -> tuple[DataFrame, list[int], int]:
+    """Versions to read, the batches among them, and the number of the last compaction (-1 without one)."""
+    done = [int(name[5:]) for name, _ in names_in(spark, f"{path}/_base") if name.startswith("upto=")]
+    upto = max((n for n in done if exists(spark, f"{path}/_base/upto={n}/_SUCCESS")), default=-1)
+    batches = sorted(int(name[8:]) for name, _ in names_in(spark, path) if name.startswith("batchId="))
+    rest = [n for n in batches if n > upto]
+    parts = [spark.read.option("basePath", path).parquet(*[f"{path}/batchId={n}" for n in rest])] if rest else []
+    if upto >= 0:
+        parts.append(spark.read.parquet(f"{path}/_base/upto={upto}"))
+    return reduce(DataFrame.unionByName, parts), batches, upto
+
+
+def compact_windows(spark: SparkSession, path: str) -> int:
+    """Fold the batches so far into one version per window and remove them; returns the last batch folded.
+
+    The compaction is visible once it is complete, and only then do its batches and the one before it go.
+    Run it between two batches or while the query is stopped: a batch that is replayed is written again
+    and is newer than the compaction only if it was not part of it.
+    """
+    versions, batches, before = _live_versions(spark, path)
+    upto = max([before, *batches])
+    if upto > before:
+        _newest_rows(versions).write.mode("overwrite").parquet(f"{path}/_base/upto={upto}")
+        for n in batches:
+            remove(spark, f"{path}/batchId={n}")
+        if before >= 0:
+            remove(spark, f"{path}/_base/upto={before}")
+    return upto
 
 
 def tenant_windows(events: DataFrame, window: str = "5 minutes", grace: str = "30 seconds") -> DataFrame:
@@ -153,32 +197,7 @@ def route_sink(records: DataFrame, path: str, checkpoint: str, interval: str | N
          .partitionBy("batchId", "topic").parquet(path))
 
     writer = records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return _trigger(writer, interval).start()
-
-
-def late_split_sink(events: DataFrame, path: str, checkpoint: str, delay_ms: int, interval: str | None = TRIGGER,
-                    ts: str = "createdAt") -> StreamingQuery:
-    """Keep events that arrive after the watermark instead of dropping them.
-
-    The watermark of a batch is the highest event time of the earlier batches less ``delay_ms``.
-    Each batch stores the running maximum beside the output, so the next one reads only its
-    predecessor's mark and a replay decides as the first run did.
-    """
-    spark = events.sparkSession
-    marks = f"{path}/_marks"
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        earlier = None
-        if batch_id > 0:
-            earlier = spark.read.schema("top BIGINT").parquet(f"{marks}/batchId={batch_id - 1}").first()[0]
-        late = F.lit(False) if earlier is None else F.col(ts) < earlier - delay_ms
-        (batch.withColumns({"late": late, "batchId": F.lit(batch_id)}).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("late", "batchId").parquet(f"{path}/events"))
-        top = F.greatest(F.max(ts), F.lit(earlier).cast("bigint")).alias("top")
-        batch.agg(top).write.mode("overwrite").parquet(f"{marks}/batchId={batch_id}")
-
-    writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return _trigger(writer, interval).start()
+    return triggered(writer, interval).start()
 
 
 def run_all(queries: list[StreamingQuery]) -> None:
