@@ -36,7 +36,7 @@ from tidemark.llm.near_dedup import components
 from tidemark.session import cut_lineage
 
 SHINGLE, PERCENT, EXTRA = 3, 90, 2
-CELL_BITS = 18  # the table of run counts has 2**18 cells, whatever the corpus
+CELL_BITS, BLOCK_BITS = 22, 14  # the table of run counts has 2**22 cells in blocks of 2**14, whatever the corpus
 SEGMENT = 256   # texts of a list segment, about
 SET_BYTES = 1 << 19  # bytes of text that a worker turns into sets at once
 MARK_BITS = 23  # bits of the bitmap that marks texts of candidate pairs
@@ -86,21 +86,40 @@ def _cells(runs: np.ndarray) -> np.ndarray:
 
 
 def run_classes(held: DataFrame) -> np.ndarray:
-    """Logarithmic class of the count of every cell of runs, over all texts; a byte a cell."""
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << CELL_BITS, np.int64)
+    """Logarithmic class of the count of every cell of runs, over all texts; a byte a cell.
+
+    A task counts into one table of all cells and gives it in blocks; the blocks of all tasks meet by number
+    and are added up one after the other.
+    """
+    cells, block = 1 << CELL_BITS, 1 << BLOCK_BITS
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(cells, np.uint32)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 runs = np.frombuffer(b"".join(batch.column("runs").slice(at, 256).to_pylist()), np.uint64)
-                counts += np.bincount(_cells(runs), minlength=len(counts))
-        cell = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(counts[cell], pa.int64())], names=["cell", "times"])
-
-    counted = held.select("runs").mapInArrow(run, "cell int, times bigint").groupBy("cell").agg(F.sum("times").alias("times"))
-    level = F.least(F.lit(255), F.floor(8 * F.log2(F.col("times")))).cast("int").alias("level")
-    found = counted.select("cell", level).toArrow()  # at most 2**CELL_BITS rows
-    classes = np.zeros(1 << CELL_BITS, np.uint8)
-    classes[found.column("cell").to_numpy()] = found.column("level").to_numpy()
+                np.add.at(counts, _cells(runs), 1)
+        parts = counts.reshape(-1, block)
+        used = np.flatnonzero(parts.any(1))
+        for i in used.tolist():
+            small = parts[i].max() < 1 << 16
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([small]), pa.array(
+                [parts[i].astype(np.uint16 if small else np.uint32).tobytes()], pa.binary())], names=["block", "small", "counts"])
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = {}
+        for batch in batches:
+            for i, small, blob in zip(*(batch.column(c).to_pylist() for c in ("block", "small", "counts"))):
+                totals[i] = totals.get(i, 0) + np.frombuffer(blob, np.uint16 if small else np.uint32).astype(np.int64)
+        for i, total in totals.items():
+            level = np.minimum(255, 8 * np.log2(np.maximum(total, 1))).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["block", "levels"])
+
+    counted = held.select("runs").mapInArrow(count, "block int, small boolean, counts binary")
+    found = counted.repartition("block").mapInArrow(add, "block int, levels binary").collect()  # 2**CELL_BITS bytes
+    classes = np.zeros(cells, np.uint8)
+    for r in found:
+        classes[r["block"] * block:(r["block"] + 1) * block] = np.frombuffer(r["levels"], np.uint8)
     return classes
 
 
