@@ -140,3 +140,19 @@ def test_elements_count_repeats_and_short_texts():
     hashes = {r: set(element[row == r].tolist()) for r in range(6)}
     assert hashes[1] == hashes[2] != hashes[5] and hashes[3] == hashes[4]
     assert all(len(h) == 1 for h in hashes.values())
+
+
+def test_a_linked_group_and_a_stranger_are_linear_in_pairs(spark, monkeypatch):
+    """Copies linked through their lead, and one text just below the similarity that shares buckets with them."""
+    words = [f"w{i}" for i in range(100)]
+    change = lambda *at: " ".join("changed" + str(sum(at)) if i in at else w for i, w in enumerate(words))
+    seen = []
+    similar = near_dedup.similar
+    monkeypatch.setattr(near_dedup, "similar", lambda pairs, *a: seen.append(pairs.count()) or similar(pairs, *a))
+    counts = {}
+    for n in (20, 40):
+        rows = [(0, " ".join(words))] + [(i + 1, change(2 * i + 3)) for i in range(n)] + [(999, change(10, 40, 70))]
+        got = {r["doc_id"]: r["class_id"] for r in near_dedup.groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+        assert got[999] == 999 and {got[i] for i in range(n + 1)} == {n}
+        counts[n] = seen[-1]  # across groups
+    assert counts[40] <= 41 and counts[20] <= 21
