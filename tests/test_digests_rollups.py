@@ -32,7 +32,7 @@ def made_copies(spark, n=3000, seed=1):
     return frame(left), frame(right), asked
 
 
-@pytest.mark.parametrize("bits,fan", [(8, 4), (6, 2), (5, 3), (4, 4)])
+@pytest.mark.parametrize("bits,fan", [(6, 2), (5, 3)])
 def test_tree_verdicts_equal_the_join(spark, bits, fan):
     left, right, asked = made_copies(spark, 900, bits)
     path = shared_dir(spark, "copies")
@@ -66,7 +66,7 @@ def test_digests_do_not_depend_on_order_and_equal_copies_differ_nowhere(spark):
 
 # ---- sketches and bitmaps ------------------------------------------------------------------------
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_merged_sketches_keep_the_rank_error(spark, seed):
     """Over random partitions of the values into many hours, of very different sizes."""
     rng = random.Random(seed)
@@ -125,7 +125,7 @@ def plain_rate(samples, t, span):
 SERIES = "series string, ts bigint, seq bigint, value double"
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_sliding_rates_with_resets_and_gaps(spark, seed):
     rng = random.Random(seed)
     data, plain = [], {}

@@ -154,6 +154,21 @@ def test_only_silence_ends_an_alert(spark):
         ("FIRING", 61_000), ("PENDING", 1_000), ("RESOLVED", 101_000)]
 
 
+def test_alarm_states_equal_the_batch_and_silence_ends_them(spark):
+    rng = random.Random(8)
+    alarms = [("cpu", "m", "Average", 60, ">", 8.0, 2), ("space", "m", "Minimum", 300, "<", 4.0, 1), ("errors", "n", "Sum", 60, ">", 15.0, 1),
+              ("peak", "n", "Maximum", 60, ">", 10.0, 3)]
+    made = [(rng.choice("mn"), rng.choice("ab"), 60_000 * minute + rng.randrange(60_000), 0, float(rng.choice([2, 7, 9, 12, 12, 12])))
+            for minute in range(60) if minute % 9 < 6 for _ in range(6)]
+    made.sort(key=lambda r: r[2])
+    feed = Feed(spark, SAMPLES, lambda s: KS.alarm_states(s, alarms, "30 seconds"))
+    feed.push(made[:100], made[100:], [("other", "z", FAR, 0, 1.0), ("m", "z", FAR, 0, 9.0)])
+    shown = lambda df: rows(df.where("series <> 'z'").select("alarm", "series", "periodStart", F.round("value", 6), "breaching", "inAlarm"))
+    want = shown(M.alarm_states(spark.createDataFrame(made, SAMPLES), alarms))
+    assert shown(feed.out()) == want
+    assert any(r[5] for r in want) and any(r[3] is None for r in want)
+
+
 EVENTS = "tenantId string, id string, createdAt bigint"
 
 

@@ -9,6 +9,7 @@ from tidemark import schema as S
 from tidemark.functions import events as E
 from tidemark.functions import text as X
 from tidemark.operators import ordered as O
+from tidemark.operators.skew import with_group_totals
 
 # Dead-letter rules.
 SCHEMA_ERRORS = ["SerializationException", "SchemaParseException", "AvroTypeException"]
@@ -182,6 +183,19 @@ def page_after(df: DataFrame, ts: str, tie: str, last_ts: int, last_tie, size: i
     return df.where(older).orderBy(F.desc(ts), F.desc(tie)).limit(size)
 
 
+def page_numbers(df: DataFrame, keys: list[str], ts: str, tie: str, size: int, slice_ms: int = O.SLICE_MS) -> DataFrame:
+    """The page of every row in its key's listing, newest first, with the listing's totals.
+
+    Positions are counted by slices of time, so any page, however deep, is a filter: nothing is sorted as a
+    whole and no task holds the rows before it.  Keys, ``ts`` and ``tie`` must not be null.
+    """
+    placed = O.with_ordinal(df, keys, ts, tie, "_at", slice_ms)
+    known = with_group_totals(placed, keys, [tie], {"_n": F.count(F.lit(1))}, {"totalElements": (F.sum, "_n")})
+    at = F.floor((F.col("totalElements") - F.col("_at")) / F.lit(size))
+    pages = F.ceil(F.col("totalElements") / F.lit(size))
+    return known.withColumns({"pageNo": at, "totalPages": pages, "hasNext": at < pages - 1}).drop("_at")
+
+
 def created_between(df: DataFrame, tenant: str, start_ms: int, end_ms: int) -> DataFrame:
     """Inclusive at both ends."""
     return df.where((F.col("tenantId") == tenant) & F.col("createdAt").between(start_ms, end_ms))

@@ -403,6 +403,15 @@ def alert_changes_stream(spark, sf):
     return closed(spark, "alerts", samples, last, lambda s: KS.alert_changes(s, lookback_ms=MQ.ALERT_LOOKBACK))
 
 
+@query("alarm_states_stream", "ev", MQ.ALARM_SQL)
+def alarm_states_stream(spark, sf):
+    """Alarms over fixed periods that timers close."""
+    samples = MQ.alarm_samples(spark, sf)
+    last = samples.limit(1).select(F.lit("sync.errors").alias("metric"), F.lit("last").alias("series"), F.lit(FAR_MS).alias("ts"), "value")
+    out = closed(spark, "alarms", samples, last, KS.alarm_states)
+    return out.where("series <> 'last'").withColumn("value", F.round("value", 6))
+
+
 @query("windows_and_late", "ev", """
 SELECT 'tenant-' || ("userId"%8) AS "tenantId", "createdAt"//3600000*3600000 AS "windowStart", count(*) AS n FROM ev GROUP BY ALL""")
 def windows_and_late(spark, sf):

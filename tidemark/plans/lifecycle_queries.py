@@ -311,6 +311,18 @@ def page_keyset(spark, sf):
     return L.page_after(rows, "createdAt", "id", END, "", 20)
 
 
+@query("page_index", "life", """
+p AS (SELECT "tenantId", id, "createdAt", (row_number() OVER (PARTITION BY "tenantId" ORDER BY "createdAt" DESC, id DESC)-1)//50 AS "pageNo",
+  count(*) OVER (PARTITION BY "tenantId") AS n FROM life)
+SELECT "tenantId", "pageNo", max("createdAt") AS newest, min("createdAt") AS oldest, count(*) AS rows, CAST(ceil(max(n)/50.0) AS BIGINT) AS "totalPages" FROM p GROUP BY "tenantId", "pageNo\"""")
+def page_index(spark, sf):
+    """What every page of every tenant's listing holds."""
+    rows = T.lifecycle_rows(spark, sf).select("tenantId", "id", "createdAt")
+    return (L.page_numbers(rows, ["tenantId"], "createdAt", "id", 50).groupBy("tenantId", "pageNo")
+            .agg(F.max("createdAt").alias("newest"), F.min("createdAt").alias("oldest"), F.count(F.lit(1)).alias("rows"),
+                 F.max("totalPages").alias("totalPages")))
+
+
 @query("page_past_end", "life", """
 f AS (SELECT * FROM life WHERE "tenantId"='tenant-4' AND status='FAILED')
 SELECT count(*) AS "totalElements", CAST(ceil(count(*)/50.0) AS BIGINT) AS "totalPages", false AS "hasNext" FROM f""")

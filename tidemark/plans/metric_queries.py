@@ -159,7 +159,7 @@ ALARM_METRICS = [("CPUUtilization", 1.0), ("ReplicaLag", 0.5), ("events.rejected
                  ("ServiceAvailability", 2.0), ("ReplicationLatency", 60.0)]
 
 
-@query("alarm_eval_periods", "ev", f"""
+ALARM_SQL = f"""
 alarms(alarm, metric, statistic, period, op, threshold, periods) AS ({values(M.ALARMS)}),
 m(metric, f) AS ({values(ALARM_METRICS)}),
 s AS (SELECT a.*, 'all' AS series, ev."createdAt"//(period*1000) AS pd, ev.value*m.f AS v FROM ev, m JOIN alarms a ON a.metric=m.metric),
@@ -171,12 +171,18 @@ c AS (SELECT b.*, CAST(b.breaching AS INT) + CASE WHEN b.periods>=2 AND coalesce
   FROM b LEFT JOIN b x ON x.alarm=b.alarm AND x.pd=b.pd-1 LEFT JOIN b y ON y.alarm=b.alarm AND y.pd=b.pd-2)
 SELECT alarm, series, pd*period*1000 AS "periodStart", round(value, 6) AS value, breaching, hits=periods AS "inAlarm" FROM c
 UNION ALL SELECT alarm, series, (pd+1)*period*1000, NULL, false, false FROM c WHERE hits=periods
-  AND NOT EXISTS (SELECT 1 FROM b WHERE b.alarm=c.alarm AND b.pd=c.pd+1)""")
-def alarm_eval_periods(spark, sf):
+  AND NOT EXISTS (SELECT 1 FROM b WHERE b.alarm=c.alarm AND b.pd=c.pd+1)"""
+
+
+def alarm_samples(spark, sf):
     factors = F.array(*[F.struct(F.lit(n).alias("metric"), F.lit(f).alias("f")) for n, f in ALARM_METRICS])
-    samples = (T.data_events(spark, sf).select(F.col("createdAt").alias("ts"), "value", F.explode(factors).alias("m"))
-               .select("m.metric", F.lit("all").alias("series"), "ts", (F.col("value") * F.col("m.f")).alias("value")))
-    return M.alarm_states(samples).withColumn("value", F.round("value", 6))
+    return (T.data_events(spark, sf).select(F.col("createdAt").alias("ts"), "value", F.explode(factors).alias("m"))
+            .select("m.metric", F.lit("all").alias("series"), "ts", (F.col("value") * F.col("m.f")).alias("value")))
+
+
+@query("alarm_eval_periods", "ev", ALARM_SQL)
+def alarm_eval_periods(spark, sf):
+    return M.alarm_states(alarm_samples(spark, sf)).withColumn("value", F.round("value", 6))
 
 
 TAIL = """

@@ -1,4 +1,4 @@
-"""Stateful streams with event-time timers: trace sampling, expiring keys, alerts, late rows and change feeds.
+"""Stateful streams with event-time timers: trace sampling, expiring keys, alerts, alarms, late rows and change feeds.
 
 State lives in the RocksDB store and is cleared by timers, because a state's own time to live counts processing time and
 would make a replay differ.  Timers fire when the query's watermark has passed them, so every processor is silent about
@@ -258,6 +258,70 @@ def alert_changes(samples: DataFrame, rules: list[tuple] = M.ALERTS, lookback_ms
         statefulProcessor=_Alert(lookback_ms), outputStructType=CHANGES, outputMode="append", timeMode="eventTime")
 
 
+# ---- alarms over fixed periods ---------------------------------------------------------------------
+
+ALARM_RULE = ["alarm", "statistic", "periodSeconds", "op", "threshold", "periods", "series"]
+ALARM_STATES = "alarm STRING, series STRING, periodStart BIGINT, value DOUBLE, breaching BOOLEAN, inAlarm BOOLEAN"
+
+
+class _Alarm(Timed):
+    """Figures of the open periods, and the latest closed one with how many in a row have breached."""
+
+    def states(self, handle) -> None:
+        self.open = handle.getMapState("open", "period BIGINT", "total DOUBLE, n BIGINT, low DOUBLE, high DOUBLE")
+        self.closed = handle.getValueState("closed", "period BIGINT, breached BIGINT")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        length = key[2] * 1000
+        for r in rows:
+            period, v = (r["ts"] // length,), r["value"]
+            total, n, low, high = self.open.getValue(period) if self.open.containsKey(period) else (0.0, 0, v, v)
+            self.open.updateValue(period, (total + v, n + 1, min(low, v), max(high, v)))
+        return self.advance(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.due.clear()
+        return self.advance(key, timerValues.getCurrentWatermarkInMs())
+
+    def advance(self, key, now: int) -> Iterator[Row]:
+        alarm, statistic, seconds, op, threshold, periods, series = key
+        length = seconds * 1000
+        row = lambda period, value, breaching, on: Row(*(f.split()[0] for f in ALARM_STATES.split(", ")))(
+            alarm, series, period * length, value, breaching, on)
+        known = sorted(k[0] for k in self.open.keys())
+        last, breached = self.closed.get() if self.closed.exists() else (None, 0)
+        for period in [p for p in known if (p + 1) * length <= now]:
+            total, n, low, high = self.open.getValue((period,))
+            self.open.removeKey((period,))
+            if last is not None and period > last + 1:
+                if breached >= periods:
+                    yield row(last + 1, None, False, False)
+                breached = 0
+            value = {"Sum": total, "Average": total / n, "Minimum": low}.get(statistic, high)
+            breaching = value > threshold if op == ">" else value < threshold if op == "<" else value == threshold
+            last, breached = period, breached + 1 if breaching else 0
+            yield row(period, value, breaching, breached >= periods)
+        if breached >= periods and (last + 2) * length <= now:
+            yield row(last + 1, None, False, False)  # a period without data ends the alarm
+            breached = 0
+        if last is not None:
+            self.closed.update((last, breached))
+        next_ = [(p + 1) * length for p in known if (p + 1) * length > now][:1]
+        self.wake_at(min([*next_, *([(last + 2) * length] if breached >= periods else [])], default=None))
+
+
+def alarm_states(samples: DataFrame, alarms: list[tuple] = M.ALARMS, delay: str = "0 seconds") -> DataFrame:
+    """Streaming twin of ``metrics.alarm_states``: a row for every closed period with data, and one where silence ends an alarm.
+
+    Samples without a series, a time or a value are left out.
+    """
+    names = ["alarm", "metric", "statistic", "periodSeconds", "op", "threshold", "periods"]
+    whole = samples.where(F.col("series").isNotNull() & F.col("ts").isNotNull() & F.col("value").isNotNull())
+    timed = M.with_rules(whole, alarms, names).select(*ALARM_RULE, "ts", "value", E.ts("ts").alias("_at")).withWatermark("_at", delay)
+    return timed.groupBy(*ALARM_RULE).transformWithState(
+        statefulProcessor=_Alarm(), outputStructType=ALARM_STATES, outputMode="append", timeMode="eventTime")
+
+
 # ---- late rows -------------------------------------------------------------------------------------
 
 class _Marker(StatefulProcessor):
