@@ -150,3 +150,36 @@ def test_a_scrape_just_outside_the_span_is_not_seen(spark):
     data = [("a", 0, 0, 0.0), ("a", 60_000, 1, 100.0), ("a", 300_000, 2, 100.0)]
     got = {r["evalTs"]: (r["samples"], r["increase"]) for r in M.counter_rate_sliding(spark.createDataFrame(data, SERIES), ["series"], 300_000, 60_000).collect()}
     assert got[300_000] == (2, 0.0) and got[240_000] == (2, 100.0) and 360_000 not in got
+
+
+# ---- exact percentiles ---------------------------------------------------------------------------
+
+def at_rank(values, percent):
+    """The least value with ``percent`` of all at or below it."""
+    return sorted(values)[-(-len(values) * percent // 100) - 1]
+
+
+def test_percentiles_of_large_groups_are_exact(spark):
+    """Far more distinct values than a summary of the group would hold."""
+    rng = random.Random(5)
+    data = {t: [int(rng.lognormvariate(9, 1.5)) for _ in range(20_000)] for t in "ab"}
+    df = spark.createDataFrame([(t, "d", v) for t, vs in data.items() for v in [*vs, None]], "tenantId string, date string, enrichmentLatencyMs bigint")
+    got = {r["tenantId"]: r for r in A.latency_stats(df).collect()}
+    for t, vs in data.items():
+        assert (got[t]["sampleCount"], got[t]["maxLatencyMs"]) == (len(vs) + 1, max(vs))
+        assert [got[t][f"p{p}LatencyMs"] for p in (50, 95, 99)] == [at_rank(vs, p) for p in (50, 95, 99)]
+    rolled = {r["tenantId"]: r for r in A.metric_rollup(df.withColumn("ts", F.lit(7)), ("tenantId",), "enrichmentLatencyMs").collect()}
+    for t, vs in data.items():
+        assert (rolled[t]["n"], rolled[t]["total"]) == (len(vs) + 1, sum(vs))
+        assert [rolled[t][f"p{p}"] for p in (50, 95, 99)] == [at_rank(vs, p) for p in (50, 95, 99)]
+
+
+def test_windows_have_exact_percentiles_of_the_kept_events(spark):
+    rng = random.Random(6)
+    data = [("t", i % 1_000, rng.choice(["FAST", "ENRICHMENT", "POISON_DLQ"]), "PUBLIC", "e", 2, False, int(rng.lognormvariate(9, 1.5))) for i in range(20_000)]
+    df = spark.createDataFrame(data, "tenantId string, createdAt bigint, route string, classification string, eventType string, "
+                                     "payloadSizeBytes bigint, anomalyDetected boolean, enrichmentLatencyMs bigint")
+    kept = [r[-1] for r in data if r[2] != "POISON_DLQ"]
+    got = A.windowed_event_agg(df).first()
+    assert (got["totalEventCount"], got["dlqCount"], got["totalPayloadBytes"]) == (len(kept), len(data) - len(kept), 2 * len(kept))
+    assert (got["p50LatencyMs"], got["p99LatencyMs"]) == (at_rank(kept, 50), at_rank(kept, 99))

@@ -6,14 +6,15 @@ costs one small partial row per map task, not a hot reducer.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from fractions import Fraction
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import schema as S
 from tidemark.functions import events as E
 from tidemark.operators import rollups as RU
 
-PERCENTILE_ACCURACY = 1000
 FIVE_MINUTES_MS = 300_000
 
 
@@ -59,18 +60,33 @@ def hourly_rate_of(base: DataFrame) -> DataFrame:
     return base.groupBy("tenantId", "date", "hour").agg(F.sum("eventCount").alias("eventCount"))
 
 
-def percentile(col: str, *fractions: float) -> Column:
-    return F.percentile_approx(col, list(fractions), PERCENTILE_ACCURACY)
+def ranked(counts: DataFrame, keys: tuple, value: str, n: str) -> DataFrame:
+    """Beside the ``n`` rows of each distinct value of a group: how many values are at or below it, and how many there are.
+
+    A group's distinct values are sorted, not its rows; nulls are no values.
+    """
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.when(F.col(value).isNotNull(), F.col(n)).otherwise(0)
+    return counts.withColumns({"_upto": F.sum(own).over(upto), "_all": F.sum(own).over(group)})
+
+
+def percentile(value: str, fraction: float) -> Column:
+    """The least value at or below which lies ``fraction`` of the group, exactly; an aggregate over ``ranked`` rows."""
+    share = Fraction(str(fraction))
+    return F.min(F.when(F.col("_upto") * share.denominator >= F.col("_all") * share.numerator, F.col(value)))
+
+
+def _latency_stats(counts: DataFrame, keys: tuple) -> DataFrame:
+    value = "enrichmentLatencyMs"
+    return (ranked(counts, keys, value, "_n").groupBy(*keys)
+            .agg(F.sum("_n").alias("sampleCount"), F.max(value).alias("maxLatencyMs"), percentile(value, 0.50).alias("p50LatencyMs"),
+                 percentile(value, 0.95).alias("p95LatencyMs"), percentile(value, 0.99).alias("p99LatencyMs")))
 
 
 def latency_stats(df: DataFrame, keys: tuple = ("tenantId", "date")) -> DataFrame:
-    p = F.col("_p")
-    return (df.groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("sampleCount"),
-                 percentile("enrichmentLatencyMs", 0.50, 0.95, 0.99).alias("_p"),
-                 F.max("enrichmentLatencyMs").alias("maxLatencyMs"))
-            .withColumns({"p50LatencyMs": p[0], "p95LatencyMs": p[1], "p99LatencyMs": p[2]})
-            .drop("_p"))
+    """Samples, maximum and exact percentiles of the latencies per group."""
+    return _latency_stats(df.groupBy(*keys, "enrichmentLatencyMs").agg(F.count(F.lit(1)).alias("_n")), keys)
 
 
 def hourly_rate(df: DataFrame) -> DataFrame:
@@ -102,17 +118,20 @@ def windowed_event_agg(df: DataFrame, window_ms: int = FIVE_MINUTES_MS) -> DataF
         F.create_map(*[x for cls in S.CLASSIFICATIONS for x in (F.lit(cls), F.col(f"_{cls}"))]),
         lambda _k, n: n > 0)
     latency = F.when(kept, F.col("enrichmentLatencyMs"))
-    totals = (windowed.withColumn("_lat", latency).groupBy("tenantId", "windowStart").agg(
+    keys = ("tenantId", "windowStart")
+    sums = ["totalEventCount", "totalPayloadBytes", "anomalyCount", "dlqCount", *[f"_{cls}" for cls in S.CLASSIFICATIONS]]
+    counts = windowed.withColumn("_lat", latency).groupBy(*keys, "_lat").agg(
         one(F.lit(True)).alias("totalEventCount"),
         F.coalesce(F.sum(F.when(kept, F.col("payloadSizeBytes"))), F.lit(0)).alias("totalPayloadBytes"),
         one(F.col("anomalyDetected")).alias("anomalyCount"),
         E.count_if(~kept).alias("dlqCount"),
-        percentile("_lat", 0.50, 0.99).alias("_p"),
         *[one(F.col("classification") == cls).alias(f"_{cls}") for cls in S.CLASSIFICATIONS])
+    totals = (ranked(counts, keys, "_lat", "totalEventCount").groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in sums], percentile("_lat", 0.50).alias("p50LatencyMs"), percentile("_lat", 0.99).alias("p99LatencyMs"))
         .select("tenantId", "windowStart", (F.col("windowStart") + window_ms).alias("windowEnd"),
                 F.lit(window_ms).cast("bigint").alias("windowDurationMs"), "totalEventCount",
                 by_class.alias("countByClassification"), "totalPayloadBytes", "anomalyCount", "dlqCount",
-                F.col("_p")[0].alias("p50LatencyMs"), F.col("_p")[1].alias("p99LatencyMs")))
+                "p50LatencyMs", "p99LatencyMs"))
     by_type = (windowed.where(kept).groupBy("tenantId", "windowStart", "eventType")
                .agg(F.count(F.lit(1)).alias("n"))
                .groupBy("tenantId", "windowStart")
@@ -143,13 +162,13 @@ def reason_counts(df: DataFrame, col: str = "reason", total: str = "TOTAL") -> D
 
 
 def metric_rollup(samples: DataFrame, keys: tuple, value: str, ts: str = "ts", window_ms: int = 60_000) -> DataFrame:
-    """Sum, count and tail percentiles of a metric per window and tag set."""
-    p = F.col("_p")
-    return (samples.withColumn("windowStart", E.window_start(ts, window_ms))
-            .groupBy(*keys, "windowStart")
-            .agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"),
-                 percentile(value, 0.50, 0.95, 0.99).alias("_p"))
-            .withColumns({"p50": p[0], "p95": p[1], "p99": p[2]}).drop("_p"))
+    """Sum, count and exact tail percentiles of a metric per window and tag set."""
+    keys = (*keys, "windowStart")
+    counts = (samples.withColumn("windowStart", E.window_start(ts, window_ms)).groupBy(*keys, value)
+              .agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_sum")))
+    return ranked(counts, keys, value, "_n").groupBy(*keys).agg(
+        F.sum("_n").alias("n"), F.sum("_sum").alias("total"), percentile(value, 0.50).alias("p50"),
+        percentile(value, 0.95).alias("p95"), percentile(value, 0.99).alias("p99"))
 
 
 def audit_rollup(audit: DataFrame) -> DataFrame:
