@@ -183,3 +183,18 @@ def test_windows_have_exact_percentiles_of_the_kept_events(spark):
     got = A.windowed_event_agg(df).first()
     assert (got["totalEventCount"], got["dlqCount"], got["totalPayloadBytes"]) == (len(kept), len(data) - len(kept), 2 * len(kept))
     assert (got["p50LatencyMs"], got["p99LatencyMs"]) == (at_rank(kept, 50), at_rank(kept, 99))
+
+
+def test_the_daily_base_keeps_exact_percentiles_and_counts(spark):
+    rng = random.Random(7)
+    data = [(rng.choice("tu"), rng.choice(["PUBLIC", None]), rng.choice(["e", "f", None]), "1", "d", i % 24, 5, i, i % 7 == 0,
+             rng.choice([None, int(rng.lognormvariate(9, 1.5))])) for i in range(20_000)]
+    df = spark.createDataFrame(data, "tenantId string, classification string, eventType string, schemaVersion string, date string, hour int, "
+                                     "payloadSizeBytes bigint, createdAt bigint, anomalyDetected boolean, enrichmentLatencyMs bigint")
+    base = A.daily_base(df)
+    counts = base.where(~F.col("ofLatency"))
+    assert rows(A.latency_stats_of(base)) == rows(A.latency_stats(df))
+    assert rows(A.event_counts_of(counts)) == rows(A.event_counts(df))
+    assert rows(A.hourly_rate_of(counts)) == rows(A.hourly_rate(df))
+    values = [r[-1] for r in data if r[0] == "t" and r[-1] is not None]
+    assert A.latency_stats_of(base).where("tenantId = 't'").first()["p99LatencyMs"] == at_rank(values, 99)

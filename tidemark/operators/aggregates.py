@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from tidemark import schema as S
@@ -21,8 +21,8 @@ FIVE_MINUTES_MS = 300_000
 COUNT_KEYS = ["tenantId", "classification", "eventType", "schemaVersion", "date"]
 
 
-def _counted(df: DataFrame, keys: list[str], *more: Column) -> DataFrame:
-    return df.groupBy(*keys).agg(
+def _counted(groups: GroupedData, *more: Column) -> DataFrame:
+    return groups.agg(
         F.count(F.lit(1)).alias("eventCount"), F.sum("payloadSizeBytes").alias("totalPayloadBytes"),
         E.count_if(F.col("anomalyDetected")).alias("anomalyCount"),
         F.min("createdAt").alias("firstEventAt"), F.max("createdAt").alias("lastEventAt"), *more)
@@ -34,7 +34,7 @@ def _with_average(counts: DataFrame) -> DataFrame:
 
 def event_counts(df: DataFrame) -> DataFrame:
     """Counts, bytes, anomalies and the time span per tenant, class, type, version and day."""
-    return _with_average(_counted(df, COUNT_KEYS))
+    return _with_average(_counted(df.groupBy(*COUNT_KEYS)))
 
 
 def base_counts(df: DataFrame) -> DataFrame:
@@ -43,10 +43,27 @@ def base_counts(df: DataFrame) -> DataFrame:
     With a sketch of the latencies, whose merges give the percentiles of any wider group.
     """
     latency = "enrichmentLatencyMs"
-    return _counted(df, [*COUNT_KEYS, "hour"], F.count(F.lit(1)).alias("sampleCount"), F.max(latency).alias("maxLatencyMs"),
+    return _counted(df.groupBy(*COUNT_KEYS, "hour"), F.count(F.lit(1)).alias("sampleCount"), F.max(latency).alias("maxLatencyMs"),
                     RU.sketch(latency).alias("sketch"))
 
 
+def daily_base(df: DataFrame) -> DataFrame:
+    """What the daily outputs are sums of, from one pass: the finest counts, and each day's latencies by value.
+
+    Rows with ``ofLatency`` are the latter; both kinds are as many as there are groups, not events.
+    """
+    latency = "enrichmentLatencyMs"
+    finest = [*COUNT_KEYS, "hour"]
+    sets = df.groupingSets([finest, ["tenantId", "date", latency]], *finest, latency)
+    return _counted(sets, (F.grouping("hour") == 1).alias("ofLatency"))
+
+
+def latency_stats_of(base: DataFrame) -> DataFrame:
+    """``latency_stats`` from ``daily_base``."""
+    counts = base.where("ofLatency").select("tenantId", "date", "enrichmentLatencyMs", F.col("eventCount").alias("_n"))
+    return _latency_stats(counts, ("tenantId", "date"))
+
+
 def event_counts_of(base: DataFrame) -> DataFrame:
     """``event_counts`` from ``base_counts``."""
     return _with_average(base.groupBy(*COUNT_KEYS).agg(

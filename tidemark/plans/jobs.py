@@ -11,7 +11,6 @@ from tidemark.operators import aggregates as A
 from tidemark.operators import analytic as W
 from tidemark.operators import lifecycle as L
 from tidemark.operators import reconcile as R
-from tidemark.operators import rollups as RU
 from tidemark.operators import routing
 from tidemark.session import cut_lineage, job_folder
 from tidemark.sinks import files as K
@@ -29,15 +28,16 @@ def aggregation_job(spark: SparkSession, input_path: str, output_path: str, date
                     fmt: str = "parquet") -> None:
     """The four daily aggregates of the landed events; of every landed day when no date is given.
 
-    All are sums or merges of one base grouping, whose percentiles are sketches: the landing is read
-    once and no events are kept.
+    All are sums of one base, which holds the finest counts and how often each latency occurs on a day:
+    percentiles are exact, the landing is read once and no events are kept.
     """
     folder = f"date={date}" if date else None
     events = dated(SRC.read_json_events(spark, input_path, folder))
     with job_folder(spark, "aggregation"):
-        base = cut_lineage(A.base_counts(events), "base-counts")
-        outputs = {"event-counts": A.event_counts_of(base), "latency-stats": RU.latency_stats_of(base),
-                   "hourly-rate": A.hourly_rate_of(base), "top-event-types": W.top_event_types_of(base)}
+        base = cut_lineage(A.daily_base(events), "base-counts")
+        counts = base.where(~F.col("ofLatency"))
+        outputs = {"event-counts": A.event_counts_of(counts), "latency-stats": A.latency_stats_of(base),
+                   "hourly-rate": A.hourly_rate_of(counts), "top-event-types": W.top_event_types_of(counts)}
         for name, df in outputs.items():
             K.write_partitioned(df, f"{output_path}/{name}", ["date"], fmt)
 
