@@ -12,6 +12,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -260,54 +263,84 @@ def alert_changes(samples: DataFrame, rules: list[tuple] = M.ALERTS, lookback_ms
 
 # ---- alarms over fixed periods ---------------------------------------------------------------------
 
-ALARM_RULE = ["alarm", "statistic", "periodSeconds", "op", "threshold", "periods", "series"]
 ALARM_STATES = "alarm STRING, series STRING, periodStart BIGINT, value DOUBLE, breaching BOOLEAN, inAlarm BOOLEAN"
+FIGURES = "period BIGINT, total DOUBLE, n BIGINT, low DOUBLE, high DOUBLE"
+AT_ONCE = 1 << 18  # figures held before equal periods are put together
+
+
+def _per_period(parts: list[tuple]) -> tuple:
+    """Figures (period, total, n, low, high) as arrays, one row a period, in order."""
+    period, total, n, low, high = (np.concatenate(column) for column in zip(*parts))
+    order = np.argsort(period, kind="stable")
+    period = period[order]
+    starts = np.flatnonzero(np.diff(period, prepend=period[:1] - 1))
+    gathered = [(np.add, total), (np.add, n), (np.fmin, low), (np.maximum, high)]  # Spark's order: NaN is the largest
+    return (period[starts], *(f.reduceat(column[order], starts) for f, column in gathered))
 
 
 class _Alarm(Timed):
-    """Figures of the open periods, and the latest closed one with how many in a row have breached."""
+    """Figures of the open periods, and the latest closed one with how many in a row have breached.
+
+    The open periods are read and written once a call, not once a row.
+    """
+
+    def __init__(self, alarms: list[tuple]):
+        self.alarms = alarms
 
     def states(self, handle) -> None:
-        self.open = handle.getMapState("open", "period BIGINT", "total DOUBLE, n BIGINT, low DOUBLE, high DOUBLE")
+        self.open = handle.getListState("open", FIGURES)
         self.closed = handle.getValueState("closed", "period BIGINT, breached BIGINT")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        length = key[2] * 1000
-        for r in rows:
-            period, v = (r["ts"] // length,), r["value"]
-            total, n, low, high = self.open.getValue(period) if self.open.containsKey(period) else (0.0, 0, v, v)
-            self.open.updateValue(period, (total + v, n + 1, min(low, v), max(high, v)))
-        return self.advance(key, timerValues.getCurrentWatermarkInMs())
+    def stored(self) -> list[tuple]:
+        found = list(self.open.get())
+        return [tuple(np.array(c, t) for c, t in zip(zip(*found), ("i8", "f8", "i8", "f8", "f8")))] if found else []
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        length, parts = self.alarms[key[0]][3] * 1000, self.stored()
+        for batch in rows:
+            value = batch["value"].to_numpy("f8")
+            parts.append(_per_period([(batch["ts"].to_numpy("i8") // length, value, np.ones(len(value), "i8"), value, value)]))
+            if sum(len(p[0]) for p in parts[1:]) > AT_ONCE:
+                parts = [_per_period(parts)]
+        return self.advance(key, parts, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.due.clear()
-        return self.advance(key, timerValues.getCurrentWatermarkInMs())
+        return self.advance(key, self.stored(), timerValues.getCurrentWatermarkInMs())
 
-    def advance(self, key, now: int) -> Iterator[Row]:
-        alarm, statistic, seconds, op, threshold, periods, series = key
+    def advance(self, key, parts: list[tuple], now: int) -> Iterator[pd.DataFrame]:
+        rule, series = key
+        alarm, _, statistic, seconds, op, threshold, periods = self.alarms[rule]
         length = seconds * 1000
-        row = lambda period, value, breaching, on: Row(*(f.split()[0] for f in ALARM_STATES.split(", ")))(
-            alarm, series, period * length, value, breaching, on)
-        known = sorted(k[0] for k in self.open.keys())
+        figures = list(zip(*(column.tolist() for column in _per_period(parts)))) if parts else []
+        ready = sum((f[0] + 1) * length <= now for f in figures)
         last, breached = self.closed.get() if self.closed.exists() else (None, 0)
-        for period in [p for p in known if (p + 1) * length <= now]:
-            total, n, low, high = self.open.getValue((period,))
-            self.open.removeKey((period,))
+        out = []
+        for period, total, n, low, high in figures[:ready]:
             if last is not None and period > last + 1:
                 if breached >= periods:
-                    yield row(last + 1, None, False, False)
+                    out.append((last + 1, None, False, False))
                 breached = 0
             value = {"Sum": total, "Average": total / n, "Minimum": low}.get(statistic, high)
             breaching = value > threshold if op == ">" else value < threshold if op == "<" else value == threshold
             last, breached = period, breached + 1 if breaching else 0
-            yield row(period, value, breaching, breached >= periods)
+            out.append((period, value, breaching, breached >= periods))
         if breached >= periods and (last + 2) * length <= now:
-            yield row(last + 1, None, False, False)  # a period without data ends the alarm
+            out.append((last + 1, None, False, False))  # a period without data ends the alarm
             breached = 0
         if last is not None:
             self.closed.update((last, breached))
-        next_ = [(p + 1) * length for p in known if (p + 1) * length > now][:1]
+        left = figures[ready:]
+        if left:
+            self.open.put(left)
+        else:
+            self.open.clear()
+        next_ = [(left[0][0] + 1) * length] if left else []
         self.wake_at(min([*next_, *([(last + 2) * length] if breached >= periods else [])], default=None))
+        if out:
+            period, value, breaching, on = zip(*out)
+            yield pd.DataFrame({"alarm": alarm, "series": series, "periodStart": np.array(period, "i8") * length,
+                                "value": pd.array(pa.array(value, pa.float64()), dtype=pd.ArrowDtype(pa.float64())), "breaching": breaching, "inAlarm": on})
 
 
 def alarm_states(samples: DataFrame, alarms: list[tuple] = M.ALARMS, delay: str = "0 seconds") -> DataFrame:
@@ -315,11 +348,11 @@ def alarm_states(samples: DataFrame, alarms: list[tuple] = M.ALARMS, delay: str
 
     Samples without a series, a time or a value are left out.
     """
-    names = ["alarm", "metric", "statistic", "periodSeconds", "op", "threshold", "periods"]
     whole = samples.where(F.col("series").isNotNull() & F.col("ts").isNotNull() & F.col("value").isNotNull())
-    timed = M.with_rules(whole, alarms, names).select(*ALARM_RULE, "ts", "value", E.ts("ts").alias("_at")).withWatermark("_at", delay)
-    return timed.groupBy(*ALARM_RULE).transformWithState(
-        statefulProcessor=_Alarm(), outputStructType=ALARM_STATES, outputMode="append", timeMode="eventTime")
+    ruled = M.with_rules(whole, [(i, a[1]) for i, a in enumerate(alarms)], ["rule", "metric"])
+    timed = ruled.select("rule", "series", "ts", F.col("value").cast("double").alias("value"), E.ts("ts").alias("_at")).withWatermark("_at", delay)
+    return timed.groupBy("rule", "series").transformWithStateInPandas(
+        statefulProcessor=_Alarm(alarms), outputStructType=ALARM_STATES, outputMode="append", timeMode="eventTime")
 
 
 # ---- late rows -------------------------------------------------------------------------------------
