@@ -8,6 +8,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tidemark.operators import dedup as D
 from tidemark.operators import metrics as M
 from tidemark.operators import traces as TR
@@ -155,6 +156,14 @@ def test_only_silence_ends_an_alert(spark):
         ("FIRING", 61_000), ("PENDING", 1_000), ("RESOLVED", 101_000)]
 
 
+def test_the_last_trace_is_decided_when_the_table_begins_with_a_quiet_span(spark, sf, tmp_path):
+    """All 24 spans are of sampled traces; the first one has a route that is left out."""
+    spark.read.parquet(f"{sf}/events.parquet").where("event_id < 24").orderBy("event_id").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    queries = entry.queries()
+    want = rows(queries["tail_sample"](spark, str(tmp_path)))
+    assert rows(queries["tail_sample_stream"](spark, str(tmp_path))) == want and max(r[0] for r in want) == 5
+
+
 def test_alarm_states_equal_the_batch_and_silence_ends_them(spark):
     rng = random.Random(8)
     alarms = [("cpu", "m", "Average", 60, ">", 8.0, 2), ("space", "m", "Minimum", 300, "<", 4.0, 1), ("errors", "n", "Sum", 60, ">", 15.0, 1),

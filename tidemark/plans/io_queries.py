@@ -380,7 +380,8 @@ def tail_sample_stream(spark, sf):
     """Traces decided by timers half a minute after their first span."""
     spans = T.spans(spark, sf)
     last = spans.limit(1).select(F.lit(-1).cast("bigint").alias("traceId"), F.lit("last").alias("spanId"), F.lit("OK").alias("statusCode"),
-                                 F.lit(FAR_MS).alias("startMs"), F.lit(FAR_MS).alias("endMs"), "attributes")
+                                 F.lit(FAR_MS).alias("startMs"), F.lit(FAR_MS).alias("endMs"),
+                                 F.create_map().cast("map<string,string>").alias("attributes"))
     kept = closed(spark, "tail-sample", spans, last, lambda s: KS.tail_sample(s, F.col("traceId") % 100))
     return kept.where("traceId >= 0").select("traceId", "spanId", "statusCode")
 
@@ -407,7 +408,8 @@ def alert_changes_stream(spark, sf):
 def alarm_states_stream(spark, sf):
     """Alarms over fixed periods that timers close."""
     samples = MQ.alarm_samples(spark, sf)
-    last = samples.limit(1).select(F.lit("sync.errors").alias("metric"), F.lit("last").alias("series"), F.lit(FAR_MS).alias("ts"), "value")
+    last = samples.limit(1).select(F.lit("sync.errors").alias("metric"), F.lit("last").alias("series"), F.lit(FAR_MS).alias("ts"),
+                                   F.lit(0.0).alias("value"))
     out = closed(spark, "alarms", samples, last, KS.alarm_states)
     return out.where("series <> 'last'").withColumn("value", F.round("value", 6))
 
