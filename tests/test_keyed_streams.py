@@ -251,3 +251,36 @@ def test_change_feed_out_of_order_and_replayed_gives_the_table(spark):
     want = cdc.current_state(spark.createDataFrame(made, CHANGES))
     assert rows(got) == rows(want) and want.count() < 8
     assert feed.out().count() < len(fed) and max(feed.state_rows()) <= 2 * 9
+
+
+def test_waiting_samples_are_held_a_slice_at_a_time(spark):
+    """Whatever waits, a call holds one part of the input or one slice of time; the changes are those of one walk."""
+    class Many(dict):
+        updateValue, getValue, removeKey = dict.__setitem__, dict.__getitem__, dict.__delitem__
+
+    class One(list):
+        exists, get, update, clear, put = lambda self: bool(self), lambda self: self[0], lambda self, v: self.__setitem__(slice(None), [v]), list.clear, None
+
+    class Index(list):
+        get, put = lambda self: iter(list(self)), lambda self, rows: self.__setitem__(slice(None), rows)
+
+    def run(slice_ms, at_once):
+        alert = KS._Alert(2_000, slice_ms, at_once)
+        alert.slices, alert.waiting, alert.breach, alert.wake_at, sizes = Index(), Many(), One(), lambda at: None, []
+        taken = alert.take
+        alert.take = lambda *a: (lambda rows: sizes.append(len(rows)) or rows)(taken(*a))
+        out = []
+        for now, rows_ in ((0, made[:4_000]), (1_500_000, made[4_000:]), (3_000_000, made[:0])):
+            frames = [pd.DataFrame(rows_[i:i + 100], columns=["ts", "seq", "value", "known", "breach"]) for i in range(0, len(rows_), 100)]
+            at = type("Now", (), {"getCurrentWatermarkInMs": lambda self, now=now: now})()
+            out += [tuple(r) for f in alert.handleInputRows(("a", "page", 3, "s"), iter(frames), at) for r in f.assign(value=[None if v is pd.NA else v for v in f["value"]]).astype(str).itertuples(index=False)]
+        assert not alert.waiting and not alert.slices
+        return out, max(sizes)
+
+    rng = random.Random(10)
+    made = [(rng.randrange(1_000_000), i, float(i), True, rng.random() < 0.9) for i in range(4_000)]
+    made += [(rng.randrange(1_500_001, 2_500_000), 4_000 + i, float(i), True, rng.random() < 0.9) for i in range(4_000)]
+    whole, most = run(10_000_000, 1 << 20)
+    small, few = run(20_000, 300)
+    assert small == whole and {r[3] for r in whole} == {"PENDING", "FIRING", "RESOLVED"}
+    assert most == 8_000 and few < 200

@@ -27,6 +27,8 @@ from tidemark.operators import traces as TR
 WAIT_MS = 30_000
 REMEMBER_MS = 600_000
 LOOKBACK_MS = 300_000
+WAITING_MS = 3_600_000  # time in one slice of what waits
+AT_ONCE = 1 << 16  # rows of a key that a call holds
 
 
 def _watched(df: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -34,6 +36,12 @@ def _watched(df: DataFrame, ts: str, delay: str) -> DataFrame:
     return df.withColumn("_at", E.ts(ts)).withWatermark("_at", delay).select(*df.columns)
 
 
+def _doubles(values) -> pd.Series:
+    """A column of a frame in which null and NaN stay what they are."""
+    kind = pa.float64()
+    return pd.Series(pa.array(values, kind), dtype=pd.ArrowDtype(kind))
+
+
 class Timed(StatefulProcessor):
     """One pending timer per key, remembered beside the state."""
 
@@ -180,73 +188,124 @@ CHANGES = "alert STRING, severity STRING, series STRING, state STRING, at BIGINT
 class _Alert(Timed):
     """A condition over time: samples are taken in order once the watermark has passed them.
 
-    ``since`` is the start of the breach, ``last`` and ``value`` the latest sample, ``fired`` whether the
-    alert is on.  Between samples only two things can happen: the alert has held long enough, or the
-    latest sample has grown too old to stand for the present.
+    Samples wait in slices of time, which are written in parts as rows come and read one after the other: a
+    call holds one part or one slice, however many samples wait.  ``since`` is the start of the breach,
+    ``last`` and ``value`` the latest sample, ``fired`` whether the alert is on.  Between samples only two
+    things can happen: the alert has held long enough, or the latest sample has grown too old to stand for
+    the present.
     """
 
-    def __init__(self, lookback_ms: int):
-        self.lookback = lookback_ms
+    def __init__(self, lookback_ms: int, slice_ms: int = WAITING_MS, at_once: int = AT_ONCE):
+        self.lookback, self.slice, self.at_once = lookback_ms, slice_ms, at_once
 
     def states(self, handle) -> None:
-        self.waiting = handle.getListState("waiting", "ts BIGINT, seq BIGINT, value DOUBLE, breach BOOLEAN")
+        self.slices = handle.getListState("slices", "slice BIGINT, parts BIGINT, first BIGINT")
+        self.waiting = handle.getMapState("waiting", "slice BIGINT, part BIGINT",
+                                          "ts ARRAY<BIGINT>, seq ARRAY<BIGINT>, value ARRAY<DOUBLE>, breach ARRAY<BOOLEAN>")
         self.breach = handle.getValueState("breach", "since BIGINT, last BIGINT, value DOUBLE, fired BOOLEAN")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        self.waiting.appendList([(r["ts"], r["seq"], r["value"], r["breach"]) for r in rows])
-        return self.advance(key, timerValues.getCurrentWatermarkInMs())
+    def put(self, slices: dict, at: int, samples: list[tuple]) -> None:
+        """One more part of a slice."""
+        parts, first = slices.get(at, (0, samples[0][0]))
+        self.waiting.updateValue((at, parts), tuple(list(column) for column in zip(*samples)))
+        slices[at] = (parts + 1, min(first, min(s[0] for s in samples)))
+
+    def take(self, slices: dict, at: int) -> list[tuple]:
+        """A slice's samples in order; they wait no longer."""
+        samples = []
+        for part in range(slices.pop(at)[0]):
+            samples += zip(*self.waiting.getValue((at, part)))
+            self.waiting.removeKey((at, part))
+        return sorted(samples, key=lambda s: s[:2])
+
+    def put_all(self, slices: dict, frames: list[pd.DataFrame]) -> None:
+        whole = pd.concat(frames)
+        for at, own in whole.groupby(whole["ts"] // self.slice):
+            value = [v if known else None for v, known in zip(own["value"].tolist(), own["known"].tolist())]
+            self.put(slices, int(at), list(zip(own["ts"].tolist(), own["seq"].tolist(), value, own["breach"].tolist())))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        slices, frames, held = self.known_slices(), [], 0
+        for batch in rows:
+            frames.append(batch[["ts", "seq", "value", "known", "breach"]])
+            held += len(batch)
+            if held >= self.at_once:
+                self.put_all(slices, frames)
+                frames, held = [], 0
+        if held:
+            self.put_all(slices, frames)
+        return self.advance(key, slices, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.due.clear()
-        return self.advance(key, timerValues.getCurrentWatermarkInMs())
+        return self.advance(key, self.known_slices(), timerValues.getCurrentWatermarkInMs())
+
+    def known_slices(self) -> dict[int, tuple[int, int]]:
+        return {at: (parts, first) for at, parts, first in self.slices.get()}
 
-    def advance(self, key, now: int) -> Iterator[Row]:
+    def advance(self, key, slices: dict, now: int) -> Iterator[pd.DataFrame]:
         alert, severity, held, series = key
-        wait = held * 1000
-        change = lambda state, at, value: Row("alert", "severity", "series", "state", "at", "value")(
-            alert, severity, series, state, at, value)
-        samples = sorted(self.waiting.get())
-        ready = [s for s in samples if s[0] <= now]
-        state = self.breach.get() if self.breach.exists() else None
-        for ts, _, value, breaching in [*ready, (None, None, None, None)]:
-            upto = now if ts is None else ts
+        wait, state, out = held * 1000, self.breach.get() if self.breach.exists() else None, []
+
+        def pass_time(state, upto, end):
+            """What happens by itself until ``upto``, at ``end`` inclusive."""
             if state:
                 since, last, seen, fired = state
                 silent = last + self.lookback
                 if not fired and since + wait < min(upto, silent):
-                    yield change("FIRING", since + wait, None)
+                    out.append(("FIRING", since + wait, None))
+                    fired = True
                     state = (since, last, seen, True)
-                if silent < upto or (ts is None and silent <= upto):
-                    if state[3]:
-                        yield change("RESOLVED", silent, None)
+                if silent < upto or (end and silent <= upto):
+                    if fired:
+                        out.append(("RESOLVED", silent, None))
                     state = None
-            if ts is None:
+            return state
+
+        for at in sorted(slices):
+            if slices[at][1] > now:
                 break
-            if breaching and state:
-                state = (state[0], ts, value, state[3])
-            elif breaching:
-                yield change("PENDING", ts, value)
-                if not wait:
-                    yield change("FIRING", ts, None)
-                state = (ts, ts, value, not wait)
-            elif state:
-                if state[3]:
-                    yield change("RESOLVED", ts, value)
-                state = None
-        if ready:
-            self.waiting.clear()
-            if len(ready) < len(samples):
-                self.waiting.appendList(samples[len(ready):])
+            samples = self.take(slices, at)
+            ready = sum(s[0] <= now for s in samples)
+            for ts, _, value, breaching in samples[:ready]:
+                state = pass_time(state, ts, False)
+                if breaching and state:
+                    state = (state[0], ts, value, state[3])
+                elif breaching:
+                    out.append(("PENDING", ts, value))
+                    if not wait:
+                        out.append(("FIRING", ts, None))
+                    state = (ts, ts, value, not wait)
+                elif state:
+                    if state[3]:
+                        out.append(("RESOLVED", ts, value))
+                    state = None
+            if ready < len(samples):
+                self.put(slices, at, samples[ready:])
+            if len(out) >= self.at_once:
+                yield self.shown(key, out)
+                out.clear()
+        state = pass_time(state, now, True)
+        if slices:
+            self.slices.put([(at, *known) for at, known in slices.items()])
+        else:
+            self.slices.clear()
         if state:
             self.breach.update(state)
         elif self.breach.exists():
             self.breach.clear()
-        next_ = [samples[len(ready)][0]] if len(ready) < len(samples) else []
+        next_ = [min(first for _, first in slices.values())] if slices else []
         if state:
             next_.append(state[1] + self.lookback)
             # The timer fires at its time; the condition must outlive it, so it is looked at one later.
             next_ += [] if state[3] else [state[0] + wait + 1]
         self.wake_at(min(next_) if next_ else None)
+        if out:
+            yield self.shown(key, out)
+
+    def shown(self, key, changes: list[tuple]) -> pd.DataFrame:
+        state, at, value = zip(*changes)
+        return pd.DataFrame({"alert": key[0], "severity": key[1], "series": key[3], "state": state, "at": at, "value": _doubles(value)})
 
 
 def alert_changes(samples: DataFrame, rules: list[tuple] = M.ALERTS, lookback_ms: int = LOOKBACK_MS, delay: str = "0 seconds") -> DataFrame:
@@ -255,9 +314,10 @@ def alert_changes(samples: DataFrame, rules: list[tuple] = M.ALERTS, lookback_ms
     Samples may come in any order within ``delay``; those behind the watermark are dropped by the query.
     """
     named = M.breaching(samples, rules)
-    timed = named.select("alert", "severity", "heldSeconds", "series", "ts", F.col("seq").cast("bigint").alias("seq"), "value", "breach",
-                         E.ts("ts").alias("_at")).withWatermark("_at", delay)
-    return timed.groupBy("alert", "severity", "heldSeconds", "series").transformWithState(
+    seq = F.coalesce(F.col("seq").cast("bigint"), F.lit(-1 << 63))  # a frame has no null numbers
+    timed = named.select("alert", "severity", "heldSeconds", "series", "ts", seq.alias("seq"), F.col("value").cast("double").alias("value"),
+                         F.col("value").isNotNull().alias("known"), "breach", E.ts("ts").alias("_at")).withWatermark("_at", delay)
+    return timed.groupBy("alert", "severity", "heldSeconds", "series").transformWithStateInPandas(
         statefulProcessor=_Alert(lookback_ms), outputStructType=CHANGES, outputMode="append", timeMode="eventTime")
 
 
@@ -265,7 +325,6 @@ def alert_changes(samples: DataFrame, rules: list[tuple] = M.ALERTS, lookback_ms
 
 ALARM_STATES = "alarm STRING, series STRING, periodStart BIGINT, value DOUBLE, breaching BOOLEAN, inAlarm BOOLEAN"
 FIGURES = "period BIGINT, total DOUBLE, n BIGINT, low DOUBLE, high DOUBLE"
-AT_ONCE = 1 << 18  # figures held before equal periods are put together
 
 
 def _per_period(parts: list[tuple]) -> tuple:
@@ -340,7 +399,7 @@ class _Alarm(Timed):
         if out:
             period, value, breaching, on = zip(*out)
             yield pd.DataFrame({"alarm": alarm, "series": series, "periodStart": np.array(period, "i8") * length,
-                                "value": pd.array(pa.array(value, pa.float64()), dtype=pd.ArrowDtype(pa.float64())), "breaching": breaching, "inAlarm": on})
+                                "value": _doubles(value), "breaching": breaching, "inAlarm": on})
 
 
 def alarm_states(samples: DataFrame, alarms: list[tuple] = M.ALARMS, delay: str = "0 seconds") -> DataFrame:
