@@ -291,3 +291,15 @@ def test_connector_options():
 
 def test_shared_folder_is_the_cluster_setting(spark):
     assert shared_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_a_large_folder_is_sorted_by_several_tasks(spark, tmp_path):
+    """40 MB of one folder: below Spark's own size for a task, above the sink's."""
+    key, path = "spark.sql.adaptive.advisoryPartitionSizeInBytes", f"{tmp_path}/out"
+    before = spark.conf.get(key)
+    big = spark.range(0, 300_000, numPartitions=6).select("id", F.concat(*[F.sha2(F.concat(F.col("id").cast("string"), F.lit(c)), 256) for c in "ab"])
+                                                           .alias("text"), F.lit("2024-01-15").alias("date"))
+    K.write_partitioned(big, path, ["date"])
+    assert spark.read.parquet(path).select(F.input_file_name()).distinct().count() >= 2
+    assert spark.read.parquet(path).agg(F.count("id"), F.sum("id")).first()[:] == (300_000, 299_999 * 150_000)
+    assert spark.conf.get(key) == before
