@@ -303,3 +303,21 @@ def test_a_large_folder_is_sorted_by_several_tasks(spark, tmp_path):
     assert spark.read.parquet(path).select(F.input_file_name()).distinct().count() >= 2
     assert spark.read.parquet(path).agg(F.count("id"), F.sum("id")).first()[:] == (300_000, 299_999 * 150_000)
     assert spark.conf.get(key) == before
+
+
+def test_an_upsert_keeps_one_change_a_key(spark, sf, tmp_path, monkeypatch):
+    path, kept = f"{tmp_path}/store", []
+    store = T.sync_copy(spark, sf, "aws").limit(200).localCheckpoint()
+    changes = store.withColumn("syncStatus", F.lit("OLD")).unionByName(
+        store.withColumns({"syncStatus": F.lit("NEW"), "wallClockTs": F.col("wallClockTs") + 1}))
+    K.write_store(store, path, 2)
+
+    def cut(df, name, plain=K.cut_lineage):
+        done = plain(df, name)
+        kept.append(done.count())
+        return done
+
+    monkeypatch.setattr(K, "cut_lineage", cut)
+    K.upsert_store(changes, path)
+    assert kept == [200]
+    assert rows(K.read_store(spark, path).select("id", "syncStatus")) == rows(store.select("id", F.lit("NEW").alias("syncStatus")))

@@ -257,16 +257,26 @@ def _apply_list(rows: DataFrame, names: list[str], config: dict[str, str], prima
                          F.col("_f.parked").alias("parked"))
 
 
+def last_changes(changes: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """The last of several changes of one key."""
+    row = F.struct(*[F.col(c) for c in changes.columns])
+    return changes.groupBy(*keys).agg(F.max_by(row, F.struct("wallClockTs", "id")).alias("_row")).select("_row.*")
+
+
+def replace_by_key(existing: DataFrame, last: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """The store with the records of ``last``, one a key, in place of its own.
+
+    When ``last`` is small, AQE broadcasts its keys and the store is not shuffled at all.
+    """
+    return existing.join(last.select(*keys), keys, "left_anti").select(*existing.columns).unionByName(last)
+
+
 def upsert_latest(existing: DataFrame, changes: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """The store after an upsert: changed keys replaced, the rest kept.
 
-    Several changes of one key are reduced to the last first.  When what remains is small, AQE
-    broadcasts its keys and the store is not shuffled at all.
+    Several changes of one key are reduced to the last first.
     """
-    row = F.struct(*[F.col(c) for c in existing.columns])
-    last = (changes.select(*existing.columns).groupBy(*keys)
-            .agg(F.max_by(row, F.struct("wallClockTs", "id")).alias("_row")).select("_row.*"))
-    return existing.join(last.select(*keys), keys, "left_anti").select(*existing.columns).unionByName(last)
+    return replace_by_key(existing, last_changes(changes.select(*existing.columns), keys), keys)
 
 
 # ---- many versions of one aggregate --------------------------------------------------------------

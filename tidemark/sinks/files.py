@@ -203,10 +203,12 @@ def upsert_store(changes: DataFrame, path: str, run: str | None = None) -> None:
     with job_folder(spark, "upsert"):
         n = _newest(spark, path)
         current = _pointer(spark, path, n).select("tenantId", "bucket", "version")
-        changes = cut_lineage(with_bucket(changes.select(*schema.names), buckets), "changes")
-        touched = changes.select("tenantId", "bucket").distinct()
+        keys = ["tenantId", "bucket", "aggregateId"]
+        # Reduced before they are kept: the merge reads them twice, and what decided them often has them by key.
+        last = cut_lineage(R.last_changes(with_bucket(changes.select(*schema.names), buckets), keys), "changes")
+        touched = last.select("tenantId", "bucket").distinct()
         store = _parts(spark, path, current.join(touched, ["tenantId", "bucket"], "left_semi"), schema).drop("version")
-        merged = R.upsert_latest(store, changes, ["tenantId", "bucket", "aggregateId"])
+        merged = R.replace_by_key(store, last, keys)
         write_partitioned(merged, f"{path}/data/version={n + 1}", ["tenantId", "bucket"])
         kept = current.join(touched, ["tenantId", "bucket"], "left_anti")
         _point(spark, path, kept.unionByName(touched.withColumn("version", F.lit(n + 1))), n + 1, run)
