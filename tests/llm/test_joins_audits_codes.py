@@ -11,6 +11,7 @@ from itertools import permutations
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import filter_audit, jaccard_join, vector_codes
 
@@ -77,6 +78,88 @@ def test_join_of_a_chain_and_of_components_that_share_lists(spark):
     assert joined(df) == brute_components(rows)
 
 
+def near_misses(rng, count, base, changes):
+    """Texts that each change a few other words of a base, and so are not similar enough by twos."""
+    rows = []
+    for i in range(count):
+        own = [f"{base}w{j}" for j in range(200)]
+        for j in rng.sample(range(200), changes):
+            own[j] = f"{base}n{i}x{j}"
+        rows.append(" ".join(own))
+    return rows
+
+
+def counted(monkeypatch, df, names):
+    """The components, and the rows of the intermediate results of these names."""
+    made, plain = Counter(), jaccard_join.cut_lineage
+
+    def watched(df, name):
+        kept = plain(df, name)
+        if name in names:
+            made[name] += kept.count()
+        return kept
+
+    with monkeypatch.context() as patch:
+        patch.setattr(jaccard_join, "cut_lineage", watched)
+        return joined(df), made
+
+
+@pytest.mark.parametrize("with_base", [False, True])
+def test_join_of_texts_around_one_base_makes_few_pairs(spark, monkeypatch, with_base):
+    texts = near_misses(random.Random(1), 80, "", 2) + [" ".join(f"w{j}" for j in range(200))] * with_base
+    texts += near_misses(random.Random(2), 40, "", 5) * with_base
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    found, made = counted(monkeypatch, df, {"candidates", "family-pairs"})
+    assert found == brute_components(rows)
+    assert sum(made.values()) < 4 * len(rows)  # by twos they are 3160 and more
+
+
+def test_lists_of_texts_too_different_in_size_are_left_out(spark, monkeypatch):
+    """Short runs that every other text has too, of sizes that cannot be similar."""
+    rows = [(i, " ".join(f"w{j}" for j in range(10, 10 + 12 * 2 ** i))) for i in range(6)] + [(9, " ".join(f"w{j}" for j in range(10, 21)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found, made = counted(monkeypatch, df, {"live"})
+    assert found == brute_components(rows)
+    m = jaccard_join.Measure()
+    least = {n: n - m.long(n) for n in (10, 9)}
+    assert 0 < made["live"] <= sum(least.values())  # only the two texts of 9 and 10 runs can be similar
+
+
+@pytest.mark.parametrize("percent", [50, 90, 100])
+def test_join_in_families_equals_brute_force(spark, percent):
+    """All differences from a pivot, for random texts around bases that differ little from each other."""
+    rng = random.Random(percent)
+    rows = []
+    for base in range(4):
+        words = [f"w{i if rng.random() < 0.9 else (base, i)}" for i in range(rng.choice([30, 60, 90]))]
+        for _ in range(25):
+            own = [w if rng.random() > 0.01 * rng.choice([0, 1, 3, 9]) else rng.choice(["x", f"n{rng.random()}"]) for w in words]
+            rows.append((len(rows), " ".join(own[:len(own) - rng.choice([0, 0, 1, 4])])))
+    sets = [run_set(r[1]) for r in rows]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: r["component"] for r in jaccard_join.join(df, percent=percent, segment=16).collect()}
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    assert got == dict(enumerate(label))
+
+
+def test_least_shared_numbers_are_least(spark):
+    m = jaccard_join.Measure()
+    df = spark.range(1, 300).select("id", m.least_needed(F.col("id")).alias("q"), m.size_class(F.col("id"), 2).alias("c")).collect()
+    classes = {r["id"]: r["c"] for r in df}
+    for r in df:
+        n = r["id"]
+        fits = [k for k in range(1, 300) if 100 * min(n, k) >= 90 * max(n, k)]
+        assert all(m.needed(n, k) >= r["q"] for k in fits)
+        assert all(abs(classes[n] - classes[k]) <= 2 for k in fits)
+
+
 def test_merge_skip_equals_counting():
     rng = random.Random(5)
     for _ in range(300):

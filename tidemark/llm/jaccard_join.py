@@ -8,11 +8,17 @@ the number of lists asked for; the long lists are not merged at all: a candidate
 As both texts of a pair keep their rarest runs in one common order, a pair that is similar meets in the short lists as
 often as its sizes ask, whatever the order is, so no link is lost.
 
-Spark holds the lists by run.  The order comes from a table of run counts over all texts that has a fixed size.  First
-every member of a list is compared with the list's most central text of its size only; texts linked by then are one
-component.  Lists whose members are all of one component are done.  In the rest, texts look for partners of other
-components only, the smaller component's texts in the larger one's lists, which come in segments of a bounded number of
-texts: a hot list is many rows, and a group of linked copies is never paired with itself.
+Spark holds the lists by run.  The order comes from a table of run counts over all texts that has a fixed size.  A text
+stays in a list only if a text of a size that can reach the similarity is there too.  First every member of a list is
+compared with the list's most central text of its size only, its pivot; texts linked by then are one component.
+
+Texts that have a pivot in common look for each other by their differences from it: if a text is not linked with the pivot,
+a similar text shares more than half of its own difference, and differences are mostly rare runs.  So a family of texts
+around one pivot that are nearly similar meets in few short lists, where its common runs would pair all its members.
+
+Lists whose members are all of one component, or all have one pivot, are done.  In the rest, texts look for partners of
+other components only, the smaller component's texts in the larger one's lists, which come in segments of a bounded number
+of texts: a hot list is many rows, and a group of linked copies is never paired with itself.
 
 Texts with equal sets are one vertex.  Null is empty; a text without words has the empty set and links with nothing.
 Rows of one id share a component only where they are linked.  An empty table gives an empty result.
@@ -24,6 +30,7 @@ import hashlib
 import math
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -39,6 +46,7 @@ SHINGLE, PERCENT, EXTRA = 3, 90, 2
 CELL_BITS, BLOCK_BITS = 22, 14  # the table of run counts has 2**22 cells in blocks of 2**14, whatever the corpus
 SEGMENT = 256   # texts of a list segment, about
 SET_BYTES = 1 << 19  # bytes of text that a worker turns into sets at once
+PIVOTS = 4      # pivots of a text that the search over the lists knows of
 MARK_BITS = 23  # bits of the bitmap that marks texts of candidate pairs
 ROW_BITS = 14
 LOWER = np.arange(256, dtype=np.uint8)
@@ -154,6 +162,28 @@ class Measure:
         long = F.greatest(F.ceil(self.percent * F.greatest(n, m) / F.lit(100.0) - 1e-9) - self.extra, F.lit(0))
         return F.greatest(overlap - long, F.lit(1))
 
+    def least_needed(self, n: Column) -> Column:
+        """``needed`` of a text and any partner is at least that."""
+        return F.least(F.lit(self.extra), F.ceil(self.percent * n / F.lit(100.0) - 1e-9))
+
+    def size_class(self, n: Column, parts: int = 1) -> Column:
+        """Sizes that can be similar are at most ``parts`` classes apart."""
+        step = math.log(100 / self.percent) * (1 + 1e-9) if self.percent < 100 else 1.0
+        return F.floor(F.log(n) * parts / step)
+
+    # Differences: texts of ``n`` and ``m`` runs, of which ``x`` are in one of them only.
+    def apart(self, x: Column, n: Column, m: Column) -> Column:
+        """Too many differences for a link."""
+        return (100 + self.percent) * x > (100 - self.percent) * (n + m)
+
+    def weight(self, x: Column, n: Column) -> Column:
+        """What the ``x`` differences of a text from its pivot add to those that it has to share with a similar one."""
+        return (100 + self.percent) * x - (100 - self.percent) * n
+
+    def shared(self, v: Column, w: Column) -> Column:
+        """Differences from one pivot that similar texts of these weights and of different components share at least."""
+        return F.greatest(F.ceil((v + w) / F.lit(2.0 * (100 + self.percent)) - 1e-9), F.lit(1))
+
 
 def short_lists(held: DataFrame, classes: np.ndarray, measure: Measure) -> DataFrame:
     """``row, n, run`` for the rarest runs of every text."""
@@ -233,6 +263,12 @@ def _sets_of(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return held.select("row", place("row").alias("at"), "runs").mapInArrow(run, "row bigint, runs binary")
 
 
+def _with_sets(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    own = cut_lineage(_sets_of(pairs, held), "pair-sets")
+    side = lambda x, runs: own.select(F.col("row").alias(x), F.col("runs").alias(runs))
+    return pairs.select("a", "b").join(side("a", "xs"), "a").join(side("b", "ys"), "b")
+
+
 def linked(pairs: DataFrame, held: DataFrame, measure: Measure) -> DataFrame:
     """The pairs ``(a, b)`` that reach the overlap."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,23 +279,52 @@ def linked(pairs: DataFrame, held: DataFrame, measure: Measure) -> DataFrame:
                 keep.append(measure.linked(len(s), len(t), probe(s, t)))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    own = cut_lineage(_sets_of(pairs, held), "pair-sets")
-    side = lambda x, runs: own.select(F.col("row").alias(x), F.col("runs").alias(runs))
-    return pairs.select("a", "b").join(side("a", "xs"), "a").join(side("b", "ys"), "b").mapInArrow(run, "a bigint, b bigint")
+    return _with_sets(pairs, held).mapInArrow(run, "a bigint, b bigint")
 
 
-def _shared(postings: DataFrame) -> DataFrame:
-    """Lists of several texts: run, row, n and the list's length."""
-    several = postings.groupBy("run").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    return postings.join(cut_lineage(several, "lists"), "run")
+def compared(pairs: DataFrame, held: DataFrame, measure: Measure) -> DataFrame:
+    """The pairs ``(a, b)`` of texts and pivots with their sizes, whether they are linked, and ``a``'s difference from ``b``.
+
+    The difference is null where the two have too little in common for it to be short.
+    """
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, links, deltas = [], [], []
+            for x, y in zip(*(batch.column(c).to_pylist() for c in ("xs", "ys"))):
+                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                delta = np.setxor1d(s, t, assume_unique=True)
+                sizes.append((len(s), len(t)))
+                links.append(measure.linked(len(s), len(t), (len(s) + len(t) - len(delta)) // 2))
+                deltas.append(delta.astype(np.int64) if 2 * len(delta) <= len(s) + len(t) else None)
+            an, bn = zip(*sizes) if sizes else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(an, pa.int64()), pa.array(bn, pa.int64()), pa.array(links, pa.bool_()),
+                 pa.array(deltas, pa.list_(pa.int64()))], names=["a", "b", "an", "bn", "linked", "delta"])
+
+    return _with_sets(pairs, held).mapInArrow(run, "a bigint, b bigint, an bigint, bn bigint, linked boolean, delta array<bigint>")
+
+
+def _shared(postings: DataFrame, measure: Measure) -> DataFrame:
+    """Lists of several texts that can be similar by their sizes: run, row, n and the list's length.
+
+    A list has a bit for each class of sizes, modulo 64; with more texts than bits a class may hold two of them.
+    """
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(c, F.lit(64)).cast("int"))
+    turned = lambda bits, by: F.shiftleft(bits, by).bitwiseOR(F.shiftrightunsigned(bits, 64 - by))
+    place = measure.size_class(F.col("n"), 2)
+    lists = postings.groupBy("run").agg(F.count(F.lit(1)).alias("times"), F.bit_or(bit(place)).alias("bits"))
+    bits, twice = F.col("bits"), F.col("times") > F.bit_count("bits")
+    several = lists.where(twice | (bits.bitwiseAND(turned(bits, 1).bitwiseOR(turned(bits, 2))) != 0))
+    beside = reduce(Column.bitwiseOR, [bit(place + j) for j in (-2, -1, 1, 2)])
+    return postings.join(cut_lineage(several, "lists"), "run").where(twice | (bits.bitwiseAND(beside) != 0)).drop("bits")
 
 
 def _star(shared: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame]:
     """The lists with each text's number of shared lists, and the pairs of texts with the central text of a list and size class."""
-    central = shared.groupBy("row").agg(F.count(F.lit(1)).alias("q"), F.sum("times").alias("met")).where(F.col("q") >= 1)
+    central = shared.groupBy("row", "n").agg(F.count(F.lit(1)).alias("q"), F.sum("times").alias("met")).where(
+        F.col("q") >= measure.least_needed(F.col("n"))).drop("n")
     live = shared.join(cut_lineage(central, "central"), "row")
-    step = math.log(100 / measure.percent) if measure.percent < 100 else 1.0
-    live = cut_lineage(live.select("run", "row", "n", "q", "met", F.floor(F.log(F.col("n")) / step).alias("class")), "live")
+    live = cut_lineage(live.select("run", "row", "n", "q", "met", measure.size_class(F.col("n")).alias("class")), "live")
     lead = live.groupBy("run", "class").agg(F.max(F.struct("met", "row", "n", "q")).alias("top"))
     lead = cut_lineage(lead.select("run", "class", F.col("top.row").alias("lead"), F.col("top.n").alias("lead_n"), F.col("top.q").alias("lead_q")), "leads")
     near = live.join(lead, ["run", "class"]).where(
@@ -267,26 +332,82 @@ def _star(shared: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame]:
         & (F.least("q", "lead_q") >= measure.needed_column(F.col("n"), F.col("lead_n"))))
     pairs = cut_lineage(near.select(F.col("row").alias("a"), F.col("lead").alias("b")).distinct(), "star-pairs")
     # Of these pairs the short lists that both are in are counted, as the search does for its candidates.
+    # Half of them is no link, but enough for a pivot.
     mine = live.select("run", F.col("row").alias("a"), F.col("n").alias("an"))
     theirs = live.select("run", F.col("row").alias("b"), F.col("n").alias("bn"))
     met = pairs.join(mine, "a").join(theirs, ["b", "run"]).groupBy("a", "b", "an", "bn").agg(F.count(F.lit(1)).alias("hits"))
-    return live, met.where(F.col("hits") >= measure.needed_column(F.col("an"), F.col("bn"))).select("a", "b")
+    return live, met.where(2 * F.col("hits") >= measure.needed_column(F.col("an"), F.col("bn"))).select("a", "b")
+
 
+def _in_families(star: DataFrame, labels: DataFrame, measure: Measure) -> DataFrame:
+    """The links ``(a, b)`` between texts of different components that have a pivot in common.
 
-def _search(live: DataFrame, labels: DataFrame, measure: Measure, segment: int) -> DataFrame:
-    """T-occurrence search over the lists that several components are in: candidate pairs ``(a, b)``."""
+    ``star`` has the differences of texts from pivots.  Of two such texts at least one is far, that is outside the pivot's
+    component, and so not linked with the pivot.  If they are similar they share differences: two similar texts that share
+    none are both linked with the pivot.
+    """
+    own = lambda row, label: labels.select(F.col("row").alias(row), F.col("label").alias(label))
+    rows = (star.where("delta IS NOT NULL").join(own("a", "label"), "a", "left").join(own("b", "pivot_label"), "b", "left")
+            .select(F.col("b").alias("pivot"), F.col("a").alias("row"), F.col("an").alias("n"),
+                    F.coalesce("label", "a").alias("label"), F.coalesce("pivot_label", "b").alias("pivot_label"), F.size("delta").cast("bigint").alias("x"), "delta")
+            .withColumn("far", F.col("label") != F.col("pivot_label")))
+    rows = cut_lineage(rows.withColumn("w", measure.weight(F.col("x"), F.col("n"))), "differences")
+    several = rows.groupBy("pivot").agg(
+        F.count(F.lit(1)).alias("texts"), F.min(F.when(F.col("far"), F.col("w"))).alias("far_w"), F.min(F.when(~F.col("far"), F.col("w"))).alias("near_w"))
+    several = cut_lineage(several.where("texts > 1 AND far_w IS NOT NULL").select("pivot", "far_w", "near_w"), "pivots")
+    rows = cut_lineage(rows.join(several, "pivot"), "families")
+    # The differences that fewest texts of the family have come first.  Of t shared ones at most t - 1 are not among a text's
+    # first x - t + 1.  For partners near the pivot t is smaller.  With t above x there is no partner.
+    each = rows.select("pivot", "row", F.explode("delta").alias("run"))
+    times = cut_lineage(each.groupBy("pivot", "run").agg(F.count(F.lit(1)).alias("times")), "difference-counts")
+    order = each.join(times, ["pivot", "run"]).groupBy("pivot", "row").agg(F.array_sort(F.collect_list(F.struct("times", "run"))).alias("order"))
+    w = F.col("w")
+    rest = F.coalesce(F.when(F.col("far"), measure.shared(w, F.col("near_w"))), F.col("t"))
+    first = rows.drop("delta").join(cut_lineage(order, "difference-orders"), ["pivot", "row"]).withColumn("t", measure.shared(w, F.col("far_w"))).withColumn("tn", F.least("t", rest))
+    keys = first.select("pivot", "row", "n", "x", "w", "label", "far", "t", "tn", F.posexplode(
+        F.slice("order.run", F.lit(1), F.greatest(F.col("x") - F.col("tn") + 1, F.lit(0)).cast("int"))).alias("at", "run"))
+    keys = cut_lineage(keys.withColumn("short", F.col("at") <= F.col("x") - F.col("t")), "rare-differences")
+    asks = keys.where("far").select("pivot", "run", *(F.col(c).alias(f"a_{c}") for c in ("row", "n", "x", "w", "label", "t", "tn", "short")))
+    met = asks.join(keys.where("short").drop("tn", "at"), ["pivot", "run"]).where(
+        (F.col("a_label") != F.col("label")) & (~F.col("far") | (F.col("a_short") & (F.col("a_row") < F.col("row"))))
+        & measure.sizes(F.col("a_n"), F.col("n")) & ~measure.apart(F.abs(F.col("a_x") - F.col("x")), F.col("a_n"), F.col("n")))
+    need = measure.shared(F.col("a_w"), w) - F.greatest("t", F.when(F.col("far"), F.col("a_t")).otherwise(F.col("a_tn"))) + 1
+    met = met.groupBy("pivot", F.col("a_row").alias("a"), F.col("row").alias("b"), need.alias("need")).agg(F.count(F.lit(1)).alias("hits"))
+    pairs = cut_lineage(met.where("hits >= need").select("pivot", "a", "b"), "family-pairs")
+    side = lambda row, delta, size: rows.select("pivot", F.col("row").alias(row), F.col("delta").alias(delta), F.col("n").alias(size))
+    both = pairs.join(side("a", "da", "an"), ["pivot", "a"]).join(side("b", "db", "bn"), ["pivot", "b"])
+    apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
+    return both.where(~measure.apart(apart, F.col("an"), F.col("bn"))).select("a", "b")
+
+
+def _pivots(star: DataFrame) -> DataFrame:
+    """``row, pivots``: the nearest pivots of a text from which its difference is known; a pivot is its own."""
+    known = star.where("delta IS NOT NULL")
+    rows = known.select(F.col("a").alias("row"), F.size("delta").alias("x"), F.col("b").alias("pivot")).unionByName(
+        known.select(F.col("b").alias("row"), F.lit(0).alias("x"), F.col("b").alias("pivot")).distinct())
+    nearest = F.slice(F.array_sort(F.collect_list(F.struct("x", "pivot"))), 1, PIVOTS)
+    return rows.groupBy("row").agg(F.transform(nearest, lambda s: s["pivot"]).alias("pivots"))
+
+
+def _search(live: DataFrame, labels: DataFrame, pivots: DataFrame, measure: Measure, segment: int) -> DataFrame:
+    """T-occurrence search over the lists that several components are in: candidate pairs ``(a, b)`` without a common pivot."""
     size = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    known = cut_lineage(labels.join(cut_lineage(size, "label-sizes"), "label").select("row", "label", "size"), "label-rows")
+    known = labels.join(cut_lineage(size, "label-sizes"), "label").select("row", "label", "size")
+    known = cut_lineage(known.join(pivots, "row", "full"), "label-rows")
     rank = F.struct(F.coalesce("size", F.lit(1).cast("bigint")).alias("size"), F.coalesce("label", "row").alias("label"))
-    placed = cut_lineage(live.join(known, "row", "left").select("run", "row", "n", "q", rank.alias("rank")), "placed")
-    mixed = placed.groupBy("run").agg(F.min("rank").alias("low"), F.max("rank").alias("high")).where("low < high")
-    mine = cut_lineage(placed.join(cut_lineage(mixed, "mixed"), "run"), "mixed-lists")
+    placed = cut_lineage(live.join(known, "row", "left").select(
+        "run", "row", "n", "q", rank.alias("rank"), F.coalesce("pivots", F.array("row")).alias("pivots")), "placed")
+    first = F.array_min("pivots")
+    mixed = placed.groupBy("run").agg(F.min("rank").alias("low"), F.max("rank").alias("high"), F.min(first).alias("one"), F.max(first).alias("other")).where(
+        "low < high AND one < other")
+    mine = cut_lineage(placed.join(cut_lineage(mixed.select("run", "low", "high"), "mixed"), "run"), "mixed-lists")
     blocks = max(1, mine.select("row").distinct().count() // segment)
-    asks = mine.where("rank < high").select("run", F.col("row").alias("a"), F.col("n").alias("an"), F.col("q").alias("aq"), F.col("rank").alias("ar"))
+    asks = mine.where("rank < high").select(
+        "run", F.col("row").alias("a"), F.col("n").alias("an"), F.col("q").alias("aq"), F.col("rank").alias("ar"), F.col("pivots").alias("ap"))
     parts = (mine.where("rank > low").withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))).groupBy("run", "block")
-             .agg(F.array_sort(F.collect_list(F.struct("row", "n", "q", "rank"))).alias("list")))  # about ``segment`` texts
+             .agg(F.array_sort(F.collect_list(F.struct("row", "n", "q", "rank", "pivots"))).alias("list")))  # about ``segment`` texts
     fits = lambda x: ((F.col("ar") < x["rank"]) & measure.sizes(F.col("an"), x["n"])
-                      & (F.least("aq", x["q"]) >= measure.needed_column(F.col("an"), x["n"])))
+                      & (F.least("aq", x["q"]) >= measure.needed_column(F.col("an"), x["n"])) & ~F.arrays_overlap("ap", x["pivots"]))
     met = (asks.join(parts, "run").withColumn("list", F.transform(F.filter("list", fits), lambda x: F.struct(x["row"].alias("b"), x["n"].alias("bn"))))
            .where(F.size("list") > 0))
     return met.groupBy("a", "an", "block").agg(F.collect_list("list").alias("lists")).select("a", "an", "lists").mapInArrow(
@@ -320,10 +441,12 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, extra: int =
     some = held.where("n > 0")
     same = cut_lineage(some.groupBy("same").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id")), "same-sets")
     postings = short_lists(some, run_classes(some), measure).join(same.select("row"), "row", "left_semi")
-    live, star = _star(cut_lineage(_shared(cut_lineage(postings, "postings")), "shared-lists"), measure)
-    links = cut_lineage(linked(cut_lineage(star, "star-candidates"), some, measure), "star-links")
+    live, near = _star(cut_lineage(_shared(cut_lineage(postings, "postings"), measure), "shared-lists"), measure)
+    star = cut_lineage(compared(cut_lineage(near, "star-candidates"), some, measure), "star")
+    links = star.where("linked").select("a", "b")
     labels = components(links)
-    more = cut_lineage(linked(cut_lineage(_search(live, labels, measure, segment), "candidates"), some, measure), "search-links")
+    more = linked(cut_lineage(_search(live, labels, _pivots(star), measure, segment), "candidates"), some, measure)
+    more = cut_lineage(more.unionByName(_in_families(star, labels, measure)), "search-links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     placed = cut_lineage(same.join(labels, "row", "left").select("same", "doc_id", F.coalesce("label", "row").alias("label")), "placed-sets")
