@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import filter_audit, jaccard_join, vector_codes
+from tidemark.session import setting
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -187,6 +188,41 @@ def test_sets_of_pairs_are_found_by_their_marks(spark):
     assert jaccard_join._sets_of(pairs.limit(0), held).count() == 0
 
 
+def test_list_entries_are_shuffled_once(spark, monkeypatch):
+    """Counted, freed of single ones and of copies by one shuffle, where no side is small enough for a broadcast."""
+    texts = near_misses(random.Random(3), 40, "", 3)
+    rows = list(enumerate(texts + texts[:20]))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    plans, plain = {}, jaccard_join.cut_lineage
+
+    def watched(df, name):
+        if name in ("postings", "lists", "shared-lists"):
+            df.collect()
+            plans[name] = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        return plain(df, name)
+
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"), monkeypatch.context() as patch:
+        patch.setattr(jaccard_join, "cut_lineage", watched)
+        assert joined(df) == brute_components(rows)
+    assert "shared-lists" in plans
+    assert sum(len(re.findall(r"- Exchange hashpartitioning", p)) for p in plans.values()) == 1
+
+
+def test_packed_runs_come_back():
+    rng = random.Random(4)
+    top = (1 << 64 - jaccard_join.ROW_BITS) - 1
+    for runs in ([], [0], [top], [0, top], sorted({rng.randrange(top) for _ in range(500)})):
+        blob = jaccard_join.packed(np.array(runs, np.uint64))
+        assert jaccard_join.unpacked(blob).tolist() == runs and len(blob) == 7 * len(runs)
+
+
+def test_join_of_many_copies_in_many_partitions(spark):
+    texts = near_misses(random.Random(6), 6, "", 2) + ["x y z", "x y", "", "q " * 300]
+    rows = [(i, texts[i % len(texts)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(16)
+    assert joined(df) == brute_components(rows)
+
+
 def test_join_of_no_documents(no_docs):
     assert jaccard_join.join(no_docs).count() == 0
 

@@ -9,8 +9,9 @@ As both texts of a pair keep their rarest runs in one common order, a pair that
 often as its sizes ask, whatever the order is, so no link is lost.
 
 Spark holds the lists by run.  The order comes from a table of run counts over all texts that has a fixed size.  A text
-stays in a list only if a text of a size that can reach the similarity is there too.  First every member of a list is
-compared with the list's most central text of its size only, its pivot; texts linked by then are one component.
+stays in a list only if a text of a size that can reach the similarity is there too.  All list entries are shuffled once,
+by run: there the lists are counted, the single ones are dropped and copies of an entry become one.  First every member of
+a list is compared with the list's most central text of its size only, its pivot; texts linked by then are one component.
 
 Texts that have a pivot in common look for each other by their differences from it: if a text is not linked with the pivot,
 a similar text shares more than half of its own difference, and differences are mostly rare runs.  So a family of texts
@@ -20,7 +21,8 @@ Lists whose members are all of one component, or all have one pivot, are done.
 other components only, the smaller component's texts in the larger one's lists, which come in segments of a bounded number
 of texts: a hot list is many rows, and a group of linked copies is never paired with itself.
 
-Texts with equal sets are one vertex.  Null is empty; a text without words has the empty set and links with nothing.
+Texts with equal sets are one vertex: their list entries are equal, as an entry names its set by 48 bits of the digest.  Should
+two sets have these in common, both stay with the entries of both, and pairs are compared by the sets.  Null is empty; a text without words has the empty set and links with nothing.
 Rows of one id share a component only where they are linked.  An empty table gives an empty result.
 """
 
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import reduce
@@ -35,7 +38,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrays import GOLDEN, chunks, flat, mix, word_bounds, word_hashes
@@ -46,9 +49,12 @@ SHINGLE, PERCENT, EXTRA = 3, 90, 2
 CELL_BITS, BLOCK_BITS = 22, 14  # the table of run counts has 2**22 cells in blocks of 2**14, whatever the corpus
 SEGMENT = 256   # texts of a list segment, about
 SET_BYTES = 1 << 19  # bytes of text that a worker turns into sets at once
+SEEN = 1 << 16  # sets that a task knows as already given, about
 PIVOTS = 4      # pivots of a text that the search over the lists knows of
 MARK_BITS = 23  # bits of the bitmap that marks texts of candidate pairs
 ROW_BITS = 14
+RUN_BYTES = (64 - ROW_BITS + 7) // 8
+KEY_BITS, PLACE_BITS = 48, 16  # of a set's key: of the digest, about as many as a run has, and of the class of its size
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -73,20 +79,33 @@ def shingle_sets(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.nda
     return keys & np.uint64((1 << 64 - ROW_BITS) - 1), own
 
 
+def packed(runs: np.ndarray) -> bytes:
+    """Sorted runs as the bytes of their distances, lowest bytes of all first: the highest ones are zero and compress."""
+    apart = np.diff(runs, prepend=np.uint64(0)).astype("<u8")
+    return apart.view(np.uint8).reshape(-1, 8)[:, :RUN_BYTES].T.tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    apart = np.zeros((len(blob) // RUN_BYTES, 8), np.uint8)
+    apart[:, :RUN_BYTES] = np.frombuffer(blob, np.uint8).reshape(RUN_BYTES, -1).T
+    return np.cumsum(apart.view("<u8")[:, 0], dtype=np.uint64)
+
+
 def sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """Row number, id, digest of the set, its size and its runs, for every document."""
+    """Row number, id, digest of the set, ``KEY_BITS`` of it, the set's size and its runs, packed, for every document."""
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, max_bytes=SET_BYTES):
             hashes, at = shingle_sets(part.column("text"), k)
-            blobs = [hashes[a:b].tobytes() for a, b in zip(at, at[1:])]
-            same = [hashlib.blake2b(b, digest_size=16).digest() for b in blobs]
+            own = [hashes[a:b] for a, b in zip(at, at[1:])]
+            same = [hashlib.blake2b(runs.tobytes(), digest_size=16).digest() for runs in own]
+            keys = (np.frombuffer(b"".join(same), np.uint64)[::2] >> np.uint64(64 - KEY_BITS)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part.column("row"), part.column("doc_id"), pa.array(same, pa.binary()), pa.array(np.diff(at), pa.int64()), pa.array(blobs, pa.binary())],
-                names=["row", "doc_id", "same", "n", "runs"])
+                [part.column("row"), part.column("doc_id"), pa.array(same, pa.binary()), pa.array(keys),
+                 pa.array(np.diff(at), pa.int64()), pa.array([packed(runs) for runs in own], pa.binary())], names=["row", "doc_id", "same", "key", "n", "runs"])
 
-    return slim.mapInArrow(run, "row bigint, doc_id bigint, same binary, n bigint, runs binary")
+    return slim.mapInArrow(run, "row bigint, doc_id bigint, same binary, key bigint, n bigint, runs binary")
 
 
 def _cells(runs: np.ndarray) -> np.ndarray:
@@ -96,8 +115,8 @@ def _cells(runs: np.ndarray) -> np.ndarray:
 def run_classes(held: DataFrame) -> np.ndarray:
     """Logarithmic class of the count of every cell of runs, over all texts; a byte a cell.
 
-    A task counts into one table of all cells and gives it in blocks; the blocks of all tasks meet by number
-    and are added up one after the other.
+    A task counts into one table of all cells and gives it in blocks, in as few bytes a count as a block needs and
+    packed; the blocks of all tasks meet by number and are added up one after the other.
     """
     cells, block = 1 << CELL_BITS, 1 << BLOCK_BITS
 
@@ -105,25 +124,26 @@ def run_classes(held: DataFrame) -> np.ndarray:
         counts = np.zeros(cells, np.uint32)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                runs = np.frombuffer(b"".join(batch.column("runs").slice(at, 256).to_pylist()), np.uint64)
-                np.add.at(counts, _cells(runs), 1)
+                runs = [unpacked(blob) for blob in batch.column("runs").slice(at, 256).to_pylist()]
+                np.add.at(counts, _cells(np.concatenate(runs)), 1)
         parts = counts.reshape(-1, block)
         used = np.flatnonzero(parts.any(1))
         for i in used.tolist():
-            small = parts[i].max() < 1 << 16
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([small]), pa.array(
-                [parts[i].astype(np.uint16 if small else np.uint32).tobytes()], pa.binary())], names=["block", "small", "counts"])
+            kind = np.min_scalar_type(parts[i].max())
+            blob = zlib.compress(parts[i].astype(kind).tobytes(), 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i], pa.int32()), pa.array([kind.itemsize], pa.int32()), pa.array([blob], pa.binary())], names=["block", "width", "counts"])
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = {}
         for batch in batches:
-            for i, small, blob in zip(*(batch.column(c).to_pylist() for c in ("block", "small", "counts"))):
-                totals[i] = totals.get(i, 0) + np.frombuffer(blob, np.uint16 if small else np.uint32).astype(np.int64)
+            for i, width, blob in zip(*(batch.column(c).to_pylist() for c in ("block", "width", "counts"))):
+                totals[i] = totals.get(i, 0) + np.frombuffer(zlib.decompress(blob), f"u{width}").astype(np.int64)
         for i, total in totals.items():
             level = np.minimum(255, 8 * np.log2(np.maximum(total, 1))).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["block", "levels"])
 
-    counted = held.select("runs").mapInArrow(count, "block int, small boolean, counts binary")
+    counted = held.select("runs").mapInArrow(count, "block int, width int, counts binary")
     found = counted.repartition("block").mapInArrow(add, "block int, levels binary").collect()  # 2**CELL_BITS bytes
     classes = np.zeros(cells, np.uint8)
     for r in found:
@@ -171,6 +191,13 @@ class Measure:
         step = math.log(100 / self.percent) * (1 + 1e-9) if self.percent < 100 else 1.0
         return F.floor(F.log(n) * parts / step)
 
+    def key(self, digest: Column, n: Column) -> Column:
+        """Bits of a set's digest, and in the lowest ones its class of sizes: all that a list entry tells of its set."""
+        return F.shiftleft(digest, PLACE_BITS).bitwiseOR(self.size_class(n, 2))
+
+    def place(self, key: Column) -> Column:
+        return key.bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+
     # Differences: texts of ``n`` and ``m`` runs, of which ``x`` are in one of them only.
     def apart(self, x: Column, n: Column, m: Column) -> Column:
         """Too many differences for a link."""
@@ -186,24 +213,34 @@ class Measure:
 
 
 def short_lists(held: DataFrame, classes: np.ndarray, measure: Measure) -> DataFrame:
-    """``row, n, run`` for the rarest runs of every text."""
+    """``key, run`` for the rarest runs of every text; most copies of a set within a task are left out."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
+                fresh = []
+                for same in part.column("same").to_pylist():
+                    fresh.append(same not in seen)
+                    seen.add(same)
+                if len(seen) > SEEN:
+                    seen.clear()
+                part = part.filter(pa.array(fresh))
+                if not part.num_rows:
+                    continue
                 kept = []
                 for blob in part.column("runs").to_pylist():
-                    runs = np.frombuffer(blob, np.uint64)
+                    runs = unpacked(blob)
                     p = len(runs) - int(measure.long(len(runs)))
                     # Runs have 50 bits and classes 8, so the class can go in front.
                     order = classes[_cells(runs)].astype(np.uint64) << np.uint64(64 - ROW_BITS) | runs
                     kept.append(np.partition(order, p - 1)[:p] & np.uint64((1 << 64 - ROW_BITS) - 1) if p else runs)
                 sizes = [len(k) for k in kept]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(part.column(c).to_numpy(), sizes), pa.int64()) for c in ("row", "n")]
-                    + [pa.array(np.concatenate(kept).astype(np.int64), pa.int64())], names=["row", "n", "run"])
+                    [pa.array(np.repeat(part.column("key").to_numpy(), sizes), pa.int64()), pa.array(np.concatenate(kept).astype(np.int64), pa.int64())],
+                    names=["key", "run"])
 
-    return held.select("row", "n", "runs").mapInArrow(run, "row bigint, n bigint, run bigint")
+    return held.select("same", "key", "runs").mapInArrow(run, "key bigint, run bigint")
 
 
 def merge_skip(lists: list[list[int]], need: int) -> Iterator[tuple[int, int]]:
@@ -275,7 +312,7 @@ def linked(pairs: DataFrame, held: DataFrame, measure: Measure) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(*(batch.column(c).to_pylist() for c in ("xs", "ys"))):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                s, t = unpacked(x), unpacked(y)
                 keep.append(measure.linked(len(s), len(t), probe(s, t)))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -291,7 +328,7 @@ def compared(pairs: DataFrame, held: DataFrame, measure: Measure) -> DataFrame:
         for batch in batches:
             sizes, links, deltas = [], [], []
             for x, y in zip(*(batch.column(c).to_pylist() for c in ("xs", "ys"))):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                s, t = unpacked(x), unpacked(y)
                 delta = np.setxor1d(s, t, assume_unique=True)
                 sizes.append((len(s), len(t)))
                 links.append(measure.linked(len(s), len(t), (len(s) + len(t) - len(delta)) // 2))
@@ -305,36 +342,39 @@ def compared(pairs: DataFrame, held: DataFrame, measure: Measure) -> DataFrame:
 
 
 def _shared(postings: DataFrame, measure: Measure) -> DataFrame:
-    """Lists of several texts that can be similar by their sizes: run, row, n and the list's length.
+    """Lists of several sets that can be similar by their sizes: run, key and the list's length.
 
-    A list has a bit for each class of sizes, modulo 64; with more texts than bits a class may hold two of them.
+    A list has a bit for each class of sizes, modulo 64; with more sets than bits a class may hold two of them.
+    Both sides of the join read one shuffle of the entries, and it needs no other.
     """
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(c, F.lit(64)).cast("int"))
     turned = lambda bits, by: F.shiftleft(bits, by).bitwiseOR(F.shiftrightunsigned(bits, 64 - by))
-    place = measure.size_class(F.col("n"), 2)
-    lists = postings.groupBy("run").agg(F.count(F.lit(1)).alias("times"), F.bit_or(bit(place)).alias("bits"))
+    place = measure.place(F.col("key"))
+    dealt = postings.repartition("run")
+    lists = dealt.distinct().groupBy("run").agg(F.count(F.lit(1)).alias("times"), F.bit_or(bit(place)).alias("bits"))
     bits, twice = F.col("bits"), F.col("times") > F.bit_count("bits")
     several = lists.where(twice | (bits.bitwiseAND(turned(bits, 1).bitwiseOR(turned(bits, 2))) != 0))
     beside = reduce(Column.bitwiseOR, [bit(place + j) for j in (-2, -1, 1, 2)])
-    return postings.join(cut_lineage(several, "lists"), "run").where(twice | (bits.bitwiseAND(beside) != 0)).drop("bits")
+    return dealt.join(several, "run").where(twice | (bits.bitwiseAND(beside) != 0)).drop("bits").distinct()
 
 
-def _star(shared: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame]:
+def _star(shared: DataFrame, same: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame]:
     """The lists with each text's number of shared lists, and the pairs of texts with the central text of a list and size class."""
-    central = shared.groupBy("row", "n").agg(F.count(F.lit(1)).alias("q"), F.sum("times").alias("met")).where(
-        F.col("q") >= measure.least_needed(F.col("n"))).drop("n")
-    live = shared.join(cut_lineage(central, "central"), "row")
+    own = Window.partitionBy("key")  # no more entries than the set has runs
+    met = shared.withColumn("q", F.count(F.lit(1)).over(own)).withColumn("met", F.sum("times").over(own))
+    live = met.join(same.select("key", "row", "n"), "key").where(F.col("q") >= measure.least_needed(F.col("n")))
     live = cut_lineage(live.select("run", "row", "n", "q", "met", measure.size_class(F.col("n")).alias("class")), "live")
-    lead = live.groupBy("run", "class").agg(F.max(F.struct("met", "row", "n", "q")).alias("top"))
-    lead = cut_lineage(lead.select("run", "class", F.col("top.row").alias("lead"), F.col("top.n").alias("lead_n"), F.col("top.q").alias("lead_q")), "leads")
-    near = live.join(lead, ["run", "class"]).where(
-        (F.col("row") != F.col("lead")) & measure.sizes(F.col("n"), F.col("lead_n"))
-        & (F.least("q", "lead_q") >= measure.needed_column(F.col("n"), F.col("lead_n"))))
-    pairs = cut_lineage(near.select(F.col("row").alias("a"), F.col("lead").alias("b")).distinct(), "star-pairs")
+    # The texts and the central ones among them are met in one shuffle, which is why both take all columns.
+    text = F.struct("met", "row", "n", "q")
+    dealt = live.repartition("run", "class")
+    near = dealt.join(dealt.groupBy("run", "class").agg(F.max(text).alias("top")), ["run", "class"]).where(
+        (text < F.col("top")) & measure.sizes(F.col("n"), F.col("top.n"))
+        & (F.least("q", "top.q") >= measure.needed_column(F.col("n"), F.col("top.n"))))
+    pairs = near.select(F.col("row").alias("a"), F.col("top.row").alias("b"), F.col("n").alias("an"), F.col("top.n").alias("bn"))
+    pairs = cut_lineage(pairs.distinct(), "star-pairs")
     # Of these pairs the short lists that both are in are counted, as the search does for its candidates.
     # Half of them is no link, but enough for a pivot.
-    mine = live.select("run", F.col("row").alias("a"), F.col("n").alias("an"))
-    theirs = live.select("run", F.col("row").alias("b"), F.col("n").alias("bn"))
+    mine, theirs = (live.select("run", F.col("row").alias(x)) for x in ("a", "b"))
     met = pairs.join(mine, "a").join(theirs, ["b", "run"]).groupBy("a", "b", "an", "bn").agg(F.count(F.lit(1)).alias("hits"))
     return live, met.where(2 * F.col("hits") >= measure.needed_column(F.col("an"), F.col("bn"))).select("a", "b")
 
@@ -359,11 +399,10 @@ def _in_families(star: DataFrame, labels: DataFrame, measure: Measure) -> DataFr
     # The differences that fewest texts of the family have come first.  Of t shared ones at most t - 1 are not among a text's
     # first x - t + 1.  For partners near the pivot t is smaller.  With t above x there is no partner.
     each = rows.select("pivot", "row", F.explode("delta").alias("run"))
-    times = cut_lineage(each.groupBy("pivot", "run").agg(F.count(F.lit(1)).alias("times")), "difference-counts")
-    order = each.join(times, ["pivot", "run"]).groupBy("pivot", "row").agg(F.array_sort(F.collect_list(F.struct("times", "run"))).alias("order"))
+    order = each.join(each.groupBy("pivot", "run").agg(F.count(F.lit(1)).alias("times")), ["pivot", "run"]).groupBy("pivot", "row").agg(F.array_sort(F.collect_list(F.struct("times", "run"))).alias("order"))
     w = F.col("w")
     rest = F.coalesce(F.when(F.col("far"), measure.shared(w, F.col("near_w"))), F.col("t"))
-    first = rows.drop("delta").join(cut_lineage(order, "difference-orders"), ["pivot", "row"]).withColumn("t", measure.shared(w, F.col("far_w"))).withColumn("tn", F.least("t", rest))
+    first = rows.drop("delta").join(order, ["pivot", "row"]).withColumn("t", measure.shared(w, F.col("far_w"))).withColumn("tn", F.least("t", rest))
     keys = first.select("pivot", "row", "n", "x", "w", "label", "far", "t", "tn", F.posexplode(
         F.slice("order.run", F.lit(1), F.greatest(F.col("x") - F.col("tn") + 1, F.lit(0)).cast("int"))).alias("at", "run"))
     keys = cut_lineage(keys.withColumn("short", F.col("at") <= F.col("x") - F.col("t")), "rare-differences")
@@ -397,10 +436,13 @@ def _search(live: DataFrame, labels: DataFrame, pivots: DataFrame, measure: Meas
     rank = F.struct(F.coalesce("size", F.lit(1).cast("bigint")).alias("size"), F.coalesce("label", "row").alias("label"))
     placed = cut_lineage(live.join(known, "row", "left").select(
         "run", "row", "n", "q", rank.alias("rank"), F.coalesce("pivots", F.array("row")).alias("pivots")), "placed")
+    # As in ``_star``, both sides take all columns and so read one shuffle.
     first = F.array_min("pivots")
-    mixed = placed.groupBy("run").agg(F.min("rank").alias("low"), F.max("rank").alias("high"), F.min(first).alias("one"), F.max(first).alias("other")).where(
-        "low < high AND one < other")
-    mine = cut_lineage(placed.join(cut_lineage(mixed.select("run", "low", "high"), "mixed"), "run"), "mixed-lists")
+    dealt = placed.repartition("run")
+    mixed = dealt.groupBy("run").agg(
+        F.min("rank").alias("low"), F.max(F.struct("rank", "pivots", "row", "n", "q")).alias("top"), F.min(first).alias("one"), F.max(first).alias("other"))
+    mixed = mixed.select("run", "low", F.col("top.rank").alias("high"), "one", "other").where("low < high AND one < other")
+    mine = cut_lineage(dealt.join(mixed.drop("one", "other"), "run"), "mixed-lists")
     blocks = max(1, mine.select("row").distinct().count() // segment)
     asks = mine.where("rank < high").select(
         "run", F.col("row").alias("a"), F.col("n").alias("an"), F.col("q").alias("aq"), F.col("rank").alias("ar"), F.col("pivots").alias("ap"))
@@ -437,11 +479,11 @@ def _merger(measure: Measure):
 def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, extra: int = EXTRA, segment: int = SEGMENT) -> DataFrame:
     """For every row: ``row, doc_id, n`` (size of its set) and ``component`` (smallest id of its component)."""
     measure = Measure(percent, extra)
-    held = cut_lineage(sets(docs, k), "run-sets")
+    held = cut_lineage(sets(docs, k).withColumn("key", measure.key(F.col("key"), F.col("n"))), "run-sets")
     some = held.where("n > 0")
-    same = cut_lineage(some.groupBy("same").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id")), "same-sets")
-    postings = short_lists(some, run_classes(some), measure).join(same.select("row"), "row", "left_semi")
-    live, near = _star(cut_lineage(_shared(cut_lineage(postings, "postings"), measure), "shared-lists"), measure)
+    same = cut_lineage(some.groupBy("same", "key", "n").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id")), "same-sets")
+    postings = cut_lineage(short_lists(some, run_classes(some), measure), "postings")
+    live, near = _star(cut_lineage(_shared(postings, measure), "shared-lists"), same, measure)
     star = cut_lineage(compared(cut_lineage(near, "star-candidates"), some, measure), "star")
     links = star.where("linked").select("a", "b")
     labels = components(links)
