@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -82,6 +83,90 @@ def test_late_spans_follow_the_decision_until_it_is_forgotten(spark):
     assert sorted(r["spanId"] for r in feed.out().collect()) == ["1-0", "1-1", "2-2"]
 
 
+def test_trace_state_is_by_group_and_spans_keep_their_attributes(spark):
+    """Of 400 traces only groups are in the store; a span that waited comes out as it went in."""
+    made = [(f"t{i}", f"{i}", "ERROR" if i % 4 else "OK", i, i + 5, {"http.route": "/api", "n": str(i), "none": None} if i % 3 else None) for i in range(400)]
+    schema = SPANS.replace("traceId bigint", "traceId string")
+    feed = Feed(spark, schema, lambda s: KS.tail_sample(s, F.lit(50), groups=4))
+    feed.push(made, [("last", "last", "OK", FAR, FAR, None)])
+    assert rows(feed.out()) == sorted((m for m in made if m[2] == "ERROR"), key=repr)
+    assert max(feed.state_rows()) <= 5 * 6
+
+
+def test_a_call_of_the_sampler_holds_one_part(spark):
+    """Few store calls whatever the number of traces, parts of bounded size, and the decisions of a loop."""
+    class Many(dict):
+        updateValue, getValue, removeKey = dict.__setitem__, dict.__getitem__, dict.__delitem__
+
+    class One(list):
+        exists, get, update, clear = lambda self: bool(self), lambda self: self[0], lambda self, v: self.__setitem__(slice(None), [v]), list.clear
+
+    class Index(list):
+        get, put = lambda self: iter(list(self)), lambda self, rows: self.__setitem__(slice(None), rows)
+
+    wait, remember, slow = 50, 400, 30
+
+    def loop(calls):
+        """Output of every call, one trace at a time: (due, first, last, error, decision, waiting)."""
+        state, out = {}, []
+        for now, spans_ in calls:
+            got, late = [], {}
+            for trace, i, start, end, error in spans_:
+                live = state.setdefault(trace, {"due": None, "start": start, "end": end, "keep": False, "decided": False, "spans": []})
+                if live["decided"]:
+                    got += [i] if live["keep"] else []
+                    continue
+                late[trace] = min(start, late.get(trace, start))
+                live["start"], live["end"], live["keep"] = min(start, live["start"]), max(end, live["end"]), live["keep"] or error
+                live["spans"].append(i)
+            for trace, first in late.items():
+                if state[trace]["due"] is None:
+                    state[trace]["due"] = first + wait
+            for trace, live in list(state.items()):
+                if live["due"] <= now and live["decided"]:
+                    del state[trace]
+                elif live["due"] <= now:
+                    live["keep"] = live["keep"] or live["end"] - live["start"] >= slow
+                    got += live["spans"] if live["keep"] else []
+                    live |= {"decided": True, "due": live["due"] + remember, "spans": []}
+            out.append(sorted(got))
+        return out, state
+
+    def run(calls, at_once, stretch):
+        sampler, woken, out, sizes = KS._Sampler(wait, remember, slow, at_once), [], [], []
+        sampler.traces, sampler.parts, sampler.waiting, sampler.due, sampler.wake_at = One(), Index(), Many(), One(), woken.append
+        put = sampler.put
+        sampler.put = lambda parts, rows_, due: (sizes.append(len(rows_)), put(parts, rows_, due))
+        names = ["traceId", "spanId", "startMs", "endMs", "_keep"]
+        for now, spans_ in calls:
+            at = type("Now", (), {"getCurrentWatermarkInMs": lambda self, now=now: now})()
+            packed = [KS._to_bytes(pa.table(dict(zip(names, zip(*spans_[i:i + stretch]))))) for i in range(0, len(spans_), stretch)]
+            shown = list(sampler.handleInputRows((0,), (pd.DataFrame({"rows": packed[i:i + 2]}) for i in range(0, len(packed), 2)), at))
+            if woken and woken[-1] is not None and woken[-1] <= now:
+                fired = type("Fired", (), {"getExpiryTimeInMs": lambda self, due=woken[-1]: due})()
+                shown += list(sampler.handleExpiredTimer((0,), at, fired))
+            out.append(sorted(i for f in shown for data in f["rows"] for i in KS._from_bytes(data)["spanId"].to_pylist()))
+        return out, sampler, sizes
+
+    rng = random.Random(11)
+    calls, n, now = [], 0, 0
+    for _ in range(60):
+        spans_ = []
+        for _ in range(rng.choice([1, 20, 300])):
+            n += 1
+            start = max(0, now + rng.randint(-200, 100))
+            spans_.append((rng.choice([rng.randrange(60), rng.randrange(2_000), 7]), n, start, start + rng.choice([0, 0, 1, 35]), rng.random() < 0.05))
+        calls.append((now, spans_))
+        now += rng.choice([0, 5, 60, 500])
+    calls += [(now + 10_000, calls[0][1][:0]), (now + 10_000, [])]
+    want, left = loop(calls)
+    for at_once, stretch in ((1 << 16, 1 << 16), (40, 20)):
+        got, sampler, sizes = run(calls, at_once, stretch)
+        assert got == want and not left and not sampler.waiting and not sampler.parts and not sampler.traces
+        assert at_once > 40 or max(sizes) <= 60
+    assert sum(map(len, want)) > 1_000
+
+
 GATED = "k string, t bigint, s bigint"
 
 

@@ -10,11 +10,12 @@ column.  ``_watched`` hides it: the watermark goes on, and late rows are the pro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,64 +73,207 @@ class Timed(StatefulProcessor):
 
 # ---- traces ----------------------------------------------------------------------------------------
 
+GROUPS = 1024  # groups of traces; more of them is less in a call
+
+
+def _together(parts: Iterator, at_once: int) -> Iterator[list]:
+    """Tables or batches in lists that end with ``at_once`` rows."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += part.num_rows
+        if n >= at_once:
+            yield held
+            held, n = [], 0
+    if n:
+        yield held
+
+
+def _packed(at_once: int) -> Callable:
+    """Rows as one stretch of Arrow bytes for each group, at most ``at_once`` rows together."""
+    def shut(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        group = table["_group"].to_numpy()
+        order = np.argsort(group, kind="stable")
+        group, table = group[order], table.drop_columns("_group").take(order).combine_chunks()
+        starts = np.flatnonzero(np.diff(group, prepend=-1))
+        parts = [_to_bytes(table.slice(at, end - at)) for at, end in zip(starts, [*starts[1:], len(group)])]
+        return pa.RecordBatch.from_arrays([pa.array(group[starts], pa.int32()), pa.array(parts, pa.binary())], ["_group", "rows"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return map(shut, _together(batches, at_once))
+    return run
+
+
+def _unpacked(names: list[str]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in batch["rows"]:
+                yield from _from_bytes(rows.as_buffer()).select(names).to_batches()
+    return run
+
+
+def _to_bytes(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _from_bytes(data) -> pa.Table:
+    with pa.ipc.open_stream(data) as reader:
+        return reader.read_all()
+
+
+class _Traces:
+    """The live traces of a group as arrays: ``due`` is when a waiting trace is decided or a decided one forgotten.
+
+    ``keep`` is whether an error or the share keeps the trace, and later the decision.
+    """
+
+    KINDS = {"due": "i8", "start": "i8", "end": "i8", "keep": "?", "decided": "?"}
+
+    def __init__(self, stored: bytes | None = None):
+        table = _from_bytes(stored) if stored else None
+        self.ids = table["id"].combine_chunks() if stored else None
+        for name, kind in self.KINDS.items():
+            setattr(self, name, np.array(table[name].to_numpy(), kind) if stored else np.empty(0, kind))
+
+    def __len__(self) -> int:
+        return 0 if self.ids is None else len(self.ids)
+
+    def to_bytes(self) -> bytes:
+        return _to_bytes(pa.table({"id": self.ids} | {name: getattr(self, name) for name in self.KINDS}))
+
+    def only(self, which: np.ndarray) -> None:
+        self.ids = self.ids.filter(pa.array(which))
+        for name in self.KINDS:
+            setattr(self, name, getattr(self, name)[which])
+
+    def places(self, ids: pa.Array) -> np.ndarray:
+        """Where the traces are; unknown ones come to the end, undecided."""
+        if self.ids is None:
+            self.ids = ids[:0]
+        known = len(self)
+        fresh = pc.unique(ids.filter(pc.invert(pc.is_in(ids, self.ids))))
+        if len(fresh):
+            self.ids = pa.concat_arrays([self.ids, fresh])
+            largest = np.iinfo("i8").max
+            for name, value in (("due", largest), ("start", largest), ("end", -largest), ("keep", False), ("decided", False)):
+                setattr(self, name, np.append(getattr(self, name)[:known], np.full(len(fresh), value, self.KINDS[name])))
+        return pc.index_in(ids, self.ids).to_numpy()
+
+    def next_due(self) -> int | None:
+        return int(self.due.min()) if len(self) else None
+
+
 class _Sampler(Timed):
-    """Spans wait for their trace's decision; afterwards the decision is remembered for a while."""
+    """Spans wait for their trace's decision; afterwards the decision is remembered for a while.
+
+    A call has a group of traces.  Their figures are read and written once a call; waiting spans lie in parts of about
+    ``at_once`` rows at most, and a part is read when one of its traces is due.
+    """
 
-    def __init__(self, schema: T.StructType, wait_ms: int, remember_ms: int, slow_ms: int):
-        self.schema, self.wait, self.remember, self.slow = schema, wait_ms, remember_ms, slow_ms
+    def __init__(self, wait_ms: int, remember_ms: int, slow_ms: int, at_once: int = AT_ONCE):
+        self.wait, self.remember, self.slow, self.at_once = wait_ms, remember_ms, slow_ms, at_once
 
     def states(self, handle) -> None:
-        self.spans = handle.getListState("spans", self.schema)
-        self.kept = handle.getValueState("kept", "keep BOOLEAN")
+        self.traces = handle.getValueState("traces", "rows BINARY")
+        self.parts = handle.getListState("parts", "part BIGINT, due BIGINT")
+        self.waiting = handle.getMapState("waiting", "part BIGINT", "rows BINARY")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        if self.kept.exists():
-            if self.kept.get()[0]:
-                yield from rows
-            return
-        first = None
-        for row in rows:
-            self.spans.appendValue(tuple(row))
-            first = row["startMs"] if first is None else min(first, row["startMs"])
-        if not self.due.exists():
-            self.wake_at(first + self.wait)
+    def known(self) -> tuple[_Traces, dict[int, int]]:
+        return _Traces(bytes(self.traces.get()[0]) if self.traces.exists() else None), {part: due for part, due in self.parts.get()}
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def store(self, traces: _Traces, parts: dict[int, int], after: int | None = None) -> None:
+        if len(traces):
+            self.traces.update((traces.to_bytes(),))
+        else:
+            self.traces.clear()
+        if parts:
+            self.parts.put(list(parts.items()))
+        else:
+            self.parts.clear()
+        at = traces.next_due()
+        self.wake_at(at if after is None or at is None else max(at, after + 1))
+
+    def put(self, parts: dict[int, int], rows: pa.Table, due: int) -> None:
+        part = max(parts, default=-1) + 1
+        self.waiting.updateValue((part,), (_to_bytes(rows),))
+        parts[part] = due
+
+    def take(self, parts: dict[int, int], now: int) -> Iterator[pa.Table]:
+        """Parts in which a trace is due; they wait no longer."""
+        for part in [part for part, due in parts.items() if due <= now]:
+            yield _from_bytes(bytes(self.waiting.getValue((part,))[0]))
+            self.waiting.removeKey((part,))
+            del parts[part]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        traces, parts = self.known()
+        known, written = len(traces), set(parts)
+        for held in _together((_from_bytes(data) for frame in rows for data in frame["rows"]), self.at_once):
+            spans = pa.concat_tables(held).combine_chunks()
+            at = traces.places(spans["traceId"].combine_chunks())
+            kept = traces.decided[at] & traces.keep[at]
+            if kept.any():
+                yield pd.DataFrame({"rows": [_to_bytes(spans.filter(pa.array(kept)))]})
+            open_ = ~traces.decided[at]
+            if open_.any():
+                at, spans = at[open_], spans.filter(pa.array(open_))
+                start = spans["startMs"].to_numpy().astype("i8")
+                np.minimum.at(traces.start, at, start)
+                np.maximum.at(traces.end, at, spans["endMs"].to_numpy())
+                np.logical_or.at(traces.keep, at, spans["_keep"].to_numpy())
+                fresh = at >= known
+                np.minimum.at(traces.due, at[fresh], start[fresh] + self.wait)
+                self.put(parts, spans, int(traces.due[at].min()))
+        if len(parts) > len(written):
+            if len(traces) > known:  # a later span of this call may have begun a trace earlier
+                first = int(traces.due[known:].min())
+                parts = {part: due if part in written else min(due, first) for part, due in parts.items()}
+            self.store(traces, parts)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.due.clear()
-        if self.kept.exists():
-            self.kept.clear()
-            return
-        error, share, start, end = False, False, None, None
-        for values in self.spans.get():
-            span = dict(zip(self.schema.names, values))
-            error |= span["statusCode"] == "ERROR"
-            share |= span["_sampled"]
-            start = span["startMs"] if start is None else min(start, span["startMs"])
-            end = span["endMs"] if end is None else max(end, span["endMs"])
-        keep = bool(error or share or end - start >= self.slow)
-        if keep:
-            for values in self.spans.get():
-                yield Row(*self.schema.names)(*values)
-        self.spans.clear()
-        self.kept.update((keep,))
-        self.wake_at(expiredTimerInfo.getExpiryTimeInMs() + self.remember)
+        now, fired = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
+        traces, parts = self.known()
+        ended = traces.due <= now
+        forgotten, ready = ended & traces.decided, ended & ~traces.decided
+        traces.keep |= ready & (traces.end - traces.start >= self.slow)
+        for held in _together(self.take(parts, now), self.at_once):
+            spans = pa.concat_tables(held).combine_chunks()
+            at = traces.places(spans["traceId"].combine_chunks())
+            kept = ready[at] & traces.keep[at]
+            if kept.any():
+                yield pd.DataFrame({"rows": [_to_bytes(spans.filter(pa.array(kept)))]})
+            if not ready[at].all():
+                self.put(parts, spans.filter(pa.array(~ready[at])), int(traces.due[at[~ready[at]]].min()))
+        traces.due[ready] += self.remember
+        traces.decided |= ready
+        traces.only(~forgotten)
+        self.store(traces, parts, fired)
 
 
 def tail_sample(spans: DataFrame, bucket: Column | None = None, wait_ms: int = WAIT_MS, remember_ms: int = REMEMBER_MS,
-                delay: str = "0 seconds") -> DataFrame:
+                delay: str = "0 seconds", groups: int = GROUPS) -> DataFrame:
     """Streaming twin of ``traces.tail_sample``: a trace is decided ``wait_ms`` after its first span's start.
 
     Spans that come later follow the decision for ``remember_ms``; after that a trace starts anew.  Spans
-    without a trace or a start are left out, as in the batch form.
+    without a trace or a start are left out, as in the batch form.  State belongs to ``groups`` groups of
+    traces, so it is read and written per group and batch, not per trace; rows pass Python as Arrow data.
     """
     share = F.pmod(F.xxhash64("traceId"), F.lit(100)) if bucket is None else bucket
     heard = TR.drop_noise(spans).where(F.col("traceId").isNotNull() & F.col("startMs").isNotNull())
-    heard = heard.withColumn("_sampled", share < TR.SAMPLE_PERCENT).withColumn("endMs", F.coalesce("endMs", "startMs"))
-    watched = _watched(heard, "startMs", delay)
-    kept = watched.groupBy("traceId").transformWithState(
-        statefulProcessor=_Sampler(watched.schema, wait_ms, remember_ms, TR.SLOW_TRACE_MS), outputStructType=watched.schema,
+    heard = heard.withColumn("endMs", F.coalesce("endMs", "startMs"))
+    keep = F.coalesce(F.col("statusCode") == "ERROR", F.lit(False)) | F.coalesce(share < TR.SAMPLE_PERCENT, F.lit(False))
+    group = F.pmod(F.xxhash64("traceId"), F.lit(groups)).cast("int")
+    watched = _watched(heard.withColumns({"_keep": keep, "_group": group}), "startMs", delay)
+    packed = watched.mapInArrow(_packed(AT_ONCE), "_group INT, rows BINARY")
+    kept = packed.groupBy("_group").transformWithStateInPandas(
+        statefulProcessor=_Sampler(wait_ms, remember_ms, TR.SLOW_TRACE_MS), outputStructType="rows BINARY",
         outputMode="append", timeMode="eventTime")
-    return kept.drop("_sampled")
+    return kept.mapInArrow(_unpacked(heard.columns), heard.schema)
 
 
 # ---- expiring keys ---------------------------------------------------------------------------------
