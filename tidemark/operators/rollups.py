@@ -7,7 +7,7 @@ a dictionary that gives every name a small number for good.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SKETCH_K = 400  # rank error below 1 %
@@ -42,9 +42,10 @@ def extended_dictionary(known: DataFrame, names: DataFrame, column: str) -> Data
     Only names that are new are numbered, in one task: a name is a type or a class, not a record.
     """
     new = names.select(F.col(column).alias("name")).where(F.col(column).isNotNull()).distinct().join(known, "name", "left_anti")
-    next_ = known.agg(F.coalesce(F.max("number") + 1, F.lit(0)).cast("bigint").alias("_from"))
-    numbered = new.withColumn("_n", F.row_number().over(Window.orderBy("name")) - 1).withColumn("_k", F.lit(1))
-    numbered = numbered.join(next_.withColumn("_k", F.lit(1)), "_k").select("name", (F.col("_from") + F.col("_n")).alias("number"))
+    both = known.select(F.lit(None).cast(new.schema["name"].dataType).alias("name"), "number").unionByName(
+        new.select("name", F.lit(None).cast("bigint").alias("number")))
+    listed = both.agg(F.array_sort(F.collect_list("name")).alias("_names"), F.coalesce(F.max("number") + 1, F.lit(0)).cast("bigint").alias("_from"))
+    numbered = listed.select("_from", F.posexplode("_names").alias("_n", "name")).select("name", (F.col("_from") + F.col("_n")).alias("number"))
     return known.select("name", "number").unionByName(numbered)
 
 
